@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_rules, token_files, unigram_counts, url_filter
+from . import bpe, exact_dedup, jaccard_join, mixing, quality_rules, token_files, unigram_counts, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), bookkeeping=True)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("win_id").alias("class_id"), "class", "links", "copies")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
@@ -61,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op4_mix_sources, op6_url_filter, op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts)
+    for f in (op1_token_files, op4_mix_sources, op5_jaccard_join, op6_url_filter, op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {
