@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, language_id, mixing, quality_rules, token_files, unigram_counts, url_filter
+from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, token_files, unigram_counts, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.mapInArrow(_crc, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify_language(docs, columns=["doc_id"]).select(
@@ -74,7 +78,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_url_filter, op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts)
+    for f in (
+        op1_token_files, op2_html_extract, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_url_filter,
+        op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {
