@@ -95,12 +95,12 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Letters of a sequence made from text: fixed values of the adapter.
-BASES = ("ETAOIN", "ACGTAC")
+BASES = ("ETAOINetaoin", "ACGTACacgtac")
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nucleotide sequence for every document, other letters stay as they are."""
-    text = F.translate(F.upper("text"), *BASES)
+    text = F.translate("text", *BASES)
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), text.alias("seq"))
 
 
@@ -132,7 +132,7 @@ CTES = {
         CAST(l_partkey * 1000 + (l_orderkey * 37 + l_linenumber * 11) % 900 AS BIGINT) AS pos,
         CAST(l_quantity AS INT) AS mapq, l_returnflag = 'R' AS is_dup, l_linestatus = 'O' AS is_forward,
         CAST(100 + l_orderkey % 300 AS INT) AS frag_len, l_orderkey AS read_id, l_linenumber AS mate FROM lineitem)""",
-    "sequences": """sequences AS (SELECT doc_id AS seq_id, translate(upper(text), 'ETAOIN', 'ACGTAC') AS seq FROM documents)""",
+    "sequences": """sequences AS (SELECT doc_id AS seq_id, translate(text, 'ETAOINetaoin', 'ACGTACacgtac') AS seq FROM documents)""",
 }
 
 
