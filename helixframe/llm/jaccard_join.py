@@ -32,8 +32,13 @@ from .shingles import chunks, minhashes, mix, shingle_sets
 HASHES, STEP = 64, 16
 #: Shingles that a summary of a stretch of shingles may name as common, and the order's length.
 SUMMARY, COMMON = 16384, 65536
-#: A shingle shared by more sets links them to itself instead of pair by pair.
-LONG_LIST = 48
+#: Sets that share a shingle are paired up to so many; longer lists are searched for their links
+#: together, up to the second number; the sets of still longer ones all count as candidates.
+PAIRED, SEARCHED = 16, 16384
+#: Lists of the same sets are taken once among so many that a task has seen last.
+SEEN = 200_000
+#: Shingles of a block of a group that is compared block against block.
+BLOCK_SHINGLES = 2_000_000
 
 
 def least_matches(k: int, threshold: float, tolerance: float) -> int:
@@ -129,45 +134,99 @@ def _prepare(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.nda
             )
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets from postings (sh, set, n) in the order of sh; long lists become stars."""
-    run_sh, run_set, run_n, starred = None, [], [], False
-
-    def close(a: list, b: list) -> None:
-        for i in range(1, len(run_set)):
+class _Lists:
+    """Turns the sets that share a shingle into pairs, or into rows (set, shingle) where they are many."""
+
+    def __init__(self, threshold: float):
+        self._threshold = threshold
+        self._seen: set[int] = set()
+        self._shingle, self._sets, self._sizes, self._long = None, [], [], False
+        self.rows: list[tuple[int, int, bool]] = []
+
+    def add(self, shingle: int, sets: list[int], sizes: list[int]) -> None:
+        if shingle != self._shingle:
+            self.close()
+            self._shingle, self._long = shingle, False
+        self._sets += sets
+        self._sizes += sizes
+        if len(self._sets) > 4096:
+            self._long = True
+        if self._long:
+            self.rows += [(s, shingle, True) for s in self._sets]
+            self._sets, self._sizes = [], []
+
+    def close(self) -> None:
+        sets, sizes = self._sets, self._sizes
+        self._sets, self._sizes = [], []
+        if len(sets) < 2 or self._long:
+            return
+        name = hash(tuple(sorted(sets)))
+        if name in self._seen:
+            return
+        if len(self._seen) >= SEEN:
+            self._seen.clear()
+        self._seen.add(name)
+        if len(sets) > PAIRED:
+            self.rows += [(s, self._shingle, True) for s in sets]
+            return
+        for i in range(1, len(sets)):
             for j in range(i):
-                if run_set[i] != run_set[j] and min(run_n[i], run_n[j]) >= threshold * max(run_n[i], run_n[j]) - 1e-9:
-                    a.append(min(run_set[i], run_set[j]))
-                    b.append(max(run_set[i], run_set[j]))
+                if min(sizes[i], sizes[j]) >= self._threshold * max(sizes[i], sizes[j]) - 1e-9:
+                    self.rows.append((min(sets[i], sets[j]), max(sets[i], sets[j]), False))
+
+    def batch(self) -> pa.RecordBatch:
+        a, b, star = zip(*self.rows, strict=True) if self.rows else ((), (), ())
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(star, pa.bool_())], ["a", "b", "star"])
 
+
+def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Candidates from postings (sh, set, n) in the order of sh."""
+    lists = _Lists(threshold)
     for batch in batches:
-        sh = batch.column("sh").to_numpy(zero_copy_only=False)
-        sets = batch.column("set").to_numpy(zero_copy_only=False)
-        sizes = batch.column("n").to_numpy(zero_copy_only=False)
-        a, b, star_set, star_sh = [], [], [], []
+        if not batch.num_rows:
+            continue
+        sh, sets, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sh", "set", "n"))
         begins = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
         ends = np.append(begins[1:], len(sh))
-        last = len(begins) - 1
         # single postings inside the batch yield nothing, and most are single
-        for k in np.unique(np.concatenate([np.flatnonzero(ends - begins > 1), [0, last]])):
+        for k in np.unique(np.concatenate([np.flatnonzero(ends - begins > 1), [0, len(begins) - 1]])):
             s, e = begins[k], ends[k]
-            if sh[s] != run_sh:
-                if not starred:
-                    close(a, b)
-                run_sh, run_set, run_n, starred = int(sh[s]), [], [], False
-            run_set += sets[s:e].tolist()
-            run_n += sizes[s:e].tolist()
-            if starred or len(run_set) > LONG_LIST:
-                star_set += run_set
-                star_sh += [run_sh] * len(run_set)
-                run_set, run_n, starred = [], [], True
-        out_a, out_b = a + star_set, b + star_sh
-        star = [False] * len(a) + [True] * len(star_set)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(star, pa.bool_())], ["a", "b", "star"])
-    a, b = [], []
-    if not starred:
-        close(a, b)
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([False] * len(a), pa.bool_())], ["a", "b", "star"])
+            lists.add(int(sh[s]), sets[s:e].tolist(), sizes[s:e].tolist())
+        yield lists.batch()
+    lists.close()
+    yield lists.batch()
+
+
+def likely_forest(names: np.ndarray, marks: np.ndarray, sizes: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs kept by the posterior connect, found breadth first.
+
+    Each item in turn is compared with all that are not reached yet, so that a list of near copies
+    takes a few comparisons for each item, and the pairs inside a reached part are not looked at.
+    """
+    edges, left = [], np.arange(len(names))
+    queue: list[int] = []
+    while len(left) or queue:
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        now = queue.pop()
+        fits = left[np.minimum(sizes[left], sizes[now]) >= threshold * np.maximum(sizes[left], sizes[now]) - 1e-9]
+        hit = fits[bayes_keep(marks, marks, np.full(len(fits), now), fits, threshold, tolerance)]
+        if len(hit):
+            edges += [(int(names[now]), int(names[h])) for h in hit]
+            queue += hit.tolist()
+            left = left[~np.isin(left, hit)]
+    return edges
+
+
+def _search(rows: pd.DataFrame, threshold: float, tolerance: float) -> pd.DataFrame:
+    """Candidate edges inside the lists of a bin."""
+    edges: set[tuple[int, int]] = set()
+    for _, part in rows.groupby("sh", sort=False):
+        part = part.drop_duplicates("set")
+        marks = np.frombuffer(b"".join(part["marks"]), np.uint16).reshape(-1, HASHES)
+        edges.update(likely_forest(part["set"].to_numpy(), marks, part["n"].to_numpy(), threshold, tolerance))
+    return pd.DataFrame(sorted(edges), columns=["a", "b"]).astype("int64")
 
 
 def _prune(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
@@ -336,10 +395,18 @@ def similar_documents(
     pairs = pairs.join(marks.withColumnsRenamed({"set": "a", "marks": "left"}), "a")
     pairs = pairs.join(marks.withColumnsRenamed({"set": "b", "marks": "right"}), "b")
     likely = pairs.mapInArrow(lambda it: _prune(it, threshold, tolerance), "a long, b long")
-    stars = found.filter("star").select("a", "b")
-    often = sets.select(F.col("set").alias("a"), F.explode("often").alias("b"))
-    groups = materialize(connected_components(likely.union(stars).union(often)), "groups")
-    members = sets.select("set", "top", "copies").join(groups.withColumnRenamed("node", "set"), "set")
+    often = sets.select("set", F.explode("often").alias("sh"))
+    stars = found.filter("star").select(F.col("a").alias("set"), F.col("b").alias("sh")).union(often)
+    long = stars.groupBy("sh").agg(F.count(F.lit(1)).alias("listed")).filter("listed > 1")
+    stars = stars.join(long, "sh")
+    bins = F.pmod(F.xxhash64("sh"), F.lit(8 * shuffle_width(spark)))
+    searched = stars.filter(F.col("listed") <= SEARCHED).join(sets.select("set", "n", "marks"), "set")
+    searched = searched.withColumn("bin", bins).groupBy("bin").applyInPandas(
+        lambda rows: _search(rows, threshold, tolerance), "a long, b long"
+    )
+    others = stars.filter(F.col("listed") > SEARCHED).select(F.col("set").alias("a"), F.col("sh").alias("b"))
+    groups = materialize(connected_components(likely.union(searched).union(others)), "groups")
+    members = sets.select("set", "top", "copies", "n").join(groups.withColumnRenamed("node", "set"), "set")
     verified = _verify(df, members, id_col, text_col, threshold, tolerance, block)
     results = verified.filter(F.col("set").isNotNull()).groupBy("set").agg(
         F.max("class").alias("whole_class"), F.sum("links").alias("links")
@@ -371,16 +438,17 @@ def _verify(
 ) -> DataFrame:
     """Compare all sets of each group; see :func:`_block` for the rows."""
     spark = df.sparkSession
-    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held")).filter("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     wanted = members.join(sized, "component").select(
-        F.col("component").alias("group"), "set", "copies", "size", F.col("top.id").alias("want_id"), F.col("top.key").alias("want_key")
+        F.col("component").alias("group"), "set", "copies", blocks.alias("blocks"), F.col("top.id").alias("want_id"), F.col("top.key").alias("want_key")
     )
     wanted = materialize(wanted, "wanted")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).alias("text"))
     texts = texts.join(wanted, F.col("key").eqNullSafe(F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id")))
-    texts = texts.select("group", "set", "copies", "size", F.col("text").cast("binary").alias("text"))
-    sets = texts.mapInArrow(_set_bytes, "group long, set long, copies long, size long, shingles binary")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    texts = texts.select("group", "set", "copies", "blocks", F.col("text").cast("binary").alias("text"))
+    sets = texts.mapInArrow(_set_bytes, "group long, set long, copies long, blocks int, shingles binary")
+    blocks = F.col("blocks")
     mine = F.pmod(F.xxhash64("set"), blocks).cast("int")
     # a group of n blocks has a task for each pair of blocks; a set goes to the n pairs with its own
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
