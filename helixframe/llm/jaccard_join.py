@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -334,11 +335,14 @@ def _block(rows: pd.DataFrame, threshold: float, tolerance: float) -> pd.DataFra
         np.add.at(links, b + shift, left.copies[a])
         classes, edges = _forest(names, a, b + shift)
         whole = bool(part["whole"].iloc[0])
-        out.append(pd.DataFrame({"set": names, "class": pd.array(classes if whole else [None] * len(names), "Int64"), "links": links}))
+        none = [None] * len(names)
+        out.append((names.tolist(), classes.tolist() if whole else none, links.tolist(), none, none))
         if not whole and edges:
-            out.append(pd.DataFrame({"a": [e[0] for e in edges], "b": [e[1] for e in edges]}))
-    result = pd.concat(out, ignore_index=True).reindex(columns=["set", "class", "links", "a", "b"])
-    return result.astype("Int64")
+            none = [None] * len(edges)
+            out.append((none, none, none, [e[0] for e in edges], [e[1] for e in edges]))
+    # nullable integers throughout: set names take all 64 bits
+    columns = [list(chain.from_iterable(c)) for c in zip(*out, strict=True)]
+    return pd.DataFrame({n: pd.array(c, "Int64") for n, c in zip(("set", "class", "links", "a", "b"), columns, strict=True)})
 
 
 def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
