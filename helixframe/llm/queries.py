@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, token_files, unigram_counts, url_filter
 from .common import table
+from .oracles import ORACLES  # noqa: F401  the SQL of these queries
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -45,7 +46,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), bookkeeping=True)
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), bookkeeping=True).drop("mix_rate")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +84,3 @@ QUERIES = {
         op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts,
     )
 }
-
-ORACLES: dict[str, str] = {
-    "op9_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
-               count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-               row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents
-    """,
-}
