@@ -194,3 +194,23 @@ def overall_ploidy(segments: DataFrame, by: list[str]) -> DataFrame:
     """Length-weighted mean copy number of passing segments."""
     size = F.col("end_pos") - F.col("start_pos")
     return segments.filter(F.size("filters") == 0).groupBy(*by).agg((F.sum(F.col("cn") * size) / F.sum(size)).alias("ploidy"))
+
+
+def common_alternatives(segments: DataFrame, common: DataFrame, tolerance: int = 500, least: int = 1000) -> DataFrame:
+    """Two layouts of every called segment that common variants touch: alt A as called, alt B cut.
+
+    ``segments`` has seg_id, chrom, start_pos, end_pos. Cuts are the borders of common variants of
+    ``least`` bases or more that lie inside the segment by more than ``tolerance``. Common variants
+    that touch no segment come as layout B of a region of their own (seg_id null).
+    """
+    known = common.filter(F.col("end_pos") - F.col("start_pos") >= least).select("chrom", "start_pos", "end_pos").distinct()
+    pairs = iv.overlap_join(segments.select("seg_id", "chrom", "start_pos", "end_pos"), known)
+    inside = (F.col("p") > F.col("start_pos") + tolerance) & (F.col("p") < F.col("end_pos") - tolerance)
+    cuts = pairs.withColumn("p", F.explode(F.array("start_pos_r", "end_pos_r"))).filter(inside).select("seg_id", "chrom", "end_pos", "p")
+    touched = pairs.select("seg_id", "chrom", "start_pos", "end_pos").distinct()
+    points = cuts.union(touched.select("seg_id", "chrom", "end_pos", F.col("start_pos").alias("p"))).distinct()
+    w = Window.partitionBy("seg_id").orderBy("p")
+    cut = points.select("seg_id", "chrom", F.lit("B").alias("alt"), F.col("p").alias("start_pos"), F.coalesce(F.lead("p").over(w), "end_pos").alias("end_pos"))
+    whole = touched.select("seg_id", "chrom", F.lit("A").alias("alt"), "start_pos", "end_pos")
+    alone = iv.overlap_anti(known, segments).select(F.lit(None).cast("long").alias("seg_id"), "chrom", F.lit("B").alias("alt"), "start_pos", "end_pos")
+    return whole.unionByName(cut).unionByName(alone)
