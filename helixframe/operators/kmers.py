@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Letters of a stretch in which words are looked up.
+STRETCH = 500
+
+
 def canonical(kmer: Column) -> Column:
     """The lesser of a k-mer and its reverse complement; null with letters other than ACGT."""
     upper = F.upper(kmer)
@@ -13,11 +17,28 @@ def canonical(kmer: Column) -> Column:
     return F.when(upper.rlike(r"\A[ACGT]+\z"), F.least(upper, other))
 
 
+def _words(sequences: DataFrame, k: int, last: Column) -> DataFrame:
+    """(seq_id, pos, word) for the places 0 to ``last``: the k letters there, fewer at the end.
+
+    Letters are found by walking a string, so sequences are first cut to stretches that overlap by
+    k - 1 letters; rows carry their stretch's words only.
+    """
+    stretches = F.transform(
+        F.sequence(F.lit(0), last, F.lit(STRETCH)),
+        lambda i: F.struct(i.alias("at"), F.least(last - i, F.lit(STRETCH - 1)).alias("end"), F.substr("seq", i + 1, F.lit(STRETCH + k - 1)).alias("part")),
+    )
+    cut = sequences.filter(last >= 0).select("seq_id", F.inline(stretches))
+    words = F.transform(
+        F.sequence(F.lit(0), F.col("end")),
+        lambda i: F.struct((F.col("at") + i).alias("pos"), F.substr("part", i + 1, F.lit(k)).alias("word")),
+    )
+    return cut.select("seq_id", F.inline(words))
+
+
 def kmers(sequences: DataFrame, k: int) -> DataFrame:
     """(seq_id, pos, kmer) for every k-mer of letters ACGT."""
-    places = F.sequence(F.lit(0), F.length("seq") - k)
-    rows = sequences.filter(F.length("seq") >= k).select("seq_id", "seq", F.explode(places).alias("pos"))
-    return rows.select("seq_id", "pos", canonical(F.substr("seq", F.col("pos") + 1, F.lit(k))).alias("kmer")).filter("kmer is not null")
+    rows = _words(sequences, k, F.length("seq") - k)
+    return rows.select("seq_id", "pos", canonical(F.col("word")).alias("kmer")).filter("kmer is not null")
 
 
 def kmer_counts(sequences: DataFrame, k: int) -> DataFrame:
@@ -32,11 +53,17 @@ def unique_flags(sequences: DataFrame, k: int) -> DataFrame:
     return rows.join(single, "kmer", "left").select("seq_id", "pos", F.coalesce("one", F.lit(False)).alias("is_unique"))
 
 
-def cased(sequences: DataFrame, flags: DataFrame) -> DataFrame:
-    """Sequences with upper case where a unique k-mer starts and lower case elsewhere."""
-    marks = flags.filter("is_unique").groupBy("seq_id").agg(F.collect_set("pos").alias("at"))
-    joined = sequences.join(marks, "seq_id", "left")
-    letters = F.transform(
-        F.split(F.lower("seq"), ""), lambda c, i: F.when(F.array_contains(F.coalesce("at", F.array().cast("array<int>")), i), F.upper(c)).otherwise(c)
+def cased(sequences: DataFrame, k: int) -> DataFrame:
+    """Sequences with upper case where a unique k-mer starts and lower case elsewhere.
+
+    Sequences are stretches that fit a row; each letter meets the unique k-mers once.
+    """
+    letters = _words(sequences, k, F.length("seq") - 1).select(
+        "seq_id", "pos", F.lower(F.substr("word", F.lit(1), F.lit(1))).alias("letter"),
+        F.when(F.length("word") == k, canonical(F.col("word"))).alias("kmer"),
     )
-    return joined.select("seq_id", F.array_join(letters, "").alias("seq"))
+    single = kmer_counts(sequences, k).filter("n = 1").select("kmer", F.lit(True).alias("one"))
+    marked = letters.join(single, "kmer", "left").withColumn("letter", F.when(F.col("one"), F.upper("letter")).otherwise(F.col("letter")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "letter")))
+    out = marked.groupBy("seq_id").agg(F.array_join(F.transform(ordered, lambda x: x["letter"]), "").alias("cased"))
+    return sequences.join(out, "seq_id", "left").select("seq_id", F.coalesce("cased", "seq").alias("seq"))

@@ -255,3 +255,62 @@ def likelihood_table(spark: SparkSession, means: dict[str, float], variances: di
             p = negative_binomial(max(cn, 0.1) * mean / 2, variances[sample], size)
             rows.append(pd.DataFrame({"sample": sample, "cn": cn, "depth": np.arange(size), "p": p}))
     return spark.createDataFrame(pd.concat(rows, ignore_index=True)).withColumns({"cn": F.col("cn").cast("int"), "depth": F.col("depth").cast("int")})
+
+
+# ---------------------------------------------------------------- clustering of segments
+
+CLUSTERED = "chrom string, start_pos long, cluster int"
+
+
+def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chrom", scale: float = 1.0, clusters: int = 4, bandwidth: float = 0.1) -> DataFrame:
+    """Cluster of each segment in the plane of coverage (times ``scale``) and maf, apart for each ``by``.
+
+    ``points`` has chrom, start_pos, coverage, maf and weight. Segments number some thousands, so a
+    group fits a task. ``method`` is mixture, density or mean_shift; a missing maf gives -1.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("start_pos").reset_index(drop=True)
+        out = pd.DataFrame({"chrom": rows["chrom"], "start_pos": rows["start_pos"], "cluster": -1})
+        known = rows["maf"].notna().to_numpy()
+        xy = np.column_stack([rows["maf"].to_numpy(float)[known], scale * rows["coverage"].to_numpy(float)[known]])
+        if not len(xy):
+            return out.astype({"cluster": "int32"})
+        if method == "mixture":
+            places = np.quantile(xy, (np.arange(min(clusters, len(xy))) + 0.5) / clusters, axis=0)
+            labels = gaussian_mixture(xy, rows["weight"].to_numpy(float)[known], places)["posterior"].argmax(axis=1)
+        elif method == "density":
+            labels = density_peaks(xy, distance=bandwidth)
+        elif method == "mean_shift":
+            labels = mean_shift(xy, bandwidth)[1]
+        else:
+            raise ValueError(f"no clustering called {method}")
+        out.loc[known, "cluster"] = labels
+        return out.astype({"cluster": "int32"})
+
+    return points.select("chrom", "start_pos", "coverage", "maf", "weight").groupBy(by).applyInPandas(one, CLUSTERED)
+
+
+def neighbour_sums(points: DataFrame, k: int = 10, by: str = "chrom") -> DataFrame:
+    """Per segment the sum of distances to its ``k`` nearest others in the same group."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        xy = rows[["coverage", "maf"]].to_numpy(float)
+        d = np.sqrt(((xy[:, None, :] - xy[None]) ** 2).sum(axis=2))
+        nearest = np.sort(d, axis=1)[:, 1 : k + 1]
+        return pd.DataFrame({"chrom": rows["chrom"], "start_pos": rows["start_pos"], "near": nearest.sum(axis=1)})
+
+    known = points.filter("maf is not null").select("chrom", "start_pos", "coverage", "maf")
+    return known.groupBy(by).applyInPandas(one, "chrom string, start_pos long, near double")
+
+
+def cluster_spread(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Per cluster: size, mean and median distance to its centre, and entropy of its shares of weight."""
+    rows = points.join(clusters.filter("cluster >= 0"), ["chrom", "start_pos"])
+    centre = rows.groupBy("chrom", "cluster").agg(F.avg("coverage").alias("cx"), F.avg("maf").alias("cy"), F.sum("weight").alias("total"))
+    joined = rows.join(centre, ["chrom", "cluster"])
+    d = F.sqrt(F.pow(F.col("coverage") - F.col("cx"), 2) + F.pow(F.col("maf") - F.col("cy"), 2))
+    share = F.col("weight") / F.col("total")
+    return joined.groupBy("chrom", "cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_distance"), F.median(d).alias("median_distance"), (-F.sum(share * F.ln(share))).alias("entropy")
+    )

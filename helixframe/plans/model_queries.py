@@ -179,3 +179,58 @@ def a23(spark, sf_dir):
 def k11(spark, sf_dir):
     """Rows of the copy-number track, rounded away from zero."""
     return tiled(spark, sf_dir).filter("q >= 3 and cn != 2").select("chrom", "start_pos", "end_pos", F.round("cnt", 2).alias("value"))
+
+
+def _windows(spark, sf_dir):
+    """Medians of the points in windows, some hundreds for each contig."""
+    rows = points(spark, sf_dir)
+    return rows.groupBy("chrom", F.expr("(start_pos div 4000) * 4000").alias("start_pos")).agg(
+        F.avg("coverage").alias("coverage"), F.avg("maf").alias("maf"), F.sum("weight").alias("weight")
+    )
+
+
+@query("m20_mixture_clusters")
+def m20(spark, sf_dir):
+    """Clusters of segments by a weighted Gaussian mixture."""
+    return models.cluster_segments(_windows(spark, sf_dir), "mixture", scale=0.01)
+
+
+@query("m21_density_clusters")
+def m21(spark, sf_dir):
+    """Clusters of segments by density peaks."""
+    return models.cluster_segments(_windows(spark, sf_dir), "density", scale=0.01, bandwidth=0.05)
+
+
+@query("m22_mean_shift_clusters")
+def m22(spark, sf_dir):
+    """Clusters of segments by mean shift."""
+    return models.cluster_segments(_windows(spark, sf_dir), "mean_shift", scale=0.01)
+
+
+@query("t05_neighbour_sums", sql(TILED + POINTS + """, w AS (SELECT chrom, start_pos // 4000 * 4000 AS start_pos, avg(coverage) AS coverage, avg(maf) AS maf FROM pts GROUP BY 1, 2),
+    d AS (SELECT a.chrom, a.start_pos, sqrt(pow(a.coverage - b.coverage, 2) + pow(a.maf - b.maf, 2)) AS d FROM w a JOIN w b ON a.chrom = b.chrom AND a.start_pos != b.start_pos WHERE a.maf IS NOT NULL AND b.maf IS NOT NULL)
+    SELECT chrom, start_pos, round(sum(d), 4) AS near FROM (SELECT *, row_number() OVER (PARTITION BY chrom, start_pos ORDER BY d) AS n FROM d) WHERE n <= 10 GROUP BY 1, 2""", "tiles"))
+def t05(spark, sf_dir):
+    """Sums of the ten nearest distances."""
+    return models.neighbour_sums(_windows(spark, sf_dir)).select("chrom", "start_pos", F.round("near", 4).alias("near"))
+
+
+@query("m32_cluster_spread")
+def m32(spark, sf_dir):
+    """Distances and entropy of clusters."""
+    rows = _windows(spark, sf_dir)
+    return models.cluster_spread(rows, models.cluster_segments(rows, "mixture", scale=0.01))
+
+
+@query("c06_likelihood_table")
+def c06(spark, sf_dir):
+    """Negative binomial likelihoods by sample, copy number and depth."""
+    stats_ = ad.sample_bins(spark, sf_dir).groupBy("sample").agg(F.avg("cnt").alias("m"), F.var_samp("cnt").alias("v")).collect()
+    table = models.likelihood_table(spark, {r["sample"]: r["m"] for r in stats_}, {r["sample"]: r["v"] for r in stats_}, 4, 60)
+    return table.select("sample", "cn", "depth", F.round("p", 9).alias("p"))
+
+
+@query("x02_cased_sequences")
+def x02(spark, sf_dir):
+    """Sequences with upper case where a unique k-mer starts."""
+    return kmers.cased(ad.sequences(spark, sf_dir), 9)
