@@ -96,9 +96,13 @@ def _store(path: str) -> tuple[WordStore, int]:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def encode(words: list[bytes]) -> list[list[int]]:
-            texts = [w.decode("utf-8", "replace") for w in words]
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        def encode(words: list[bytes]) -> list[np.ndarray]:
+            rows = []
+            for at in range(0, len(words), 1024):  # the library's results take many times the ids' memory
+                texts = [w.decode("utf-8", "replace") for w in words[at : at + 1024]]
+                found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+                rows += [np.array(e.ids, np.uint32) for e in found]
+            return rows
 
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         _STORES[path] = (WordStore(encode, np.uint32), size)

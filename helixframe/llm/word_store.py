@@ -19,7 +19,7 @@ BLANKS = b" \t\n\r\x0b\x0c"
 
 
 class WordStore:
-    def __init__(self, encode: Callable[[list[bytes]], list], dtype: type, capacity: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], dtype: type, capacity: int = 300_000):
         self._encode, self._dtype, self._capacity = encode, dtype, capacity
         self._reset()
 
