@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,42 @@ def text_or_empty(column: str = "text") -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a key filter: 4 MB wherever it is sent, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def key_filter(keys: DataFrame, column: str):
+    """A test, for Columns of longs, that is true for every value of ``column`` and few others.
+
+    One bit of a fixed array is set for each key. Rows that fail the test need not go through a join
+    with the keys. With ever more keys more other rows pass; results stay the same.
+    """
+    spark = keys.sparkSession
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = (
+        keys.filter(F.col(column).isNotNull()).select(F.floor(place / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    )  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_have(values: pd.Series) -> pd.Series:
+        at = values.to_numpy(np.int64) & (FILTER_BITS - 1)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return may_have
+
+
+def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let the session send at most ``rows`` rows in an Arrow batch, as texts are long.
+
+    A batch is held several times over in a Python worker. A lower setting stays as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)

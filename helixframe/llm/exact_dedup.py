@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import key_filter, materialize, text_or_empty
 
 CAPACITY = 1024
 
@@ -104,28 +104,29 @@ def dedup_exact(
 ) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; rules as in :func:`assign_exact`.
 
-    Only groups of two and more take part in the join with the full rows, and only where one id
-    repeats inside a text are rows compared further.
+    Only rows that pass a filter of the digests of groups of two and more go through a join, and
+    only where one id repeats inside a text are rows compared further.
     """
     digest = F.unhex(F.sha2(text_or_empty(text_col), 256))
     digests = materialize(df.select(F.col(id_col).alias("id"), digest.alias("digest")), "digests")
     heavy, light = _split(digests, capacity, _by_id)
-    light = materialize(light.filter("group_size > 1"), "light")
+    light = materialize(light.filter("group_size > 1").withColumn("short", F.xxhash64("digest")), "light")
+    may_repeat = key_filter(light, "short")
     full = df.withColumn("__digest", digest)
-    names = {c: f"__{c}" for c in ("digest", "keep_id", "ties")}
+    out = [F.col(f"`{c}`") for c in df.columns]
 
     def named(winners: DataFrame) -> DataFrame:
-        return winners.select([F.col(c).alias(n) for c, n in names.items()])
-
-    def stays() -> Column:
-        return F.col("__ties").isNull() | F.col(id_col).eqNullSafe(F.col("__keep_id"))
-
-    at_map = full.join(F.broadcast(named(heavy)), "__digest", "left").filter(stays())
-    at_map = at_map.withColumn("__done", F.coalesce(F.col("__ties"), F.lit(0))).drop("__keep_id", "__ties")
-    left = at_map.join(named(light), "__digest", "left").filter(stays())
-    left = left.withColumn("__n", F.greatest("__done", F.coalesce(F.col("__ties"), F.lit(1))))
+        return winners.select([F.col(c).alias(f"__{c}") for c in ("digest", "keep_id", "ties")])
+
+    wins = F.col("__ties").isNull() | F.col(id_col).eqNullSafe(F.col("__keep_id"))
+    at_map = full.join(F.broadcast(named(heavy)), "__digest", "left").filter(wins)
+    at_map = at_map.withColumn("__n", F.coalesce(F.col("__ties"), F.lit(1))).drop("__keep_id", "__ties")
+    at_map = at_map.withColumn("__may", may_repeat(F.xxhash64("__digest")))
+    alone = at_map.filter("not __may")
+    grouped = at_map.filter("__may").join(named(light), "__digest", "left").filter(wins)
+    grouped = grouped.withColumn("__n", F.greatest("__n", F.coalesce(F.col("__ties"), F.lit(1))))
     if heavy.filter("ties > 1").isEmpty() and light.filter("ties > 1").isEmpty():
-        return left.select([F.col(f"`{c}`") for c in df.columns])
-    once = left.filter("__n <= 1").select([F.col(f"`{c}`") for c in df.columns])
-    tied = left.filter("__n > 1").dropDuplicates([id_col, "__digest"]).select([F.col(f"`{c}`") for c in df.columns])
-    return once.unionByName(tied)
+        return alone.select(out).unionByName(grouped.select(out))
+    both = alone.select(*out, "__n", "__digest").unionByName(grouped.select(*out, "__n", "__digest"))
+    tied = both.filter("__n > 1").dropDuplicates([id_col, "__digest"])
+    return both.filter("__n <= 1").select(out).unionByName(tied.select(out))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width, text_or_empty
+from .common import key_filter, materialize, narrow_batches, shuffle_width, text_or_empty
 from .components import connected_components
 from .shingles import chunks, minhashes, mix, shingle_sets
 
@@ -368,6 +368,7 @@ def similar_documents(
     links. An empty table gives an empty result; only the two named columns are read.
     """
     spark = df.sparkSession
+    narrow_batches(spark)
     id_kind = dict(df.dtypes)[id_col]
     slim = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).cast("binary").alias("text"))
     counted = slim.select("text").mapInArrow(_frequent, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
@@ -449,6 +450,7 @@ def _verify(
     )
     wanted = materialize(wanted, "wanted")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).alias("text"))
+    texts = texts.filter(key_filter(wanted, "want_key")(F.col("key")))
     texts = texts.join(wanted, F.col("key").eqNullSafe(F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id")))
     texts = texts.select("group", "set", "copies", "blocks", F.col("text").cast("binary").alias("text"))
     sets = texts.mapInArrow(_set_bytes, "group long, set long, copies long, blocks int, shingles binary")
@@ -472,9 +474,13 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wins = F.col("id").eqNullSafe(F.col("win_id")) & (F.col("key") == F.col("win_key"))
     decided = materialize(decided.select("id", "key", wins.alias("wins")), "decided")
     lost = decided.filter("not wins").select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct()
+    lost = materialize(lost, "lost")
     out = [F.col(f"`{c}`") for c in df.columns]
     full = df.withColumn("__text_key", F.xxhash64(text_or_empty(text_col)))
-    kept = full.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti")
+    may_lose = key_filter(lost, "__key")
+    full = full.withColumn("__may", may_lose("__text_key"))
+    lost_here = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    kept = full.filter("not __may").unionByName(full.filter("__may").join(lost, lost_here, "left_anti"))
     twice = decided.filter("wins").groupBy("id", "key").count().filter("count > 1")
     twice = materialize(twice.select(F.col("id").alias("__id"), F.col("key").alias("__key")), "twice")
     if twice.isEmpty():
