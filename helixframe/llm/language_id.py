@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, narrow_batches, text_or_empty
 
 #: Trigram hash cells, and the most trigrams whose evidence counts in full.
 CELLS, FULL = 1 << 14, 300
@@ -191,6 +191,7 @@ def identify_language(
     rows get the same result. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    narrow_batches(spark)
     model = model or train_text_model(df, text_col, declared_col)
     score = _scorer(model, spark)
     names = [*model.languages, UNKNOWN]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, shared_dir, shuffle_width, text_or_empty
+from .common import materialize, narrow_batches, shared_dir, shuffle_width, text_or_empty
 from .word_store import WordStore, encoded_pieces
 
 MAGIC = b"HXT1"
@@ -184,6 +184,7 @@ def write_token_files(
     writes no block.
     """
     spark = df.sparkSession
+    narrow_batches(spark)
     tokenizer = Tokenizer.from_file(path)
     size = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"

@@ -14,6 +14,8 @@ import numpy as np
 
 #: Bytes of text that are gathered at a time.
 PIECE = 1 << 21
+#: Words that are encoded at a time.
+STEP = 8192
 #: The bytes at which bytes.split() parts words.
 BLANKS = b" \t\n\r\x0b\x0c"
 
@@ -61,7 +63,8 @@ class WordStore:
             missing = list(dict.fromkeys(words)) if len(found) != len(words) else list(
                 dict.fromkeys(w for w, at in zip(words, found, strict=True) if at is None)
             )
-            self._add(missing)
+            for at in range(0, len(missing), STEP):
+                self._add(missing[at : at + STEP])
             found = list(map(self._index.__getitem__, words))
         return np.array(found, np.int64)
 
