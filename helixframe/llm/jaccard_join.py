@@ -39,7 +39,7 @@ PAIRED, SEARCHED = 16, 16384
 #: Lists of the same sets are taken once among so many that a task has seen last.
 SEEN = 200_000
 #: Shingles of a block of a group that is compared block against block.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 
 
 def least_matches(k: int, threshold: float, tolerance: float) -> int:
@@ -81,12 +81,12 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every stretch of a few million shingles, those that occur most, with their counts."""
+    """Of every stretch of two million shingles, those that occur most, with their counts."""
     held, size = [], 0
 
     def summary() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = np.flatnonzero(counts >= 4)
+        often = np.flatnonzero(counts >= 2)
         if len(often) > SUMMARY:
             often = often[np.argpartition(counts[often], -SUMMARY)[-SUMMARY:]]
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["sh", "n"])
@@ -95,7 +95,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(_texts(batch)):
             held.append(shingle_sets(texts)[0])
             size += len(held[-1])
-            if size >= 1 << 22:
+            if size >= 1 << 21:
                 yield summary()
                 held, size = [], 0
     if held:
@@ -168,7 +168,7 @@ class _Lists:
             self._seen.clear()
         self._seen.add(name)
         if len(sets) > PAIRED:
-            self.rows += [(s, self._shingle, True) for s in sets]
+            self.rows += [(s, name, True) for s in sets]  # one name for one list, in whichever task
             return
         for i in range(1, len(sets)):
             for j in range(i):
@@ -401,7 +401,7 @@ def similar_documents(
     pairs = pairs.join(marks.withColumnsRenamed({"set": "b", "marks": "right"}), "b")
     likely = pairs.mapInArrow(lambda it: _prune(it, threshold, tolerance), "a long, b long")
     often = sets.select("set", F.explode("often").alias("sh"))
-    stars = found.filter("star").select(F.col("a").alias("set"), F.col("b").alias("sh")).union(often)
+    stars = found.filter("star").select(F.col("a").alias("set"), F.col("b").alias("sh")).union(often).distinct()
     long = stars.groupBy("sh").agg(F.count(F.lit(1)).alias("listed")).filter("listed > 1")
     stars = stars.join(long, "sh")
     bins = F.pmod(F.xxhash64("sh"), F.lit(8 * shuffle_width(spark)))

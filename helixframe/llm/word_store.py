@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Bytes of text that are gathered at a time.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Words that are encoded at a time.
 STEP = 8192
 #: The bytes at which bytes.split() parts words.
@@ -21,7 +21,7 @@ BLANKS = b" \t\n\r\x0b\x0c"
 
 
 class WordStore:
-    def __init__(self, encode: Callable[[list[bytes]], list], dtype: type, capacity: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], dtype: type, capacity: int = 200_000):
         self._encode, self._dtype, self._capacity = encode, dtype, capacity
         self._reset()
 
