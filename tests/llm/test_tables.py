@@ -270,6 +270,22 @@ def test_quality_base_measures_equal_brute_force(spark):
     assert quality_rules.judge_quality(rows.filter("false")).count() == 0
 
 
+def test_text_without_common_words_is_rejected(spark):
+    r = random.Random(4)
+    other = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(800)]
+
+    def text(lang, share):
+        return " ".join(r.choice(quality_rules.COMMON_WORDS[lang]) if r.random() < share else r.choice(other) for _ in range(300))
+
+    langs = sorted(quality_rules.COMMON_WORDS)
+    ordinary = [(k, text(lang, r.uniform(0.17, 0.28)), lang) for k, lang in enumerate(langs * 40)]
+    bare = [(1000 + k, text(lang, 0), lang) for k, lang in enumerate(langs * 2)]
+    rows = spark.createDataFrame(ordinary + bare, "doc_id long, text string, lang string")
+    got = quality_rules.judge_quality(rows).collect()
+    assert all(x.kept == (x.doc_id < 1000) and not x.base_failed for x in got)
+    assert all(x.kept for x in quality_rules.judge_quality(rows, max_common=0.45).collect())
+
+
 def test_jensen_shannon(spark):
     p, q = [0.5, 0.5, 0.0], [0.1, 0.2, 0.7]
     m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
