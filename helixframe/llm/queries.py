@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, token_files, unigram_counts, url_filter
-from .common import table
+from .common import materialize, table
 from .oracles import ORACLES  # noqa: F401  the SQL of these queries
 
 WORD_BPE = "word_bpe_49k.json"
@@ -38,9 +38,19 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return language_id.identify_language(docs, columns=["doc_id"]).select(
-        "doc_id", F.col("lang_found").alias("language"), F.col("lang_probability").alias("probability"),
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.train_text_model(docs)
+    of_docs = language_id.identify_language(docs, model=model, columns=["doc_id"])
+    # the language that a page declares goes along with its address through the extraction
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+    about = F.struct("url", F.when(declared != "", declared).alias("declared")).alias("about")
+    texts = html_extract.extract_pages(pages.select("page_id", "html", about), url_col="about")
+    texts = materialize(texts.select("page_id", "about.url", "about.declared", "text"), "page-texts")
+    of_pages = language_id.identify_language(
+        texts, declared_col="declared", host_col=None, address_col="url", model=model, columns=["page_id"]
+    )
+    return of_docs.unionByName(of_pages, allowMissingColumns=True).select(
+        "doc_id", "page_id", F.col("lang_found").alias("language"), F.col("lang_probability").alias("probability"),
         F.col("lang_kept").alias("kept"),
     )
 

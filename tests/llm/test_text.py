@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import crf, dom, html_extract, language_id
+from helixframe.llm import crf, dom, html_extract, language_id, queries
 
 from ..conftest import SMALL
 
@@ -46,6 +46,24 @@ def test_host_and_suffix_decide_a_short_text(spark):
     assert out[0].lang_probability != out[1].lang_probability
 
 
+def test_pages_are_judged_with_address_and_declared_language(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    bare = "<html{}><body><nav><a href=x>m</a></nav><article><p>Ne te ra.</p><p>Ne te ra lo.</p></article></body></html>"
+    pages += [(9000 + k, f"http://x{k}.site.{s}/", bare.format(lang)) for k, (s, lang) in enumerate([("fr", ""), ("de", ""), ("zz", " lang='fr-CA'"), ("zz", " lang=de")])]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*pages, (9009, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op3_language_id(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(r.doc_id for r in docs.collect())
+    got = {r.page_id: r for r in out if r.doc_id is None}
+    assert sorted(got) == sorted([p[0] for p in pages] + [9009])
+    assert (got[9009].language, got[9009].kept) == ("und", False)
+    assert len({got[k].probability for k in (9000, 9001)}) == 2
+    assert got[9002][2:] != got[9003][2:]
+    declared = [(re.search(r'<html lang="(..)"', html)[1], got[i].language) for i, _, html in pages if i < 9000]
+    assert np.mean([a == b for a, b in declared]) > 0.97
+
+
 def test_viterbi_and_training_equal_brute_force():
     r = np.random.default_rng(2)
     field = crf.Crf({"a": 0, "b": 1}, r.normal(size=(2, 2)), r.normal(size=2), r.normal(size=(2, 2)))
