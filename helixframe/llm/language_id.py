@@ -4,7 +4,8 @@ Four kinds of evidence are multiplied: the likelihood of the text under byte tri
 likelihood of the language that the markup declares, the likelihood of the address's suffix, and a
 prior of the host. Host priors are shrunk to their registered domain and on to all rows; they come
 from grouped sums of the text posteriors over every row. The trigram models are trained on a bounded
-sample of labelled rows, spread over the table by a hash; everything else covers all rows.
+sample of each labelled language's rows, spread over the table by a hash; everything else covers all
+rows.
 """
 
 from __future__ import annotations
@@ -54,52 +55,64 @@ class TextModel:
         Neighbouring trigrams are dependent, so more of them would only feign certainty.
         """
         out = np.zeros((len(texts), len(self.languages) + 1))
+        step = (1 << 24) // (len(self.languages) + 1)
         for k, text in enumerate(texts):
             n = 0
             for at in range(0, len(text), stretch):
                 cells = trigram_cells(text[at : at + stretch])
-                out[k] += self.logs[:, cells].sum(axis=1)
+                for part in range(0, len(cells), step):
+                    out[k] += self.logs[:, cells[part : part + step]].sum(axis=1)
                 n += len(cells)
             if n > FULL:
                 out[k] *= FULL / n
         return out
 
 
-def _count_cells(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((len(index), CELLS), np.int64)
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[int, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            own = counts.setdefault(row, np.zeros(CELLS, np.int64))
             for at in range(0, len(text), 1 << 22):
-                counts[index[lang]] += np.bincount(trigram_cells(text[at : at + (1 << 22)]), minlength=CELLS)
-    row, cell = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(row), pa.array(cell), pa.array(counts[row, cell])], ["row", "cell", "n"]
-    )
+                own += np.bincount(trigram_cells(text[at : at + (1 << 22)]), minlength=CELLS)
+    for row, own in counts.items():
+        cell = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(cell), row)), pa.array(cell), pa.array(own[cell])], ["row", "cell", "n"]
+        )
 
 
 def train_text_model(
-    df: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = 20_000,
-    most_languages: int = 60, least_rows: int = 2,
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_rows: int = 20_000,
+    most_languages: int = 1000, most_of_one: int = 200,
 ) -> TextModel:
-    """Fit the trigram models on about ``most_rows`` labelled rows (all rows of smaller tables).
+    """Fit the trigram models on a bounded sample of the labelled rows (all rows of smaller tables).
 
-    The sample takes the rows whose hash of text is below a share of its range. At most
-    ``most_languages`` languages with ``least_rows`` rows or more in the sample get a model.
+    Languages are counted over all rows, and each has its model at every size of the table. A
+    language gives up to about an equal share of ``most_rows``, but never less than ``most_of_one``
+    rows where it has them: those whose hash of id and text is low, the row of the lowest one
+    always. A table without ``id_col`` is sampled by its texts. A model takes 64 KB, so more than
+    ``most_languages`` languages are an error; none is left out.
     """
+    spark = df.sparkSession
     labelled = df.filter(F.col(lang_col).isNotNull() & (F.length(text_or_empty(text_col)) > 0))
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("h"))
-    total = rows.count()
-    share = min(1.0, most_rows / max(total, 1))
-    sample = rows.filter(F.pmod("h", F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
-    found = sample.groupBy("lang").count().filter(F.col("count") >= least_rows)
-    names = [r["lang"] for r in found.orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    languages = tuple(sorted(names))
-    index = {lang: k for k, lang in enumerate(languages)}
+    seed = [c for c in (id_col, text_col) if c in df.columns]
+    rows = labelled.select(
+        F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"),
+        F.pmod(F.xxhash64(*seed), F.lit(1 << 40)).alias("h"),
+    )
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("first"))
+    found = sorted(found.limit(most_languages + 1).collect(), key=lambda r: r["lang"])
+    if len(found) > most_languages:
+        raise ValueError(f"more than {most_languages} languages in {lang_col}")
+    languages = tuple(r["lang"] for r in found)
     counts = np.zeros((len(languages) + 1, CELLS))
     if languages:
-        cells = sample.filter(F.col("lang").isin(names)).select("lang", "text").mapInArrow(
-            lambda it: _count_cells(it, index), "row long, cell long, n long"
-        )
+        most = max(most_rows // len(languages), most_of_one)
+        below = [(r["lang"], k, max(int(min(1.0, most / r["n"]) * (1 << 40)), r["first"] + 1)) for k, r in enumerate(found)]
+        limits = F.broadcast(spark.createDataFrame(below, "lang string, row long, below long"))  # a row for each language
+        sample = rows.join(limits, "lang").filter(F.col("h") < F.col("below")).select("row", "text")
+        cells = sample.mapInArrow(_count_cells, "row long, cell long, n long")
         got = cells.groupBy("row", "cell").agg(F.sum("n").alias("n")).toPandas()  # languages x CELLS at most
         counts[got["row"], got["cell"]] = got["n"]
     counts[:-1] += 0.05 * counts[:-1].sum(axis=1, keepdims=True) / CELLS + 1e-9
@@ -129,14 +142,15 @@ def host_priors(scored: DataFrame, size: int, strength: float = 20.0) -> DataFra
     base = [((overall[f"t{i}"] or 0.0) + 1.0) / total for i in range(size)]
     domains = hosts.groupBy("domain").agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in range(size)])
 
-    def shrunk(prefix: str, above: list[Column]) -> list[Column]:
-        n = sum((F.col(f"{prefix}{i}") for i in range(size)), F.lit(0.0))
-        return [(F.col(f"{prefix}{i}") + strength * above[i]) / (n + strength) for i in range(size)]
+    def shrunk(prefix: str, above: list[Column]) -> Column:
+        own = F.array(*[F.col(f"{prefix}{i}") for i in range(size)])
+        n = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(own, F.array(*above), lambda x, p: (x + strength * p) / (n + strength))
 
-    of_domain = domains.select("domain", *[x.alias(f"p{i}") for i, x in enumerate(shrunk("d", [F.lit(b) for b in base]))])
+    of_domain = domains.select("domain", shrunk("d", [F.lit(b) for b in base]).alias("p"))
     joined = hosts.join(of_domain, "domain")
-    of_host = shrunk("s", [F.col(f"p{i}") for i in range(size)])
-    return materialize(joined.select("host", F.array(*[F.log(x) for x in of_host]).alias("prior")), "host-priors")
+    of_host = shrunk("s", [F.get("p", F.lit(i)) for i in range(size)])
+    return materialize(joined.select("host", F.transform(of_host, lambda x: F.log(x)).alias("prior")), "host-priors")
 
 
 def declared_table(scored: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
@@ -146,7 +160,7 @@ def declared_table(scored: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     declaring the right language three times in four.
     """
     size = len(languages) + 1
-    known = F.when(F.col("declared").isin(list(languages)), F.col("declared")).otherwise(UNKNOWN)
+    known = said_as(F.col("declared"), languages)
     sums = scored.filter(F.col("declared").isNotNull()).groupBy(known.alias("d")).agg(
         *[F.sum(F.get("post", F.lit(i))).alias(f"s{i}") for i in range(size)]
     ).collect()  # one row for each language and one more
@@ -158,6 +172,12 @@ def declared_table(scored: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     return np.log(counts / counts.sum(axis=0, keepdims=True))
 
 
+def said_as(declared: Column, languages: tuple[str, ...]) -> Column:
+    """The row of the table of declared values that a declaration reads; null where there is none."""
+    known = F.when(declared.isin(list(languages)), declared).otherwise(UNKNOWN) if languages else F.lit(UNKNOWN)
+    return F.when(declared.isNotNull(), known)
+
+
 def suffix_evidence(suffix: Column, languages: tuple[str, ...], boost: float = 4.0) -> list[Column]:
     """Log likelihood ratio of a country suffix: ``boost`` times likelier under its own language."""
     out = []
@@ -208,23 +228,22 @@ def identify_language(
         "worded": text.rlike(r"\p{L}"), "logs": score(text.cast("binary")),
     }
     wanted = columns or df.columns
-    hidden = {c: f"__{c}" for c in (*bare, "prior", "post", "best")}
+    hidden = {c: f"__{c}" for c in (*bare, "prior", "post", "best", "said", "of_said")}
     scored = materialize(df.select([c.alias(n) for n, c in bare.items()]), "scored")
     scored = scored.withColumn("post", softmax(F.col("logs"))).filter("worded")
     priors = host_priors(scored, len(names)).withColumnsRenamed({"host": hidden["host"], "prior": hidden["prior"]})
     table = declared_table(scored, model.languages)
 
     full = df.withColumns({hidden[n]: c for n, c in bare.items()}).join(priors, hidden["host"], "left")
-    said = F.col(hidden["declared"])
-    logs = []
-    for i, spoken in enumerate(suffix_evidence(F.col(hidden["suffix"]), model.languages)):
-        of_said = F.lit(float(table[-1, i]))
-        for k, lang in enumerate(model.languages):
-            of_said = F.when(said == lang, float(table[k, i])).otherwise(of_said)
-        of_said = F.when(said.isNull(), 0.0).otherwise(of_said)
-        prior = F.coalesce(F.get(F.col(hidden["prior"]), F.lit(i)), F.lit(0.0))
-        logs.append(F.get(F.col(hidden["logs"]), F.lit(i)) + of_said + spoken + prior)
-    full = full.withColumn(hidden["post"], F.array(*logs))
+    said = [(d, [float(x) for x in table[k]]) for k, d in reversed(list(enumerate(names)))]
+    said = spark.createDataFrame(list(dict(said).items()), f"`{hidden['said']}` string, `{hidden['of_said']}` array<double>")
+    full = full.withColumn(hidden["said"], said_as(F.col(hidden["declared"]), model.languages))
+    full = full.join(F.broadcast(said), hidden["said"], "left")  # a row for each language and one more
+    spoken = F.array(*suffix_evidence(F.col(hidden["suffix"]), model.languages))
+    post = F.col(hidden["logs"])
+    for more in (F.col(hidden["of_said"]), spoken, F.col(hidden["prior"])):
+        post = F.when(more.isNull(), post).otherwise(F.zip_with(post, more, lambda x, y: x + y))
+    full = full.withColumn(hidden["post"], post)
     full = full.withColumn(hidden["best"], F.array_position(F.col(hidden["post"]), F.array_max(hidden["post"])).cast("int"))
     worded = F.col(hidden["worded"])
     top = F.array_max(hidden["post"])

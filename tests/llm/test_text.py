@@ -46,6 +46,22 @@ def test_host_and_suffix_decide_a_short_text(spark):
     assert out[0].lang_probability != out[1].lang_probability
 
 
+def test_every_labelled_language_has_a_model(spark):
+    r = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, "".join(r.choice(letters[:9], 60)), "big") for i in range(3000)] + [(i, "the same text of ten thousand", "copies") for i in range(3000)]
+    rows += [(9000 + i, "".join(r.choice(letters[9:], 60)), "rare") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train_text_model(docs, most_rows=30, most_of_one=5)
+    assert model.languages == ("big", "copies", "rare")
+    assert all(np.ptp(row) > 1 for row in model.logs[:-1])
+    many = [(i, f"word{i % 80} " * 5, f"l{i % 80}") for i in range(160)]
+    out = language_id.identify_language(spark.createDataFrame(many, "doc_id long, text string, lang string"), host_col=None)
+    assert len({x.lang_found for x in out.collect()} - {"und"}) == 80
+    with pytest.raises(ValueError):
+        language_id.train_text_model(docs, most_languages=2)
+
+
 def test_pages_are_judged_with_address_and_declared_language(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
