@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .segmentation import negative_binomial
@@ -198,40 +198,49 @@ def state_table(spark: SparkSession, highest: int = 6) -> DataFrame:
     return spark.createDataFrame(rows, "cn int, mcc int, maf double")
 
 
-def purity_grid(spark: SparkSession, coverages: tuple[int, int], purities: tuple[int, int] = (20, 100), step: int = 2) -> DataFrame:
-    """Candidate models: diploid coverage and purity in percent."""
-    a = spark.range(coverages[0], coverages[1] + 1, step).select(F.col("id").cast("double").alias("diploid"))
-    b = spark.range(purities[0], purities[1] + 1, step).select((F.col("id") / 100).alias("purity"))
+def purity_grid(spark: SparkSession, coverages: tuple[int, int], purities: tuple[int, int] = (20, 100), step: int = 1, purity_step: int = 1) -> DataFrame:
+    """Candidate models: diploid coverage and purity in percent, each with its own step and its upper bound."""
+
+    def places(bounds: tuple[int, int], by: int) -> list[int]:
+        return sorted({*range(bounds[0], bounds[1] + 1, by), bounds[1]})
+
+    a = spark.createDataFrame([(float(c),) for c in places(coverages, step)], "diploid double")
+    b = spark.createDataFrame([(p / 100,) for p in places(purities, purity_step)], "purity double")
     return a.crossJoin(b)
 
 
 def best_purity(segments: DataFrame, grid: DataFrame, states: DataFrame, maf_weight: float = 50.0, low: float = 1.5, high: float = 4.5) -> DataFrame:
     """The grid's model of least weighted distance of segments to their nearest state.
 
-    ``segments`` has coverage, maf and weight, and is small next to the grid; each segment meets each
-    candidate once, and the sums are grouped by candidate. Models whose mean copy number lies
-    outside ``low`` to ``high`` do not count. Ties go to the higher purity.
+    ``segments`` has coverage, maf and weight; those without coverage or weight do not count. The
+    candidates, whose number the grid bounds whatever the input, go to the segments, and each task
+    gives its sums for each candidate. Models whose mean copy number lies outside ``low`` to
+    ``high`` do not count. Ties go to the higher purity, then to the lower coverage.
     """
-    points = grid.crossJoin(F.broadcast(states)).select(
-        "diploid", "purity", "cn", ((F.col("purity") * F.col("cn") + 2 * (1 - F.col("purity"))) / 2 * F.col("diploid")).alias("mu"),
-        ((F.col("purity") * F.col("cn") * F.col("maf") + (1 - F.col("purity"))) / F.greatest(F.col("purity") * F.col("cn") + 2 * (1 - F.col("purity")), F.lit(1e-9))).alias("expect"),
-    )
-    packed = points.groupBy("diploid", "purity").agg(F.collect_list(F.struct("cn", "mu", "expect")).alias("states"))
-    pairs = packed.crossJoin(F.broadcast(segments.select("coverage", "maf", "weight")))  # tens of thousands of segments at most
-
-    def distance(s):
-        cover = F.pow((s["mu"] - F.col("coverage")) / F.col("diploid"), 2)
-        allele = F.when(F.col("maf").isNull(), cover).otherwise(F.pow((s["expect"] - F.col("maf")) * maf_weight / 50.0, 2))
-        return F.struct(F.sqrt(cover + allele).alias("d"), s["cn"].alias("cn"))
-
-    near = pairs.withColumn("near", F.array_min(F.transform("states", distance)))
-    sums = near.groupBy("diploid", "purity").agg(
-        (F.sum(F.col("near.d") * F.col("weight")) / F.sum("weight")).alias("deviation"),
-        (F.sum(F.col("near.cn") * F.col("weight")) / F.sum("weight")).alias("ploidy"),
-    )
-    fit = sums.filter(F.col("ploidy").between(low, high))
-    first = Window.partitionBy(F.lit(0)).orderBy(F.round("deviation", 9), F.desc("purity"), "diploid")  # one row for each candidate
-    return fit.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+    spark = segments.sparkSession
+    table = states.orderBy("cn", "mcc").toPandas()  # a few dozen states
+    candidates = grid.orderBy("diploid", "purity").toPandas()  # bounded by the grid's ranges
+    shared = spark.sparkContext.broadcast((candidates.to_numpy(float), table[["cn", "maf"]].to_numpy(float)))
+
+    def partial(batches):
+        (diploid, purity), (cn, maf) = (x.T for x in shared.value)
+        mixed = purity[:, None] * cn + 2 * (1 - purity[:, None])
+        mu = mixed / 2 * diploid[:, None]
+        expect = (purity[:, None] * cn * maf + (1 - purity[:, None])) / np.maximum(mixed, 1e-9)
+        sums = np.zeros((3, len(diploid)))
+        for rows in batches:
+            for c, f, w in zip(rows["coverage"].to_numpy(float), rows["maf"].to_numpy(float), rows["weight"].to_numpy(float), strict=True):
+                cover = ((mu - c) / diploid[:, None]) ** 2
+                d = 2 * cover if np.isnan(f) else cover + ((expect - f) * maf_weight / 50.0) ** 2
+                near = d.argmin(axis=1)
+                sums += np.stack([np.sqrt(d[np.arange(len(d)), near]) * w, cn[near] * w, np.full(len(d), w)])
+        yield pd.DataFrame({"k": np.arange(len(diploid)), "d": sums[0], "c": sums[1], "w": sums[2]})
+
+    rows = segments.select(*[F.col(c).cast("double").alias(c) for c in ("coverage", "maf", "weight")]).filter("coverage is not null and weight is not null")
+    each = rows.mapInPandas(partial, "k long, d double, c double, w double").groupBy("k").agg(F.sum("d").alias("d"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    named = spark.createDataFrame(candidates.reset_index(names="k"))
+    fit = named.join(each.filter("w > 0"), "k").select("diploid", "purity", (F.col("d") / F.col("w")).alias("deviation"), (F.col("c") / F.col("w")).alias("ploidy"))
+    return fit.filter(F.col("ploidy").between(low, high)).orderBy(F.round("deviation", 9), F.desc("purity"), "diploid").limit(1)
 
 
 def nearest_states(segments: DataFrame, states: DataFrame, key: list[str], diploid: float, purity: float = 1.0, maf_weight: float = 1.0) -> DataFrame:

@@ -109,10 +109,9 @@ def j22(spark, sf_dir):
 
 @query("m28_purity_grid")
 def m28(spark, sf_dir):
-    """Purity and diploid coverage of least distance over a grid."""
-    grid = models.purity_grid(spark, (150, 250), (30, 100), 10)
-    contigs = points(spark, sf_dir).groupBy("chrom", F.expr("start_pos div 20000").alias("w")).agg(F.median("coverage").alias("coverage"), F.median("maf").alias("maf"), F.sum("weight").alias("weight"))
-    return models.best_purity(contigs, grid, models.state_table(spark, 4))
+    """Purity and diploid coverage of least distance over a grid of steps of 1."""
+    grid = models.purity_grid(spark, (150, 250), (30, 100))
+    return models.best_purity(points(spark, sf_dir), grid, models.state_table(spark, 4))
 
 
 @query("m35_snv_purity", sql("""

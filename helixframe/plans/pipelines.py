@@ -163,7 +163,7 @@ def somatic(tumour: DataFrame, excluded: DataFrame, sites: DataFrame | None = No
     spark = tumour.sparkSession
     states = models.state_table(spark, options.call.highest)
     low, high = max(1, int(0.5 * middle)), max(2, int(1.5 * middle) + 1)
-    grid = models.purity_grid(spark, (low, high), options.call.purity, max(1, (high - low) // 20))
+    grid = models.purity_grid(spark, (low, high), options.call.purity)
     best = models.best_purity(points, grid, states).first()
     diploid, purity = (best["diploid"], best["purity"]) if best else (middle, 1.0)
     called = models.nearest_states(points, states, ["chrom", "seg_idx", "start_pos", "end_pos"], diploid, purity)

@@ -236,6 +236,18 @@ def test_purity_grid_finds_the_mixture(spark):
     assert (best.diploid, best.purity) == (100.0, 0.6)
 
 
+def test_purity_has_its_own_step_and_upper_bound(spark):
+    grid = models.purity_grid(spark, (90, 1007), (30, 100), 5).toPandas()
+    assert grid["diploid"].max() == 1007 and sorted(set(grid["purity"])) == [p / 100 for p in range(30, 101)]
+    purity, diploid, rows = 0.63, 101.0, []
+    for cn, mcc, w in ((2, 1, 50.0), (3, 2, 20.0), (1, 1, 15.0), (4, 2, 8.0), (2, 2, 7.0)):
+        copies = purity * cn + 2 * (1 - purity)
+        rows.append((copies / 2 * diploid, (purity * (cn - mcc) + (1 - purity)) / copies, w))
+    segs = spark.createDataFrame([*rows, (None, 0.5, 1.0)], "coverage double, maf double, weight double").repartition(3)
+    best = models.best_purity(segs, models.purity_grid(spark, (80, 120), (30, 100)), models.state_table(spark, 5)).collect()
+    assert [(b.diploid, b.purity) for b in best] == [(101.0, 0.63)] and best[0].deviation < 1e-9
+
+
 def test_trio_equals_brute_force(spark):
     p = {"m": [0.01, 0.1, 0.8, 0.05, 0.04], "f": [0.02, 0.08, 0.85, 0.03, 0.02], "c": [0.01, 0.04, 0.05, 0.8, 0.1]}
     rows = [(s, 1, cn, v) for s, vs in p.items() for cn, v in enumerate(vs)]
