@@ -28,8 +28,8 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder, order = token_files.write_token_files(docs, public_tokenizers.path(WORD_BPE), END_ID)
-    read = token_files.read_token_files(spark, folder, order)
+    folder, _ = token_files.write_token_files(docs, public_tokenizers.path(WORD_BPE), END_ID)
+    read = token_files.read_token_files(spark, folder)
     return read.mapInArrow(_crc, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
 
 

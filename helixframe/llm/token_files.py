@@ -9,8 +9,9 @@ an id, four ids to a control byte. A block of the format holds, in order, all li
 
 A block closes after the document that fills it. Blocks are rows of a Parquet table (shard, block,
 place of its first id in the shard, number of ids, document ids, payload), which Spark's committer
-writes safely wherever the shared folder is; shards are ranges of ascending document ids. Decoding
-reads four ids at a time with a table of the 256 control bytes.
+writes safely wherever the shared folder is; shards are ranges of ascending document ids. Beside the
+table of blocks stands the table of ranks (rank, token), without which blocks cannot be decoded.
+Decoding reads four ids at a time with a table of the 256 control bytes.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import materialize, narrow_batches, shared_dir, shuffle_width, text
 from .word_store import WordStore, encoded_pieces
 
 MAGIC = b"HXT1"
+#: The tables in a folder of token files.
+BLOCKS, RANKS = "blocks", "ranks"
 #: A block closes once it holds so many ids.
 BLOCK = 1 << 20
 
@@ -177,7 +180,7 @@ def _unpack(batches: Iterator[pa.RecordBatch], token: np.ndarray) -> Iterator[pa
 def write_token_files(
     df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
 ) -> tuple[str, list[int]]:
-    """Encode every text with the tokenizers file at ``path`` and write the blocks.
+    """Encode every text with the tokenizers file at ``path`` and write the ranks and the blocks.
 
     Returns the folder and the tokens by rank, at most one entry for each id of the vocabulary. Documents stand in ascending id order, null ids first; rows that repeat an id stand
     in the order of a hash of their ids. A null or empty text holds only ``end_id``. An empty table
@@ -207,18 +210,22 @@ def write_token_files(
             f"shard int, block int, start long, n_ids long, docs array<{id_kind}>, payload binary",
         )
         folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-        blocks.write.mode("error").parquet(folder)
+        ranks = spark.createDataFrame(list(enumerate(order)), "rank int, token long").coalesce(1)
+        ranks.write.mode("error").parquet(f"{folder}/{RANKS}")
+        blocks.write.mode("error").parquet(f"{folder}/{BLOCKS}")
     finally:
         spark.conf.set("spark.sql.parquet.compression.codec", before)
     return folder, order
 
 
-def read_token_files(spark: SparkSession, folder: str, order: list[int]) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, order: list[int] | None = None) -> DataFrame:
     """Per document: id, start (ids of all documents before it), n, ids (little-endian unsigned 32 bits).
 
-    ``order`` lists the tokens by rank, as :func:`write_token_files` returns it.
+    The folder is all that is needed; ``order``, the tokens by rank, spares reading its ranks.
     """
-    blocks = spark.read.parquet(folder)
+    blocks = spark.read.parquet(f"{folder}/{BLOCKS}")
+    if order is None:
+        order = [r["token"] for r in spark.read.parquet(f"{folder}/{RANKS}").orderBy("rank").collect()]  # at most one row for each id
     token = spark.sparkContext.broadcast(np.array(order, np.uint32))
     id_kind = blocks.schema["docs"].dataType.elementType.simpleString()
     docs = blocks.select("shard", "start", "docs", "payload").mapInArrow(

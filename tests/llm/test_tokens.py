@@ -113,6 +113,15 @@ def test_token_files_equal_brute_force(spark, docs, library, monkeypatch):
     assert [counts[t] for t in order] == sorted(counts.values(), reverse=True)
 
 
+def test_token_files_are_read_from_the_folder_alone(spark, docs, library):
+    folder = token_files.write_token_files(docs, PATH, 2)[0]
+    want = sorted([*library.encode(text or "", add_special_tokens=False).ids, 2] for _, text, _ in docs.collect())
+    read = token_files.read_token_files(spark.newSession(), folder).collect()
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in read) == want
+    empty = token_files.write_token_files(docs.filter("false"), PATH, 2)[0]
+    assert token_files.read_token_files(spark, empty).count() == 0
+
+
 def test_repeated_and_null_ids_keep_every_document(spark, docs):
     folder, order = token_files.write_token_files(docs, PATH, 2)
     rows = token_files.read_token_files(spark, folder, order).orderBy("start").collect()
