@@ -225,7 +225,7 @@ def _edge_holds(x: np.ndarray, at: int, edges: list[int], rng: np.random.Generat
     return True
 
 
-def cbs_breakpoints(x: np.ndarray, seed: int, alpha: float = 0.01, permutations: int = 1000) -> list[int]:
+def cbs_breakpoints(x: np.ndarray, seed: int, alpha: float = 0.01, permutations: int = 10_000) -> list[int]:
     """Recursive circular binary segmentation; the rightmost open segment goes first."""
     rng = np.random.default_rng(seed)
     found: list[int] = []
@@ -276,7 +276,7 @@ def prune(x: np.ndarray, points: list[int], share: float = 0.05) -> list[int]:
     return points
 
 
-def segment_cbs(bins: DataFrame, alpha: float = 0.01, permutations: int = 1000, undo: str = "none", seed: int = 0) -> DataFrame:
+def segment_cbs(bins: DataFrame, alpha: float = 0.01, permutations: int = 10_000, undo: str = "none", seed: int = 0) -> DataFrame:
     """Circular binary segmentation. A contig's seed comes from its name, so that results do not
     depend on partitions. ``undo`` is none, prune or sd."""
 

@@ -49,7 +49,7 @@ def m06(spark, sf_dir):
 @query("m07_cbs_segments")
 def m07(spark, sf_dir):
     """Breakpoints by circular binary segmentation."""
-    return segmentation.segment_cbs(ad.sample_bins(spark, sf_dir), permutations=200, undo="sd")
+    return segmentation.segment_cbs(ad.sample_bins(spark, sf_dir), undo="sd")
 
 
 @query("m14_hmm_segments")

@@ -236,6 +236,18 @@ def test_purity_grid_finds_the_mixture(spark):
     assert (best.diploid, best.purity) == (100.0, 0.6)
 
 
+def test_circular_segmentation_takes_10000_permutations(monkeypatch):
+    import inspect
+
+    from helixframe.plans import model_queries
+
+    asked = inspect.signature(segmentation.segment_cbs)
+    assert inspect.signature(segmentation.cbs_breakpoints).parameters["permutations"].default == 10_000
+    monkeypatch.setattr(model_queries.ad, "sample_bins", lambda *_: None)
+    monkeypatch.setattr(segmentation, "segment_cbs", lambda *a, **k: (got := asked.bind(*a, **k), got.apply_defaults())[0].arguments["permutations"])
+    assert model_queries.QUERIES["m07_cbs_segments"](None, "") == 10_000
+
+
 def test_purity_has_its_own_step_and_upper_bound(spark):
     grid = models.purity_grid(spark, (90, 1007), (30, 100), 5).toPandas()
     assert grid["diploid"].max() == 1007 and sorted(set(grid["purity"])) == [p / 100 for p in range(30, 101)]
