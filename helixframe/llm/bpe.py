@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_batches, text_or_empty
+from .common import materialize, narrow_batches, text_or_empty
 from .word_store import WordStore, encoded_pieces, gather
 
 #: Unicode white space.
@@ -161,13 +161,13 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     then those of no bytes. Texts of any length are encoded in parts that end at white space.
     Repeated rows give repeated results, an empty table none; other columns are not read.
     """
-    narrow_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
     slim = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
     out = slim.mapInArrow(
         lambda it: _digests(it, path), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-    return out.withColumnRenamed("id", id_col)
+    with narrow_batches(df.sparkSession):
+        return materialize(out.withColumnRenamed("id", id_col), "bpe")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -187,10 +187,11 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and its token ids as an array; nulls and empty texts give an empty array."""
-    narrow_batches(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
     slim = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(lambda it: _tokens(it, path), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    out = slim.mapInArrow(lambda it: _tokens(it, path), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    with narrow_batches(df.sparkSession):
+        return materialize(out, "bpe")
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -2,30 +2,34 @@
 
 Candidates come from an exact filter: two sets of Jaccard similarity t or more share an element among
 the first |x| - ceil(t |x|) + 1 elements of either, in any one order of all elements. The order puts
-shingles that many documents share last, so that common passages yield no candidates. Candidates, and
-then all pairs inside the groups that they form, are compared 16 MinHash values at a time; a pair goes
-once the posterior probability of reaching t, under a uniform prior, falls below ``tolerance``. All
-pairs that are left are verified on the whole sets.
-
-Documents of one shingle set are copies and take part once. Groups above ``block`` sets are compared
-block against block, each pair of blocks in a task of its own, which returns counts of links and a
-spanning forest, never the pairs.
+shingles that many documents share last, so that common passages yield no candidates. The sets that
+share one shingle there form a list. Each set of a list is paired with the list's least set, which
+gives at most one pair for each posting. Pairs are compared 16 MinHash values at a time and go once
+the posterior probability of reaching t, under a uniform prior, falls below ``tolerance``; those left
+connect sets into groups. Where a list reaches over several groups, its sets of different groups are
+compared in the same way, so that groups hold every likely pair. Inside the final groups all pairs are
+pruned by the posterior, and the rest verified on the whole sets.
+
+Documents of one shingle set are copies and take part once. Long lists and large groups are compared
+block against block, each pair of blocks in a task of its own, which returns edges of a spanning
+forest and counts of links, never the pairs. The number of links of every document can only be had by
+comparing the pairs of its group, so that compute (not rows or shuffling beyond a copy of a set for
+each block) grows with the square of a group of near copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialize, narrow_batches, shuffle_width, text_or_empty
+from .common import discard, key_filter, materialize, narrow_batches, release_memory, shuffle_width, text_or_empty
 from .components import connected_components
 from .shingles import chunks, minhashes, mix, shingle_sets
 
@@ -33,13 +37,12 @@ from .shingles import chunks, minhashes, mix, shingle_sets
 HASHES, STEP = 64, 16
 #: Shingles that a summary of a stretch of shingles may name as common, and the order's length.
 SUMMARY, COMMON = 16384, 65536
-#: Sets that share a shingle are paired up to so many; longer lists are searched for their links
-#: together, up to the second number; the sets of still longer ones all count as candidates.
-PAIRED, SEARCHED = 16, 16384
-#: Lists of the same sets are taken once among so many that a task has seen last.
-SEEN = 200_000
-#: Shingles of a block of a group that is compared block against block.
-BLOCK_SHINGLES = 1_000_000
+#: Equal lists of sets are taken once among so many that a task has seen last.
+SEEN = 100_000
+#: Sets, and shingles, of a block of a list or group that is compared block against block.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Pairs that are compared at a time.
+PAIRS = 1 << 18
 
 
 def least_matches(k: int, threshold: float, tolerance: float) -> int:
@@ -100,6 +103,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield summary()
+    release_memory()
 
 
 def _prepare(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -133,231 +137,335 @@ def _prepare(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.nda
                  pa.array([m.tobytes() for m in marks], pa.binary())],
                 ["id", "key", "set", "n", "rare", "often", "marks"],
             )
+    release_memory()
 
 
 class _Lists:
-    """Turns the sets that share a shingle into pairs, or into rows (set, shingle) where they are many."""
-
-    def __init__(self, threshold: float):
-        self._threshold = threshold
-        self._seen: set[int] = set()
-        self._shingle, self._sets, self._sizes, self._long = None, [], [], False
-        self.rows: list[tuple[int, int, bool]] = []
-
-    def add(self, shingle: int, sets: list[int], sizes: list[int]) -> None:
-        if shingle != self._shingle:
-            self.close()
-            self._shingle, self._long = shingle, False
-        self._sets += sets
-        self._sizes += sizes
-        if len(self._sets) > 4096:
-            self._long = True
-        if self._long:
-            self.rows += [(s, shingle, True) for s in self._sets]
-            self._sets, self._sizes = [], []
+    """Sorted postings to lists of sets: a pair for a list of two, rows (sh, a, b) for a longer one.
 
-    def close(self) -> None:
-        sets, sizes = self._sets, self._sizes
-        self._sets, self._sizes = [], []
-        if len(sets) < 2 or self._long:
-            return
-        name = hash(tuple(sorted(sets)))
+    a is the list's least set, b each other. Lists that hold just the same sets say nothing new.
+    """
+
+    def __init__(self):
+        self._seen: set[bytes] = set()
+        self._shingle: int | None = None
+        self._parts: list[np.ndarray] = []
+        self._out: list[tuple[int | None, np.ndarray]] = []
+
+    def _new(self, sets: np.ndarray) -> bool:
+        name = hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
         if name in self._seen:
-            return
+            return False
         if len(self._seen) >= SEEN:
             self._seen.clear()
         self._seen.add(name)
-        if len(sets) > PAIRED:
-            self.rows += [(s, name, True) for s in sets]  # one name for one list, in whichever task
-            return
-        for i in range(1, len(sets)):
-            for j in range(i):
-                if min(sizes[i], sizes[j]) >= self._threshold * max(sizes[i], sizes[j]) - 1e-9:
-                    self.rows.append((min(sets[i], sets[j]), max(sets[i], sets[j]), False))
+        return True
+
+    def close(self) -> None:
+        if sum(map(len, self._parts)) > 1:
+            sets = np.concatenate(self._parts)
+            if self._new(sets):
+                self._out.append((None if len(sets) == 2 else self._shingle, sets))
+        self._parts = []
+
+    def add(self, shingles: np.ndarray, sets: np.ndarray) -> None:
+        """Rows in the order of (sh, set); a list may go on in the next call."""
+        begins = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+        ends = np.append(begins[1:], len(shingles))
+        # lists of one set inside the rows yield nothing, and most are such
+        for k in np.unique(np.concatenate([np.flatnonzero(ends - begins > 1), [0, len(begins) - 1]])):
+            shingle = int(shingles[begins[k]])
+            if shingle != self._shingle:
+                self.close()
+                self._shingle = shingle
+            self._parts.append(sets[begins[k] : ends[k]])
 
     def batch(self) -> pa.RecordBatch:
-        a, b, star = zip(*self.rows, strict=True) if self.rows else ((), (), ())
-        self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(star, pa.bool_())], ["a", "b", "star"])
+        out, self._out = self._out, []
+        sizes = [len(s) - 1 for _, s in out]
+        first = np.repeat([s[0] for _, s in out], sizes).astype(np.int64) if out else np.zeros(0, np.int64)
+        rest = np.concatenate([s[1:] for _, s in out]) if out else np.zeros(0, np.int64)
+        names = [n for (n, _), k in zip(out, sizes, strict=True) for _ in range(k)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first), pa.array(rest)], ["sh", "a", "b"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Candidates from postings (sh, set, n) in the order of sh."""
-    lists = _Lists(threshold)
+def _list_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sh, a, b) of the lists among postings (sh, set) in the order of both."""
+    lists = _Lists()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sh, sets, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sh", "set", "n"))
-        begins = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
-        ends = np.append(begins[1:], len(sh))
-        # single postings inside the batch yield nothing, and most are single
-        for k in np.unique(np.concatenate([np.flatnonzero(ends - begins > 1), [0, len(begins) - 1]])):
-            s, e = begins[k], ends[k]
-            lists.add(int(sh[s]), sets[s:e].tolist(), sizes[s:e].tolist())
-        yield lists.batch()
+        if batch.num_rows:
+            lists.add(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sh", "set")))
+            yield lists.batch()
     lists.close()
     yield lists.batch()
+    release_memory()
 
 
-def likely_forest(names: np.ndarray, marks: np.ndarray, sizes: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int]]:
-    """Edges that connect what the pairs kept by the posterior connect, found breadth first.
-
-    Each item in turn is compared with all that are not reached yet, so that a list of near copies
-    takes a few comparisons for each item, and the pairs inside a reached part are not looked at.
-    """
-    edges, left = [], np.arange(len(names))
-    queue: list[int] = []
-    while len(left) or queue:
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-        now = queue.pop()
-        fits = left[np.minimum(sizes[left], sizes[now]) >= threshold * np.maximum(sizes[left], sizes[now]) - 1e-9]
-        hit = fits[bayes_keep(marks, marks, np.full(len(fits), now), fits, threshold, tolerance)]
-        if len(hit):
-            edges += [(int(names[now]), int(names[h])) for h in hit]
-            queue += hit.tolist()
-            left = left[~np.isin(left, hit)]
-    return edges
-
-
-def _search(rows: pd.DataFrame, threshold: float, tolerance: float) -> pd.DataFrame:
-    """Candidate edges inside the lists of a bin."""
-    edges: set[tuple[int, int]] = set()
-    for _, part in rows.groupby("sh", sort=False):
-        part = part.drop_duplicates("set")
-        marks = np.frombuffer(b"".join(part["marks"]), np.uint16).reshape(-1, HASHES)
-        edges.update(likely_forest(part["set"].to_numpy(), marks, part["n"].to_numpy(), threshold, tolerance))
-    return pd.DataFrame(sorted(edges), columns=["a", "b"]).astype("int64")
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
 def _prune(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("left", "right")
-        )
+        left, right = _marks(batch.column("left")), _marks(batch.column("right"))
         every = np.arange(batch.num_rows)
         kept = pa.array(bayes_keep(left, right, every, every, threshold, tolerance))
         yield batch.select(["a", "b"]).take(kept)
 
 
-class _Sets:
-    """Shingle sets of some documents in one array."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.names = rows["set"].to_numpy()
-        self.copies = rows["copies"].to_numpy()
-        parts = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.marks = minhashes(self.hashes, self.bounds, HASHES)
-        self.owner = np.repeat(np.arange(len(parts)), self.sizes)
-
-
-def shared_counts(left: _Sets, right: _Sets, width: int = 2048) -> np.ndarray:
-    """Sizes of all intersections, by matrix products over stretches of the shingles on both sides."""
-    both = np.intersect1d(left.hashes, right.hashes)
-    out = np.zeros((len(left.names), len(right.names)), np.float32)
-    sides = []
-    for side in (left, right):
-        at = np.minimum(np.searchsorted(both, side.hashes), max(len(both) - 1, 0))
-        hit = both[at] == side.hashes if len(both) else np.zeros(len(at), bool)
-        column, row = at[hit], side.owner[hit]
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task in turn, from rows in the order of ``task``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column("task").to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])).tolist()
+        for begin, end in zip(begins, [*begins[1:], len(task)], strict=True):
+            if held and task[begin] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = task[begin]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _row_pairs(sizes: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], apart: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that fit, about PAIRS at a time.
+
+    All i > j of one side, or, with the first ``apart`` places on one side, all across both.
+    """
+    n = len(sizes)
+    if apart:
+        step = max(1, PAIRS // max(1, n - apart))
+        for at in range(0, apart, step):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, apart)), np.arange(apart, n), indexing="ij"))
+            ok = fits(i, j)
+            yield i[ok], j[ok]
+        return
+    at = 1
+    while at < n:
+        end = min(n, max(at + 1, int(math.sqrt(at * at + 2 * PAIRS))))
+        i = np.repeat(np.arange(at, end), np.arange(at, end))
+        j = np.arange(len(i)) - np.repeat(np.cumsum(np.arange(at, end)) - np.arange(at, end), np.arange(at, end))
+        ok = fits(i, j)
+        yield i[ok], j[ok]
+        at = end
+
+
+def _close_sizes(sizes: np.ndarray, threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return lambda i, j: np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
+
+
+class _Forest:
+    """A spanning forest over named items, grown by links; a tree's root has its least name."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names.tolist()
+        self.root = list(range(len(names)))
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = self.find(x), self.find(y)
+            if p != q:
+                self.edges.append((self.names[x], self.names[y]))
+                low, high = (p, q) if self.names[p] < self.names[q] else (q, p)
+                self.root[high] = low
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.find(k) for k in range(len(self.names))], np.int64)
+
+
+def _bridges(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Edges between groups: likely pairs among the sets of a list, or of two blocks of one."""
+    for rows in _tasks(batches):
+        names, first = np.unique(rows.column("set").to_numpy(), return_index=True)
+        rows = rows.take(pa.array(first))
+        places = rows.column("place").to_numpy()
+        order = np.argsort(places, kind="stable")
+        apart = int((places == places.min()).sum()) if rows.column("first")[0] != rows.column("second")[0] else 0
+        if apart == len(names):  # the other block has no rows
+            continue
+        names, sizes = names[order], rows.column("n").to_numpy()[order]
+        marks = _marks(rows.column("marks").combine_chunks())[order]
+        groups, group = np.unique(rows.column("group").to_numpy()[order], return_inverse=True)
+        forest = _Forest(groups)
+        close = _close_sizes(sizes, threshold)
+        root = np.arange(len(groups))
+        for i, j in _row_pairs(sizes, lambda i, j: (group[i] != group[j]) & close(i, j), apart):
+            new = root[group[i]] != root[group[j]]
+            i, j = i[new], j[new]
+            kept = bayes_keep(marks, marks, i, j, threshold, tolerance)
+            if len(kept):
+                pairs = np.unique(group[i[kept]] * len(groups) + group[j[kept]])
+                forest.link(pairs // len(groups), pairs % len(groups))
+                root = forest.roots()
+        if forest.edges:
+            a, b = zip(*forest.edges, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    release_memory()
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for _, part in chunks(_texts(batch)):
+            hashes, bounds = shingle_sets(part)
+            rows += [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "shingles", pa.array(rows, pa.binary()))
+    release_memory()
+
+
+def shared_counts(sides: list[tuple[np.ndarray, np.ndarray, int]], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of two sides' sets, by matrix products over stretches of shingles.
+
+    A side is (shingles, number of the set of each, number of sets).
+    """
+    (left, _, n), (right, _, m) = sides
+    both = np.intersect1d(left, right)
+    out = np.zeros((n, m), np.float32)
+    held = []
+    for hashes, owner, size in sides:
+        at = np.minimum(np.searchsorted(both, hashes), max(len(both) - 1, 0))
+        hit = both[at] == hashes if len(both) else np.zeros(len(at), bool)
+        column, row = at[hit], owner[hit]
         order = np.argsort(column, kind="stable")
-        sides.append((column[order], row[order], len(side.names)))
+        held.append((column[order], row[order], size))
     for start in range(0, len(both), width):
         dense = []
-        for column, row, n in sides:
+        for column, row, size in held:
             a, b = np.searchsorted(column, [start, start + width])
-            block = np.zeros((n, width), np.float32)
+            block = np.zeros((size, min(width, len(both) - start)), np.float32)
             block[row[a:b], column[a:b] - start] = 1
             dense.append(block)
         out += dense[0] @ dense[1].T
     return out
 
 
-def compare(left: _Sets, right: _Sets | None, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with similarity ``threshold`` or more; inside ``left`` where ``right`` is None."""
-    other = left if right is None else right
-    low, high = left.sizes[:, None], other.sizes[None, :]
-    fits = np.minimum(low, high) >= threshold * np.maximum(low, high) - 1e-9
-    if right is None:
-        fits &= np.tri(len(left.names), k=-1, dtype=bool)
-    a, b = np.nonzero(fits)
-    kept = bayes_keep(left.marks, other.marks, a, b, threshold, tolerance)
-    a, b = a[kept], b[kept]
-    if not len(a):
-        return a, b
-    shared = shared_counts(left, other)[a, b]
-    true = shared >= threshold * (left.sizes[a] + other.sizes[b] - shared) - 1e-6
-    return a[true], b[true]
-
-
-def _forest(names: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(least name of each item's tree, edges of a spanning forest) of the links a-b."""
-    root = list(range(len(names)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            kept.append((int(names[x]), int(names[y])))
-            root[max(p, q, key=lambda i: names[i])] = min(p, q, key=lambda i: names[i])
-    return np.array([names[find(i)] for i in range(len(names))], np.int64), kept
-
-
-def _block(rows: pd.DataFrame, threshold: float, tolerance: float) -> pd.DataFrame:
-    """Compare the groups of a bin, or one pair of blocks of a large group.
+def _links(rows: pa.Table, threshold: float, tolerance: float) -> pa.RecordBatch:
+    """Compare the sets of a group, or of two blocks of one.
 
     Returns (set, class, links) where a group is whole, (set, null, links) for parts of one, and
     (a, b) for the edges of such a part's spanning forest.
     """
-    out = []
-    for (group, first, second), part in rows.groupby(["group", "first", "second"], sort=False):
-        part = part.drop_duplicates("set")
-        if first == second:
-            left, right = _Sets(part), None
-            other = left
-        else:
-            left = _Sets(part[part["place"] == first])
-            right = other = _Sets(part[part["place"] == second])
-        a, b = compare(left, right, threshold, tolerance)
-        names = left.names if right is None else np.concatenate([left.names, right.names])
-        shift = 0 if right is None else len(left.names)
-        links = np.zeros(len(names), np.int64)
-        np.add.at(links, a, other.copies[b])
-        np.add.at(links, b + shift, left.copies[a])
-        classes, edges = _forest(names, a, b + shift)
-        whole = bool(part["whole"].iloc[0])
-        none = [None] * len(names)
-        out.append((names.tolist(), classes.tolist() if whole else none, links.tolist(), none, none))
-        if not whole and edges:
-            none = [None] * len(edges)
-            out.append((none, none, none, [e[0] for e in edges], [e[1] for e in edges]))
-    # nullable integers throughout: set names take all 64 bits
-    columns = [list(chain.from_iterable(c)) for c in zip(*out, strict=True)]
-    return pd.DataFrame({n: pd.array(c, "Int64") for n, c in zip(("set", "class", "links", "a", "b"), columns, strict=True)})
-
-
-def _set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for _, part in chunks(_texts(batch)):
-            hashes, bounds = shingle_sets(part)
-            rows += [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "shingles", pa.array(rows, pa.binary()))
+    names, first = np.unique(rows.column("set").to_numpy(), return_index=True)
+    rows = rows.take(pa.array(first))
+    places = rows.column("place").to_numpy()
+    order = np.argsort(places, kind="stable")
+    two = rows.column("first")[0] != rows.column("second")[0]
+    apart = int((places == places.min()).sum()) if two else 0
+    names, copies = names[order], rows.column("copies").to_numpy()[order]
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").take(pa.array(order)).to_pylist()]
+    marks = _marks(rows.column("marks").combine_chunks())[order]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    links = np.zeros(len(names), np.int64)
+    forest = _Forest(names)
+    if len(names) > 1 and apart < len(names):
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        cut = int(sizes[:apart].sum())
+        one = (hashes, owner, len(sets))
+        sides = [(hashes[:cut], owner[:cut], apart), (hashes[cut:], owner[cut:] - apart, len(sets) - apart)] if apart else [one, one]
+        shared = None
+        for i, j in _row_pairs(sizes, _close_sizes(sizes, threshold), apart):
+            kept = bayes_keep(marks, marks, i, j, threshold, tolerance)
+            i, j = i[kept], j[kept]
+            if not len(i):
+                continue
+            shared = shared_counts(sides) if shared is None else shared
+            common = shared[i, j - apart]
+            true = common >= threshold * (sizes[i] + sizes[j] - common) - 1e-6
+            i, j = i[true], j[true]
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            forest.link(i, j)
+    whole = bool(rows.column("whole")[0].as_py())
+    classes = names[forest.roots()]
+    a, b = zip(*forest.edges, strict=True) if forest.edges and not whole else ((), ())
+    n, m = len(names), len(a)
+    columns = [
+        pa.array([*names.tolist(), *[None] * m], pa.int64()), pa.array([*(classes.tolist() if whole else [None] * n), *[None] * m], pa.int64()),
+        pa.array([*links.tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *a], pa.int64()), pa.array([*[None] * n, *b], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["set", "class", "links", "a", "b"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    for rows in _tasks(batches):
+        yield _links(rows, threshold, tolerance)
+    release_memory()
+
+
+def _in_tasks(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows (key, set, blocks) to tasks, a task's rows one after the other.
+
+    A list or group of n blocks has a task for each pair of blocks; a set goes to the n pairs that
+    its own block is in. One block is one task.
+    """
+    place = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("place", place).withColumn("other", other).withColumns(
+        {"first": F.least("place", "other"), "second": F.greatest("place", "other"), "whole": F.col("blocks") == 1}
+    )
+    dealt = dealt.withColumn("task", F.xxhash64(key, "first", "second")).drop("other", "blocks")
+    return dealt.repartition(shuffle_width(rows.sparkSession), "task").sortWithinPartitions("task")
+
+
+def _groups(sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(set, component) of the sets that a chain of likely pairs connects with others."""
+    spark = sets.sparkSession
+    worded = sets.filter("n > 0")
+    postings = worded.select(F.explode("rare").alias("sh"), "set").repartition(shuffle_width(spark), "sh").sortWithinPartitions("sh", "set")
+    found = materialize(postings.mapInArrow(_list_rows, "sh long, a long, b long"), "found")
+    # at most COMMON shingles are common, so their lists' least sets and sizes may be broadcast
+    often = worded.select(F.explode("often").alias("sh"), "set")
+    heads = often.groupBy("sh").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("listed")).filter("listed > 1")
+    heads = materialize(heads, "heads")
+    common = often.join(F.broadcast(heads), "sh").filter("set != a").select("sh", "a", F.col("set").alias("b"), "listed")
+    pairs = found.select("a", "b").union(common.select("a", "b")).distinct()
+    marks = worded.select("set", "marks")
+    pairs = pairs.join(marks.withColumnsRenamed({"set": "b", "marks": "right"}), "b")
+    pairs = pairs.join(marks.withColumnsRenamed({"set": "a", "marks": "left"}), "a")
+    likely = pairs.mapInArrow(lambda it: _prune(it, threshold, tolerance), "a long, b long")
+    linked = connected_components(likely)
+    # lists of three and more that reach over several groups; a set without links is its own group
+    of_b = linked.select(F.col("node").alias("b"), F.col("component").alias("group_b"))
+    of_a = linked.select(F.col("node").alias("a"), F.col("component").alias("group_a"))
+    long = found.filter(F.col("sh").isNotNull()).select("sh", "a", "b", F.lit(0).cast("long").alias("listed"))
+    long = long.unionByName(common.filter("listed > 2")).join(of_b, "b", "left").join(of_a, "a", "left")
+    long = long.withColumns({"group_a": F.coalesce("group_a", "a"), "group_b": F.coalesce("group_b", "b")})
+    long = materialize(long, "long")
+    apart = F.max(F.when(F.col("group_a") != F.col("group_b"), True).otherwise(False))
+    mixed = long.groupBy("sh").agg(apart.alias("apart"), (F.count(F.lit(1)) + 1).alias("size"), F.min("a").alias("head"), F.min("group_a").alias("head_group"), F.max("listed").alias("listed"))
+    mixed = materialize(mixed.filter("apart").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "mixed")
+    of_common = F.broadcast(mixed.filter("listed > 0").select("sh", "blocks"))  # at most COMMON rows
+    of_rare = mixed.filter("listed = 0").select("sh", "blocks")
+    rows = long.filter("listed > 0").join(of_common, "sh").unionByName(long.filter("listed = 0").join(of_rare, "sh"))
+    rows = rows.select("sh", F.col("b").alias("set"), F.col("group_b").alias("group"), "blocks")
+    rows = rows.unionByName(mixed.select("sh", F.col("head").alias("set"), F.col("head_group").alias("group"), "blocks"))
+    rows = rows.join(worded.select("set", "n", "marks"), "set")
+    bridges = _in_tasks(rows, "sh").mapInArrow(lambda it: _bridges(it, threshold, tolerance), "a long, b long")
+    bridges = materialize(bridges, "bridges")
+    if bridges.isEmpty():
+        discard(found, heads, long, mixed, bridges)
+        return linked
+    groups = connected_components(bridges.union(linked.select("node", "component")))
+    discard(found, heads, long, mixed, bridges, linked)
+    return groups
 
 
 def similar_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-    tolerance: float = 1e-6, block: int = 512,
+    tolerance: float = 1e-6, block: int = BLOCK,
 ) -> DataFrame:
     """One row per input row: id, text key, class, links, copies and the class's winner.
 
@@ -368,51 +476,8 @@ def similar_documents(
     links. An empty table gives an empty result; only the two named columns are read.
     """
     spark = df.sparkSession
-    narrow_batches(spark)
-    id_kind = dict(df.dtypes)[id_col]
-    slim = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).cast("binary").alias("text"))
-    counted = slim.select("text").mapInArrow(_frequent, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
-    top = counted.filter("n >= 24").orderBy(F.desc("n"), "sh").limit(COMMON).collect()  # at most COMMON rows
-    values = np.array([r["sh"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    # the most frequent shingle has the highest rank, the end of the order
-    shared = spark.sparkContext.broadcast((values[order], (len(top) - 1 - order).astype(np.uint64)))
-    docs = materialize(
-        slim.mapInArrow(
-            lambda it: _prepare(it, *shared.value, threshold),
-            f"id {id_kind}, key long, set long, n long, rare array<long>, often array<long>, marks binary",
-        ),
-        "shingled",
-    )
-    winner = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    sets = docs.groupBy("set").agg(
-        F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"),
-        F.first("marks").alias("marks"), F.min(winner).alias("top"), F.count(F.lit(1)).alias("copies"),
-    )
-    sets = materialize(sets, "sets")
-    postings = sets.filter("n > 0").select(F.explode("rare").alias("sh"), "set", "n")
-    found = postings.repartition(shuffle_width(spark), "sh").sortWithinPartitions("sh").mapInArrow(
-        lambda it: _pairs(it, threshold), "a long, b long, star boolean"
-    )
-    found = materialize(found, "found")
-    marks = sets.select("set", "marks")
-    pairs = found.filter("not star").select("a", "b").distinct()
-    pairs = pairs.join(marks.withColumnsRenamed({"set": "a", "marks": "left"}), "a")
-    pairs = pairs.join(marks.withColumnsRenamed({"set": "b", "marks": "right"}), "b")
-    likely = pairs.mapInArrow(lambda it: _prune(it, threshold, tolerance), "a long, b long")
-    often = sets.select("set", F.explode("often").alias("sh"))
-    stars = found.filter("star").select(F.col("a").alias("set"), F.col("b").alias("sh")).union(often).distinct()
-    long = stars.groupBy("sh").agg(F.count(F.lit(1)).alias("listed")).filter("listed > 1")
-    stars = stars.join(long, "sh")
-    bins = F.pmod(F.xxhash64("sh"), F.lit(8 * shuffle_width(spark)))
-    searched = stars.filter(F.col("listed") <= SEARCHED).join(sets.select("set", "n", "marks"), "set")
-    searched = searched.withColumn("bin", bins).groupBy("bin").applyInPandas(
-        lambda rows: _search(rows, threshold, tolerance), "a long, b long"
-    )
-    others = stars.filter(F.col("listed") > SEARCHED).select(F.col("set").alias("a"), F.col("sh").alias("b"))
-    groups = materialize(connected_components(likely.union(searched).union(others)), "groups")
-    members = sets.select("set", "top", "copies", "n").join(groups.withColumnRenamed("node", "set"), "set")
-    verified = _verify(df, members, id_col, text_col, threshold, tolerance, block)
+    with narrow_batches(spark):
+        docs, sets, verified = _verified(df, id_col, text_col, threshold, tolerance, block)
     results = verified.filter(F.col("set").isNotNull()).groupBy("set").agg(
         F.max("class").alias("whole_class"), F.sum("links").alias("links")
     )
@@ -423,6 +488,7 @@ def similar_documents(
         .withColumn("class", F.coalesce("part_class", "whole_class", "set"))
     )
     classes = materialize(classes, "classes")
+    discard(sets, verified, parts)
     tops = classes.groupBy("class").agg(F.min("top").alias("win"))
     named = classes.join(tops, "class").select(
         "set", "class", "copies", "n", F.coalesce("links", F.lit(0)).alias("others"), "win"
@@ -438,33 +504,58 @@ def similar_documents(
     )
 
 
+def _verified(
+    df: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float, block: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: (id, key, set) of the documents, the distinct sets, and the rows of :func:`_links`."""
+    spark = df.sparkSession
+    id_kind = dict(df.dtypes)[id_col]
+    slim = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).cast("binary").alias("text"))
+    counted = slim.select("text").mapInArrow(_frequent, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
+    top = counted.filter("n >= 24").orderBy(F.desc("n"), "sh").limit(COMMON).collect()  # at most COMMON rows
+    values = np.array([r["sh"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    # the most frequent shingle has the highest rank, the end of the order
+    shared = spark.sparkContext.broadcast((values[order], (len(top) - 1 - order).astype(np.uint64)))
+    wide = materialize(
+        slim.mapInArrow(
+            lambda it: _prepare(it, *shared.value, threshold),
+            f"id {id_kind}, key long, set long, n long, rare array<long>, often array<long>, marks binary",
+        ),
+        "shingled",
+    )
+    docs = materialize(wide.select("id", "key", "set"), "docs")
+    winner = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    sets = wide.groupBy("set").agg(
+        F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("often").alias("often"),
+        F.first("marks").alias("marks"), F.min(winner).alias("top"), F.count(F.lit(1)).alias("copies"),
+    )
+    sets = materialize(sets, "sets")
+    discard(wide)
+    groups = _groups(sets, threshold, tolerance)
+    members = sets.select("set", "top", "copies", "n", "marks").join(groups.withColumnRenamed("node", "set"), "set")
+    verified = materialize(_verify(df, members, id_col, text_col, threshold, tolerance, block), "verified")
+    discard(groups)
+    return docs, sets, verified
+
+
 def _verify(
     df: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float, block: int
 ) -> DataFrame:
-    """Compare all sets of each group; see :func:`_block` for the rows."""
-    spark = df.sparkSession
+    """Compare all sets of each group; see :func:`_links` for the rows."""
     sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("held")).filter("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     wanted = members.join(sized, "component").select(
-        F.col("component").alias("group"), "set", "copies", blocks.alias("blocks"), F.col("top.id").alias("want_id"), F.col("top.key").alias("want_key")
+        F.col("component").alias("group"), "set", "copies", "marks", blocks.alias("blocks"), F.col("top.id").alias("want_id"), F.col("top.key").alias("want_key")
     )
     wanted = materialize(wanted, "wanted")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).alias("text"))
     texts = texts.filter(key_filter(wanted, "want_key")(F.col("key")))
     texts = texts.join(wanted, F.col("key").eqNullSafe(F.col("want_key")) & F.col("id").eqNullSafe(F.col("want_id")))
-    texts = texts.select("group", "set", "copies", "blocks", F.col("text").cast("binary").alias("text"))
-    sets = texts.mapInArrow(_set_bytes, "group long, set long, copies long, blocks int, shingles binary")
-    blocks = F.col("blocks")
-    mine = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    # a group of n blocks has a task for each pair of blocks; a set goes to the n pairs with its own
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = sets.withColumn("place", mine).withColumn("other", other).withColumns(
-        {"first": F.least("place", "other"), "second": F.greatest("place", "other"), "whole": blocks == 1}
-    )
-    bins = F.lit(8 * shuffle_width(spark))
-    task = F.when(F.col("whole"), F.pmod(F.xxhash64("group"), bins)).otherwise(F.xxhash64("group", "first", "second"))
-    return dealt.withColumn("task", task).groupBy("task").applyInPandas(
-        lambda rows: _block(rows, threshold, tolerance), "set long, class long, links long, a long, b long"
+    texts = texts.select("group", "set", "copies", "marks", "blocks", F.col("text").cast("binary").alias("text"))
+    sets = texts.mapInArrow(_shingle_rows, "group long, set long, copies long, marks binary, blocks int, shingles binary")
+    return _in_tasks(sets, "group").mapInArrow(
+        lambda it: _compare(it, threshold, tolerance), "set long, class long, links long, a long, b long"
     )
 
 

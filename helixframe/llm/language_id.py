@@ -113,7 +113,8 @@ def train_text_model(
         limits = F.broadcast(spark.createDataFrame(below, "lang string, row long, below long"))  # a row for each language
         sample = rows.join(limits, "lang").filter(F.col("h") < F.col("below")).select("row", "text")
         cells = sample.mapInArrow(_count_cells, "row long, cell long, n long")
-        got = cells.groupBy("row", "cell").agg(F.sum("n").alias("n")).toPandas()  # languages x CELLS at most
+        with narrow_batches(spark):
+            got = cells.groupBy("row", "cell").agg(F.sum("n").alias("n")).toPandas()  # languages x CELLS at most
         counts[got["row"], got["cell"]] = got["n"]
     counts[:-1] += 0.05 * counts[:-1].sum(axis=1, keepdims=True) / CELLS + 1e-9
     counts[-1] = 1.0
@@ -211,7 +212,6 @@ def identify_language(
     rows get the same result. An empty table gives an empty result.
     """
     spark = df.sparkSession
-    narrow_batches(spark)
     model = model or train_text_model(df, text_col, declared_col)
     score = _scorer(model, spark)
     names = [*model.languages, UNKNOWN]
@@ -229,12 +229,13 @@ def identify_language(
     }
     wanted = columns or df.columns
     hidden = {c: f"__{c}" for c in (*bare, "prior", "post", "best", "said", "of_said")}
-    scored = materialize(df.select([c.alias(n) for n, c in bare.items()]), "scored")
-    scored = scored.withColumn("post", softmax(F.col("logs"))).filter("worded")
+    with narrow_batches(spark):  # each text is scored once; what follows reads the written scores
+        full = materialize(df.select(*[F.col(f"`{c}`") for c in wanted], *[c.alias(hidden[n]) for n, c in bare.items()]), "scored")
+    scored = full.select([F.col(hidden[n]).alias(n) for n in bare]).withColumn("post", softmax(F.col("logs"))).filter("worded")
     priors = host_priors(scored, len(names)).withColumnsRenamed({"host": hidden["host"], "prior": hidden["prior"]})
     table = declared_table(scored, model.languages)
 
-    full = df.withColumns({hidden[n]: c for n, c in bare.items()}).join(priors, hidden["host"], "left")
+    full = full.join(priors, hidden["host"], "left")
     said = [(d, [float(x) for x in table[k]]) for k, d in reversed(list(enumerate(names)))]
     said = spark.createDataFrame(list(dict(said).items()), f"`{hidden['said']}` string, `{hidden['of_said']}` array<double>")
     full = full.withColumn(hidden["said"], said_as(F.col(hidden["declared"]), model.languages))

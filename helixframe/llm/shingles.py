@@ -14,11 +14,13 @@ import numpy as np
 WORDS = 5
 #: Bytes of text hashed at a time, so far as whole texts allow.
 CHUNK = 1 << 20
+#: Bytes whose sums are made at a time.
+STRETCH = 1 << 18
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _SEEDS.integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = _SEEDS.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -31,25 +33,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _powers(factor: int) -> np.ndarray:
+    """Powers of ``factor`` from 0 to 4095."""
+    out = np.full(4096, np.uint64(factor))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _power(factor: int, at: np.ndarray) -> np.ndarray:
+    """Powers of ``factor`` at ascending places, by tables for every 12 bits."""
+    out = _powers(factor)[at & 4095]
+    shift = 12
+    while len(at) and at[-1] >> shift:
+        factor = pow(factor, 4096, 1 << 64)
+        out *= _powers(factor)[at >> shift & 4095]
+        shift += 12
+    return out
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of its text), in order."""
+    """(hash of every word, number of its text), in order.
+
+    A word's hash sums its bytes times powers of its places; the sums are made over a stretch at a
+    time, so that besides the text itself only words take memory.
+    """
     joined = b" ".join(texts) + b" "
     raw = np.frombuffer(joined, np.uint8)
-    blank = np.concatenate([[True], _BLANK[raw]])
+    blank = np.ones(len(raw) + 1, bool)
+    np.take(_BLANK, raw, out=blank[1:])
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])
     ends = np.flatnonzero(~blank[:-1] & blank[1:])
-    size = 1 << max(CHUNK.bit_length(), len(raw).bit_length())
-    up, down = _powers(size)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    total = np.zeros(len(starts), np.uint64)
+    for begin in range(0, len(raw), STRETCH):
+        end = min(begin + STRETCH, len(raw))
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(_BYTE[raw[begin:end]] * _power(_BASE, np.arange(begin, end)), out=sums[1:])
+        a, b = np.searchsorted(ends, begin, side="right"), np.searchsorted(starts, end)
+        total[a:b] += sums[np.minimum(ends[a:b], end) - begin] - sums[np.maximum(starts[a:b], begin) - begin]
     limits = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(limits, starts, side="right")
+    return mix(total * _power(_INVERSE, starts)), np.searchsorted(limits, starts, side="right")
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

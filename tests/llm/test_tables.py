@@ -106,10 +106,9 @@ def brute_links(texts):
     return links, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("paired,searched,block", [(16, 16384, 512), (2, 16384, 6), (2, 4, 9)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, paired, searched, block):
-    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
-    monkeypatch.setattr(jaccard_join, "SEARCHED", searched)
+@pytest.mark.parametrize("list_block,block", [(2048, 2048), (3, 6), (2, 9)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, list_block, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", list_block)
     texts = near_copies()
     got = {r.id: r for r in jaccard_join.similar_documents(table(spark, list(enumerate(texts))), block=block).collect()}
     links, classes = brute_links(texts)
@@ -153,6 +152,16 @@ def test_shingles_and_minhashes():
     assert abs((m[0] == m[1]).mean() - 0.8) < 0.06
 
 
+def test_words_hash_alike_wherever_they_stand():
+    long = b"w" * 300_000
+    word, _ = shingles.word_hashes([long])
+    texts = [b"a " * 40_000, b"b " + long + b" a", b"", b"x a " + b"y" * (1 << 18) + b" b"]
+    hashes, owner = shingles.word_hashes(texts)
+    assert len(set(hashes[owner == 0].tolist())) == 1
+    assert hashes[owner == 1].tolist() == [hashes[-1], word[0], hashes[0]]
+    assert (owner == 2).sum() == 0 and hashes[owner == 3][1] == hashes[0]
+
+
 def test_components_equal_brute_force(spark):
     r = random.Random(8)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)]
