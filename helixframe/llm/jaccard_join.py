@@ -37,6 +37,8 @@ from .shingles import chunks, minhashes, mix, shingle_sets
 HASHES, STEP = 64, 16
 #: Shingles that a summary of a stretch of shingles may name as common, and the order's length.
 SUMMARY, COMMON = 16384, 65536
+#: A shingle of over 1/HOT of the documents is hot: its list, which one task had to read, is not shuffled.
+HOT = 500
 #: Equal lists of sets are taken once among so many that a task has seen last.
 SEEN = 100_000
 #: Sets, and shingles, of a block of a list or group that is compared block against block.
@@ -106,8 +108,13 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
-def _prepare(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Per document: id, text key, set hash, set size, rare and common shingles of its prefix, MinHashes."""
+def _prepare(
+    batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.ndarray, hot: np.ndarray, threshold: float
+) -> Iterator[pa.RecordBatch]:
+    """Per document: id, text key, set hash, set size, other and hot shingles of its prefix, MinHashes.
+
+    ``common`` are shingles in ascending order, with their ranks in the order and whether they are hot.
+    """
     for batch in batches:
         texts = _texts(batch)
         for first, part in chunks(texts):
@@ -122,7 +129,8 @@ def _prepare(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.nda
             order = np.lexsort((place, owner))
             within = np.arange(len(hashes)) - np.repeat(bounds[:-1], sizes)
             order = order[within < np.repeat(prefix_length(sizes, threshold), sizes)]
-            rare, often = order[~known[order]], order[known[order]]
+            heavy = known[order] & hot[at[order]] if len(common) else known[order]
+            rare, often = order[~heavy], order[heavy]
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(0x5DEECE66D)), dtype=np.uint64)])
             names = mix(sums[bounds[1:]] - sums[bounds[:-1]] + sizes.astype(np.uint64)).view(np.int64)
             marks = minhashes(hashes, bounds, HASHES)
@@ -426,7 +434,7 @@ def _groups(sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     worded = sets.filter("n > 0")
     postings = worded.select(F.explode("rare").alias("sh"), "set").repartition(shuffle_width(spark), "sh").sortWithinPartitions("sh", "set")
     found = materialize(postings.mapInArrow(_list_rows, "sh long, a long, b long"), "found")
-    # at most COMMON shingles are common, so their lists' least sets and sizes may be broadcast
+    # at most COMMON shingles are hot, so their lists' least sets and sizes may be broadcast
     often = worded.select(F.explode("often").alias("sh"), "set")
     heads = often.groupBy("sh").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("listed")).filter("listed > 1")
     heads = materialize(heads, "heads")
@@ -516,7 +524,8 @@ def _verified(
     values = np.array([r["sh"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(values)
     # the most frequent shingle has the highest rank, the end of the order
-    shared = spark.sparkContext.broadcast((values[order], (len(top) - 1 - order).astype(np.uint64)))
+    hot = np.array([r["n"] for r in top], np.int64) > slim.count() / HOT
+    shared = spark.sparkContext.broadcast((values[order], (len(top) - 1 - order).astype(np.uint64), hot[order]))
     wide = materialize(
         slim.mapInArrow(
             lambda it: _prepare(it, *shared.value, threshold),
