@@ -16,18 +16,23 @@ Decoding reads four ids at a time with a table of the 256 control bytes.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, narrow_batches, shared_dir, shuffle_width, text_or_empty
-from .word_store import WordStore, encoded_pieces
+from .bpe import byte_symbols
+from .common import discard, materialize, narrow_batches, release_memory, shared_dir, shuffle_width, text_or_empty
+from .word_store import WordStore, gather, pieces
 
 MAGIC = b"HXT1"
 #: The tables in a folder of token files.
@@ -89,40 +94,153 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, unpack(payload[at:middle], payload[middle:], n_ids)
 
 
-_STORES: dict[str, tuple[WordStore, int]] = {}
+#: Bytes of text that are encoded together, the longest part of a text, and pieces that a worker holds.
+CHUNK, PART, HELD = 16 << 20, 4 << 20, 500_000
+#: Fixed values of a tokenizers file. With these normalizers and this pattern a word of letters up to
+#: U+00FF, digits and signs is put in lower case and cut by the patterns below.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = "^[!-;=-~À-ÖØ-öø-ÿ]+$"
+_STEM_AND_SIGNS = "^(?P<stem>[a-zß-öø-ÿ]*)(?P<signs>[^a-z0-9'ß-öø-ÿ]*)$"
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-def _store(path: str) -> tuple[WordStore, int]:
-    """The worker process's encodings by the tokenizers library, and the number of ids."""
-    if path not in _STORES:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+class Encoder:
+    """The tokenizers library over Arrow arrays of texts.
 
-        def encode(words: list[bytes]) -> list[np.ndarray]:
-            rows = []
-            for at in range(0, len(words), 1024):  # the library's results take many times the ids' memory
-                texts = [w.decode("utf-8", "replace") for w in words[at : at + 1024]]
-                found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                rows += [np.array(e.ids, np.uint32) for e in found]
-            return rows
+    A tokenizer that drops white space encodes a text as its white-space words, one after the other.
+    Arrow finds the distinct words of some megabytes of text, and cuts the plain ones into letters
+    and signs. The library's model encodes each distinct piece once, and a worker remembers them.
+    Words with other characters, or with the sign that special tokens begin with, go through the
+    whole library, and so do all words of a tokenizer of another kind.
+    """
 
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        _STORES[path] = (WordStore(encode, np.uint32), size)
-    return _STORES[path]
+    def __init__(self, path: str, end_id: int):
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        spec = json.loads(self._tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self._known_kind = (
+            steps == _NORMALIZERS and first.get("pattern", {}).get("Regex") == _PATTERN
+            and all(t["content"].startswith("<") for t in spec["added_tokens"])
+        )
+        self.kind = id_kind(self._tokenizer, end_id)
+        self._end = end_id
+        self._store = WordStore(self._encode_pieces, np.dtype(self.kind), HELD)
+        self._symbols = {b: c for b, c in enumerate(byte_symbols()) if chr(b) != c}
+
+    def _encode_pieces(self, found: list[bytes]) -> list[list[int]]:
+        tokenize = self._tokenizer.model.tokenize
+        texts = (p.decode() if p.isascii() else p.decode("latin-1").translate(self._symbols) for p in found)
+        return [[t.id for t in tokenize(p)] if p else [] for p in texts]
+
+    def _whole(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each) by the whole library."""
+        rows = []
+        for at in range(0, len(words), 1024):  # the library's results take many times the ids' memory
+            texts = [w.decode("utf-8", "replace") for w in words[at : at + 1024]]
+            rows += [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), self.kind, int(sizes.sum())), sizes
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each word's first id, number of its ids)."""
+        starts, sizes = np.zeros((2, len(words)), np.int64)
+        if self._known_kind:
+            plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        else:
+            plain = np.zeros(len(words), bool)
+        others = np.flatnonzero(~plain)
+        other_ids, sizes[others] = self._whole(words.take(pa.array(others)).cast(pa.binary()).to_pylist())
+        lower = pc.utf8_lower(words.filter(pa.array(plain)))
+        cut = pc.extract_regex(lower, _STEM_AND_SIGNS)
+        simple = cut.is_valid().to_numpy(zero_copy_only=False)
+        place = np.flatnonzero(plain)
+        found: list[bytes] = []
+        owners, numbers = [], []
+        for k in (0, 1):
+            coded = cut.field(k).filter(pa.array(simple)).dictionary_encode()
+            owners.append(place[simple])
+            numbers.append(coded.indices.to_numpy() + len(found))
+            found += coded.dictionary.cast(pa.binary()).to_pylist()
+        rows = [_PIECES.findall(w) for w in lower.filter(pa.array(~simple)).to_pylist()]
+        owners.append(np.repeat(place[~simple], [len(r) for r in rows]).astype(np.int64))
+        numbers.append(np.arange(len(owners[-1])) + len(found))
+        found += [p.encode() for r in rows for p in r]
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        piece = self._store.places(found)[np.concatenate(numbers)[order]] if found else np.zeros(0, np.int64)
+        own = np.bincount(owner[order], self._store.sizes(piece), len(words)).astype(np.int64)
+        sizes[plain] = own[plain]
+        starts[place] = np.cumsum(own[place]) - own[place]
+        ids = self._store.gather(piece)
+        starts[others] = len(ids) + np.cumsum(sizes[others]) - sizes[others]
+        return np.concatenate([ids, other_ids]), starts, sizes
+
+    def _parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bare = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+        split = pc.ascii_split_whitespace(bare)
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        ids, starts, sizes = self.words(coded.dictionary)
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])[bounds - bounds[0]]
+        return gather(ids, starts[at], sizes[at]), np.diff(ends)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); long texts go in parts that end at white space."""
+        if not len(texts) or pc.max(pc.binary_length(texts)).as_py() <= PART:
+            return self._parts(texts)
+        rows, counts = [], np.zeros(len(texts), np.int64)
+        for number, part in pieces(texts.to_pylist(), PART):
+            ids, _ = self._parts(pa.array([part], pa.binary()))
+            rows.append(ids)
+            counts[number] += len(ids)
+        return np.concatenate(rows), counts
+
+    def rows(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text and the end id, as bytes."""
+        ids, counts = self.texts(texts)
+        ends = np.cumsum(counts + 1)
+        out = np.full(ends[-1] if len(ends) else 0, self._end, self.kind)
+        inner = np.ones(len(out), bool)
+        inner[ends - 1] = False
+        out[inner] = ids
+        offsets = np.concatenate([[0], ends * out.itemsize]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def id_kind(tokenizer: Tokenizer, end_id: int) -> str:
+    """Two bytes an id where all ids fit, else four."""
+    return "<u2" if max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    store, size = _store(path)
-    kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
-    tail = np.array([end_id], kind).tobytes()
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    encoder = _ENCODERS[path, end_id]
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        both = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([both.column("id"), encoder.rows(both.column("text"))], ["id", "ids"])
+
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        rows = [bytearray() for _ in texts]
-        for number, ids in encoded_pieces(store, texts):
-            rows[number] += ids.astype(kind).tobytes()
-        packed = pa.array([bytes(r + tail) for r in rows], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), packed], ["id", "ids"])
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= CHUNK:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+    release_memory()
 
 
 def _count(batches: Iterator[pa.RecordBatch], size: int, kind: str) -> Iterator[pa.RecordBatch]:
@@ -189,10 +307,10 @@ def write_token_files(
     spark = df.sparkSession
     tokenizer = Tokenizer.from_file(path)
     size = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
-    id_kind = dict(df.dtypes)[id_col]
+    kind = id_kind(tokenizer, end_id)
+    doc_kind = dict(df.dtypes)[id_col]
     slim = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    encoded = slim.mapInArrow(lambda it: _encode(it, path, end_id), f"id {id_kind}, ids binary")
+    encoded = slim.mapInArrow(lambda it: _encode(it, path, end_id), f"id {doc_kind}, ids binary")
     before = spark.conf.get("spark.sql.parquet.compression.codec")
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     try:
@@ -207,12 +325,13 @@ def write_token_files(
             ordered = encoded.repartitionByRange(shuffle_width(spark), "id", "h").sortWithinPartitions("id", "h")
             blocks = ordered.select("id", "ids").mapInArrow(
                 lambda it: _pack(it, shared.value, kind),
-                f"shard int, block int, start long, n_ids long, docs array<{id_kind}>, payload binary",
+                f"shard int, block int, start long, n_ids long, docs array<{doc_kind}>, payload binary",
             )
             folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
             ranks = spark.createDataFrame(list(enumerate(order)), "rank int, token long").coalesce(1)
             ranks.write.mode("error").parquet(f"{folder}/{RANKS}")
             blocks.write.mode("error").parquet(f"{folder}/{BLOCKS}")
+            discard(encoded)
     finally:
         spark.conf.set("spark.sql.parquet.compression.codec", before)
     return folder, order

@@ -2,13 +2,14 @@
 
 A byte-pair tokenizer that drops white space encodes a text as the encodings of its white-space
 words, one after the other. So each distinct word is encoded once; a text then costs a dictionary
-lookup for each word and one numpy gather. The store is emptied when it holds ``capacity`` words,
-which bounds its memory and changes no result.
+lookup for each word and one numpy gather. The store is emptied when it holds ``capacity`` words or
+``most_bytes`` of them, which bounds its memory and changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -21,8 +22,8 @@ BLANKS = b" \t\n\r\x0b\x0c"
 
 
 class WordStore:
-    def __init__(self, encode: Callable[[list[bytes]], list], dtype: type, capacity: int = 200_000):
-        self._encode, self._dtype, self._capacity = encode, dtype, capacity
+    def __init__(self, encode: Callable[[list[bytes]], list], dtype: type, capacity: int = 200_000, most_bytes: int = 1 << 25):
+        self._encode, self._dtype, self._capacity, self._most_bytes = encode, dtype, capacity, most_bytes
         self._reset()
 
     def _reset(self) -> None:
@@ -30,7 +31,7 @@ class WordStore:
         self._starts = np.zeros(1 << 12, np.int64)
         self._sizes = np.zeros(1 << 12, np.int64)
         self._flat = np.zeros(1 << 14, self._dtype)
-        self._used = 0
+        self._used = self._bytes = 0
 
     def _add(self, words: list[bytes]) -> None:
         rows = self._encode(words)
@@ -49,15 +50,18 @@ class WordStore:
         self._starts[first:last] = self._used + np.cumsum(sizes) - sizes
         self._sizes[first:last] = sizes
         if need > self._used:
-            self._flat[self._used : need] = np.concatenate([np.asarray(r, self._dtype) for r in rows])
+            lists = isinstance(rows[0], list)
+            new = np.fromiter(chain.from_iterable(rows), self._dtype, need - self._used) if lists else np.concatenate(rows)
+            self._flat[self._used : need] = new
         self._used = need
+        self._bytes += sum(map(len, words))
         self._index.update(zip(words, range(first, last), strict=True))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The place of each word; words not seen before are encoded."""
         found = list(map(self._index.get, words))
         if None in found:
-            if len(self._index) > self._capacity:
+            if len(self._index) > self._capacity or self._bytes > self._most_bytes:
                 self._reset()
                 found = [None]
             missing = list(dict.fromkeys(words)) if len(found) != len(words) else list(
