@@ -93,6 +93,16 @@ def key_filter(keys: DataFrame, column: str):
     return may_have
 
 
+def heavy_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: float, most: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and, in ``count``, how many of
+    the ``total`` rows bear it. Keys of over 1/most of the rows, ``most`` at most, are broadcast."""
+    heavy = table.filter(F.col(count) > total / most)
+    light = table.filter(F.col(count) <= total / most)
+    named = heavy.select(F.col(key).alias("__key"))
+    others = rows.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(others.join(light, key))
+
+
 #: Settings of the batches that go to Python workers, and the most rows and bytes of one.
 _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 

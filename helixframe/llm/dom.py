@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -14,12 +15,16 @@ _WORD = re.compile(r"[a-z]+")
 _BLANKS = re.compile(r"\s+")
 
 #: HTML's elements by how they stand in the text.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "select"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "select", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
-    "time", "tt", "u", "var",
+    "time", "tt", "u", "var", "object",
+    # formulas
+    "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror",
+    "mpadded", "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts",
+    "mprescripts", "none", "mtable", "mtr", "mtd", "maction",
 }
 #: Elements whose start closes an open element of the second set.
 CLOSES = {
@@ -30,14 +35,50 @@ CLOSES = {
 WALLS = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "aside", "nav", "form"}
 
 
+#: Elements that the start of another one may close.
+CLOSABLE = {"p"}.union(*CLOSES.values())
+
+
 @dataclass(slots=True)
 class Block:
+    """A stretch of text with the distinct tags and names of its ancestors and its innermost tag."""
+
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    tags: frozenset[str]
+    names: frozenset[str]
+    inner: str
     link_chars: int
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element, with what it and its ancestors hold; sets are shared where nothing is new."""
+
+    name: str
+    own: tuple[str, ...]
+    tags: frozenset[str]
+    names: frozenset[str]
+    inner: str
+    linked: bool
+    closable: frozenset[str]
+
+
+_TOP = _Open("", (), frozenset(), frozenset(), "none", False, frozenset())
+#: Elements that only format and are passed over for a block's innermost tag.
+_FORMATS = ("a", "b", "i", "em", "strong", "span")
+
+
+def _inside(above: _Open, name: str, own: tuple[str, ...], kept_tags: frozenset[str] | None, kept_names: frozenset[str] | None) -> _Open:
+    named = [w for w in own if w not in above.names and (kept_names is None or w in kept_names)]
+    known = name in above.tags or (kept_tags is not None and name not in kept_tags)
+    open_ends = frozenset() if name in WALLS else above.closable
+    return _Open(
+        name, own, above.tags if known else above.tags | {name}, above.names.union(named) if named else above.names,
+        above.inner if name in _FORMATS else name, above.linked or name == "a",
+        open_ends | {name} if name in CLOSABLE and name not in open_ends else open_ends,
+    )
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of the attributes that say what an element is for."""
     if not attributes or attributes.isspace():
@@ -53,11 +94,16 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def leaf_blocks(html: str) -> list[Block]:
+def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names: frozenset[str] | None = None) -> list[Block]:
     """The page's blocks in order. Elements that hold no running text (scripts, styles, title and the
-    like) and comments are left out; what is open at the end counts as closed there."""
+    like) and comments are left out; what is open at the end counts as closed there.
+
+    With ``kept_tags`` and ``kept_names`` blocks tell of those ancestors only, so that their size does
+    not grow with the depth of the page; the time grows with the page's length alone.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = [_TOP]
+    count: Counter[str] = Counter()
     held: list[str] = []
     linked = 0
 
@@ -66,18 +112,27 @@ def leaf_blocks(html: str) -> list[Block]:
         if held:
             text = _BLANKS.sub(" ", unescape("".join(held))).strip()
             if text:
-                tags = tuple(t for t, _ in stack)
-                blocks.append(Block(text, tags, tuple(n for _, ns in stack for n in ns), linked))
+                top = stack[-1]
+                blocks.append(Block(text, top.tags, top.names, top.inner, linked))
             held.clear()
         linked = 0
 
+    def push(name: str, own: tuple[str, ...]) -> None:
+        stack.append(_inside(stack[-1], name, own, kept_tags, kept_names))
+        count[name] += 1
+
+    def cut(k: int) -> None:
+        for gone in stack[k:]:
+            count[gone.name] -= 1
+        del stack[k:]
+
     at, end = 0, len(html)
     while at < end:
         found = _TAG.search(html, at)
         text = html[at : found.start() if found else end]
         if text:
             held.append(text)
-            if any(t == "a" for t, _ in stack):
+            if stack[-1].linked:
                 linked += len(text)
         if not found:
             break
@@ -89,7 +144,7 @@ def leaf_blocks(html: str) -> list[Block]:
             if not closing and not found.group(3).rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(html, at)
                 at = close.end() if close else end
-                if name not in ("svg", "math"):
+                if name not in ("svg", "annotation", "annotation-xml"):
                     held.append(" ")
             continue
         if name in VOID:
@@ -99,31 +154,35 @@ def leaf_blocks(html: str) -> list[Block]:
                 held.append(" ")
             continue
         if name in INLINE:
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k]
+            if not closing:
+                push(name, _names(found.group(3)))
+            elif count[name]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].name == name:
+                        again = [(e.name, e.own) for e in stack[k + 1 :]]
+                        cut(k)
+                        for one in again:
+                            push(*one)
                         break
-                    if stack[k][0] not in INLINE:
+                    if stack[k].name not in INLINE:
                         break
-            else:
-                stack.append((name, _names(found.group(3))))
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if count[name]:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                cut(k)
             continue
-        while stack and stack[-1][0] in INLINE:  # formatting left open does not reach the next block
-            stack.pop()
-        if name not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(name, ()):
-                    del stack[k:]
-                elif stack[k][0] in WALLS:
-                    break
-        stack.append((name, _names(found.group(3))))
+        while stack[-1].name in INLINE:  # formatting left open does not reach the next block
+            cut(len(stack) - 1)
+        ends = CLOSES.get(name, set()) | {"p"}
+        while not ends.isdisjoint(stack[-1].closable):
+            k = len(stack) - 1
+            while stack[k].name not in ends:
+                k -= 1
+            cut(k)
+        push(name, _names(found.group(3)))
     flush()
     return blocks

@@ -3,7 +3,7 @@
 Every text is reduced to its SHA-256. Misra-Gries summaries of the partitions, merged by a grouped
 sum, name the digests that may be frequent; their true counts and winners are then computed exactly.
 At most ``capacity`` winners exist, so they are broadcast and settle the frequent groups on the map
-side. All other digests are rarer than rows/capacity and go through ordinary grouping.
+side. All other digests have at most 2/capacity of the rows and go through ordinary grouping.
 """
 
 from __future__ import annotations
@@ -35,7 +35,12 @@ def misra_gries(batches: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.D
 
 
 def frequent_digests(digests: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """At most ``capacity`` rows (digest): every digest with over 1/capacity of the rows is in it."""
+    """At most ``capacity`` rows (digest): every digest with over 2/capacity of the N rows is in it.
+
+    A summary's counts are lower bounds, too low by N/capacity at most over all partitions. So such a
+    digest has a sum above N/capacity, which fewer than ``capacity`` digests can have, as all sums
+    together are N at most. Others may be in it; their counts are exact wherever they are used.
+    """
     parts = digests.select("digest").mapInPandas(lambda it: misra_gries(it, capacity), "digest binary, n long")
     merged = parts.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1")
     return merged.orderBy(F.desc("n"), "digest").limit(capacity).select("digest")

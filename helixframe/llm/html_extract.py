@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import Crf, train
+from .common import materialize, narrow_batches
 from .dom import Block, leaf_blocks
 
 #: How many labelled pages the field is trained on.
@@ -37,19 +38,27 @@ MAIN_NAMES = ["article", "content", "post", "entry", "story", "main", "body", "t
 _KNOWN = {w for names in BOILER_NAMES.values() for n in names for w in n.split()} | {w for n in MAIN_NAMES for w in n.split()}
 
 
+NAMES = frozenset(_KNOWN | {"hidden"})
+#: Elements whose presence above a block says what it is.
+ROLES = (
+    "nav", "header", "footer", "aside", "form", "article", "main", "section", "figure", "table", "li", "blockquote", "address",
+    "button", "dialog", "details", "fieldset", "p", "pre", "dl",
+)
+
+
 def describe(blocks: list[Block]) -> list[list[str]]:
     """Binary features of each block of a page."""
     out = []
     seen_head = False
     for k, b in enumerate(blocks):
-        tags, n = set(b.tags), len(b.text)
-        names = {w for w in b.names if w in _KNOWN or w == "hidden"}
+        tags, n = b.tags, len(b.text)
+        names = b.names & NAMES
         size = 0 if n < 15 else 1 if n < 40 else 2 if n < 100 else 3 if n < 250 else 4
         links = b.link_chars / max(n, 1)
         link = 0 if links == 0 else 1 if links < 0.5 else 2
         stop = "stop" if b.text[-1] in ".!?…:\"”»)" else "open"
-        inner = next((t for t in reversed(b.tags) if t not in ("a", "b", "i", "em", "strong", "span")), "none")
-        roles = [t for t in ("nav", "header", "footer", "aside", "form", "article", "main", "section", "figure", "table", "li", "blockquote", "address", "button", "dialog", "details", "fieldset", "p", "pre", "dl") if t in tags]
+        inner = b.inner
+        roles = [t for t in ROLES if t in tags]
         found = ["all", f"size{size}", f"link{link}", stop, f"in:{inner}", f"size{size}+link{link}"]
         found += [f"tag:{t}" for t in roles] + [f"name:{w}" for w in names]
         if "article" in tags or "main" in tags:
@@ -228,7 +237,7 @@ def trained_field(count: int = TRAIN_PAGES) -> Crf:
 
 def extract(html: str, field: Crf) -> str:
     """Main text of one page: its main blocks joined by blank lines."""
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, frozenset(ROLES), NAMES)
     labels = field.viterbi(describe(blocks))
     return "\n\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label)
 
@@ -259,4 +268,5 @@ def extract_pages(
     out = slim.mapInArrow(
         lambda it: _pages(it, shared.value), f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long"
     )
-    return out.withColumnsRenamed({"id": id_col, "url": url_col})
+    with narrow_batches(pages.sparkSession):
+        return materialize(out.withColumnsRenamed({"id": id_col, "url": url_col}), "pages")

@@ -1,9 +1,10 @@
 """Mixing of sources to target weights by Poisson replication.
 
 A source of weight w gets the mean repetition rate r = total * w / (sum of weights * its size). Each
-document's uniform number is a hash of seed and id; inverting the Poisson distribution of mean r at
+document's uniform number is a hash of seed, id and text; inverting the Poisson distribution of mean r at
 that number gives its count of copies, so the draw needs no state, and a lost task draws the same
-counts again. Documents are exploded by their counts and dealt out by a hash of seed, id and copy.
+counts again. Documents are exploded by their counts and dealt out by a hash of seed, id,
+text and copy.
 """
 
 from __future__ import annotations
@@ -85,14 +86,14 @@ def mix_sources(
     """Every document as often as its Poisson count says, in a global random order.
 
     Returns the columns of ``df``; with ``bookkeeping`` also mix_rate, mix_copies (the document's
-    count) and mix_copy (1..mix_copies). Rows that repeat an id get the same count each. A null
-    source is a source of its own, a null id hashes as a fixed word, a null or empty text has size
+    count) and mix_copy (1..mix_copies). Rows that repeat both id and text get the same count each. A
+    null source is a source of its own, a null id hashes as a fixed word, a null or empty text has size
     0; sources without any text get no copies. An empty table gives an empty table.
     """
     rates = materialize(
         source_rates(df, targets, total, source_col, text_col, temperature).filter("rate > 0"), "rates"
     ).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    key = F.col(id_col).cast("string")
+    key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text_or_empty(text_col)))
     counted = df.join(rates, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn(
         "__copies", poisson_count(seed, key, F.col("__rate"))
     )

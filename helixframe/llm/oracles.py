@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import COMMON_WORDS
-from .url_filter import RULES
+from .url_filter import PUBLIC_SUFFIXES, RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,13 +16,16 @@ def _rules() -> str:
     return "CASE " + "\n        ".join(tests) + " END"
 
 
+_TWO = "array_to_string((string_split(host, '.'))[-2:], '.')"
+_PUBLIC = f"{_TWO} IN ({', '.join(map(repr, PUBLIC_SUFFIXES))})"
+
 URL_FILTER = f"""
 WITH slim AS (
     SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 parts AS (
-    SELECT DISTINCT host, array_to_string((string_split(host, '.'))[-2:], '.') AS domain,
-           (string_split(host, '.'))[-1] AS suffix FROM slim),
+    SELECT DISTINCT host, CASE WHEN {_PUBLIC} THEN array_to_string((string_split(host, '.'))[-3:], '.') ELSE {_TWO} END AS domain,
+           CASE WHEN {_PUBLIC} THEN {_TWO} ELSE (string_split(host, '.'))[-1] END AS suffix FROM slim),
 counts AS (
     SELECT s.host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS k
     FROM slim s JOIN labels l ON s.page_id = l.doc_id WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL GROUP BY 1),
@@ -32,12 +35,12 @@ r AS (SELECT *, CASE WHEN k > 0 AND k < n AND n - nn / n > g - 1 THEN
 prior AS (SELECT (k + 1.0) / (n + 2.0) AS rate, CASE WHEN g < 2 OR n <= g OR rho IS NULL THEN 10.0
     ELSE least(200.0, greatest(2.0, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE 200.0 END)) END AS c FROM r),
 levels AS (SELECT p.*, coalesce(n, 0) AS n, coalesce(k, 0) AS k FROM parts p LEFT JOIN counts USING (host)),
-suffixes AS (SELECT suffix, (sum(k) + any_value(c) * any_value(rate)) / (sum(n) + any_value(c)) AS sm FROM levels, prior GROUP BY 1),
+suffixes AS (SELECT suffix, (sum(k) + any_value(c) * any_value(rate)) / (sum(n) + any_value(c)) AS sm, sum(n) AS sn FROM levels, prior GROUP BY 1),
 domains AS (SELECT domain, sum(n) AS dn, sum(k) AS dk FROM levels GROUP BY 1),
-means AS (SELECT host, n, c, (dk + c * sm) / (dn + c) AS dm, k FROM levels JOIN domains USING (domain) JOIN suffixes USING (suffix), prior),
-hosts AS (SELECT host, b - 1.645 * sqrt(b * (1 - b) / (n + c + 1)) AS low FROM (SELECT *, (k + c * dm) / (n + c) AS b FROM means)),
-judged AS (SELECT s.*, h.low, {_rules()} AS fit FROM slim s JOIN hosts h USING (host))
-SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN low > 0.2 THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+means AS (SELECT host, n, c, (dk + c * sm) / (dn + c) AS dm, k, n + dn + sn AS evidence FROM levels JOIN domains USING (domain) JOIN suffixes USING (suffix), prior),
+hosts AS (SELECT host, evidence, b - 1.645 * sqrt(b * (1 - b) / (n + c + 1)) AS low FROM (SELECT *, (k + c * dm) / (n + c) AS b FROM means)),
+judged AS (SELECT s.*, h.low, h.evidence, {_rules()} AS fit FROM slim s JOIN hosts h USING (host))
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN low > 0.2 AND evidence > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM judged
 """
 
 MIXING = """
@@ -45,7 +48,7 @@ WITH sizes AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS
 rates AS (SELECT source, sqrt(size) * (SELECT sum(size) / sum(sqrt(size)) FROM sizes) / size AS rate FROM sizes WHERE size > 0),
 pmf AS (SELECT source, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p FROM rates, range(0, 200) t(j)),
 cdf AS (SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM pmf),
-drawn AS (SELECT row_number() OVER () AS row, d.*, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents d),
+drawn AS (SELECT row_number() OVER () AS row, d.*, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) || '|1'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents d),
 counted AS (SELECT d.row, count(c.j) AS mix_copies FROM drawn d LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY 1)
 SELECT doc_id, text, lang, source, n_chars, CAST(mix_copies AS INT) AS mix_copies, CAST(unnest(range(1, mix_copies + 1)) AS INT) AS mix_copy
 FROM drawn JOIN counted USING (row) WHERE source IN (SELECT source FROM rates)

@@ -3,7 +3,8 @@
 Labelled page outcomes are counted per host. Each level's beta-binomial prior is the posterior mean of
 the level above: host <- registered domain <- suffix <- all. The concentration of the priors is
 estimated from the hosts by the method of moments. A page is blocked where the lower posterior bound
-of its host's rate of bad pages exceeds ``max_bad``. Stated rules go before the reputation.
+of its host's rate of bad pages exceeds ``max_bad`` and rests on labelled pages of its host, domain or
+suffix; without any such page it is allowed. Stated rules go before the reputation.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import heavy_join, materialize
 
 #: The rules that the query applies, longest first wins.
 RULES = (
@@ -23,6 +24,20 @@ RULES = (
 )
 
 
+#: Suffixes of two labels below which domains are registered.
+PUBLIC_SUFFIXES = (
+    "co.uk", "org.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "ac.uk", "gov.uk", "nhs.uk", "sch.uk", "com.au", "net.au", "org.au",
+    "edu.au", "gov.au", "id.au", "co.nz", "net.nz", "org.nz", "ac.nz", "govt.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "co.kr",
+    "or.kr", "ac.kr", "go.kr", "com.cn", "net.cn", "org.cn", "edu.cn", "gov.cn", "com.tw", "org.tw", "edu.tw", "com.hk", "org.hk",
+    "edu.hk", "com.sg", "edu.sg", "com.my", "co.id", "or.id", "ac.id", "co.th", "ac.th", "com.ph", "com.vn", "co.in", "net.in",
+    "org.in", "ac.in", "gov.in", "com.pk", "com.bd", "com.tr", "org.tr", "edu.tr", "gov.tr", "co.il", "org.il", "ac.il", "com.sa",
+    "com.eg", "co.za", "org.za", "ac.za", "gov.za", "co.ke", "com.ng", "com.br", "net.br", "org.br", "gov.br", "edu.br", "com.ar",
+    "org.ar", "edu.ar", "com.mx", "org.mx", "gob.mx", "edu.mx", "com.co", "com.pe", "com.ve", "com.uy", "com.ec", "com.ua", "com.pl",
+    "net.pl", "org.pl", "edu.pl", "com.pt", "com.gr", "com.ru", "co.at", "or.at", "ac.at", "com.es", "org.es", "gob.es", "asso.fr",
+    "gouv.fr", "com.fr", "co.hu",
+)
+
+
 def host_of(url: Column) -> Column:
     """What stands between the first :// and the next / ? # or the end, A-Z lower-cased; '' without ://."""
     raw = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -45,17 +60,22 @@ def matching_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return fits
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host; the host itself where it has fewer."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
+    """The last two labels of a host where they are in ``suffixes``, else the last one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(list(suffixes)), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def registered_domain(host: Column, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
+    """The suffix of a host and the label before it; the host itself where it has no more."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(list(suffixes)), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
-    """Per row of ``hosts`` (host): posterior mean and bounds of its rate of bad pages.
+    """Per row of ``hosts`` (host, other columns): posterior mean and bounds of its rate of bad pages.
+
+    evidence is the number of labelled pages of its host, domain and suffix, each level's own.
 
     ``outcomes`` has host and bad (0/1), one row per labelled page; rows with a null outcome are
     left out. Counts are aggregated before any join. Without any outcome every rate is 1/2 with the
@@ -73,19 +93,19 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     c = F.lit(strength)
     levels = counts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix_of(F.col("host"))})
     suffixes = levels.groupBy("suffix").agg(
-        ((F.sum("k") + c * rate) / (F.sum("n") + c)).alias("suffix_mean")
+        ((F.sum("k") + c * rate) / (F.sum("n") + c)).alias("suffix_mean"), F.sum("n").alias("sn")
     )
     domains = levels.groupBy("domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     named = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix_of(F.col("host"))})
     joined = (
         named.join(counts, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-        .fillna(0.0, ["n", "k", "dn", "dk"]).fillna(rate, ["suffix_mean"])
+        .fillna(0.0, ["n", "k", "dn", "dk", "sn"]).fillna(rate, ["suffix_mean"])
         .withColumn("domain_mean", (F.col("dk") + c * F.col("suffix_mean")) / (F.col("dn") + c))
     )
     mean = (F.col("k") + c * F.col("domain_mean")) / (F.col("n") + c)
     spread = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("n") + c + 1))
     return joined.withColumn("bad_mean", mean).select(
-        "host", "n", "k", "domain_mean", "suffix_mean", "bad_mean",
+        *[F.col(x) for x in hosts.columns], (F.col("n") + F.col("dn") + F.col("sn")).alias("evidence"), "n", "k", "domain_mean", "suffix_mean", "bad_mean",
         (F.col("bad_mean") - z * spread).alias("bad_low"), (F.col("bad_mean") + z * spread).alias("bad_high"),
     )
 
@@ -116,7 +136,7 @@ def judge_urls(
 
     ``outcomes`` has the pages' id column and bad (0/1); a page may have none or several. A null url
     or one without :// has an empty host and path; such pages share the reputation of the empty
-    host. Only id and url are read of ``pages``, so other columns may have any names. Repeated pages
+    host. A page without labelled pages of its host, domain or suffix is allowed where no rule fits. Only id and url are read of ``pages``, so other columns may have any names. Repeated pages
     give repeated rows.
     """
     url = F.col(url_col)
@@ -125,11 +145,12 @@ def judge_urls(
         outcomes.select(F.col(id_col).alias("id"), F.col("bad").cast("double").alias("bad")), "id"
     ).select("host", "bad")
     reputation = materialize(
-        host_reputation(labelled, slim.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).select("host"), z),
-        "hosts",
-    ).select("host", "bad_mean", "bad_low")
-    judged = slim.join(reputation, "host").withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
+        host_reputation(labelled, slim.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), z), "hosts"
+    ).select("host", "pages", "evidence", "bad_mean", "bad_low")
+    total = reputation.agg(F.sum("pages")).first()[0] or 0
+    judged = heavy_join(slim, reputation, "host", "pages", total)
+    judged = judged.withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
+    own = F.when((F.col("bad_low") > max_bad) & (F.col("evidence") > 0), "block").otherwise("allow")
     return judged.select(
         F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce("fit.verdict", own).alias("verdict"), "bad_mean", "bad_low",

@@ -250,6 +250,16 @@ def test_reputation_shrinks_to_the_domain(spark):
     assert got["bad.x.net"].bad_mean > got["new.x.net"].bad_mean > got["new.y.net"].bad_mean > got["good.y.net"].bad_mean
 
 
+def test_domains_below_public_suffixes_and_repeated_pages(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "host string")
+    got = hosts.select(url_filter.registered_domain(F.col("host")), url_filter.suffix_of(F.col("host"))).collect()
+    assert [tuple(r) for r in got] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
+    pages = spark.createDataFrame([(1, "http://h.net/a")] * 3000 + [(k, f"http://h{k}.org/") for k in range(2, 40)] + [(None, None)], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    assert url_filter.judge_urls(pages, none).count() == 3039
+    assert url_filter.judge_urls(pages.filter("false"), none).count() == 0
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 

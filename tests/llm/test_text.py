@@ -3,6 +3,7 @@
 import html as html_lib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -46,6 +47,52 @@ def test_host_and_suffix_decide_a_short_text(spark):
     assert out[0].lang_probability != out[1].lang_probability
 
 
+def fused(rows, model):
+    """Probabilities of the languages of rows (text, declared, address), by plain numpy over all rows."""
+    names = [*model.languages, "und"]
+    hosts = [re.sub(r"^[^:]*://([^/?#]*).*$", r"\1", a).lower() for _, _, a in rows]
+    domains = [".".join(h.split(".")[-2:]) for h in hosts]
+    logs = model.evidence([t.encode() for t, _, _ in rows])
+    post = np.exp(logs - logs.max(axis=1, keepdims=True))
+    post /= post.sum(axis=1, keepdims=True)
+    base = (post.sum(axis=0) + 1) / (post.sum() + len(names))
+    shrunk = lambda own, above: (own + 20.0 * above) / (own.sum() + 20.0)
+    of_domain = {d: shrunk(post[[x == d for x in domains]].sum(axis=0), base) for d in domains}
+    of_host = {h: shrunk(post[[x == h for x in hosts]].sum(axis=0), of_domain[".".join(h.split(".")[-2:])]) for h in hosts}
+    said = np.full((len(names), len(names)), 5.0)
+    np.fill_diagonal(said, 15.0 * (len(names) - 1))
+    known = [None if d is None else names.index(d) if d in model.languages else len(names) - 1 for _, d, _ in rows]
+    for k, p in zip(known, post, strict=True):
+        if k is not None:
+            said[k] += p
+    said = np.log(said / said.sum(axis=0, keepdims=True))
+    out = []
+    for k, row in enumerate(logs):
+        row = row + np.log(of_host[hosts[k]]) + (0 if known[k] is None else said[known[k]])
+        own = language_id.SUFFIX_LANGUAGES.get(hosts[k].split(".")[-1])
+        row = row + np.array([np.log(4.0) if n == own else 0.0 for n in names])
+        p = np.exp(row - row.max())
+        out.append((names[int(p.argmax())], p.max() / p.sum()))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train_text_model(docs)
+    r = np.random.default_rng(3)
+    words = [w for t in docs.limit(40).collect() for w in t.text.split() if w.isalpha()]
+    hosts = ["A.site.fr", "b.site.fr", "site.de", "x.y.net", "y.net", "z.com"]
+    rows = [
+        (" ".join(r.choice(words, r.integers(1, 6))), [None, "en", "fr", "xx"][r.integers(4)], f"http://{hosts[r.integers(6)]}/p?q=1")
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "id long, text string, declared string, url string").repartition(3)
+    out = language_id.identify_language(df, declared_col="declared", host_col=None, address_col="url", model=model).orderBy("id").collect()
+    for got, (name, p) in zip(out, fused(rows, model), strict=True):
+        assert abs(got.lang_probability - p) < 1e-6
+        assert got.lang_found == name and got.lang_kept == (name != "und" and p >= 0.5)
+
+
 def test_every_labelled_language_has_a_model(spark):
     r = np.random.default_rng(5)
     letters = list("abcdefghijklmnopqrstuvwxyz")
@@ -125,6 +172,47 @@ def test_leaf_blocks(page, texts):
     assert [b.text for b in dom.leaf_blocks(page)] == texts
 
 
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ("<p>Let <math><mi>x</mi><annotation>x</annotation></math> be.</p>", ["Let x be."]),
+        ("<p>See <object data=x><b>this</b></object>.</p>", ["See this."]),
+        ("<ul><li><div>a<blockquote>b<li>c</ul>d", ["a", "b", "c", "d"]),
+        ("<p><a>x<i>y</a>z</i>", ["xyz"]),
+    ],
+)
+def test_formulas_and_open_elements(page, texts):
+    assert [b.text for b in dom.leaf_blocks(page)] == texts
+
+
+def test_deep_pages_take_time_by_their_length():
+    page = "<div class='content'>x" * 60_000 + "</b></q>" * 60_000
+    began = time.process_time()
+    blocks = dom.leaf_blocks(page, frozenset(html_extract.ROLES), html_extract.NAMES)
+    assert len(blocks) == 60_000 and time.process_time() - began < 10
+    assert blocks[-1].names == {"content"} and blocks[-1].inner == "div"
+
+
+#: Pages written by hand in layouts of their own, with the article that a reader would keep.
+WRITTEN = [
+    ("""<!doctype html><html lang=en><head><title>Tides</title></head><body><header><a href=/>Home</a> <a href=/a>About us</a></header>
+    <main><h1>How tides work</h1><p>The moon pulls on the sea, and the sea follows it around the world twice a day.</p>
+    <p>Where the coast is narrow the water piles up, and the range may reach ten metres or more.</p></main>
+    <footer><p>© 2020 The Tide Office. All rights reserved.</p></footer></body></html>""",
+     ["How tides work", "The moon pulls on the sea, and the sea follows it around the world twice a day.", "Where the coast is narrow the water piles up, and the range may reach ten metres or more."]),
+    ("""<html><body><div id="nav"><ul><li><a href=1>News</a><li><a href=2>Sport</a><li><a href=3>Weather</a></ul></div>
+    <div class="post"><h2>A quiet harbour</h2><p>Nobody had seen the boats leave, but in the morning every berth was empty.</p>
+    <p>By noon the first of them came back, loaded with herring and followed by gulls.</p></div>
+    <div class="comments"><p>Great story! I love it.</p></div><div class="sidebar"><h3>Related</h3><a href=4>More harbours</a></div></body></html>""",
+     ["A quiet harbour", "Nobody had seen the boats leave, but in the morning every berth was empty.", "By noon the first of them came back, loaded with herring and followed by gulls."]),
+]
+
+
+@pytest.mark.parametrize("page,want", WRITTEN)
+def test_pages_written_by_hand(page, want):
+    assert html_extract.extract(page, html_extract.trained_field()) == "\n\n".join(want)
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
@@ -140,6 +228,8 @@ def test_odd_pages(spark):
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert [(r.page_id, r.url, r.n_chars) for r in out[:4]] == [(1, None, 0), (2, "u", 0), (3, "u", 0), (3, "u", 0)]
     assert out[4].text.count("\n\n") == 19999
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract_pages(none).count() == 0
 
 
 def test_pipeline_stages(spark):

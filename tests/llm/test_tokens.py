@@ -131,11 +131,11 @@ def test_repeated_and_null_ids_keep_every_document(spark, docs):
 
 def brute(scores, text):
     """Best score and count over all segmentations, longest last piece first on ties."""
-    lowest = min(scores.values()) - unigram_counts.UNKNOWN
+    lowest, longest = min(scores.values()) - unigram_counts.UNKNOWN, max(map(len, scores))
     best = [(0.0, 0)]
     for e in range(1, len(text) + 1):
         top = None
-        for s in range(e):
+        for s in range(max(0, e - longest), e):
             piece = text[s:e]
             if piece in scores:
                 option = (best[s][0] + scores[piece], best[s][1] + 1)
@@ -152,16 +152,48 @@ def brute(scores, text):
 def test_unigram_counts_equal_brute_force(spark, docs):
     path = public_tokenizers.path(queries.PIECES)
     scores = unigram_counts.unigram_scores(path)
-    got = sorted(map(tuple, unigram_counts.count_tokens(docs, path).collect()), key=str)
+    got = sorted(map(tuple, unigram_counts.count_tokens(docs, path, scores=scores).collect()), key=str)
     cache, want = {}, []
     for doc_id, text, _ in docs.collect():
         words = [w.decode() for w in (text or "").encode().split()]
         for w in words:
-            if w not in cache and len(w) < 200:
+            if w not in cache:
                 cache[w] = brute(scores, unigram_counts.MARK + w)
-        want.append((doc_id, len(words), sum(cache.get(w, -1) for w in words) if all(w in cache for w in words) else None))
-    for g, w in zip(got, sorted(want, key=str), strict=True):
-        assert g == w or w[2] is None
+        want.append((doc_id, len(words), sum(cache[w] for w in words)))
+    assert got == sorted(want, key=str)
+
+
+def segmentations(word, known):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if word[:n] in known or n == 1:
+            for rest in segmentations(word[n:], known):
+                yield [word[:n], *rest]
+
+
+def test_expected_pieces_equal_all_segmentations():
+    probs = {"a": 0.2, "b": 0.1, "ab": 0.3, "ba": 0.15, "aba": 0.25}
+    for word in ("a", "abab", "aabba", "abazab", "zz"):
+        want, total = {}, 0.0
+        for parts in segmentations(word, probs):
+            p = float(np.prod([probs.get(x, 1e-3) for x in parts]))
+            total += p
+            for x in parts:
+                want[x] = want.get(x, 0.0) + p
+        got = unigram_counts.expected_pieces(word, probs, 3, 1e-3)
+        assert got == pytest.approx({x: p / total for x, p in want.items()})
+
+
+def test_fit_raises_the_likelihood(spark):
+    path = public_tokenizers.path(queries.PIECES)
+    df = spark.createDataFrame([(i, f"the cat sat on the mat no {i % 7}") for i in range(300)], "doc_id long, text string")
+    fitted = {r.piece: r.score for r in unigram_counts.fit_unigram(df, path).collect()}
+    start = unigram_counts.unigram_scores(path)
+    assert fitted.keys() == start.keys() and abs(sum(np.exp(list(fitted.values()))) - 1) < 1e-6
+    assert all(fitted[p] > start[p] for p in ("▁cat", "▁mat") if p in start)
+    unchanged = {r.piece: r.score for r in unigram_counts.fit_unigram(df.filter("false"), path).collect()}
+    assert unchanged == pytest.approx(start)
 
 
 def test_unigram_counts_equal_the_library():
