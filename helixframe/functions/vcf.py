@@ -24,7 +24,7 @@ def allele_numbers(cn: Column, mcc: Column, ref: Column) -> Column:
 
     -1 stands for an unknown allele, MAX_ALLELE for any number above the reference.
     """
-    one = F.array(F.when(ref == 1, cn).otherwise(cn))
+    one = F.array(cn)
     known = F.array(F.least(mcc, cn - mcc), F.greatest(mcc, cn - mcc))
     open_ = (
         F.when(cn == 0, F.array(F.lit(0), F.lit(0))).when(cn == 1, F.array(F.lit(0), F.lit(1))).when(cn == 2, F.array(F.lit(1), F.lit(1)))

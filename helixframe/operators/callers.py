@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def phred(p: Column, cap: float) -> Column:
-    """-10 log10 of a probability, at most ``cap``."""
-    return F.least(F.lit(float(cap)), -10 * F.log10(F.greatest(p, F.lit(10 ** (-cap / 10)))))
+    """-10 log10 of a probability, at most ``cap``; 0, not -0, at one."""
+    return F.least(F.lit(float(cap)), -10 * F.log10(F.greatest(p, F.lit(10 ** (-cap / 10))))) + F.lit(0.0)
 
 
 def logistic_q(features: list[Column], weights: list[float], intercept: float, most: int = 60) -> Column:
@@ -50,28 +50,33 @@ def trio_calls(likelihoods: DataFrame, roles: dict[str, str], key: list[str], hi
     1 - G / (T - L), for a loss 1 - L / (T - G), where T is the sum of all triples and G and L sum
     those in which the child alone is above or below two copies.
     """
-    spark = likelihoods.sparkSession
-    steps = spark.createDataFrame(transmission(highest), "parent int, pass int, t double")
-    a = steps.select(F.col("parent").alias("mother"), F.col("pass").alias("g1"), F.col("t").alias("t1"))
-    b = steps.select(F.col("parent").alias("father"), F.col("pass").alias("g2"), F.col("t").alias("t2"))
-    child = a.crossJoin(b).withColumn("child", F.col("g1") + F.col("g2")).filter(F.col("child") <= highest)
-    child = child.groupBy("mother", "father", "child").agg(F.sum(F.col("t1") * F.col("t2")).alias("t"))  # at most 5 x 5 x 5 rows
-
-    def own(role: str) -> DataFrame:
-        rows = likelihoods.filter((F.col("sample") == roles[role]) & (F.col("cn") <= highest))
-        return rows.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("cn", "p"))).alias(f"p_{role}"))
-
-    each = own("mother").join(own("father"), key).join(own("child"), key)
-    triples = each.crossJoin(F.broadcast(child)).withColumn(
-        "l", F.col("p_mother")[F.col("mother")] * F.col("p_father")[F.col("father")] * F.col("p_child")[F.col("child")] * F.col("t")
-    )
-    above, below = F.col("child") > 2, F.col("child") < 2
-    gain = above & (F.col("mother") <= 2) & (F.col("father") <= 2)
-    loss = below & (F.col("mother") >= 2) & (F.col("father") >= 2)
-    joint = triples.groupBy(*key).agg(
-        F.max(F.struct("l", (-F.col("mother")).alias("m"), (-F.col("father")).alias("f"), (-F.col("child")).alias("c"))).alias("top"),
-        F.sum("l").alias("total"), F.sum(F.when(gain, F.col("l")).otherwise(0.0)).alias("g"), F.sum(F.when(loss, F.col("l")).otherwise(0.0)).alias("s"),
-        F.first("p_mother").alias("p_mother"), F.first("p_father").alias("p_father"), F.first("p_child").alias("p_child"),
+    t = {}
+    for mother, g1, t1 in transmission(highest):
+        for father, g2, t2 in transmission(highest):
+            if g1 + g2 <= highest:
+                t[mother, father, g1 + g2] = t.get((mother, father, g1 + g2), 0.0) + t1 * t2
+    named = ("mother", "father", "child")
+    triples = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(named, k, strict=True)], F.lit(v).alias("t")) for k, v in t.items()])
+
+    def own(role: str) -> Column:
+        return F.map_from_entries(F.collect_list(F.when(F.col("sample") == roles[role], F.struct("cn", "p")))).alias(f"p_{role}")
+
+    wanted = likelihoods.filter(F.col("sample").isin([roles[r] for r in named]) & (F.col("cn") <= highest))
+    each = wanted.groupBy(*key).agg(*[own(r) for r in named])
+    for r in named:
+        each = each.filter(F.size(f"p_{r}") > 0)
+    scored = F.transform(triples, lambda x: F.struct(
+        (F.col("p_mother")[x["mother"]] * F.col("p_father")[x["father"]] * F.col("p_child")[x["child"]] * x["t"]).alias("l"),
+        (-x["mother"]).alias("m"), (-x["father"]).alias("f"), (-x["child"]).alias("c"),
+    ))
+
+    def summed(test) -> Column:
+        return F.aggregate("scored", F.lit(0.0), lambda a, x: a + F.when(test(x), x["l"]).otherwise(0.0))
+
+    joint = each.withColumn("scored", scored).select(
+        *key, *[f"p_{r}" for r in named], F.array_max("scored").alias("top"), summed(lambda x: F.lit(True)).alias("total"),
+        summed(lambda x: (x["c"] < -2) & (x["m"] >= -2) & (x["f"] >= -2)).alias("g"),
+        summed(lambda x: (x["c"] > -2) & (x["m"] <= -2) & (x["f"] <= -2)).alias("s"),
     )
     joint = joint.select(*key, (-F.col("top.m")).alias("mother"), (-F.col("top.f")).alias("father"), (-F.col("top.c")).alias("child"), "total", "g", "s", "p_mother", "p_father", "p_child")
 
@@ -147,8 +152,3 @@ def snv_purity(sites: DataFrame, least: int = 100) -> DataFrame:
     share = F.col("alt_count") / (F.col("ref_count") + F.col("alt_count"))
     low = sites.filter((F.col("ref_count") + F.col("alt_count") > 0) & (share < 0.5) & (F.col("alt_count") > 0)).select(share.alias("v"))
     return low.agg(F.count(F.lit(1)).alias("sites"), F.when(F.count(F.lit(1)) >= least, 2 * F.median("v")).alias("purity"))
-
-
-def spark_states(spark: SparkSession) -> DataFrame:
-    """Copy numbers 0 to 4 as a table."""
-    return spark.range(5).select(F.col("id").cast("int").alias("cn"))

@@ -170,8 +170,8 @@ def e01(spark, sf_dir):
     return cube(spark, sf_dir)
 
 
-@query("e02_metrics", sql(CUBE + """, s AS (SELECT sum(bases) FILTER (WHERE call_cn IS NOT NULL) AS all_, sum(bases) FILTER (WHERE call_cn = known_cn) AS ok,
-    sum(bases) FILTER (WHERE known_cn != 2) AS ka, sum(bases) FILTER (WHERE call_cn != 2) AS ca, sum(bases) FILTER (WHERE known_cn != 2 AND call_cn = known_cn) AS hit FROM cube)
+@query("e02_metrics", sql(CUBE + """, s AS (SELECT sum(bases) FILTER (WHERE call_cn IS NOT NULL) AS all_, coalesce(sum(bases) FILTER (WHERE call_cn = known_cn), 0) AS ok,
+    sum(bases) FILTER (WHERE known_cn != 2) AS ka, sum(bases) FILTER (WHERE call_cn != 2) AS ca, coalesce(sum(bases) FILTER (WHERE known_cn != 2 AND call_cn = known_cn), 0) AS hit FROM cube)
     SELECT round(100 * ok / all_, 6) AS accuracy, round(100 * hit / ka, 6) AS recall, round(100 * hit / ca, 6) AS precision FROM s""", "intervals"))
 def e02(spark, sf_dir):
     """The headline metrics; tests cover all fifteen."""

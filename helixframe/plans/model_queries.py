@@ -22,22 +22,36 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-KMERS = """, p AS (SELECT seq_id, seq, unnest(range(0, length(seq) - 4)) AS pos FROM sequences WHERE length(seq) >= 5),
-    k AS (SELECT seq_id, pos, upper(substr(seq, CAST(pos + 1 AS BIGINT), 5)) AS w FROM p),
-    c AS (SELECT seq_id, pos, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM k WHERE regexp_full_match(w, '[ACGT]+'))"""
+def kmer_views(view: str, k: int) -> str:
+    """SQL of the canonical k-mers of a view of sequences."""
+    return f""", p AS (SELECT seq_id, seq, unnest(range(0, length(seq) - {k - 1})) AS pos FROM {view} WHERE length(seq) >= {k}),
+    k AS (SELECT seq_id, pos, upper(substr(seq, CAST(pos + 1 AS BIGINT), {k})) AS w FROM p),
+    c AS (SELECT seq_id, pos, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM k WHERE regexp_full_match(w, '[ACGT]+')),
+    one AS (SELECT kmer FROM c GROUP BY 1 HAVING count(*) = 1)"""
 
 
-@query("c22_canonical_kmers", sql(KMERS + " SELECT kmer, count(*) AS n FROM c GROUP BY 1", "sequences"))
+@query("c22_canonical_kmers", sql(kmer_views("sequences", 5) + " SELECT kmer, count(*) AS n FROM c GROUP BY 1", "sequences"))
 def c22(spark, sf_dir):
     """Counts of canonical 5-mers."""
     return kmers.kmer_counts(ad.sequences(spark, sf_dir), 5)
 
 
-@query("x01_unique_kmers", sql(KMERS + " SELECT seq_id, count(*) AS kmers, count(*) FILTER (WHERE kmer IN (SELECT kmer FROM c GROUP BY 1 HAVING count(*) = 1)) AS unique_kmers FROM c GROUP BY 1", "sequences"))
+@query("x01_unique_kmers", sql(kmer_views("contigs", 35) + " SELECT seq_id, count(*) AS kmers, count(*) FILTER (WHERE kmer IN (FROM one)) AS unique_kmers FROM c GROUP BY 1", "contigs"))
 def x01(spark, sf_dir):
-    """K-mers of each sequence that occur once over all sequences."""
-    flags = kmers.unique_flags(ad.sequences(spark, sf_dir), 5)
-    return flags.groupBy("seq_id").agg(F.count(F.lit(1)).alias("kmers"), F.sum(F.col("is_unique").cast("long")).alias("unique_kmers"))
+    """K-mers of 35 letters of each sequence that occur once over all sequences."""
+    contigs = ad.contigs(spark, sf_dir)
+    single = kmers.unique_places(contigs, 35).groupBy("seq_id").agg(F.count(F.lit(1)).alias("single"))
+    rows = kmers.kmers_of(contigs, 35).join(single, "seq_id", "left")
+    return rows.select("seq_id", F.col("n").alias("kmers"), F.coalesce("single", F.lit(0)).alias("unique_kmers"))
+
+
+@query("x02_cased_sequences", sql(kmer_views("contigs", 35) + """, u AS (SELECT seq_id, pos FROM c WHERE kmer IN (FROM one)),
+    l AS (SELECT seq_id, substr(seq, CAST(pos + 1 AS BIGINT), 1) AS letter, pos FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS pos FROM contigs)),
+    d AS (SELECT l.seq_id, string_agg(CASE WHEN u.pos IS NULL THEN lower(letter) ELSE upper(letter) END, '' ORDER BY l.pos) AS seq FROM l LEFT JOIN u USING (seq_id, pos) GROUP BY 1)
+    SELECT seq_id, coalesce(d.seq, c.seq) AS seq FROM contigs c LEFT JOIN d USING (seq_id)""", "contigs"))
+def x02(spark, sf_dir):
+    """Sequences with upper case where a unique k-mer of 35 letters starts."""
+    return kmers.cased(ad.contigs(spark, sf_dir), 35)
 
 
 @query("m06_haar_segments")
@@ -227,9 +241,3 @@ def c06(spark, sf_dir):
     stats_ = ad.sample_bins(spark, sf_dir).groupBy("sample").agg(F.avg("cnt").alias("m"), F.var_samp("cnt").alias("v")).collect()
     table = models.likelihood_table(spark, {r["sample"]: r["m"] for r in stats_}, {r["sample"]: r["v"] for r in stats_}, 4, 60)
     return table.select("sample", "cn", "depth", F.round("p", 9).alias("p"))
-
-
-@query("x02_cased_sequences")
-def x02(spark, sf_dir):
-    """Sequences with upper case where a unique k-mer starts."""
-    return kmers.cased(ad.sequences(spark, sf_dir), 9)

@@ -103,7 +103,7 @@ def f15(spark, sf_dir):
     return each.groupBy("chrom", "seg").agg(F.bool_and(F.col("n") >= 10).alias("enough"))
 
 
-@query("c11_phred", sql(TILED + " SELECT chrom, start_pos, round(least(60, -10 * log10(greatest(pow(10, -q), 1e-6))), 6) AS q FROM tiled", "tiles"))
+@query("c11_phred", sql(TILED + " SELECT chrom, start_pos, round(least(60, -10 * log10(greatest(pow(10, -q), 1e-6))) + 0.0, 6) AS q FROM tiled", "tiles"))
 def c11(spark, sf_dir):
     return tiled(spark, sf_dir).select("chrom", "start_pos", F.round(callers.phred(F.pow(F.lit(10.0), -F.col("q")), 60), 6).alias("q"))
 

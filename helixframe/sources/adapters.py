@@ -104,6 +104,16 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), text.alias("seq"))
 
 
+#: Every letter and the blank of a text as a base, so that long words of bases occur.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+LETTERS = (_LATIN + _LATIN.upper() + " ", "".join("acgt"[k % 4] for k in range(26)) + "".join("ACGT"[k % 4] for k in range(26)) + "a")
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nucleotide sequence for every document, broken by signs and digits only."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.translate("text", *LETTERS).alias("seq"))
+
+
 _CHROM = "concat('chr', CAST(1 + {} % 5 AS VARCHAR))"
 CTES = {
     "bins": f"""bins AS (SELECT {_CHROM.format('p.p_partkey')} AS chrom, CAST(p.p_partkey * 1000 AS BIGINT) AS start_pos,
@@ -133,6 +143,7 @@ CTES = {
         CAST(l_quantity AS INT) AS mapq, l_returnflag = 'R' AS is_dup, l_linestatus = 'O' AS is_forward,
         CAST(100 + l_orderkey % 300 AS INT) AS frag_len, l_orderkey AS read_id, l_linenumber AS mate FROM lineitem)""",
     "sequences": """sequences AS (SELECT doc_id AS seq_id, translate(text, 'ETAOINetaoin', 'ACGTACacgtac') AS seq FROM documents)""",
+    "contigs": f"""contigs AS (SELECT doc_id AS seq_id, translate(text, '{LETTERS[0]}', '{LETTERS[1]}') AS seq FROM documents)""",
 }
 
 
