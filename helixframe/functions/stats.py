@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,37 @@ def local_deviation(df: DataFrame, value: str, by: list[str], order: str, width:
     return steps.groupBy(*by, "win").agg(
         F.stddev_samp("__d").alias("local_sd"), F.avg(value).alias("win_mean"), F.count("__d").alias("n")
     ).filter(F.col("n") == width).drop("n")
+
+
+def inflation(trim: float, steps: int = 10_000) -> float:
+    """One over the second moment of a standard normal cut off at ``trim`` on both sides, by the midpoint rule."""
+    normal = NormalDist()
+    edge = normal.inv_cdf(1 - trim)
+    width = 2 * edge / steps
+    moment = sum((x := -edge + (k + 0.5) * width) * x * normal.pdf(x) for k in range(steps)) * width / (1 - 2 * trim)
+    return 1 / moment
+
+
+def trimmed_variance(df: DataFrame, value: str, by: list[str], order: list[str], trim: float = 0.025) -> DataFrame:
+    """Per group: half the mean square of the smallest 1 - 2 trim of the differences of neighbours, inflated.
+
+    The last row of a contig and the first of the next are neighbours. Equal differences are counted
+    once, so that ranks come from sums over distinct values.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    steps = df.withColumn("d", F.abs(F.col(value) - F.lag(value).over(w))).filter("d is not null")
+    counts = steps.groupBy(*by, "d").agg(F.count(F.lit(1)).alias("n"))
+    below = Window.partitionBy(*by).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"upto": F.sum("n").over(below), "keep": F.bround((1 - 2 * trim) * F.sum("n").over(Window.partitionBy(*by)), 0)})
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.col("keep") - (F.col("upto") - F.col("n"))))
+    sums = ranked.groupBy(*by).agg(F.sum(taken * F.col("d") * F.col("d")).alias("s"), F.max("keep").alias("k"))
+    return sums.select(*by, (F.lit(inflation(trim)) * F.col("s") / (2 * F.col("k"))).alias("variance"))
+
+
+def rounded_index(df: DataFrame, value: str, share: float, by: list[str], name: str) -> DataFrame:
+    """Per group sorted[round half even(n * share)], by running sums over distinct values."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(Window.partitionBy(*by))
+    ranked = counts.withColumns({"upto": F.sum("n").over(below), "at": F.least(F.bround(total * share, 0), total - 1)})
+    return ranked.filter(F.col("upto") > F.col("at")).groupBy(*by).agg(F.min(value).alias(name))

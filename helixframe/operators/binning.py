@@ -86,6 +86,26 @@ def gc_percent(sequences: DataFrame, width: int) -> DataFrame:
     return cut.filter(known > 0).select("seq_id", "start_pos", F.floor(100 * gc / known).cast("int").alias("gc"))
 
 
+def start_read(longest_clip: int = 35) -> Column:
+    """Whether a read counts by its start: passed, not duplicate, forward, primary, its first block matched
+    over ``longest_clip`` letters or more, and well paired if it is paired."""
+    first = F.get("cigar", F.lit(0))
+    return (
+        F.col("is_pass") & ~F.col("is_dup") & F.col("is_forward") & F.col("is_primary") & (first["op"] == "M")
+        & (first["len"] >= longest_clip) & (~F.col("is_paired") | F.col("is_proper"))
+    )
+
+
+def fragment_read(least_mapq: int = 3, missing: int = 255) -> Column:
+    """Whether a read's fragment counts: passed, not duplicate, primary, well paired, of known quality."""
+    return F.col("is_pass") & ~F.col("is_dup") & F.col("is_primary") & F.col("is_proper") & (F.col("mapq") >= least_mapq) & (F.col("mapq") != missing)
+
+
+def pileup_base(mapq: int, base_q: int = 20) -> Column:
+    """Whether a base counts in a pileup."""
+    return ~F.col("is_dup") & F.col("is_primary") & (F.col("mapq") > mapq) & (F.col("base_q") >= base_q)
+
+
 def observed_vs_expected(bins: DataFrame) -> DataFrame:
     """Per GC class: share of hits over share of bins; a class without hits counts one hit."""
     classes = bins.groupBy("gc").agg(F.count(F.lit(1)).alias("bins"), F.greatest(F.sum("cnt"), F.lit(1.0)).alias("hits"))

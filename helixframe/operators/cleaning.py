@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import stats
+from helixframe.operators import intervals as iv
 
 #: Fixed value: the 99 percent point of chi-square with one degree of freedom.
 CHI_SQUARE_99 = 6.635
@@ -36,17 +37,35 @@ def drop_big(df: DataFrame, share: float = 0.98, by: list[str] | None = None) ->
 def drop_outliers(df: DataFrame, value: str = "cnt", by: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Bins that resemble one of their two neighbours on the contig by :func:`differ`.
 
-    A bin alone on its contig has no neighbour to resemble and goes.
+    A bin alone on its contig has no neighbour to resemble and goes; the only bin of a table stays.
     """
     w = Window.partitionBy(*by).orderBy("start_pos")
     x = F.col(value)
     alike = [F.coalesce(~differ(x, side(value).over(w)), F.lit(False)) for side in (F.lag, F.lead)]
-    return df.withColumn("__alike", alike[0] | alike[1]).filter("__alike").drop("__alike")
+    rows = df.withColumn("__alike", alike[0] | alike[1])
+    many = df.select(F.lit(1).alias("__one")).limit(2).agg((F.count(F.lit(1)) > 1).alias("__many"))  # one row
+    return rows.join(F.broadcast(many)).filter(F.col("__alike") | ~F.col("__many")).select(df.columns)
 
 
-def drop_rare_gc(df: DataFrame, least: int = 10, most: int = 100, classes: int = 101) -> DataFrame:
-    """Bins of GC classes that hold min(most, max(least, bins / classes)) bins or more."""
-    counts = df.groupBy("gc").agg(F.count(F.lit(1)).alias("n"))
+def autosomal(df: DataFrame, autosomes: tuple[str, ...]) -> DataFrame:
+    """Rows on the contigs that are named as autosomes."""
+    return df.filter(F.col("chrom").isin(list(autosomes)))
+
+
+def counts_by_gc(bins: DataFrame, autosomes: tuple[str, ...], targets: DataFrame | None = None) -> DataFrame:
+    """Number and median count of the autosomal bins of each GC class, on ``targets`` only where given."""
+    kept = autosomal(bins, autosomes)
+    if targets is not None:
+        kept = iv.overlap_semi(kept, targets)
+    return kept.groupBy("gc").agg(F.count(F.lit(1)).alias("bins"), F.median("cnt").alias("median_cnt"))
+
+
+def drop_rare_gc(df: DataFrame, least: int = 10, most: int = 100, classes: int = 101, autosomes: tuple[str, ...] | None = None) -> DataFrame:
+    """Bins of GC classes that hold min(most, max(least, bins / classes)) bins or more.
+
+    With ``autosomes`` only their bins are counted; bins of all contigs stay or go by their class.
+    """
+    counts = (df if autosomes is None else autosomal(df, autosomes)).groupBy("gc").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     limit = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(F.col("total") / classes)))
     kept = counts.join(F.broadcast(total)).filter(F.col("n") >= limit).select("gc")  # total is one row

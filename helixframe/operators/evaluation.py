@@ -44,6 +44,29 @@ def confusion(truth: DataFrame, calls: DataFrame, excluded: DataFrame, cap: int
     return called.unionByName(missed).filter("bases > 0")
 
 
+def of_least_size(rows: DataFrame, least: int) -> DataFrame:
+    """Intervals of ``least`` bases or more."""
+    return rows.filter(F.col("end_pos") - F.col("start_pos") >= least)
+
+
+def worst_intervals(truth: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per known copy number the interval with the most bases not called so, and with the most called otherwise.
+
+    Calls do not overlap each other; of equal intervals the least number is named.
+    """
+    pairs = iv.overlap_join(truth.select("iv_id", "chrom", "start_pos", "end_pos", "cn"), calls.select("chrom", "start_pos", "end_pos", "cn"))
+    both = F.least("end_pos", "end_pos_r") - F.greatest("start_pos", "start_pos_r")
+    right = F.col("cn_r") == F.col("cn")
+    seen = pairs.groupBy("iv_id").agg(F.sum(F.when(right, both).otherwise(0)).alias("hit"), F.sum(F.when(~right, both).otherwise(0)).alias("wrong"))
+    each = truth.join(seen, "iv_id", "left").select(
+        "cn", "iv_id", (F.col("end_pos") - F.col("start_pos") - F.coalesce("hit", F.lit(0))).alias("missed"), F.coalesce("wrong", F.lit(0)).alias("wrong")
+    )
+    top = each.groupBy("cn").agg(
+        F.max(F.struct("missed", (-F.col("iv_id")).alias("i"))).alias("a"), F.max(F.struct("wrong", (-F.col("iv_id")).alias("i"))).alias("b")
+    )
+    return top.select("cn", (-F.col("a.i")).alias("most_missed"), "a.missed", (-F.col("b.i")).alias("most_wrong"), "b.wrong")
+
+
 def metrics(cube: DataFrame, ref: int = 2, by: list[str] | None = None) -> DataFrame:
     """Accuracy, recall, precision, F1 and their direction, gain and loss forms, in percent."""
     b, known, call = F.col("bases"), F.col("known_cn"), F.col("call_cn")

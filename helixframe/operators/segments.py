@@ -214,3 +214,30 @@ def common_alternatives(segments: DataFrame, common: DataFrame, tolerance: int =
     whole = touched.select("seg_id", "chrom", F.lit("A").alias("alt"), "start_pos", "end_pos")
     alone = iv.overlap_anti(known, segments).select(F.lit(None).cast("long").alias("seg_id"), "chrom", F.lit("B").alias("alt"), "start_pos", "end_pos")
     return whole.unionByName(cut).unionByName(alone)
+
+
+def normalized_track(bins: DataFrame, factor: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Track (chrom, start_pos, end_pos, value) of counts times ``factor`` (one row), of bins or of segments.
+
+    With ``by`` the value is the median of a segment's bins, over its whole extent.
+    """
+    rows = bins.select("chrom", "start_pos", "end_pos", F.col("cnt").alias("value"))
+    if by:
+        rows = bins.groupBy(*by).agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.median("cnt").alias("value"))
+    return rows.join(F.broadcast(factor)).select("chrom", "start_pos", "end_pos", (F.col("value") * F.col("factor")).alias("value"))
+
+
+def common_segments(bins: DataFrame, common: DataFrame) -> DataFrame:
+    """Segments of common variants that are given as bin numbers of a contig: chrom, first_bin, last_bin.
+
+    The segment ends with its last bin, whose count is not part of it. Numbers beyond the contig's bins
+    give no segment.
+    """
+    w = Window.partitionBy("chrom").orderBy("start_pos")
+    numbered = bins.withColumn("i", F.row_number().over(w) - 1)
+    wanted = common.withColumn("i", F.explode(F.sequence("first_bin", "last_bin")))
+    inner = F.when(F.col("i") < F.col("last_bin"), F.col("cnt"))
+    out = wanted.join(numbered, ["chrom", "i"]).groupBy("chrom", "first_bin", "last_bin").agg(
+        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(inner).alias("bins"), F.median(inner).alias("median_cnt"), F.count(F.lit(1)).alias("n")
+    )
+    return out.filter(F.col("n") == F.col("last_bin") - F.col("first_bin") + 1).select("chrom", "first_bin", "start_pos", "end_pos", "bins", "median_cnt")
