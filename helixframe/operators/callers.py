@@ -34,11 +34,13 @@ def transmission(highest: int = 4) -> list[tuple[int, int, float]]:
 
 def coverage_likelihoods(segments: DataFrame, table: DataFrame, mean_depth: DataFrame) -> DataFrame:
     """(sample, key columns, cn, p): the likelihood of each state at the segment's median, which is
-    rounded half to even and capped at three times the sample's mean."""
+    rounded half to even and capped at three times the sample's mean. A depth beyond ``table`` is an error."""
     capped = segments.join(F.broadcast(mean_depth), "sample").withColumn(
         "depth", F.bround(F.least(F.col("median_cnt"), 3 * F.col("mean_depth")), 0).cast("int")
     )
-    return capped.join(F.broadcast(table), ["sample", "depth"])  # samples x states x depths, made by the driver
+    known = capped.join(table, ["sample", "depth"], "left")  # its size decides how it is joined
+    missing = F.raise_error(F.lit("a segment's depth lies beyond the table of likelihoods"))
+    return known.withColumn("p", F.when(F.col("p").isNull(), missing).otherwise(F.col("p")))
 
 
 def trio_calls(likelihoods: DataFrame, roles: dict[str, str], key: list[str], highest: int = 4, cap: float = 100.0) -> DataFrame:
@@ -46,7 +48,7 @@ def trio_calls(likelihoods: DataFrame, roles: dict[str, str], key: list[str], hi
 
     ``likelihoods`` has sample, cn, p for every key. The likelihood of a triple is
     L(mother) * L(father) * sum over what they pass on of T * T, times L(child). dq is the Phred
-    quality, doubled and capped, of the child's call not being a new one: for a gain
+    quality, doubled and capped, of the child's new call: for a gain
     1 - G / (T - L), for a loss 1 - L / (T - G), where T is the sum of all triples and G and L sum
     those in which the child alone is above or below two copies.
     """
@@ -89,7 +91,7 @@ def trio_calls(likelihoods: DataFrame, roles: dict[str, str], key: list[str], hi
     new = new.when((F.col("child") < 2) & (F.col("mother") >= 2) & (F.col("father") >= 2), 1 - F.col("s") / (F.col("total") - F.col("g")))
     return joint.select(
         *key, "mother", "father", "child", *[quality(r).alias(f"q_{r}") for r in ("mother", "father", "child")],
-        F.least(F.lit(float(cap)), 2 * phred(F.greatest(new, F.lit(1e-6)), 60)).alias("dq"),
+        F.when(new.isNotNull(), F.least(F.lit(float(cap)), 2 * phred(F.greatest(new, F.lit(1e-6)), 60))).alias("dq"),
     )
 
 

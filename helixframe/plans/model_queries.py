@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import callers, kmers, models, segmentation
-from helixframe.plans.segment_queries import TILED, segmented, tiled
+from helixframe.plans.segment_queries import SEGMENTED, TILED, segmented, tiled
 from helixframe.sources import adapters as ad
 from helixframe.sources.adapters import sql
 
@@ -142,24 +142,51 @@ def family_segments(spark, sf_dir):
     return rows.groupBy("sample", "chrom", "seg_idx").agg(F.median("cnt").alias("median_cnt"))
 
 
-@query("p10_trio_calls")
+#: Negative binomial likelihood of depth k in state cn, from a sample's mean and variance.
+LIKELIHOOD = """, st AS (SELECT sample, avg(cnt) AS m, var_samp(cnt) AS v FROM sample_bins GROUP BY 1),
+    mu AS (SELECT sample, m, v, CAST(cn AS INT) AS cn, greatest(cn, 0.1) * m / 2 AS mu FROM st, range(5) t(cn)),
+    nb AS (SELECT *, CASE WHEN v > mu THEN greatest(mu * mu / greatest(v - mu, 1e-9), 2.0) ELSE 1e6 END AS r FROM mu)"""
+NEGATIVE_BINOMIAL = "exp(lgamma({k} + r) - lgamma({k} + 1) - lgamma(r) + r * ln(r / (r + mu)) + {k} * ln(mu / (r + mu)))"
+
+
+@query("p10_trio_calls", sql(SEGMENTED + LIKELIHOOD + f""", fs AS (SELECT sample, chrom, seg_idx, median(b.cnt) AS med FROM sample_bins b JOIN seg USING (chrom, start_pos, end_pos) GROUP BY 1, 2, 3),
+    lk AS (SELECT f.sample, chrom, seg_idx, cn, {NEGATIVE_BINOMIAL.format(k="round_even(least(med, 3 * m), 0)")} AS p FROM fs f JOIN nb USING (sample)),
+    tr AS (SELECT CAST(a AS INT) AS a, CAST(g AS INT) AS g, pow(greatest(a / 2, 0.1), g) / factorial(CAST(g AS INT)) AS w FROM range(5) x(a), range(5) y(g)),
+    tn AS (SELECT a, g, w / sum(w) OVER (PARTITION BY a) AS t FROM tr),
+    tt AS (SELECT x.a AS m, y.a AS f, x.g + y.g AS c, sum(x.t * y.t) AS t FROM tn x, tn y WHERE x.g + y.g <= 4 GROUP BY 1, 2, 3),
+    j AS (SELECT chrom, seg_idx, tt.m, tt.f, tt.c, pm.p AS pm, pf.p AS pf, pc.p AS pc, pm.p * pf.p * pc.p * tt.t AS l FROM tt JOIN lk pm ON pm.sample = 's0' AND pm.cn = tt.m
+        JOIN lk pf USING (chrom, seg_idx) JOIN lk pc USING (chrom, seg_idx) WHERE pf.sample = 's1' AND pf.cn = tt.f AND pc.sample = 's2' AND pc.cn = tt.c),
+    z AS (SELECT *, row_number() OVER (PARTITION BY chrom, seg_idx ORDER BY l DESC, m, f, c) AS n, sum(l) OVER k AS total,
+        sum(CASE WHEN c > 2 AND m <= 2 AND f <= 2 THEN l ELSE 0 END) OVER k AS g, sum(CASE WHEN c < 2 AND m >= 2 AND f >= 2 THEN l ELSE 0 END) OVER k AS s FROM j WINDOW k AS (PARTITION BY chrom, seg_idx)),
+    y AS (SELECT *, CASE WHEN c > 2 AND m <= 2 AND f <= 2 THEN 1 - g / (total - s) WHEN c < 2 AND m >= 2 AND f >= 2 THEN 1 - s / (total - g) END AS new FROM z WHERE n = 1),
+    w AS (SELECT sample, chrom, seg_idx, sum(p) AS whole FROM lk GROUP BY 1, 2, 3)
+    SELECT chrom, seg_idx, m AS mother, f AS father, c AS child, round(least(100, -10 * log10(greatest(1 - pm / a.whole, 1e-10))), 3) AS q_mother, round(least(100, -10 * log10(greatest(1 - pf / b.whole, 1e-10))), 3) AS q_father,
+        round(least(100, -10 * log10(greatest(1 - pc / d.whole, 1e-10))), 3) AS q_child, round(CASE WHEN new IS NOT NULL THEN least(100, 2 * least(60, -10 * log10(greatest(new, 1e-6)))) END, 3) AS dq
+    FROM y JOIN w a USING (chrom, seg_idx) JOIN w b USING (chrom, seg_idx) JOIN w d USING (chrom, seg_idx) WHERE a.sample = 's0' AND b.sample = 's1' AND d.sample = 's2'""", "bins", "intervals", "sample_bins"))
 def p10(spark, sf_dir):
     """Joint calls of a trio with qualities and de novo qualities."""
     bins = ad.sample_bins(spark, sf_dir)
     stats = bins.groupBy("sample").agg(F.avg("cnt").alias("m"), F.var_samp("cnt").alias("v")).collect()  # a row for each sample
-    table = models.likelihood_table(spark, {r["sample"]: r["m"] for r in stats}, {r["sample"]: r["v"] for r in stats}, 4, 200)
+    deepest = int(3 * max((r["m"] for r in stats), default=0)) + 2
+    table = models.likelihood_table(spark, {r["sample"]: r["m"] for r in stats}, {r["sample"]: r["v"] for r in stats}, 4, deepest)
     depth = spark.createDataFrame([(r["sample"], r["m"]) for r in stats], "sample string, mean_depth double")
     likelihoods = callers.coverage_likelihoods(family_segments(spark, sf_dir), table, depth)
-    return callers.trio_calls(likelihoods, {"mother": "s0", "father": "s1", "child": "s2"}, ["chrom", "seg_idx"])
+    out = callers.trio_calls(likelihoods, {"mother": "s0", "father": "s1", "child": "s2"}, ["chrom", "seg_idx"])
+    return out.select("chrom", "seg_idx", "mother", "father", "child", *[F.round(c, 3).alias(c) for c in ("q_mother", "q_father", "q_child", "dq")])
 
 
-@query("p17_major_count")
+@query("p17_major_count", sql(""", g AS (SELECT CAST(cn AS INT) AS cn, CAST(b AS INT) AS b, greatest(0.01, least(0.99, b / cn)) AS p FROM range(1, 5) x(cn), range(0, 3) y(b) WHERE b <= cn // 2),
+    s AS (SELECT chrom, pos // 50000 AS seg, ref_count + alt_count AS n, alt_count AS k FROM sites WHERE ref_count + alt_count > 0),
+    m AS (SELECT chrom, seg, cn, b, (exp(k * ln(p) + (n - k) * ln(1 - p)) + exp(k * ln(1 - p) + (n - k) * ln(p))) / 6 + (exp(k * ln(0.01) + (n - k) * ln(0.99)) + exp(k * ln(0.99) + (n - k) * ln(0.01))) / 3 AS x FROM s, g),
+    l AS (SELECT chrom, seg, cn, b, avg(ln(greatest(x, 1e-300))) AS l, count(*) AS sites FROM m GROUP BY 1, 2, 3, 4),
+    r AS (SELECT *, row_number() OVER k AS i, l - lead(l) OVER k AS gap FROM l WHERE cn = seg % 3 + 1 WINDOW k AS (PARTITION BY chrom, seg ORDER BY l DESC, b))
+    SELECT chrom, seg, cn, cn - b AS mcc, round(least(60, coalesce(gap * sites * 10 / ln(10), 60)), 5) AS mcc_q FROM r WHERE i = 1""", "sites"))
 def p17(spark, sf_dir):
     """Major chromosome counts of segments from their sites."""
     sites = ad.sites(spark, sf_dir).withColumn("seg", F.expr("pos div 50000"))
     likelihoods = callers.site_likelihoods(sites, ["chrom", "seg"])
     called = likelihoods.select("chrom", "seg").distinct().withColumn("cn", (F.col("seg") % 3 + 1).cast("int"))
-    return callers.major_count(likelihoods, called, ["chrom", "seg"])
+    return callers.major_count(likelihoods, called, ["chrom", "seg"]).withColumn("mcc_q", F.round("mcc_q", 5))
 
 
 @query("a38_normalization_factor", sql(TILED + """, w AS (SELECT chrom, cn * 1.0 / cnt AS f, 1.0 AS w, start_pos FROM tiled WHERE cn > 0),
@@ -235,9 +262,9 @@ def m32(spark, sf_dir):
     return models.cluster_spread(rows, models.cluster_segments(rows, "mixture", scale=0.01))
 
 
-@query("c06_likelihood_table")
+@query("c06_likelihood_table", sql(LIKELIHOOD + f" SELECT sample, cn, CAST(k AS INT) AS depth, round({NEGATIVE_BINOMIAL.format(k='k')}, 7) AS p FROM nb, range(60) t(k)", "sample_bins"))
 def c06(spark, sf_dir):
     """Negative binomial likelihoods by sample, copy number and depth."""
     stats_ = ad.sample_bins(spark, sf_dir).groupBy("sample").agg(F.avg("cnt").alias("m"), F.var_samp("cnt").alias("v")).collect()
     table = models.likelihood_table(spark, {r["sample"]: r["m"] for r in stats_}, {r["sample"]: r["v"] for r in stats_}, 4, 60)
-    return table.select("sample", "cn", "depth", F.round("p", 9).alias("p"))
+    return table.select("sample", "cn", "depth", F.round("p", 7).alias("p"))
