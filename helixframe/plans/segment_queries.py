@@ -95,7 +95,7 @@ def w09_absorb(spark, sf_dir):
 
 
 @query("w10_barred_merge", sql(TILED + """, m AS (SELECT *, lag(cn) OVER w AS pc, lag(end_pos) OVER w AS pe FROM (SELECT * FROM tiled t WHERE NOT EXISTS (SELECT 1 FROM truth x WHERE x.chrom = t.chrom AND x.start_pos < t.end_pos AND t.start_pos < x.end_pos)) WINDOW w AS (PARTITION BY chrom ORDER BY start_pos)),
-    n AS (SELECT *, CASE WHEN pc = cn AND start_pos - pe <= 5000 AND NOT EXISTS (SELECT 1 FROM excl e WHERE pe < start_pos AND e.chrom = m.chrom AND m.pe < e.end_pos AND e.start_pos < m.start_pos) THEN 0 ELSE 1 END AS o FROM m),
+    n AS (SELECT *, CASE WHEN pc = cn AND start_pos - pe <= 5000 AND NOT EXISTS (SELECT 1 FROM excl e WHERE m.pe < m.start_pos AND e.chrom = m.chrom AND m.pe < e.end_pos AND e.start_pos < m.start_pos) THEN 0 ELSE 1 END AS o FROM m),
     i AS (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY start_pos) AS island FROM n)
     SELECT chrom, cn, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS pieces FROM i GROUP BY chrom, cn, island""", "tiles", "intervals"))
 def w10(spark, sf_dir):
