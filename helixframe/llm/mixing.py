@@ -43,10 +43,9 @@ def poisson_inverse(uniform: Column, mean: Column) -> Column:
 def poisson_count(seed: int, key: Column, mean: Column) -> Column:
     """A Poisson count of any mean, drawn from the hash of ``seed`` and ``key``."""
     parts = F.greatest(F.lit(1), F.ceil(mean / PART_MEAN)).cast("int")
-    draws = F.transform(
-        F.sequence(F.lit(1), parts),
-        lambda i: poisson_inverse(hash_uniform(F.lit(seed), key, i), mean / parts),
-    )
+    # each number is made once, not in every step of the inversion
+    uniforms = F.transform(F.sequence(F.lit(1), parts), lambda i: hash_uniform(F.lit(seed), key, i))
+    draws = F.transform(uniforms, lambda u: poisson_inverse(u, mean / parts))
     return F.when(mean > 0, F.aggregate(draws, F.lit(0), lambda a, x: a + x)).otherwise(0)
 
 
@@ -94,11 +93,10 @@ def mix_sources(
         source_rates(df, targets, total, source_col, text_col, temperature).filter("rate > 0"), "rates"
     ).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(text_or_empty(text_col)))
-    counted = df.join(rates, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn(
-        "__copies", poisson_count(seed, key, F.col("__rate"))
-    )
+    counted = df.join(rates, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__key", key)
+    counted = counted.withColumn("__copies", poisson_count(seed, F.col("__key"), F.col("__rate")))
     copies = counted.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    order = F.xxhash64(F.lit(seed), key, F.col("__copy"))
+    order = F.xxhash64(F.lit(seed), F.col("__key"), F.col("__copy"))
     dealt = copies.withColumn("__order", order).repartition(shuffle_width(df.sparkSession), "__order")
     out = [F.col(f"`{c}`") for c in df.columns]
     if bookkeeping:
