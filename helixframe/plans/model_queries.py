@@ -193,7 +193,7 @@ def p17(spark, sf_dir):
     s AS (SELECT chrom, f, sum(w) OVER (PARTITION BY chrom ORDER BY f, start_pos ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY chrom) AS share FROM w)
     SELECT chrom, round(coalesce(max(f) FILTER (WHERE share <= 0.5), 0), 9) AS factor FROM s GROUP BY 1""", "tiles"))
 def a38(spark, sf_dir):
-    """Weighted median of copy number over median count."""
+    """Weighted median of copy number over median count."""
     from helixframe.functions import stats
 
     rows = tiled(spark, sf_dir).filter("cn > 0").select("chrom", "start_pos", (F.col("cn") / F.col("cnt")).alias("f"), F.lit(1.0).alias("w"))
