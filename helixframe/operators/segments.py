@@ -241,3 +241,64 @@ def common_segments(bins: DataFrame, common: DataFrame) -> DataFrame:
         F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(inner).alias("bins"), F.median(inner).alias("median_cnt"), F.count(F.lit(1)).alias("n")
     )
     return out.filter(F.col("n") == F.col("last_bin") - F.col("first_bin") + 1).select("chrom", "first_bin", "start_pos", "end_pos", "bins", "median_cnt")
+
+
+def _apart(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone, ["chrom", "start_pos", "end_pos"], "left_anti")
+
+
+def merge_common(
+    segments: DataFrame, common: DataFrame, bins: DataFrame | None = None, tolerance: int = 500, least: int = 1000, least_overlap: int = 10
+) -> DataFrame:
+    """Regions of called segments and common variants with their layouts: alt A as called, alt B by the common ones.
+
+    Both sides have chrom, start_pos, end_pos, and neither overlaps itself. Rows are chrom, region (its
+    least start), alt, start_pos, end_pos, is_common; a region of one layout has nothing to choose.
+
+    * Common variants under ``least`` bases do not count.
+    * A called segment with the borders of a common variant, or, where the variant has over four
+      times ``tolerance``, within ``tolerance`` of them, gives way to it: layout B only.
+    * Others that share over ``least_overlap`` bases form a region. Layout B has the common variants,
+      the part of a called segment before its first one, and the part after it where it meets only
+      one. With ``bins`` a part without any of them is left out.
+    * A segment that outlasts a common variant which began in the segment before is cut at its end;
+      the rest goes on as a segment of its own.
+    """
+    place = ["chrom", "start_pos", "end_pos"]
+    called = segments.select(*place).distinct()
+    known = common.filter(F.col("end_pos") - F.col("start_pos") >= least).select(*place).distinct()
+    pairs = iv.overlap_join(called, known)
+    off = F.greatest(F.abs(F.col("start_pos") - F.col("start_pos_r")), F.abs(F.col("end_pos") - F.col("end_pos_r")))
+    alike = pairs.filter((off == 0) | ((off < tolerance) & (F.col("end_pos_r") - F.col("start_pos_r") > 4 * tolerance)))
+    replaced = alike.select(*place).distinct()
+    taken = alike.select("chrom", F.col("start_pos_r").alias("start_pos"), F.col("end_pos_r").alias("end_pos")).distinct()
+    called, known = _apart(called, replaced), _apart(known, taken)
+
+    first = F.min("start_pos").over(Window.partitionBy("chrom", "start_pos_r", "end_pos_r"))
+    outlasts = (F.col("start_pos_r") <= F.col("start_pos")) & (F.col("end_pos_r") < F.col("end_pos")) & (F.col("first") < F.col("start_pos_r"))
+    linked = iv.overlap_join(called, known).filter(F.col("overlap") > least_overlap).withColumn("first", first)
+    cut = linked.filter(outlasts).groupBy(*place).agg(F.max("end_pos_r").alias("at"))
+    called = called.join(cut, place, "left").select("chrom", F.explode(
+        F.when(F.col("at").isNull(), F.array(F.struct("start_pos", "end_pos")))
+        .otherwise(F.array(F.struct("start_pos", F.col("at").alias("end_pos")), F.struct(F.col("at").alias("start_pos"), "end_pos")))
+    ).alias("s")).select("chrom", "s.*")
+
+    order = Window.partitionBy("chrom").orderBy("start_pos", "end_pos", "is_common")
+    reach = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    both = called.withColumn("is_common", F.lit(False)).unionByName(known.withColumn("is_common", F.lit(True)))
+    opens = reach.isNull() | (F.least(reach, "end_pos") - F.col("start_pos") <= least_overlap)
+    placed = both.withColumn("opens", F.when(opens, F.col("start_pos"))).withColumn("region", F.last("opens", ignorenulls=True).over(order)).drop("opens")
+    asis = placed.select("chrom", "region", F.when(F.col("is_common"), "B").otherwise("A").alias("alt"), "start_pos", "end_pos", "is_common")
+
+    met = iv.overlap_join(placed.filter("not is_common").drop("is_common"), known).filter(F.col("overlap") > least_overlap)
+    sides = met.groupBy("chrom", "region", "start_pos", "end_pos").agg(
+        F.min("start_pos_r").alias("low"), F.max("end_pos_r").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    after = F.when(F.col("n") == 1, F.struct(F.col("high").alias("start_pos"), "end_pos"))
+    parts = sides.select("chrom", "region", F.explode(F.array(F.struct("start_pos", F.col("low").alias("end_pos")), after)).alias("s"))
+    parts = parts.select("chrom", "region", "s.*").filter("start_pos < end_pos")
+    if bins is not None:
+        parts = iv.overlap_semi(parts, bins)
+    rest = parts.select("chrom", "region", F.lit("B").alias("alt"), "start_pos", "end_pos", F.lit(False).alias("is_common"))
+    swapped = taken.select("chrom", F.col("start_pos").alias("region"), F.lit("B").alias("alt"), "start_pos", "end_pos", F.lit(True).alias("is_common"))
+    return asis.unionByName(rest).unionByName(swapped)

@@ -9,6 +9,7 @@ from helixframe.functions import stats
 from helixframe.operators import callers
 from helixframe.operators import intervals as iv
 from helixframe.operators import segments as sg
+from helixframe.plans.interval_queries import MERGED
 from helixframe.plans.segment_queries import FAMILY, TILED, family, tiled
 from helixframe.sources import adapters as ad
 from helixframe.sources import files
@@ -41,6 +42,31 @@ def j16(spark, sf_dir):
     return sg.common_alternatives(calls, ad.intervals(spark, sf_dir, "P"), tolerance=50, least=400)
 
 
+@query("j16_merged_common", sql(f"""
+    , {MERGED.format('calls', 0)}, {MERGED.format('excl', 0)},
+    known AS (SELECT chrom, start_pos, end_pos FROM m_excl WHERE end_pos - start_pos >= 400),
+    alike AS (SELECT c.chrom, c.start_pos, c.end_pos, x.start_pos AS cs, x.end_pos AS ce FROM m_calls c JOIN known x ON c.chrom = x.chrom AND (c.start_pos = x.start_pos AND c.end_pos = x.end_pos
+        OR abs(c.start_pos - x.start_pos) < 150 AND abs(c.end_pos - x.end_pos) < 150 AND x.end_pos - x.start_pos > 600)),
+    c1 AS (SELECT chrom, start_pos, end_pos FROM m_calls c WHERE NOT EXISTS (SELECT 1 FROM alike a WHERE a.chrom = c.chrom AND a.start_pos = c.start_pos AND a.end_pos = c.end_pos)),
+    k1 AS (SELECT * FROM known k WHERE NOT EXISTS (SELECT 1 FROM alike a WHERE a.chrom = k.chrom AND a.cs = k.start_pos AND a.ce = k.end_pos)),
+    ln AS (SELECT c.*, k.start_pos AS ks, k.end_pos AS ke FROM c1 c JOIN k1 k ON c.chrom = k.chrom AND least(c.end_pos, k.end_pos) - greatest(c.start_pos, k.start_pos) > 10),
+    cut AS (SELECT chrom, start_pos, end_pos, max(ke) AS p FROM ln a WHERE ks <= start_pos AND ke < end_pos AND EXISTS (SELECT 1 FROM ln b WHERE b.chrom = a.chrom AND b.ks = a.ks AND b.ke = a.ke AND b.start_pos < b.ks) GROUP BY 1, 2, 3),
+    c2 AS (SELECT chrom, start_pos, coalesce(p, end_pos) AS end_pos FROM c1 LEFT JOIN cut USING (chrom, start_pos, end_pos) UNION ALL SELECT chrom, p, end_pos FROM cut),
+    u AS (SELECT *, false AS is_common FROM c2 UNION ALL SELECT *, true FROM k1),
+    o AS (SELECT *, CASE WHEN coalesce(least(max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, is_common ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), end_pos) - start_pos <= 10
+        OR row_number() OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, is_common) = 1, true) THEN start_pos END AS r FROM u),
+    g AS (SELECT chrom, max(r) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, is_common ROWS UNBOUNDED PRECEDING) AS region, start_pos, end_pos, is_common FROM o),
+    h AS (SELECT g.chrom, region, g.start_pos, g.end_pos, min(k.start_pos) AS low, max(k.end_pos) AS high, count(*) AS n FROM g JOIN k1 k ON g.chrom = k.chrom AND least(g.end_pos, k.end_pos) - greatest(g.start_pos, k.start_pos) > 10 WHERE NOT is_common GROUP BY 1, 2, 3, 4)
+    SELECT chrom, region, CASE WHEN is_common THEN 'B' ELSE 'A' END AS alt, start_pos, end_pos, is_common FROM g
+    UNION ALL SELECT chrom, region, 'B', start_pos, low, false FROM h WHERE start_pos < low
+    UNION ALL SELECT chrom, region, 'B', high, end_pos, false FROM h WHERE n = 1 AND high < end_pos
+    UNION ALL SELECT chrom, cs, 'B', cs, ce, true FROM (SELECT DISTINCT chrom, cs, ce FROM alike)""", "intervals"))
+def j16_merged(spark, sf_dir):
+    """Regions of calls and common variants with the layouts to choose from."""
+    calls, common = (iv.merge_intervals(ad.intervals(spark, sf_dir, st)) for st in "FP")
+    return sg.merge_common(calls, common, tolerance=150, least=400)
+
+
 @query("p19_best_alternative", sql(TILED + """, s AS (SELECT chrom, start_pos // 10000 AS region, CASE WHEN cn % 2 = 0 THEN 'A' ELSE 'B' END AS alt, round(sum(ln(q + 1)), 6) AS log_l FROM tiled GROUP BY 1, 2, 3)
     SELECT chrom, region, alt, log_l FROM (SELECT *, row_number() OVER (PARTITION BY chrom, region ORDER BY log_l DESC, alt) AS n FROM s) WHERE n = 1""", "tiles"))
 def p19(spark, sf_dir):

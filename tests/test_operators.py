@@ -308,3 +308,36 @@ def test_kmers_of_odd_letters(spark):
     assert got == {"ACG": 4}
     cased = kmers.cased(spark.createDataFrame([(1, "aaac"), (2, ""), (3, "CCNacc")], "seq_id int, seq string"), 3)
     assert {r.seq_id: r.seq for r in cased.collect()} == {1: "AAac", 2: "", 3: "ccnAcc"}
+
+
+#: Called segments, common variants, and the layouts wanted of them.
+LAYOUTS = [
+    ([(100000, 500002)], [(250000, 350001)], {("A", 100000, 500002), ("B", 100000, 250000), ("B", 250000, 350001), ("B", 350001, 500002)}),
+    ([(100000, 500002)], [(200000, 250001), (400000, 450001)], {("A", 100000, 500002), ("B", 100000, 200000), ("B", 200000, 250001), ("B", 400000, 450001)}),
+    ([(100000, 250001), (300000, 500001)], [(200000, 350001)],
+     {("A", 100000, 250001), ("A", 300000, 350001), ("B", 100000, 200000), ("B", 200000, 350001), ("A", 350001, 500001)}),
+    ([(100000, 500001)], [(300000, 500001)], {("A", 100000, 500001), ("B", 100000, 300000), ("B", 300000, 500001)}),
+    ([(150000, 250001), (400000, 450001)], [(200000, 500001)], {("A", 150000, 250001), ("A", 400000, 450001), ("B", 150000, 200000), ("B", 200000, 500001)}),
+    ([(300000, 450001)], [(200000, 350001)], {("A", 300000, 450001), ("B", 200000, 350001), ("B", 350001, 450001)}),
+    ([(150000, 250001)], [(300000, 350001)], {("A", 150000, 250001), ("B", 300000, 350001)}),
+    ([(150000, 250001)], [(150000, 250001)], {("B", 150000, 250001)}),
+    ([(150000, 250001)], [(150400, 250401)], {("B", 150400, 250401)}),
+    ([(150000, 250001)], [(249995, 260000)], {("A", 150000, 250001), ("B", 249995, 260000)}),
+    ([(150000, 250001)], [(200000, 200999)], {("A", 150000, 250001)}),
+    ([], [(200000, 300000)], {("B", 200000, 300000)}),
+    ([(200000, 300000)], [], {("A", 200000, 300000)}),
+]
+
+
+def test_common_variants_give_layouts(spark):
+    a = spans(spark, [(f"c{k}", *r) for k, (called, _, _) in enumerate(LAYOUTS) for r in called])
+    b = spans(spark, [(f"c{k}", *r) for k, (_, common, _) in enumerate(LAYOUTS) for r in common])
+    places = range(300000, 500001, 50000)
+    marked = spans(spark, [(f"c{k}", p, p + 1) for k in range(len(LAYOUTS)) for p in places])
+    got, held = sg.merge_common(a, b).collect(), sg.merge_common(a, b, marked).collect()
+    for k, (_, common, want) in enumerate(LAYOUTS):
+        own = [(r.alt, r.start_pos, r.end_pos) for r in got if r.chrom == f"c{k}"]
+        assert set(own) == want and len(own) == len(want)
+        parts = {(r.start_pos, r.end_pos) for r in held if r.chrom == f"c{k}" and r.alt == "B" and not r.is_common}
+        whole = {(s, e) for alt, s, e in want if alt == "B" and (s, e) not in common}
+        assert parts == {(s, e) for s, e in whole if any(s <= p < e for p in places)}
