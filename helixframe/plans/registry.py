@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import count_queries, haplotype_queries, interval_queries, model_queries, more_queries, quality_queries, segment_queries, stat_queries
-
-_MODULES = (interval_queries, stat_queries, count_queries, segment_queries, model_queries, more_queries, quality_queries, haplotype_queries)
+from . import (
+    count_queries, haplotype_queries, interval_queries, model_queries, more_queries, quality_queries, segment_queries,
+    somatic_queries, stat_queries,
+)
+
+_MODULES = (
+    interval_queries, stat_queries, count_queries, segment_queries, model_queries, more_queries, quality_queries, haplotype_queries,
+    somatic_queries,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
