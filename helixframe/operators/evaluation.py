@@ -67,8 +67,20 @@ def worst_intervals(truth: DataFrame, calls: DataFrame) -> DataFrame:
     return top.select("cn", (-F.col("a.i")).alias("most_missed"), "a.missed", (-F.col("b.i")).alias("most_wrong"), "b.wrong")
 
 
-def metrics(cube: DataFrame, ref: int = 2, by: list[str] | None = None) -> DataFrame:
-    """Accuracy, recall, precision, F1 and their direction, gain and loss forms, in percent."""
+def in_regions(truth: DataFrame, regions: DataFrame) -> DataFrame:
+    """The parts of truth intervals inside regions of interest, each a row with an iv_id of its own."""
+    inside = iv.overlap_join(truth, iv.merge_intervals(regions).select("chrom", "start_pos", "end_pos"))
+    low = F.greatest("start_pos", "start_pos_r")
+    return inside.withColumns({
+        "iv_id": F.concat_ws(":", "iv_id", low), "start_pos": low, "end_pos": F.least("end_pos", "end_pos_r"),
+    }).select(truth.columns)
+
+
+def metrics(cube: DataFrame, ref: int | Column = 2, by: list[str] | None = None) -> DataFrame:
+    """Accuracy, recall, precision, F1 and their direction, gain and loss forms, in percent.
+
+    ``ref`` is the reference's copy number, or the cube's column that holds it.
+    """
     b, known, call = F.col("bases"), F.col("known_cn"), F.col("call_cn")
     called = call.isNotNull()
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from helixframe.functions import stats
 from helixframe.operators import binning, cleaning, evaluation, quality
 from helixframe.operators import segments as sg
+from helixframe.plans.count_queries import CUBE, ploidy
+from helixframe.plans.interval_queries import MERGED
+from helixframe.plans.segment_queries import TILED, tiled
 from helixframe.sources import adapters as ad
 from helixframe.sources.adapters import sql
 
@@ -264,3 +267,48 @@ def k04(spark, sf_dir):
     """Rows of samples to a column for each sample, as a record of several samples has."""
     rows = ad.sample_bins(spark, sf_dir).select("sample", "chrom", "start_pos", "cnt")
     return rows.groupBy("chrom", "start_pos").pivot("sample", ["s0", "s1", "s2"]).agg(F.first("cnt"))
+
+
+#: The reference ploidy of each truth interval, and the cube of bases with it as its third axis.
+PLOIDY_CUBE = CUBE + """, ploidy AS (SELECT chrom, start_pos, end_pos, cn FROM tiles WHERE gc % 2 = 0 QUALIFY row_number() OVER (PARTITION BY chrom, start_pos ORDER BY gc, cn) = 1),
+    ro AS (SELECT t.iv_id, any_value(t.end_pos - t.start_pos) AS len, coalesce(sum(least(t.end_pos, p.end_pos) - greatest(t.start_pos, p.start_pos)) FILTER (WHERE p.chrom IS NOT NULL), 0) AS n,
+        coalesce(sum((least(t.end_pos, p.end_pos) - greatest(t.start_pos, p.start_pos)) * p.cn) FILTER (WHERE p.chrom IS NOT NULL), 0) AS w
+        FROM truth t LEFT JOIN ploidy p ON t.chrom = p.chrom AND t.start_pos < p.end_pos AND p.start_pos < t.end_pos GROUP BY 1),
+    rp AS (SELECT iv_id, least(2, CAST(round_even((w + 2 * (len - n)) / len, 0) AS INT)) AS ref_ploidy FROM ro),
+    cube3 AS (SELECT known_cn, call_cn, ref_ploidy, sum(bases) AS bases FROM open_ JOIN rp USING (iv_id) GROUP BY 1, 2, 3
+        UNION ALL SELECT known_cn, NULL, ref_ploidy, sum(w.bases - coalesce(s.seen, 0)) FROM whole w LEFT JOIN seen s USING (iv_id) JOIN rp USING (iv_id) GROUP BY 1, 3)"""
+
+
+def ploidy_cube(spark, sf_dir):
+    truth = ad.intervals(spark, sf_dir, "O")
+    ref = evaluation.reference_ploidy(truth, ploidy(spark, sf_dir)).select("iv_id", F.least(F.lit(2), "ref_ploidy").alias("ref_ploidy"))
+    return evaluation.confusion(truth.join(ref, "iv_id"), ad.intervals(spark, sf_dir, "F"), ad.intervals(spark, sf_dir, "P"), by=["ref_ploidy"])
+
+
+@query("e01_ploidy_cube", sql(PLOIDY_CUBE + " SELECT * FROM cube3 WHERE bases > 0", "tiles", "intervals"))
+def e01_ploidy(spark, sf_dir):
+    """Bases by known and called copy number and reference ploidy up to 2."""
+    return ploidy_cube(spark, sf_dir)
+
+
+@query("e02_allosome_metrics", sql(PLOIDY_CUBE + """, s AS (SELECT coalesce(sum(bases) FILTER (WHERE call_cn IS NOT NULL), 0) AS all_, coalesce(sum(bases) FILTER (WHERE call_cn = known_cn), 0) AS ok,
+    coalesce(sum(bases) FILTER (WHERE known_cn != ref_ploidy), 0) AS ka, coalesce(sum(bases) FILTER (WHERE call_cn != ref_ploidy), 0) AS ca, coalesce(sum(bases) FILTER (WHERE known_cn != ref_ploidy AND call_cn != ref_ploidy AND call_cn = known_cn), 0) AS hit,
+    coalesce(sum(bases) FILTER (WHERE known_cn > ref_ploidy), 0) AS ga, coalesce(sum(bases) FILTER (WHERE known_cn > ref_ploidy AND call_cn = known_cn), 0) AS gh FROM cube3)
+    SELECT CASE WHEN all_ > 0 THEN round(100 * ok / all_, 6) END AS accuracy, CASE WHEN ka > 0 THEN round(100 * hit / ka, 6) END AS recall, CASE WHEN ca > 0 THEN round(100 * hit / ca, 6) END AS precision,
+        CASE WHEN ga > 0 THEN round(100 * gh / ga, 6) END AS gain_recall FROM s""", "tiles", "intervals"))
+def e02_ploidy(spark, sf_dir):
+    """Accuracy against each interval's own reference ploidy."""
+    return evaluation.metrics(ploidy_cube(spark, sf_dir), F.col("ref_ploidy")).select("accuracy", "recall", "precision", "gain_recall")
+
+
+@query("e02_region_metrics", sql(TILED + """, roi AS (SELECT chrom, start_pos, end_pos FROM tiled WHERE cn != 1), """ + MERGED.format("roi", 0) + """,
+    clipped AS (SELECT t.iv_id || ':' || greatest(t.start_pos, r.start_pos) AS iv_id, t.chrom, greatest(t.start_pos, r.start_pos) AS start_pos, least(t.end_pos, r.end_pos) AS end_pos, t.cn
+        FROM truth t JOIN m_roi r ON t.chrom = r.chrom AND t.start_pos < r.end_pos AND r.start_pos < t.end_pos)""" + CUBE.replace("truth t", "clipped t") + """,
+    s AS (SELECT coalesce(sum(bases) FILTER (WHERE call_cn IS NOT NULL), 0) AS all_, coalesce(sum(bases) FILTER (WHERE call_cn = known_cn), 0) AS ok,
+        coalesce(sum(bases) FILTER (WHERE sign(call_cn - 2) = sign(known_cn - 2)), 0) AS side FROM cube)
+    SELECT CASE WHEN all_ > 0 THEN round(100 * ok / all_, 6) END AS accuracy, CASE WHEN all_ > 0 THEN round(100 * side / all_, 6) END AS direction_accuracy FROM s""", "tiles", "intervals"))
+def e02_regions(spark, sf_dir):
+    """Accuracy inside regions of interest."""
+    inside = evaluation.in_regions(ad.intervals(spark, sf_dir, "O"), tiled(spark, sf_dir).filter("cn != 1"))
+    found = evaluation.confusion(inside, ad.intervals(spark, sf_dir, "F"), ad.intervals(spark, sf_dir, "P"))
+    return evaluation.metrics(found).select("accuracy", "direction_accuracy")
