@@ -300,17 +300,34 @@ def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chro
     return points.select("chrom", "start_pos", "coverage", "maf", "weight").groupBy(by).applyInPandas(one, CLUSTERED)
 
 
-def neighbour_sums(points: DataFrame, k: int = 10, by: str = "chrom") -> DataFrame:
-    """Per segment the sum of distances to its ``k`` nearest others in the same group."""
+def neighbour_sums(points: DataFrame, k: int = 10, by: str = "chrom", block: int = 1024) -> DataFrame:
+    """Per segment (chrom, start_pos) the sum of distances to its ``k`` nearest others in the same group.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        xy = rows[["coverage", "maf"]].to_numpy(float)
-        d = np.sqrt(((xy[:, None, :] - xy[None]) ** 2).sum(axis=2))
-        nearest = np.sort(d, axis=1)[:, 1 : k + 1]
-        return pd.DataFrame({"chrom": rows["chrom"], "start_pos": rows["start_pos"], "near": nearest.sum(axis=1)})
-
-    known = points.filter("maf is not null").select("chrom", "start_pos", "coverage", "maf")
-    return known.groupBy(by).applyInPandas(one, "chrom string, start_pos long, near double")
+    A group is dealt by hash into blocks of about ``block`` segments. A task holds two blocks and
+    returns the ``k`` least distances of each of its segments, never the pairs, so that memory does
+    not grow with the group; the work grows with its square.
+    """
+    known = points.filter("maf is not null and coverage is not null").select("chrom", "start_pos", "coverage", "maf", F.col(by).alias("grp"))
+    blocks = known.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = known.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("chrom", "start_pos"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asking = dealt.withColumn("q", F.col("own")).withColumn("r", F.explode(every)).withColumn("asks", F.lit(True))
+    asked = dealt.withColumn("r", F.col("own")).withColumn("q", F.explode(every)).withColumn("asks", F.lit(False))
+
+    def least(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["asks"]], rows[~rows["asks"]]
+        xy, uv = a[["coverage", "maf"]].to_numpy(float), b[["coverage", "maf"]].to_numpy(float)
+        d = np.sqrt((xy[:, None, 0] - uv[None, :, 0]) ** 2 + (xy[:, None, 1] - uv[None, :, 1]) ** 2)
+        same = (a["start_pos"].to_numpy()[:, None] == b["start_pos"].to_numpy()) & (a["chrom"].to_numpy()[:, None] == b["chrom"].to_numpy())
+        d[same] = np.inf
+        near = np.sort(np.partition(d, k, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
+        return pd.DataFrame({"chrom": a["chrom"].to_numpy(), "start_pos": a["start_pos"].to_numpy(), "v": [x[np.isfinite(x)].tolist() for x in near]})
+
+    columns = ["grp", "q", "r", "asks", "chrom", "start_pos", "coverage", "maf"]
+    both = asking.select(*columns).unionByName(asked.select(*columns))
+    parts = both.groupBy("grp", "q", "r").applyInPandas(least, "chrom string, start_pos long, v array<double>")
+    merged = parts.groupBy("chrom", "start_pos").agg(F.slice(F.array_sort(F.flatten(F.collect_list("v"))), 1, k).alias("v"))
+    return merged.select("chrom", "start_pos", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("near"))
 
 
 def cluster_spread(points: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -341,3 +341,29 @@ def test_common_variants_give_layouts(spark):
         parts = {(r.start_pos, r.end_pos) for r in held if r.chrom == f"c{k}" and r.alt == "B" and not r.is_common}
         whole = {(s, e) for alt, s, e in want if alt == "B" and (s, e) not in common}
         assert parts == {(s, e) for s, e in whole if any(s <= p < e for p in places)}
+
+
+def test_neighbour_sums_do_not_depend_on_blocks(spark):
+    r = np.random.default_rng(3)
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(r.random((60, 2)).round(2))] + [("b", 7, 0.5, 0.5), ("c", 1, 0.1, 0.1), ("c", 2, 0.4, 0.5), ("c", 3, 0.4, None)]
+    points = spark.createDataFrame(rows, "chrom string, start_pos long, coverage double, maf double")
+    xy = np.array([v[2:] for v in rows[:60]])
+    want = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2)), axis=1)[:, 1:11].sum(axis=1)
+    for block in (7, 1024):
+        got = {(row.chrom, row.start_pos): row.near for row in models.neighbour_sums(points, block=block).collect()}
+        assert len(got) == 63 and got["b", 7] == 0 and abs(got["c", 1] - 0.5) < 1e-12
+        assert np.allclose([got["a", i] for i in range(60)], want)
+
+
+def test_recall_against_the_reference_of_each_interval_and_in_regions(spark):
+    shape = "iv_id long, chrom string, start_pos long, end_pos long, cn int, ref_ploidy int"
+    truth = spark.createDataFrame([(1, "x", 0, 1000, 2, 1), (2, "x", 2000, 3000, 1, 2), (3, "x", 4000, 5000, 1, 1), (4, "x", 6000, 7000, 2, 2)], shape)
+    calls = spark.createDataFrame([(1, "x", 0, 1000, 2, 0), (2, "x", 2000, 3000, 1, 0), (3, "x", 4000, 5000, 2, 0), (4, "x", 6000, 7000, 2, 0)], shape)
+    none = truth.limit(0)
+    cube = evaluation.confusion(truth, calls, none, by=["ref_ploidy"])
+    row = evaluation.metrics(cube, F.col("ref_ploidy")).first()
+    assert row.recall == 100 and row.accuracy == 75 and row.gain_recall == 100 and round(row.precision, 3) == 66.667
+    regions = spans(spark, [("x", 500, 1200), ("x", 900, 1500), ("x", 4500, 4600)])
+    inside = evaluation.in_regions(truth, regions)
+    assert sorted((r.start_pos, r.end_pos) for r in inside.collect()) == [(500, 1000), (4500, 4600)]
+    assert evaluation.metrics(evaluation.confusion(inside, calls, none)).first().accuracy == round(100 * 500 / 600, 6)
