@@ -121,11 +121,25 @@ def j22(spark, sf_dir):
     return out.select("chrom", "start_pos", "cn", "mcc", F.round("distance", 6).alias("distance"))
 
 
-@query("m28_purity_grid")
+#: States of up to four copies in the grid's order, with the expected share of each in a candidate.
+GRID_STATES = [(cn, m, (cn - m) / cn if cn else 0.5) for cn in range(5) for m in range((cn + 1) // 2, cn + 1)]
+GRID_MIXED = "(purity * {0} + 2 * (1 - purity))"
+GRID_DISTANCES = ", ".join(
+    f"pow(({GRID_MIXED.format(cn)} / 2 * diploid - coverage) / diploid, 2) + CASE WHEN p.maf IS NULL THEN pow(({GRID_MIXED.format(cn)} / 2 * diploid - coverage) / diploid, 2)"
+    f" ELSE pow((purity * {cn * maf} + (1 - purity)) / greatest({GRID_MIXED.format(cn)}, 1e-9) - p.maf, 2) END AS d{i}" for i, (cn, _, maf) in enumerate(GRID_STATES)
+)
+GRID_NEAREST = " ".join(f"WHEN d{i} <= d THEN {cn}" for i, (cn, _, _) in enumerate(GRID_STATES))
+
+
+@query("m28_purity_grid", sql(TILED + POINTS + f""", cand AS (SELECT CAST(d AS DOUBLE) AS diploid, p / 100 AS purity FROM range(150, 251) a(d), range(30, 101) b(p)),
+    ds AS (SELECT diploid, purity, weight, {GRID_DISTANCES} FROM pts p, cand), m AS (SELECT *, least({", ".join(f"d{i}" for i in range(len(GRID_STATES)))}) AS d FROM ds),
+    f AS (SELECT diploid, purity, sum(sqrt(d) * weight) / sum(weight) AS deviation, sum(CASE {GRID_NEAREST} END * weight) / sum(weight) AS ploidy FROM m GROUP BY 1, 2)
+    SELECT diploid, purity, round(deviation, 6) AS deviation, round(ploidy, 6) AS ploidy FROM f WHERE ploidy BETWEEN 1.5 AND 4.5 ORDER BY round(f.deviation, 9), purity DESC, diploid LIMIT 1""", "tiles"))
 def m28(spark, sf_dir):
     """Purity and diploid coverage of least distance over a grid of steps of 1."""
     grid = models.purity_grid(spark, (150, 250), (30, 100))
-    return models.best_purity(points(spark, sf_dir), grid, models.state_table(spark, 4))
+    out = models.best_purity(points(spark, sf_dir), grid, models.state_table(spark, 4))
+    return out.select("diploid", "purity", F.round("deviation", 6).alias("deviation"), F.round("ploidy", 6).alias("ploidy"))
 
 
 @query("m35_snv_purity", sql("""
