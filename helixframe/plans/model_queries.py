@@ -66,7 +66,26 @@ def m07(spark, sf_dir):
     return segmentation.segment_cbs(ad.sample_bins(spark, sf_dir), undo="sd")
 
 
-@query("m14_hmm_segments")
+#: Bins in order with the log likelihoods of their count in five states, the best paths and the way back.
+MARKOV = """, pr AS (SELECT sample, median(cnt) / 2 AS h, pow(quantile_cont(cnt, 0.75) - quantile_cont(cnt, 0.25), 2) AS v FROM sample_bins GROUP BY 1),
+    bo AS (SELECT sample, chrom, start_pos, end_pos, row_number() OVER (PARTITION BY sample, chrom ORDER BY start_pos) AS i, count(*) OVER (PARTITION BY sample, chrom) AS n,
+        h, v, greatest(0, least(round_even(cnt, 0), greatest(2, CAST(round_even(5 * h, 0) AS INT) + 1) - 1)) AS k FROM sample_bins JOIN pr USING (sample)),
+    mu AS (SELECT *, greatest(cn, 0.1) * h AS mu FROM bo, range(5) t(cn) WHERE n > 10),
+    nr AS (SELECT *, CASE WHEN v > mu THEN greatest(mu * mu / greatest(v - mu, 1e-9), 2.0) ELSE 1e6 END AS r FROM mu),
+    em AS (SELECT sample, chrom, i, n, list(ln(greatest(exp(lgamma(k + r) - lgamma(k + 1) - lgamma(r) + r * ln(r / (r + mu)) + k * ln(mu / (r + mu))), 1e-300)) ORDER BY cn) AS l FROM nr GROUP BY 1, 2, 3, 4),
+    vt AS (SELECT sample, chrom, i, n, list_transform(l, lambda x: x - ln(5)) AS best, CAST([] AS INT[]) AS back FROM em WHERE i = 1
+        UNION ALL SELECT sample, chrom, i, n, list_transform([1, 2, 3, 4, 5], lambda j: list_max(ways[j]) + l[j]), list_transform([1, 2, 3, 4, 5], lambda j: list_position(ways[j], list_max(ways[j])))
+        FROM (SELECT em.*, list_transform([1, 2, 3, 4, 5], lambda j: list_transform([1, 2, 3, 4, 5], lambda f: vt.best[f] + CASE WHEN f = j THEN ln(CAST(0.99 AS DOUBLE)) ELSE ln((1 - CAST(0.99 AS DOUBLE)) / 4) END)) AS ways
+            FROM vt JOIN em ON vt.sample = em.sample AND vt.chrom = em.chrom AND em.i = vt.i + 1)),
+    tb AS (SELECT sample, chrom, i, list_position(best, list_max(best)) AS s FROM vt WHERE i = n
+        UNION ALL SELECT vt.sample, vt.chrom, vt.i - 1, vt.back[tb.s] FROM tb JOIN vt ON vt.sample = tb.sample AND vt.chrom = tb.chrom AND vt.i = tb.i WHERE vt.i > 1),
+    st AS (SELECT bo.*, CAST(coalesce(tb.s - 1, 2) AS BIGINT) AS cn FROM bo LEFT JOIN tb USING (sample, chrom, i)),
+    ch AS (SELECT *, CASE WHEN lag(cn) OVER (PARTITION BY sample, chrom ORDER BY i) IS NOT DISTINCT FROM cn THEN 0 ELSE 1 END AS o FROM st),
+    rn AS (SELECT *, sum(o) OVER (PARTITION BY sample, chrom ORDER BY i) AS run FROM ch)
+    SELECT sample, chrom, cn, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS bins FROM rn GROUP BY sample, chrom, cn, run"""
+
+
+@query("m14_hmm_segments", sql(MARKOV, "sample_bins").replace("WITH ", "WITH RECURSIVE ", 1))
 def m14(spark, sf_dir):
     """Segments of one hidden Markov model for each sample and contig."""
     return segmentation.state_segments(segmentation.segment_hmm(ad.sample_bins(spark, sf_dir)), "cn")
