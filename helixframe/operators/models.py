@@ -189,6 +189,58 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float:
     return float(np.mean(scores)) if scores else 0.0
 
 
+def best_mixture(points: np.ndarray, weights: np.ndarray, counts: tuple[int, ...] = (4, 5, 6, 7), starts: int = 10, far: float = 0.8, seed: int = 0) -> np.ndarray:
+    """Labels of the mixture of greatest silhouette over numbers of clusters and seeded random starts.
+
+    A start draws its means one by one from the points beyond the ``far`` quantile of distances from
+    those drawn, or from all points where none is.
+    """
+    n, rng = len(points), np.random.default_rng(seed)
+    d = np.sqrt(((points[:, None, :] - points[None]) ** 2).sum(axis=2))
+    limit = np.quantile(d[np.triu_indices(n, 1)], far) if n > 1 else 0.0
+    best, labels = -np.inf, np.zeros(n, int)
+    for k in counts:
+        for _ in range(starts if k <= n else 0):
+            drawn: list[int] = []
+            while len(drawn) < k:
+                left = np.setdiff1d(np.arange(n), drawn)
+                apart = left[(d[np.ix_(left, drawn)] > limit).all(axis=1)] if drawn else left
+                drawn.append(int(rng.choice(apart if len(apart) else left)))
+            found = gaussian_mixture(points, weights, points[drawn])["posterior"].argmax(axis=1)
+            score = silhouette(points, found)
+            if score > best:
+                best, labels = score, found
+    return labels
+
+
+def best_weighting(coverage: np.ndarray, maf: np.ndarray, weights: np.ndarray, low: float, high: float, steps: int = 10, clusters: int = 6) -> float:
+    """The weight of coverage against maf under which a mixture has the greatest likelihood; the first of equals."""
+    best, chosen = -np.inf, low
+    for w in low + np.arange(steps) * (high - low) / steps:
+        xy = np.column_stack([maf, w * coverage])
+        places = np.quantile(xy, (np.arange(clusters) + 0.5) / clusters, axis=0)
+        fit = gaussian_mixture(xy, weights, places)["fit"]
+        if fit > best:
+            best, chosen = fit, float(w)
+    return chosen
+
+
+def density_sweep(points: np.ndarray, low: float = 0.01, high: float = 0.5, steps: int = 20, default: float = 0.1, most: int = 7) -> np.ndarray:
+    """Density peaks at the cut-off of distance whose number of clusters most cut-offs give.
+
+    The greatest such cut-off is taken. Where two or three numbers tie, it is the second that occurs
+    from above if under ``most``, else the first; where more tie, ``default``.
+    """
+    cutoffs = [low + k * (high - low) / steps for k in range(steps)][::-1]
+    sizes = [int(density_peaks(points, distance=c).max(initial=-1)) + 1 for c in cutoffs]
+    times = {k: sizes.count(k) for k in dict.fromkeys(sizes)}
+    modes = [k for k, v in times.items() if v == max(times.values())]
+    if len(modes) > 3:
+        return density_peaks(points, distance=default)
+    wanted = modes[1] if len(modes) > 1 and modes[1] < most else modes[0]
+    return density_peaks(points, distance=cutoffs[sizes.index(wanted)])
+
+
 # ---------------------------------------------------------------- copy-number states and purity
 
 
@@ -275,7 +327,8 @@ def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chro
     """Cluster of each segment in the plane of coverage (times ``scale``) and maf, apart for each ``by``.
 
     ``points`` has chrom, start_pos, coverage, maf and weight. Segments number some thousands, so a
-    group fits a task. ``method`` is mixture, density or mean_shift; a missing maf gives -1.
+    group fits a task. ``method`` is mixture, density or mean_shift, or best_mixture or density_sweep,
+    which search their parameters; a missing maf gives -1.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -292,6 +345,10 @@ def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chro
             labels = density_peaks(xy, distance=bandwidth)
         elif method == "mean_shift":
             labels = mean_shift(xy, bandwidth)[1]
+        elif method == "best_mixture":
+            labels = best_mixture(xy, rows["weight"].to_numpy(float)[known])
+        elif method == "density_sweep":
+            labels = density_sweep(xy)
         else:
             raise ValueError(f"no clustering called {method}")
         out.loc[known, "cluster"] = labels

@@ -280,6 +280,18 @@ def m22(spark, sf_dir):
     return models.cluster_segments(_windows(spark, sf_dir), "mean_shift", scale=0.01)
 
 
+@query("m25_best_mixture")
+def m25(spark, sf_dir):
+    """Clusters of the mixture of greatest silhouette over four to seven clusters."""
+    return models.cluster_segments(_windows(spark, sf_dir), "best_mixture", scale=0.01)
+
+
+@query("m27_density_sweep")
+def m27(spark, sf_dir):
+    """Clusters by density peaks at the cut-off that a sweep selects."""
+    return models.cluster_segments(_windows(spark, sf_dir), "density_sweep", scale=0.01)
+
+
 @query("t05_neighbour_sums", sql(TILED + POINTS + """, w AS (SELECT chrom, start_pos // 4000 * 4000 AS start_pos, avg(coverage) AS coverage, avg(maf) AS maf FROM pts GROUP BY 1, 2),
     d AS (SELECT a.chrom, a.start_pos, sqrt(pow(a.coverage - b.coverage, 2) + pow(a.maf - b.maf, 2)) AS d FROM w a JOIN w b ON a.chrom = b.chrom AND a.start_pos != b.start_pos WHERE a.maf IS NOT NULL AND b.maf IS NOT NULL)
     SELECT chrom, start_pos, round(sum(d), 4) AS near FROM (SELECT *, row_number() OVER (PARTITION BY chrom, start_pos ORDER BY d) AS n FROM d) WHERE n <= 10 GROUP BY 1, 2""", "tiles"))

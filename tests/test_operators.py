@@ -367,3 +367,16 @@ def test_recall_against_the_reference_of_each_interval_and_in_regions(spark):
     inside = evaluation.in_regions(truth, regions)
     assert sorted((r.start_pos, r.end_pos) for r in inside.collect()) == [(500, 1000), (4500, 4600)]
     assert evaluation.metrics(evaluation.confusion(inside, calls, none)).first().accuracy == round(100 * 500 / 600, 6)
+
+
+def test_sweeps_find_the_number_of_clusters():
+    r = np.random.default_rng(11)
+    centres = np.array([(0.1, 0.1), (0.1, 0.9), (0.9, 0.1), (0.9, 0.9), (0.5, 0.5)])
+    xy = np.concatenate([c + 0.02 * r.standard_normal((30, 2)) for c in centres])
+    true = np.repeat(np.arange(5), 30)
+    for labels in (models.best_mixture(xy, np.ones(150)), models.density_sweep(xy)):
+        assert len({(a, b) for a, b in zip(true, labels, strict=True)}) == 5 and len(set(labels)) == 5
+    assert (models.best_mixture(xy, np.ones(150)) == models.best_mixture(xy, np.ones(150))).all()
+    assert models.best_mixture(xy[:2], np.ones(2)).tolist() == [0, 0] and models.density_sweep(xy[:1]).tolist() == [-1]
+    w = models.best_weighting(100 * xy[:, 1], xy[:, 0], np.ones(150), 0.001, 0.02)
+    assert 0.001 <= w < 0.02
