@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, token_files, unigram_counts, url_filter
+from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, token_files, unigram_counts, url_filter, whitening
 from .common import materialize, table
 from .oracles import ORACLES  # noqa: F401  the SQL of these queries
 
@@ -89,10 +89,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_html_extract, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_url_filter,
-        op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts,
+        op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts, op13_whitening,
     )
 }
