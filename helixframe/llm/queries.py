@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, quality_rules, token_files, unigram_counts, url_filter, whitening
+from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, periodic_runs, quality_rules, token_files, unigram_counts, url_filter, whitening
 from .common import materialize, table
 from .oracles import ORACLES  # noqa: F401  the SQL of these queries
 
@@ -89,6 +89,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def _repeating(id_col: str, text_col: str) -> Column:
+    """The text; of one id in ten the words from some place on repeat a piece, as the query's contract lays down."""
+    h = F.crc32(F.col(id_col).cast("string"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        moved = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+        return F.when(n > 0, F.array_join(moved, " ")).otherwise("")
+
+    split = F.array_remove(F.split(F.col(text_col), quality_rules.SPACE), "")
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(split), again), F.lit(0))).otherwise(F.col(text_col))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.find_runs(docs.select("doc_id", _repeating("doc_id", "text").alias("text")))
+    first, others = F.get("runs", F.lit(0)), F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1)))
+    # the greatest exponent, compared as a product of longs; runs come by start, then period
+    best = F.aggregate(others, first, lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +127,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_html_extract, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_url_filter,
-        op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts, op13_whitening,
+        op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts, op12_periodic_runs, op13_whitening,
     )
 }
