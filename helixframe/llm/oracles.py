@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import FRACTION, limit_of
 from .quality_rules import COMMON_WORDS
 from .url_filter import PUBLIC_SUFFIXES, RULES
 
@@ -94,7 +95,29 @@ FROM s LEFT JOIN ref USING (key)
 """
 
 
+#: The distinct hashes under the limit of a list of hashes, or the least where none is.
+_SKETCH = """CASE WHEN len(list_filter({0}, lambda h: h < '{limit}')) > 0 THEN list_sort(list_distinct(list_filter({0}, lambda h: h < '{limit}')))
+    WHEN len({0}) > 0 THEN [list_min({0})] ELSE CAST([] AS VARCHAR[]) END"""
+_SHINGLES = r"""CASE WHEN len({0}) > 0 THEN list_transform(range(1, greatest(len({0}) - 4, 1) + 1), lambda i: substr(md5(array_to_string({0}[i:i + 4], ' ')), 1, 16)) ELSE CAST([] AS VARCHAR[]) END"""
+_LIKENESS = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 1.0 END"
+_CONTAINED = "CASE WHEN len({0}) > 0 THEN len(list_intersect({0}, {1})) / len({0}) ELSE 1.0 END"
+_LIMIT = limit_of(FRACTION)
+
+FINGERPRINTS = rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS row, count(*) OVER () AS rows, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT a.row, a.doc_id, length(a.t) AS n, a.t, b.t AS u, b.row AS follow FROM d a JOIN d b ON b.row = a.row % a.rows + 1),
+e AS (SELECT *, substr(t, 1, n - n // 2) || substr(u, 1, n // 2) AS e FROM p),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x != '') AS tw, list_filter(regexp_split_to_array(e, '[ 	-]+'), lambda x: x != '') AS ew FROM e),
+h AS (SELECT row, follow, doc_id, n, e, {_SHINGLES.format('tw')} AS th, {_SHINGLES.format('ew')} AS eh FROM w),
+s AS (SELECT row, follow, doc_id, n, e, {_SKETCH.format('th', limit=_LIMIT)} AS s, {_SKETCH.format('eh', limit=_LIMIT)} AS es FROM h)
+SELECT a.doc_id, CAST(a.n AS BIGINT) AS n_chars, sha256(a.e) AS edited_sha256, array_to_string(a.s, '') AS fingerprint, array_to_string(a.es, '') AS edited_fingerprint,
+    {_LIKENESS.format('a.s', 'a.es')} AS near_edited, {_LIKENESS.format('a.s', 'b.s')} AS near_next, {_CONTAINED.format('a.s', 'a.es')} AS kept_in_edited, {_CONTAINED.format('a.s', 'b.s')} AS kept_in_next
+FROM s a JOIN s b ON b.row = a.follow
+"""
+
+
 ORACLES = {
+    "op11_fingerprints": FINGERPRINTS,
     "op4_mix_sources": MIXING,
     "op6_url_filter": URL_FILTER,
     "op7_quality_rules": _quality(),

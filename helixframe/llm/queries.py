@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, language_id, mixing, periodic_runs, quality_rules, token_files, unigram_counts, url_filter, whitening
+from . import bpe, exact_dedup, fingerprints, html_extract, jaccard_join, language_id, mixing, periodic_runs, quality_rules, token_files, unigram_counts, url_filter, whitening
 from .common import materialize, table
 from .oracles import ORACLES  # noqa: F401  the SQL of these queries
 
@@ -89,6 +89,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def _repeating(id_col: str, text_col: str) -> Column:
     """The text; of one id in ten the words from some place on repeat a piece, as the query's contract lays down."""
     h = F.crc32(F.col(id_col).cast("string"))
@@ -127,6 +131,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_html_extract, op3_language_id, op4_mix_sources, op5_jaccard_join, op6_url_filter,
-        op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts, op12_periodic_runs, op13_whitening,
+        op7_quality_rules, op8_bpe, op9_exact_dedup, op10_token_counts, op11_fingerprints, op12_periodic_runs, op13_whitening,
     )
 }
