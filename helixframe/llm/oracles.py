@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import FRACTION, limit_of
-from .quality_rules import COMMON_WORDS
+from .quality_rules import BARE_SHARE, COMMON_WORDS
 from .url_filter import PUBLIC_SUFFIXES, RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +71,7 @@ def _quality() -> str:
 
     mean_c = ", ".join(f"avg(c[{i}])" for i in range(1, 7))
     mean_w = ", ".join(f"avg(w[{i}])" for i in range(1, n + 2))
+    bare = ", ".join(["0.0"] * n + ["1.0"])  # a text without any of the words
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, CASE WHEN lang IN ({known}) THEN lang ELSE 'other' END AS key, coalesce(text, '') AS t FROM documents),
 e AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines,
@@ -87,10 +88,11 @@ g AS (SELECT *, [up, lo, dig, n_chars - word_chars, n_symbols, n_chars - (up + l
     CASE WHEN common IS NULL THEN list_transform(range(0, {n}), lambda x: 0) ELSE list_transform(common, lambda x: (length(spaced) - length(replace(spaced, ' ' || x || ' ', ''))) // (length(x) + 2)) END AS hits FROM f),
 h AS (SELECT *, list_append(hits, n_plain - list_sum(hits)) AS found, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM g),
 s AS (SELECT *, list_transform(classes, lambda x: x / greatest(list_sum(classes), 1)) AS c, list_transform(found, lambda x: x / greatest(list_sum(found), 1)) AS w FROM h),
-ref AS (SELECT key, [{mean_c}] AS rc, [{mean_w}] AS rw FROM s WHERE NOT base_failed AND n_chars >= 200 AND n_plain >= 100 GROUP BY 1)
+means AS (SELECT key, [{mean_c}] AS rc, [{mean_w}] AS rw, [{bare}] AS bare FROM s WHERE NOT base_failed AND n_chars >= 200 AND n_plain >= 100 GROUP BY 1),
+ref AS (SELECT *, {BARE_SHARE} * {divergence('bare', 'rw', n + 1)} AS most FROM means)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT (coalesce(n_chars >= 200 AND {divergence('c', 'rc', 6)} > 0.3, false)
-        OR coalesce(n_plain >= 100 AND s.key != 'other' AND {divergence('w', 'rw', n + 1)} > 0.45, false)) AS kept
+        OR coalesce(n_plain >= 100 AND s.key != 'other' AND {divergence('w', 'rw', n + 1)} > most, false)) AS kept
 FROM s LEFT JOIN ref USING (key)
 """
 
@@ -107,7 +109,9 @@ FINGERPRINTS = rf"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS row, count(*) OVER () AS rows, doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT a.row, a.doc_id, length(a.t) AS n, a.t, b.t AS u, b.row AS follow FROM d a JOIN d b ON b.row = a.row % a.rows + 1),
 e AS (SELECT *, substr(t, 1, n - n // 2) || substr(u, 1, n // 2) AS e FROM p),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x != '') AS tw, list_filter(regexp_split_to_array(e, '[ 	-]+'), lambda x: x != '') AS ew FROM e),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x != '') AS tw, list_filter(regexp_split_to_array(e, '[ 	-
+]+'), lambda x: x != '') AS ew FROM e),
 h AS (SELECT row, follow, doc_id, n, e, {_SHINGLES.format('tw')} AS th, {_SHINGLES.format('ew')} AS eh FROM w),
 s AS (SELECT row, follow, doc_id, n, e, {_SKETCH.format('th', limit=_LIMIT)} AS s, {_SKETCH.format('eh', limit=_LIMIT)} AS es FROM h)
 SELECT a.doc_id, CAST(a.n AS BIGINT) AS n_chars, sha256(a.e) AS edited_sha256, array_to_string(a.s, '') AS fingerprint, array_to_string(a.es, '') AS edited_fingerprint,
