@@ -79,6 +79,53 @@ def _inside(above: _Open, name: str, own: tuple[str, ...], kept_tags: frozenset[
     )
 
 
+class _Formatting:
+    """Formatting elements that are open inside the innermost block, where any one may end by itself.
+
+    What they hold is counted, so that an end tag costs the same however many elements are open.
+    """
+
+    def __init__(self) -> None:
+        self._open: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
+        self._inner: list[tuple[int, str]] = []
+        self._ended: set[int] = set()
+        self._words: Counter[str] = Counter()
+        self._opened = 0
+
+    def start(self, name: str, own: tuple[str, ...]) -> None:
+        self._opened += 1
+        self._open.setdefault(name, []).append((self._opened, own))
+        self._words.update(own)
+        if name not in _FORMATS:
+            self._inner.append((self._opened, name))
+
+    def end(self, name: str) -> None:
+        """The last open element of this name ends; those opened after it stay open."""
+        if name in self._open:
+            number, own = self._open[name].pop()
+            if not self._open[name]:
+                del self._open[name]
+            self._ended.add(number)
+            self._words.subtract(own)
+            for word in own:
+                if self._words[word] <= 0:
+                    del self._words[word]
+
+    def linked(self) -> bool:
+        return "a" in self._open
+
+    def over(self, block: _Open, kept_tags: frozenset[str] | None) -> tuple[frozenset[str], frozenset[str], str]:
+        """Tags, names and innermost tag of text in these elements inside ``block``."""
+        while self._inner and self._inner[-1][0] in self._ended:
+            self._inner.pop()
+        tags = self._open.keys() if kept_tags is None else self._open.keys() & kept_tags
+        return (
+            block.tags if block.tags.issuperset(tags) else block.tags | tags,
+            block.names if block.names.issuperset(self._words) else block.names | self._words.keys(),
+            self._inner[-1][1] if self._inner else block.inner,
+        )
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     """Words of the attributes that say what an element is for."""
     if not attributes or attributes.isspace():
@@ -99,10 +146,12 @@ def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names:
     like) and comments are left out; what is open at the end counts as closed there.
 
     With ``kept_tags`` and ``kept_names`` blocks tell of those ancestors only, so that their size does
-    not grow with the depth of the page; the time grows with the page's length alone.
+    not grow with the depth of the page; the time then grows with the page's length alone, also where
+    elements are misnested.
     """
     blocks: list[Block] = []
     stack: list[_Open] = [_TOP]
+    formatting = _Formatting()
     count: Counter[str] = Counter()
     held: list[str] = []
     linked = 0
@@ -112,8 +161,7 @@ def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names:
         if held:
             text = _BLANKS.sub(" ", unescape("".join(held))).strip()
             if text:
-                top = stack[-1]
-                blocks.append(Block(text, top.tags, top.names, top.inner, linked))
+                blocks.append(Block(text, *formatting.over(stack[-1], kept_tags), linked))
             held.clear()
         linked = 0
 
@@ -122,6 +170,8 @@ def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names:
         count[name] += 1
 
     def cut(k: int) -> None:
+        nonlocal formatting
+        formatting = _Formatting()  # formatting left open does not reach the next block
         for gone in stack[k:]:
             count[gone.name] -= 1
         del stack[k:]
@@ -132,7 +182,7 @@ def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names:
         text = html[at : found.start() if found else end]
         if text:
             held.append(text)
-            if stack[-1].linked:
+            if stack[-1].linked or formatting.linked():
                 linked += len(text)
         if not found:
             break
@@ -155,17 +205,10 @@ def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names:
             continue
         if name in INLINE:
             if not closing:
-                push(name, _names(found.group(3)))
-            elif count[name]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        again = [(e.name, e.own) for e in stack[k + 1 :]]
-                        cut(k)
-                        for one in again:
-                            push(*one)
-                        break
-                    if stack[k].name not in INLINE:
-                        break
+                own = _names(found.group(3))
+                formatting.start(name, own if kept_names is None else tuple(w for w in own if w in kept_names))
+            else:
+                formatting.end(name)
             continue
         flush()
         if closing:
@@ -175,8 +218,7 @@ def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names:
                     k -= 1
                 cut(k)
             continue
-        while stack[-1].name in INLINE:  # formatting left open does not reach the next block
-            cut(len(stack) - 1)
+        cut(len(stack))
         ends = CLOSES.get(name, set()) | {"p"}
         while not ends.isdisjoint(stack[-1].closable):
             k = len(stack) - 1

@@ -193,6 +193,13 @@ def test_deep_pages_take_time_by_their_length():
     assert blocks[-1].names == {"content"} and blocks[-1].inner == "div"
 
 
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "<i>" * 100_000 + "x" + "</b>" * 100_000, "<b>" * 50_000 + "<code class=content>y</b><hr>" * 50_000])
+def test_misnested_pages_take_time_by_their_length(page):
+    began = time.process_time()
+    blocks = dom.leaf_blocks(page, frozenset(html_extract.ROLES), html_extract.NAMES)
+    assert blocks and time.process_time() - began < 2
+
+
 #: Pages written by hand in layouts of their own, with the article that a reader would keep.
 WRITTEN = [
     ("""<!doctype html><html lang=en><head><title>Tides</title></head><body><header><a href=/>Home</a> <a href=/a>About us</a></header>
