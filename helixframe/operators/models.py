@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions.tables import written
+
+from . import clusters as clusters_in
 from .segmentation import negative_binomial
 
 
@@ -323,68 +326,67 @@ def likelihood_table(spark: SparkSession, means: dict[str, float], variances: di
 CLUSTERED = "chrom string, start_pos long, cluster int"
 
 
+def _in_plane(points: DataFrame, by: str, scale: float) -> DataFrame:
+    """The points with maf and scaled coverage as the axes; ids order them by contig and place."""
+    key = F.col("start_pos") if by == "chrom" else F.concat(F.col("chrom"), F.lit(":"), F.lpad(F.col("start_pos").cast("string"), 12, "0"))
+    return clusters_in.plane(points, F.col(by), key, F.col("maf"), scale * F.col("coverage"), F.col("weight"), F.col("chrom"), F.col("start_pos"))
+
+
 def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chrom", scale: float = 1.0, clusters: int = 4, bandwidth: float = 0.1) -> DataFrame:
     """Cluster of each segment in the plane of coverage (times ``scale``) and maf, apart for each ``by``.
 
-    ``points`` has chrom, start_pos, coverage, maf and weight. Segments number some thousands, so a
-    group fits a task. ``method`` is mixture, density or mean_shift, or best_mixture or density_sweep,
-    which search their parameters; a missing maf gives -1.
+    ``points`` has chrom, start_pos, coverage, maf and weight. ``method`` is mixture, density,
+    mean_shift, density_sweep, which searches its cut-off, or reclustered, which then parts clusters
+    of wide spread; these deal a group's points to cells and blocks or sum them by group. best_mixture
+    searches the number of clusters and holds a group's distances in one task. A missing maf gives -1.
     """
+    if method == "best_mixture":
+        return _best_mixtures(points, by, scale)
+    flat = written(_in_plane(points, by, scale), "plane")
+    slim = flat.select("grp", "id", "x", "y")
+    if method == "mixture":
+        labels = clusters_in.mixture(flat.select("grp", "id", "x", "y", "weight"), clusters)
+    elif method == "mean_shift":
+        labels = clusters_in.mean_shift_labels(slim, bandwidth)
+    elif method in ("density", "density_sweep", "reclustered"):
+        peaks = clusters_in.density(slim)
+        if method == "density":
+            labels = clusters_in.peak_labels(peaks, 2.0, F.lit(bandwidth))
+        else:
+            found = peaks.join(clusters_in.chosen_distance(peaks), "grp")
+            labels = clusters_in.peak_labels(found, 2.0, F.col("distance"))
+            if method == "reclustered":
+                labels = clusters_in.recluster(peaks, written(labels, "labels"))
+    else:
+        raise ValueError(f"no clustering called {method}")
+    named = flat.select("grp", "id", "chrom", "start_pos").join(labels, ["grp", "id"])
+    return points.select("chrom", "start_pos").join(named, ["chrom", "start_pos"], "left").select(
+        "chrom", "start_pos", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")
+    )
+
 
+def _best_mixtures(points: DataFrame, by: str, scale: float) -> DataFrame:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start_pos").reset_index(drop=True)
         out = pd.DataFrame({"chrom": rows["chrom"], "start_pos": rows["start_pos"], "cluster": -1})
         known = rows["maf"].notna().to_numpy()
         xy = np.column_stack([rows["maf"].to_numpy(float)[known], scale * rows["coverage"].to_numpy(float)[known]])
-        if not len(xy):
-            return out.astype({"cluster": "int32"})
-        if method == "mixture":
-            places = np.quantile(xy, (np.arange(min(clusters, len(xy))) + 0.5) / clusters, axis=0)
-            labels = gaussian_mixture(xy, rows["weight"].to_numpy(float)[known], places)["posterior"].argmax(axis=1)
-        elif method == "density":
-            labels = density_peaks(xy, distance=bandwidth)
-        elif method == "mean_shift":
-            labels = mean_shift(xy, bandwidth)[1]
-        elif method == "best_mixture":
-            labels = best_mixture(xy, rows["weight"].to_numpy(float)[known])
-        elif method == "density_sweep":
-            labels = density_sweep(xy)
-        else:
-            raise ValueError(f"no clustering called {method}")
-        out.loc[known, "cluster"] = labels
+        if len(xy):
+            out.loc[known, "cluster"] = best_mixture(xy, rows["weight"].to_numpy(float)[known])
         return out.astype({"cluster": "int32"})
 
     return points.select("chrom", "start_pos", "coverage", "maf", "weight").groupBy(by).applyInPandas(one, CLUSTERED)
 
 
-def neighbour_sums(points: DataFrame, k: int = 10, by: str = "chrom", block: int = 1024) -> DataFrame:
+def neighbour_sums(points: DataFrame, k: int = 10, by: str = "chrom", fill: int = clusters_in.FILL, block: int = clusters_in.BLOCK) -> DataFrame:
     """Per segment (chrom, start_pos) the sum of distances to its ``k`` nearest others in the same group.
 
-    A group is dealt by hash into blocks of about ``block`` segments. A task holds two blocks and
-    returns the ``k`` least distances of each of its segments, never the pairs, so that memory does
-    not grow with the group; the work grows with its square.
+    Neighbours are sought in growing cells, so that a segment meets the points around it only.
     """
-    known = points.filter("maf is not null and coverage is not null").select("chrom", "start_pos", "coverage", "maf", F.col(by).alias("grp"))
-    blocks = known.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = known.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("chrom", "start_pos"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asking = dealt.withColumn("q", F.col("own")).withColumn("r", F.explode(every)).withColumn("asks", F.lit(True))
-    asked = dealt.withColumn("r", F.col("own")).withColumn("q", F.explode(every)).withColumn("asks", F.lit(False))
-
-    def least(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["asks"]], rows[~rows["asks"]]
-        xy, uv = a[["coverage", "maf"]].to_numpy(float), b[["coverage", "maf"]].to_numpy(float)
-        d = np.sqrt((xy[:, None, 0] - uv[None, :, 0]) ** 2 + (xy[:, None, 1] - uv[None, :, 1]) ** 2)
-        same = (a["start_pos"].to_numpy()[:, None] == b["start_pos"].to_numpy()) & (a["chrom"].to_numpy()[:, None] == b["chrom"].to_numpy())
-        d[same] = np.inf
-        near = np.sort(np.partition(d, k, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
-        return pd.DataFrame({"chrom": a["chrom"].to_numpy(), "start_pos": a["start_pos"].to_numpy(), "v": [x[np.isfinite(x)].tolist() for x in near]})
-
-    columns = ["grp", "q", "r", "asks", "chrom", "start_pos", "coverage", "maf"]
-    both = asking.select(*columns).unionByName(asked.select(*columns))
-    parts = both.groupBy("grp", "q", "r").applyInPandas(least, "chrom string, start_pos long, v array<double>")
-    merged = parts.groupBy("chrom", "start_pos").agg(F.slice(F.array_sort(F.flatten(F.collect_list("v"))), 1, k).alias("v"))
-    return merged.select("chrom", "start_pos", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("near"))
+    flat = written(_in_plane(points, by, 1.0), "plane")
+    near = clusters_in.nearest(flat.select("grp", "id", "x", "y"), k, fill, block)
+    named = flat.select("grp", "id", "chrom", "start_pos").join(near, ["grp", "id"])
+    return named.select("chrom", "start_pos", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("near"))
 
 
 def cluster_spread(points: DataFrame, clusters: DataFrame) -> DataFrame:

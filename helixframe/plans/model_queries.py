@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import callers, kmers, models, segmentation
+from helixframe.functions.tables import written
+from helixframe.operators import callers, clusters, kmers, models, segmentation
 from helixframe.plans.segment_queries import SEGMENTED, TILED, segmented, tiled
 from helixframe.sources import adapters as ad
 from helixframe.sources.adapters import sql
@@ -262,22 +263,59 @@ def _windows(spark, sf_dir):
     )
 
 
+#: Tiles in the plane of clustering: each state has a place of its own, with a scatter made of the tile's other values.
+CLOUD = TILED + """, cloud AS (SELECT chrom, start_pos, 100.0 * cn + 24 * ((CAST(round(cnt * 10, 0) AS BIGINT) * 7 % 97) / 97.0 - 0.5) AS coverage,
+    CASE WHEN q < 6 THEN CASE cn WHEN 0 THEN 0.46 WHEN 1 THEN 0.06 WHEN 2 THEN 0.42 ELSE 0.3 END + 0.06 * ((CAST(round(cnt * 10, 0) AS BIGINT) * 13 % 89) / 89.0 - 0.5) END AS maf, 1.0 + q AS weight FROM tiled)"""
+
+
+def cloud(spark, sf_dir):
+    tenths = F.round(F.col("cnt") * 10, 0).cast("long")
+    place = F.when(F.col("cn") == 0, 0.46).when(F.col("cn") == 1, 0.06).when(F.col("cn") == 2, 0.42).otherwise(0.3)
+    return tiled(spark, sf_dir).select(
+        "chrom", "start_pos", (100.0 * F.col("cn") + 24 * ((tenths * 7 % 97) / 97.0 - 0.5)).alias("coverage"),
+        F.when(F.col("q") < 6, place + 0.06 * ((tenths * 13 % 89) / 89.0 - 0.5)).alias("maf"), (1.0 + F.col("q")).alias("weight"),
+    )
+
+
 @query("m20_mixture_clusters")
 def m20(spark, sf_dir):
     """Clusters of segments by a weighted Gaussian mixture."""
-    return models.cluster_segments(_windows(spark, sf_dir), "mixture", scale=0.01)
+    return models.cluster_segments(cloud(spark, sf_dir), "mixture", scale=0.01)
+
+
+def peaks(source: str, s: str = "") -> str:
+    """Views of ``source`` (chrom, start_pos, x, y), their names ending in ``s``: distances of all pairs of a contig, densities, ranks, and the nearest denser point."""
+    return f""", d{s} AS (SELECT a.chrom, a.start_pos AS a, b.start_pos AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM {source} a JOIN {source} b ON a.chrom = b.chrom AND a.start_pos != b.start_pos),
+    o{s} AS (SELECT chrom, d, row_number() OVER (PARTITION BY chrom ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY chrom) AS n FROM d{s} WHERE a < b),
+    dc{s} AS (SELECT chrom, greatest(d, 1e-12) AS dc FROM o{s} WHERE i = least(CAST(floor(n * 0.02) AS BIGINT), n - 1)),
+    rho{s} AS (SELECT chrom, a, round(sum(exp(-(d / dc) * (d / dc))), 9) AS rho, max(d) AS far FROM d{s} JOIN dc{s} USING (chrom) GROUP BY 1, 2),
+    k{s} AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY rho DESC, a) AS r FROM rho{s}),
+    nd{s} AS (SELECT d.chrom, d.a, min(d.d) AS delta, arg_min(d.b, (d.d, kb.r)) AS parent FROM d{s} d JOIN k{s} ka ON d.chrom = ka.chrom AND d.a = ka.a JOIN k{s} kb ON d.chrom = kb.chrom AND d.b = kb.a WHERE kb.r < ka.r GROUP BY 1, 2),
+    pk{s} AS (SELECT k.chrom, k.a, k.rho, k.r, coalesce(nd.delta, k.far) AS delta, nd.parent FROM k{s} k LEFT JOIN nd{s} nd USING (chrom, a))"""
+
 
+PEAKS = CLOUD + ", p AS (SELECT chrom, start_pos, maf AS x, 0.01 * coverage AS y FROM cloud WHERE maf IS NOT NULL)" + peaks("p")
 
-@query("m21_density_clusters")
+
+def labelled(cutoff: str, view: str = "pk", s: str = "") -> str:
+    """Labels of the peaks farther than a cut-off, and of what leads to them."""
+    return f""", ce{s} AS (SELECT chrom, a, row_number() OVER (PARTITION BY chrom ORDER BY r) - 1 AS cluster FROM {view} WHERE rho > 2 AND delta > {cutoff}),
+    lb{s} AS (SELECT chrom, a, cluster FROM ce{s} UNION ALL SELECT v.chrom, v.a, lb{s}.cluster FROM lb{s} JOIN {view} v ON v.chrom = lb{s}.chrom AND v.parent = lb{s}.a WHERE NOT (v.rho > 2 AND v.delta > {cutoff}))"""
+
+
+LABELS = " SELECT chrom, start_pos, CAST(coalesce(lb.cluster, -1) AS INT) AS cluster FROM cloud LEFT JOIN lb ON lb.chrom = cloud.chrom AND lb.a = cloud.start_pos".replace(" SELECT chrom", " SELECT cloud.chrom")
+
+
+@query("m21_density_clusters", sql(PEAKS + labelled("0.05") + LABELS, "tiles").replace("WITH ", "WITH RECURSIVE ", 1))
 def m21(spark, sf_dir):
     """Clusters of segments by density peaks."""
-    return models.cluster_segments(_windows(spark, sf_dir), "density", scale=0.01, bandwidth=0.05)
+    return models.cluster_segments(cloud(spark, sf_dir), "density", scale=0.01, bandwidth=0.05)
 
 
 @query("m22_mean_shift_clusters")
 def m22(spark, sf_dir):
     """Clusters of segments by mean shift."""
-    return models.cluster_segments(_windows(spark, sf_dir), "mean_shift", scale=0.01)
+    return models.cluster_segments(cloud(spark, sf_dir), "mean_shift", scale=0.01)
 
 
 @query("m25_best_mixture")
@@ -286,10 +324,40 @@ def m25(spark, sf_dir):
     return models.cluster_segments(_windows(spark, sf_dir), "best_mixture", scale=0.01)
 
 
-@query("m27_density_sweep")
+#: The cut-offs from above, the numbers of clusters they give, and each contig's cut-off.
+SWEPT = PEAKS + """, cu AS (SELECT 19 - i AS place, 0.01 + i * (0.5 - 0.01) / 20 AS c FROM range(20) t(i)),
+    nc AS (SELECT chrom, place, c, count(*) FILTER (WHERE rho > 2 AND delta > c) AS n FROM pk, cu GROUP BY 1, 2, 3),
+    fr AS (SELECT chrom, n, count(*) AS times, min(place) AS place, max(c) AS c FROM nc GROUP BY 1, 2),
+    md AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY place) AS nth, count(*) OVER (PARTITION BY chrom) AS modes FROM (SELECT *, max(times) OVER (PARTITION BY chrom) AS most FROM fr) WHERE times = most),
+    ch AS (SELECT chrom, CASE WHEN any_value(modes) > 3 THEN 0.1 WHEN any_value(modes) > 1 AND max(n) FILTER (WHERE nth = 2) < 7 THEN max(c) FILTER (WHERE nth = 2) ELSE max(c) FILTER (WHERE nth = 1) END AS cut FROM md GROUP BY 1),
+    pl AS (SELECT pk.*, cut FROM pk JOIN ch USING (chrom))"""
+
+
+@query("m27_density_sweep", sql(SWEPT + labelled("cut", "pl") + LABELS, "tiles").replace("WITH ", "WITH RECURSIVE ", 1))
 def m27(spark, sf_dir):
     """Clusters by density peaks at the cut-off that a sweep selects."""
-    return models.cluster_segments(_windows(spark, sf_dir), "density_sweep", scale=0.01)
+    return models.cluster_segments(cloud(spark, sf_dir), "density_sweep", scale=0.01)
+
+
+#: Clusters at a cut-off of 2, their spreads, and the wide ones' own peaks.
+AGAIN = CLOUD + """, p AS (SELECT chrom, start_pos, maf AS x, 0.01 * CASE WHEN coverage > 250 THEN coverage + 200 ELSE coverage END AS y FROM cloud WHERE maf IS NOT NULL)""" + peaks("p") + labelled("2.0") + """,
+    l1 AS (SELECT p.*, lb.cluster FROM p JOIN lb ON lb.chrom = p.chrom AND lb.a = p.start_pos), c1 AS (SELECT chrom, cluster, avg(x) AS mx, avg(y) AS my FROM l1 GROUP BY 1, 2),
+    v1 AS (SELECT chrom, cluster, avg((x - mx) * (x - mx) + (y - my) * (y - my)) AS v, count(*) AS n FROM l1 JOIN c1 USING (chrom, cluster) GROUP BY 1, 2),
+    w1 AS (SELECT chrom, cluster, sqrt(v) AS cut, last FROM (SELECT *, avg(v) OVER k AS mean, stddev_samp(v) OVER k AS sd, sum(n) OVER k AS total, count(*) OVER k AS clusters, max(cluster) OVER k AS last FROM v1 WINDOW k AS (PARTITION BY chrom))
+        WHERE v >= mean AND sd > 0.015 AND n < 0.9 * total AND clusters < 4), p2 AS (SELECT l1.chrom, start_pos, x, y FROM l1 JOIN w1 USING (chrom, cluster))""" + peaks("p2", "2") + """,
+    pl2 AS (SELECT pk2.*, cut FROM pk2 JOIN w1 USING (chrom))""" + labelled("cut", "pl2", "2")
+
+
+# one cluster of a contig is wide, and after it is parted a contig has four, which ends the search
+@query("m27_reclustered", sql(AGAIN + """ SELECT p.chrom, p.start_pos, CAST(CASE WHEN lb2.cluster > 0 THEN last + lb2.cluster ELSE coalesce(l1.cluster, -1) END AS INT) AS cluster
+    FROM p LEFT JOIN l1 USING (chrom, start_pos) LEFT JOIN w1 ON w1.chrom = p.chrom AND w1.cluster = l1.cluster LEFT JOIN lb2 ON lb2.chrom = p.chrom AND lb2.a = p.start_pos""", "tiles").replace("WITH ", "WITH RECURSIVE ", 1))
+def m27_again(spark, sf_dir):
+    """A cluster of three states, too wide beside a narrow one, parted again."""
+    rows = cloud(spark, sf_dir).withColumn("coverage", F.when(F.col("coverage") > 250, F.col("coverage") + 200).otherwise(F.col("coverage")))
+    points_ = clusters.plane(rows, F.col("chrom"), F.col("start_pos"), F.col("maf"), 0.01 * F.col("coverage"))
+    dense = clusters.density(points_)
+    found = clusters.recluster(dense, written(clusters.peak_labels(dense, 2.0, F.lit(2.0)), "labels"))
+    return found.select(F.col("grp").alias("chrom"), F.col("id").alias("start_pos"), "cluster")
 
 
 @query("t05_neighbour_sums", sql(TILED + POINTS + """, w AS (SELECT chrom, start_pos // 4000 * 4000 AS start_pos, avg(coverage) AS coverage, avg(maf) AS maf FROM pts GROUP BY 1, 2),
