@@ -130,3 +130,125 @@ def phased_trio(likelihoods: DataFrame, roles: dict[str, str], key: list[str], b
     sure = F.least("q_mother", "q_father", "q_child") >= q_limit
     dq = F.when(sure & left.isNotNull(), F.least(F.lit(cap), 2 * phred(F.greatest(left, F.lit(1e-6)), 60)))
     return called.withColumn("dq", dq).drop("total", "up", "down")
+
+
+def shared_phased(child: Column, one: Column, other: Column) -> Column:
+    """Whether a child's haplotypes (structs of copies a, b) come one from each parent, in either order."""
+    def has(copies: Column, parent: Column) -> Column:
+        return (copies == parent["a"]) | (copies == parent["b"])
+
+    return (has(child["a"], one) & has(child["b"], other)) | (has(child["a"], other) & has(child["b"], one))
+
+
+def phased_family(likelihoods: DataFrame, mother: str, father: str, children: list[str], key: list[str], best: int | None = None, de_novo: float = 1e-5, logs: bool = False, q_limit: float = 7.0, cap: float = 60.0, ploidy: int = 2) -> DataFrame:
+    """(key, sample, a, b, cn, mcc, q, dq, visited): the likeliest phased genotypes of parents and any number of children.
+
+    ``likelihoods`` has sample, key, a, b, log_l. Each person's ``best`` genotypes are tried (five, or
+    three with several children). A child whose haplotypes both occur in a parent adds 1, any other
+    ``de_novo`` (with ``logs`` their logarithms). Likelihoods are compared at six decimals, ties go to
+    fewer copies in the order mother, father, children.
+
+    Given the parents the children do not depend on each other, so each takes its own best genotype
+    and sums over joint states are products of sums. Pairs of parents are tried from the likeliest on;
+    one is passed over when it with every child's best genotype would stay below what is found.
+    ``visited`` counts the pairs that were not.
+
+    q compares all genotypes of a person's copy number with all of theirs. A child has a dq where it
+    is off ``ploidy``, its haplotypes are not one of each parent, all other children have ``ploidy``
+    copies, and q is over ``q_limit`` for it and both parents. Keys without a likelihood of each
+    person are left out.
+    """
+    people = [mother, father, *children]
+    best = best or (3 if len(children) > 1 else 5)
+    rows = likelihoods.filter(F.col("sample").isin(people)).withColumn("l", F.round("log_l", 6))
+    each = rows.groupBy(*key).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("sample") == who, F.struct((-F.col("l")).alias("l"), "a", "b")))).alias(f"g{i}") for i, who in enumerate(people)
+    ])
+    for i in range(len(people)):
+        each = each.filter(F.size(f"g{i}") > 0)
+    tried = [F.slice(F.col(f"g{i}"), 1, best) for i in range(len(people))]
+    kept, new = (math.log(x) if logs else x for x in (1.0, de_novo))
+
+    def held(copies: Column, m: Column, f: Column) -> Column:
+        return (copies == m["a"]) | (copies == m["b"]) | (copies == f["a"]) | (copies == f["b"])
+
+    def cost(z: Column, m: Column, f: Column) -> Column:
+        """What a child's genotype costs beside its parents': the negative log likelihood."""
+        return z["l"] - F.when(held(z["a"], m, f) & held(z["b"], m, f), kept).otherwise(new)
+
+    pairs = F.flatten(F.transform(tried[0], lambda m: F.transform(tried[1], lambda f: F.struct((m["l"] + f["l"]).alias("l"), m.alias("m"), f.alias("f")))))
+    each = each.withColumn("pairs", F.array_sort(pairs))
+    numbers = range(len(children))
+
+    def answer(p: Column, i: int) -> Column:
+        """The i-th child's best genotype for a pair of parents."""
+        return F.array_min(F.transform(tried[i + 2], lambda z: F.struct(F.round(cost(z, p["m"], p["f"]), 6).alias("l"), z["a"].alias("a"), z["b"].alias("b"))))
+
+    def plain(g: Column) -> Column:
+        return F.struct(g["a"].alias("a"), g["b"].alias("b"))
+
+    def state(p: Column) -> Column:
+        found = F.transform(F.array(F.struct(*[answer(p, i).alias(f"c{i}") for i in numbers])), lambda c: F.struct(
+            F.round(sum((c[f"c{i}"]["l"] for i in numbers), p["l"]), 6).alias("l"), plain(p["m"]).alias("m"), plain(p["f"]).alias("f"), *[plain(c[f"c{i}"]).alias(f"c{i}") for i in numbers]
+        ))
+        return F.get(found, F.lit(0))
+
+    least = sum((F.get(f"g{i + 2}", F.lit(0))["l"] for i in numbers), F.lit(-kept * len(children)))
+    first = F.struct(state(F.get("pairs", F.lit(0))).alias("top"), F.lit(1).alias("visited"))
+
+    def search(found: Column, p: Column) -> Column:
+        hopeless = F.round(p["l"] + least, 6) - 1e-6 > found["top"]["l"]
+        return F.when(hopeless, found).otherwise(F.struct(F.least(found["top"], state(p)).alias("top"), (found["visited"] + 1).alias("visited")))
+
+    others = F.slice("pairs", 2, F.greatest(F.size("pairs"), F.lit(1)))
+    joint = each.withColumn("found", F.aggregate(others, first, search))
+
+    def weight(i: int, p: Column, test) -> Column:
+        """The sum of a child's likelihoods for a pair of parents over the genotypes that pass, against its best one."""
+        top = F.get(f"g{i + 2}", F.lit(0))["l"] - kept
+        return F.aggregate(tried[i + 2], F.lit(0.0), lambda s, z: s + F.when(test(z), F.exp(top - cost(z, p["m"], p["f"]))).otherwise(0.0))
+
+    def copies(g: Column) -> Column:
+        return g["a"] + g["b"]
+
+    def summed(child: int | None, side: int) -> Column:
+        """The sum over joint states; with a child those in which it alone is off the ploidy on this side."""
+        def off(g: Column) -> Column:
+            return copies(g) > ploidy if side > 0 else copies(g) < ploidy
+
+        def one(s: Column, p: Column) -> Column:
+            product = F.exp(F.get("pairs", F.lit(0))["l"] - p["l"])
+            for i in numbers:
+                product = product * weight(i, p, off if i == child else lambda z: F.lit(True))
+            return s + (product if child is None else F.when(~off(p["m"]) & ~off(p["f"]), product).otherwise(0.0))
+
+        return F.aggregate("pairs", F.lit(0.0), one)
+
+    def quality(i: int, cn: Column) -> Column:
+        top = F.get(f"g{i}", F.lit(0))["l"]
+
+        def total(test) -> Column:
+            return F.aggregate(f"g{i}", F.lit(0.0), lambda s, x: s + F.when(test(x), F.exp(top - x["l"])).otherwise(0.0))
+
+        return phred(total(lambda x: copies(x) != cn) / total(lambda x: F.lit(True)), cap)
+
+    chosen = [F.col("found.top.m"), F.col("found.top.f"), *[F.col(f"found.top.c{i}") for i in numbers]]
+    sums = {"total": summed(None, 0)} | {f"up{i}": summed(i, 1) for i in numbers} | {f"down{i}": summed(i, -1) for i in numbers}
+    scored = joint.withColumns(sums | {f"q{i}": quality(i, copies(g)) for i, g in enumerate(chosen)})
+
+    def fresh(i: int) -> Column:
+        g, total, up, down = chosen[i + 2], F.col("total"), F.col(f"up{i}"), F.col(f"down{i}")
+        left = F.when(copies(g) > ploidy, 1 - up / (total - down)).otherwise(1 - down / (total - up))
+        sure = F.least("q0", "q1", f"q{i + 2}") > q_limit
+        alone = [copies(chosen[k + 2]) == ploidy for k in numbers if k != i]
+        gate = (copies(g) != ploidy) & ~shared_phased(g, chosen[0], chosen[1]) & sure
+        for test in alone:
+            gate = gate & test
+        return F.when(gate, F.least(F.lit(cap), 2 * phred(F.greatest(left, F.lit(1e-6)), 60)))
+
+    out = [
+        F.struct(F.lit(who).alias("sample"), g["a"].alias("a"), g["b"].alias("b"), copies(g).alias("cn"), F.greatest(g["a"], g["b"]).alias("mcc"), F.col(f"q{i}").alias("q"),
+                 (fresh(i - 2) if i > 1 else F.lit(None).cast("double")).alias("dq"), F.col("found.visited").alias("visited"))
+        for i, (who, g) in enumerate(zip(people, chosen, strict=True))
+    ]
+    return scored.select(*key, F.inline(F.array(*out)))

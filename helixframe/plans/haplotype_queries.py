@@ -43,8 +43,8 @@ JOINED = PHASED + f""", cov AS (SELECT sample, chrom, seg, CAST(cn AS INT) AS cn
         FROM ph JOIN ends USING (sample, chrom, seg) JOIN cov USING (sample, chrom, seg) WHERE cn = a + b)"""
 
 
-def family_sites(spark, sf_dir):
-    rows = ad.sites(spark, sf_dir).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2))))
+def family_sites(spark, sf_dir, samples=3):
+    rows = ad.sites(spark, sf_dir).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     return rows.select(
         F.concat(F.lit("s"), F.col("s").cast("string")).alias("sample"), "chrom", F.expr("pos div 50000").alias("seg"),
         (F.col("ref_count") * (F.col("s") + 2) % 23).alias("ref_count"), ((F.col("alt_count") + 3 * F.col("s")) % 19).alias("alt_count"),
@@ -54,23 +54,24 @@ def family_sites(spark, sf_dir):
 KEY = ["sample", "chrom", "seg"]
 
 
-def phased(spark, sf_dir):
+def phased(spark, sf_dir, samples=3):
     table = haplotypes.depth_table(spark, MEAN, SIZE, 4, DEEPEST)
-    return haplotypes.phased_likelihoods(family_sites(spark, sf_dir), KEY, table, 4, DEEPEST)
+    return haplotypes.phased_likelihoods(family_sites(spark, sf_dir, samples), KEY, table, 4, DEEPEST)
 
 
-def joined(spark, sf_dir):
+def joined(spark, sf_dir, samples=3):
     """Likelihoods of sites and of depth together."""
     table = haplotypes.depth_table(spark, MEAN, SIZE, 4, DEEPEST)
-    depth = family_sites(spark, sf_dir).groupBy(*KEY).agg(F.floor(F.median(F.col("ref_count") + F.col("alt_count"))).cast("int").alias("d"))
+    depth = family_sites(spark, sf_dir, samples).groupBy(*KEY).agg(F.floor(F.median(F.col("ref_count") + F.col("alt_count"))).cast("int").alias("d"))
     states = depth.crossJoin(F.broadcast(table)).select(*KEY, F.posexplode("p").alias("cn", "of"), "d")  # one row
-    coverage = states.select(*KEY, "cn", F.get("of", F.col("d")).alias("p"))
-    return haplotypes.with_coverage(phased(spark, sf_dir), coverage, KEY)
+    missing = F.raise_error(F.lit("a segment's depth lies beyond the table of likelihoods"))
+    coverage = states.select(*KEY, "cn", F.coalesce(F.get("of", F.col("d")), missing).alias("p"))
+    return haplotypes.with_coverage(phased(spark, sf_dir, samples), coverage, KEY)
 
 
-@query("p16_phased_likelihoods", sql(PHASED + " SELECT sample, chrom, seg, a, b, round(log_l, 4) AS log_l, sites FROM ph", "sites"))
-def p16(spark, sf_dir):
-    """Log likelihoods of phased genotypes from allele counts."""
+@query("p09_phased_likelihoods", sql(PHASED + " SELECT sample, chrom, seg, a, b, round(log_l, 4) AS log_l, sites FROM ph", "sites"))
+def p09(spark, sf_dir):
+    """Log likelihoods of phased genotypes from allele counts."""
     return phased(spark, sf_dir).withColumn("log_l", F.round("log_l", 4))
 
 
@@ -101,3 +102,40 @@ def p11(spark, sf_dir):
     """Joint phased call of a trio with a rate of new haplotypes."""
     out = haplotypes.phased_trio(joined(spark, sf_dir), {"mother": "s0", "father": "s1", "child": "s2"}, ["chrom", "seg"], q_limit=1.0)
     return out.withColumns({c: F.round(c, 3) for c in ("q_mother", "q_father", "q_child", "dq")})
+
+
+#: Two children beside the parents: every joint state of the three best genotypes of each.
+FAMILY = JOINED.replace("range(3) r(s)", "range(4) r(s)") + """, r AS (SELECT *, round(log_l, 6) AS l, a + b AS cn FROM jl),
+    t AS (SELECT *, row_number() OVER (PARTITION BY sample, chrom, seg ORDER BY l DESC, a, b) AS n, max(l) OVER (PARTITION BY sample, chrom, seg) AS top FROM r),
+    j AS (SELECT m.chrom, m.seg, m.a AS ma, m.b AS mb, f.a AS fa, f.b AS fb, c.a AS ca, c.b AS cb, d.a AS da, d.b AS db,
+            round(m.l + f.l + round(c.l + CASE WHEN c.a IN (m.a, m.b, f.a, f.b) AND c.b IN (m.a, m.b, f.a, f.b) THEN 1.0 ELSE 1e-5 END, 6) + round(d.l + CASE WHEN d.a IN (m.a, m.b, f.a, f.b) AND d.b IN (m.a, m.b, f.a, f.b) THEN 1.0 ELSE 1e-5 END, 6), 6) AS l
+        FROM t m JOIN t f ON m.chrom = f.chrom AND m.seg = f.seg JOIN t c ON m.chrom = c.chrom AND m.seg = c.seg JOIN t d ON m.chrom = d.chrom AND m.seg = d.seg
+        WHERE m.sample = 's0' AND f.sample = 's1' AND c.sample = 's2' AND d.sample = 's3' AND m.n <= 3 AND f.n <= 3 AND c.n <= 3 AND d.n <= 3),
+    z AS (SELECT *, exp(l - max(l) OVER (PARTITION BY chrom, seg)) AS e FROM j),
+    sm AS (SELECT chrom, seg, sum(e) AS total, coalesce(sum(e) FILTER (WHERE ca + cb > 2 AND ma + mb <= 2 AND fa + fb <= 2), 0) AS up2, coalesce(sum(e) FILTER (WHERE ca + cb < 2 AND ma + mb >= 2 AND fa + fb >= 2), 0) AS down2,
+        coalesce(sum(e) FILTER (WHERE da + db > 2 AND ma + mb <= 2 AND fa + fb <= 2), 0) AS up3, coalesce(sum(e) FILTER (WHERE da + db < 2 AND ma + mb >= 2 AND fa + fb >= 2), 0) AS down3 FROM z GROUP BY 1, 2),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom, seg ORDER BY l DESC, ma, mb, fa, fb, ca, cb, da, db) AS n FROM j) WHERE n = 1),
+    o AS (SELECT chrom, seg, 's0' AS sample, ma AS a, mb AS b FROM b UNION ALL SELECT chrom, seg, 's1', fa, fb FROM b UNION ALL SELECT chrom, seg, 's2', ca, cb FROM b UNION ALL SELECT chrom, seg, 's3', da, db FROM b),
+    q AS (SELECT chrom, seg, sample, o.a, o.b, least(60, -10 * log10(greatest(sum(CASE WHEN t.cn != o.a + o.b THEN exp(t.l - t.top) ELSE 0 END) / sum(exp(t.l - t.top)), 1e-6))) + 0.0 AS q FROM o JOIN t USING (chrom, seg, sample) GROUP BY 1, 2, 3, 4, 5),
+    w AS (SELECT k.*, sm.total, CASE k.sample WHEN 's2' THEN up2 ELSE up3 END AS up, CASE k.sample WHEN 's2' THEN down2 ELSE down3 END AS down, least(k.q, m.q, f.q) AS lowest, x.a + x.b AS sibling,
+            (k.a IN (m.a, m.b) AND k.b IN (f.a, f.b)) OR (k.a IN (f.a, f.b) AND k.b IN (m.a, m.b)) AS shared
+        FROM q k JOIN sm USING (chrom, seg) JOIN q m ON m.chrom = k.chrom AND m.seg = k.seg AND m.sample = 's0' JOIN q f ON f.chrom = k.chrom AND f.seg = k.seg AND f.sample = 's1'
+        JOIN q x ON x.chrom = k.chrom AND x.seg = k.seg AND x.sample = CASE k.sample WHEN 's2' THEN 's3' ELSE 's2' END)"""
+
+
+@query("p11_phased_family", sql(FAMILY + """ SELECT chrom, seg, sample, a + b AS cn, greatest(a, b) AS mcc, round(q, 3) AS q, round(CASE WHEN sample IN ('s2', 's3') AND a + b != 2 AND NOT shared AND sibling = 2 AND lowest > 0.5
+        THEN least(60, 2 * least(60, -10 * log10(greatest(CASE WHEN a + b > 2 THEN 1 - up / (total - down) ELSE 1 - down / (total - up) END, 1e-6)))) END, 3) AS dq FROM w""", "sites"))
+def p11_family(spark, sf_dir):
+    """Joint phased call of parents and two children, by bounded search."""
+    out = haplotypes.phased_family(joined(spark, sf_dir, 4), "s0", "s1", ["s2", "s3"], ["chrom", "seg"], q_limit=0.5)
+    return out.drop("a", "b", "visited").withColumns({"q": F.round("q", 3), "dq": F.round("dq", 3)})
+
+
+@query("p16_shared_phased", sql(FAMILY + " SELECT chrom, seg, sample, a, b, shared FROM w WHERE sample IN ('s2', 's3')", "sites"))
+def p16(spark, sf_dir):
+    """Whether each child's called haplotypes come one from each parent."""
+    called = haplotypes.phased_family(joined(spark, sf_dir, 4), "s0", "s1", ["s2", "s3"], ["chrom", "seg"]).select("chrom", "seg", "sample", "a", "b")
+    pair = called.filter("sample in ('s0', 's1')").groupBy("chrom", "seg").pivot("sample", ["s0", "s1"]).agg(F.first(F.struct("a", "b")))
+    children = called.filter("sample in ('s2', 's3')").join(pair, ["chrom", "seg"])
+    shared = haplotypes.shared_phased(F.struct("a", "b"), F.col("s0"), F.col("s1"))
+    return children.select("chrom", "seg", "sample", "a", "b", shared.alias("shared"))
