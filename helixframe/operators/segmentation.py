@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["sample", "chrom"]
@@ -302,8 +302,12 @@ def negative_binomial(mean: float, variance: float, size: int, clumping: float =
 
 def viterbi(emission: np.ndarray, stay: float = 0.99) -> np.ndarray:
     """Most probable states for emission probabilities (bins x states) with a uniform start."""
-    n, states = emission.shape
-    logs = np.log(np.maximum(emission, 1e-300))
+    return viterbi_of_logs(np.log(np.maximum(emission, 1e-300)), stay)
+
+
+def viterbi_of_logs(logs: np.ndarray, stay: float = 0.99) -> np.ndarray:
+    """Most probable states for log emissions; of equally good ways the one from the lowest state."""
+    n, states = logs.shape
     move = np.full((states, states), math.log((1 - stay) / (states - 1)))
     np.fill_diagonal(move, math.log(stay))
     best, back = logs[0] - math.log(states), np.zeros((n, states), np.int64)
@@ -347,40 +351,66 @@ def segment_hmm(bins: DataFrame, stay: float = 0.99, states: int = 5, few: int =
     return joined.groupBy(*KEYS).applyInPandas(one, "sample string, chrom string, start_pos long, end_pos long, cnt double, cn long")
 
 
-def segment_joint_hmm(bins: DataFrame, stay: float = 0.99, states: int = 5, few: int = 10) -> DataFrame:
+def count_logs(mean: np.ndarray, variance: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Log negative binomial probabilities, the variance at least 1.2 times the mean, none under 1e-300."""
+    gamma = np.frompyfunc(math.lgamma, 1, 1)
+    r = np.maximum(mean, 0.1) ** 2 / (np.maximum(variance, 1.2 * mean) - mean)
+    logs = -r * np.log1p(mean / r) + count * np.log(mean / (mean + r)) + (gamma(r + count) - gamma(count + 1) - gamma(r)).astype(float)
+    return np.maximum(logs, math.log(1e-300))
+
+
+def joint_emissions(bins: DataFrame, states: int = 5, all_states: bool = False) -> DataFrame:
+    """(chrom, start_pos, end_pos, logs): a joint log emission of each state for bins that all samples of a contig have.
+
+    In state k every sample is in k or diploid, at least one of them in k, whichever is likeliest.
+    Samples choose apart, so the best choice is the sum of the greater of both, less the least loss of
+    a sample that would rather be diploid where all would: a grouped sum and a grouped minimum, with
+    no list of choices. Without ``all_states`` states 0 and 1 count as one, and so do 3 and 4: each
+    takes the likelier. Means and variances are those of a sample on the contig; counts are capped at
+    ``states`` times the greatest haploid mean and rounded half to even.
+    """
+    rows = bins.select("chrom", "sample", "start_pos", "end_pos", "cnt")
+    profile = rows.groupBy("chrom", "sample").agg((F.greatest(F.lit(1.0), F.median("cnt")) / 2).alias("haploid"), F.coalesce(F.var_samp("cnt"), F.lit(0.0)).alias("variance"))
+    caps = profile.groupBy("chrom").agg((F.max("haploid") * states).alias("cap"), F.count(F.lit(1)).alias("samples"))
+    known = rows.join(profile.join(caps, "chrom"), ["chrom", "sample"])
+    known = known.withColumn("k", F.bround(F.least("cnt", "cap"), 0).cast("long"))
+
+    @F.pandas_udf("array<double>")
+    def logs(haploid: pd.Series, variance: pd.Series, k: pd.Series) -> pd.Series:
+        h, v, n = (x.to_numpy(float) for x in (haploid, variance, k))
+        each = np.column_stack([count_logs(max(cn, 0.1) * h, v, n) for cn in range(states)])
+        return pd.Series(list(each))
+
+    # each count of a sample on a contig is valued once
+    counts = known.select("chrom", "sample", "k", "haploid", "variance").distinct().select("chrom", "sample", "k", logs("haploid", "variance", "k").alias("l"))
+    valued = known.select("chrom", "sample", "start_pos", "end_pos", "k", "samples").join(counts, ["chrom", "sample", "k"])
+
+    def own(cn: int) -> Column:
+        like = (0, 1) if cn in (0, 1) else (3, 4) if cn in (3, 4) else (cn,)
+        return F.get("l", F.lit(cn)) if all_states or len(like) == 1 else F.greatest(*[F.get("l", F.lit(c)) for c in like if c < states])
+
+    two = F.get("l", F.lit(2))
+    sums = [F.sum(two if cn == 2 else F.greatest(own(cn), two)).alias(f"s{cn}") for cn in range(states)]
+    losses = [F.min(F.greatest(two - own(cn), F.lit(0.0))).alias(f"d{cn}") for cn in range(states) if cn != 2]
+    joint = valued.groupBy("chrom", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("n"), F.first("samples").alias("samples"), *sums, *losses)
+    emissions = F.array(*[F.col(f"s{cn}") if cn == 2 else F.col(f"s{cn}") - F.col(f"d{cn}") for cn in range(states)])
+    return joint.filter("n = samples").select("chrom", "start_pos", "end_pos", emissions.alias("logs"))
+
+
+def segment_joint_hmm(bins: DataFrame, stay: float = 0.99, states: int = 5, few: int = 10, all_states: bool = False) -> DataFrame:
     """One model for all samples of a contig: bins (chrom, start_pos, end_pos, state).
 
-    A state's emission for a bin is the best, over the samples' choice between that state and the
-    diploid one, of the product of their probabilities. Bins must be shared by all samples.
+    Emissions are those of :func:`joint_emissions`. As some sample is in the state itself, a step
+    costs what leads from the state before to it, from the diploid state too. A task holds the
+    emissions of one contig, whatever the number of samples. Contigs of up to ``few`` bins are diploid.
     """
-    joined = bins.select(*KEYS, "start_pos", "end_pos", "cnt").join(F.broadcast(_profile(bins)), "sample")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot_table(index=["start_pos", "end_pos"], columns="sample", values="cnt").dropna().sort_index()
-        out = wide.reset_index()[["start_pos", "end_pos"]]
-        out["chrom"] = rows["chrom"].iloc[0]
-        if len(wide) <= few:
-            out["state"] = 2
-            return out[["chrom", "start_pos", "end_pos", "state"]]
-        joint = np.zeros((len(wide), states))
-        for sample in wide.columns:
-            own = rows[rows["sample"] == sample].iloc[0]
-            tables = emission_tables(own["haploid"], own["variance"], states)
-            at = np.clip(np.rint(wide[sample].to_numpy()), 0, tables.shape[1] - 1).astype(int)
-            logs = np.log(np.maximum(tables[:, at].T, 1e-300))
-            joint += np.maximum(logs, logs[:, [2]])
-        every = np.zeros(len(wide))
-        for sample in wide.columns:  # at least one sample takes the state itself
-            own = rows[rows["sample"] == sample].iloc[0]
-            tables = emission_tables(own["haploid"], own["variance"], states)
-            at = np.clip(np.rint(wide[sample].to_numpy()), 0, tables.shape[1] - 1).astype(int)
-            every = every + np.log(np.maximum(tables[2, at], 1e-300))
-        joint[:, 2] = every
-        joint -= joint.max(axis=1, keepdims=True)
-        out["state"] = viterbi(np.exp(joint), stay)
-        return out[["chrom", "start_pos", "end_pos", "state"]]
-
-    return joined.groupBy("chrom").applyInPandas(one, "chrom string, start_pos long, end_pos long, state long")
+        rows = rows.sort_values("start_pos")
+        rows["state"] = 2 if len(rows) <= few else viterbi_of_logs(np.stack(rows["logs"].to_numpy()), stay)
+        return rows[["chrom", "start_pos", "end_pos", "state"]]
+
+    return joint_emissions(bins, states, all_states).groupBy("chrom").applyInPandas(one, "chrom string, start_pos long, end_pos long, state long")
 
 
 def state_segments(rows: DataFrame, state: str, by: tuple[str, ...] = ("sample", "chrom")) -> DataFrame:

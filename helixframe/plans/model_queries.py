@@ -92,10 +92,34 @@ def m14(spark, sf_dir):
     return segmentation.state_segments(segmentation.segment_hmm(ad.sample_bins(spark, sf_dir)), "cn")
 
 
-@query("m17_joint_hmm_segments")
+@query("m14_stepped_segments", sql(MARKOV.replace("sample_bins", "step_bins"), "step_bins").replace("WITH ", "WITH RECURSIVE ", 1))
+def m14_steps(spark, sf_dir):
+    """Segments of one hidden Markov model for each sample and contig, on counts with changes of state."""
+    return segmentation.state_segments(segmentation.segment_hmm(ad.step_bins(spark, sf_dir)), "cn")
+
+
+#: Joint emissions of three samples, over every choice of the samples that are in the state (bits of c), and best paths.
+JOINT = """, pr AS (SELECT sample, chrom, greatest(1, median(cnt)) / 2 AS h, coalesce(var_samp(cnt), 0) AS v FROM step_bins GROUP BY 1, 2), cp AS (SELECT chrom, max(h) * 5 AS cap, count(*) AS samples FROM pr GROUP BY 1),
+    kb AS (SELECT sample, chrom, start_pos, end_pos, h, v, round_even(least(cnt, cap), 0) AS k, samples, dense_rank() OVER (PARTITION BY chrom ORDER BY sample) - 1 AS place FROM step_bins JOIN pr USING (sample, chrom) JOIN cp USING (chrom)),
+    mu AS (SELECT *, greatest(cn, 0.1) * h AS mu FROM kb, range(5) t(cn)), nr AS (SELECT *, pow(greatest(mu, 0.1), 2) / (greatest(v, 1.2 * mu) - mu) AS r FROM mu),
+    lg AS (SELECT chrom, start_pos, end_pos, place, samples, list(greatest(ln(CAST(1e-300 AS DOUBLE)), -r * ln(1 + mu / r) + k * ln(mu / (mu + r)) + lgamma(r + k) - lgamma(k + 1) - lgamma(r)) ORDER BY cn) AS l FROM nr GROUP BY 1, 2, 3, 4, 5),
+    ow AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS cn FROM lg), op AS (SELECT chrom, start_pos, end_pos, place, samples, cn, l[3] AS two, CASE WHEN cn < 2 THEN greatest(l[1], l[2]) WHEN cn > 2 THEN greatest(l[4], l[5]) ELSE l[3] END AS own FROM ow),
+    ch AS (SELECT chrom, start_pos, end_pos, cn, c, sum(CASE WHEN (c >> place) & 1 = 1 THEN own ELSE two END) AS l FROM op, range(1, 8) b(c) GROUP BY 1, 2, 3, 4, 5, samples HAVING count(*) = samples),
+    bs AS (SELECT chrom, start_pos, end_pos, cn, max(l) AS l FROM ch GROUP BY 1, 2, 3, 4), em AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start_pos) AS i, count(*) OVER (PARTITION BY chrom) AS n FROM (SELECT chrom, start_pos, end_pos, list(l ORDER BY cn) AS l FROM bs GROUP BY 1, 2, 3)),
+    vt AS (SELECT chrom, i, n, list_transform(l, lambda x: x - ln(5)) AS best, CAST([] AS INT[]) AS back FROM em WHERE i = 1 AND n > 10
+        UNION ALL SELECT chrom, i, n, list_transform([1, 2, 3, 4, 5], lambda j: list_max(ways[j]) + l[j]), list_transform([1, 2, 3, 4, 5], lambda j: list_position(ways[j], list_max(ways[j])))
+        FROM (SELECT em.*, list_transform([1, 2, 3, 4, 5], lambda j: list_transform([1, 2, 3, 4, 5], lambda f: vt.best[f] + CASE WHEN f = j THEN ln(CAST(0.99 AS DOUBLE)) ELSE ln((1 - CAST(0.99 AS DOUBLE)) / 4) END)) AS ways
+            FROM vt JOIN em ON vt.chrom = em.chrom AND em.i = vt.i + 1)),
+    tb AS (SELECT chrom, i, list_position(best, list_max(best)) AS s FROM vt WHERE i = n UNION ALL SELECT vt.chrom, vt.i - 1, vt.back[tb.s] FROM tb JOIN vt ON vt.chrom = tb.chrom AND vt.i = tb.i WHERE vt.i > 1),
+    st AS (SELECT em.chrom, em.start_pos, em.end_pos, em.i, CAST(coalesce(tb.s - 1, 2) AS BIGINT) AS state FROM em LEFT JOIN tb USING (chrom, i)),
+    sh AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY chrom ORDER BY i) IS NOT DISTINCT FROM state THEN 0 ELSE 1 END AS o FROM st), rn AS (SELECT *, sum(o) OVER (PARTITION BY chrom ORDER BY i) AS run FROM sh)
+    SELECT chrom, state, min(start_pos) AS start_pos, max(end_pos) AS end_pos, count(*) AS bins FROM rn GROUP BY chrom, state, run"""
+
+
+@query("m17_joint_hmm_segments", sql(JOINT, "step_bins").replace("WITH ", "WITH RECURSIVE ", 1))
 def m17(spark, sf_dir):
-    """Segments of one hidden Markov model for all samples of a contig."""
-    return segmentation.state_segments(segmentation.segment_joint_hmm(ad.sample_bins(spark, sf_dir)), "state", ("chrom",))
+    """Segments of one hidden Markov model for all samples of a contig."""
+    return segmentation.state_segments(segmentation.segment_joint_hmm(ad.step_bins(spark, sf_dir)), "state", ("chrom",))
 
 
 @query("a33_evenness", sql("""

@@ -48,6 +48,19 @@ def sample_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def step_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins that three samples share; each has stretches of ten bins with fewer or more copies, some of them common."""
+    part = read(spark, sf_dir, "part").withColumns({"s": F.explode(F.sequence(F.lit(0), F.lit(2))), "block": F.expr("p_partkey div 50")})
+    even, third = F.col("block") % 4, F.col("block") % 6
+    cn = F.when((F.col("s") == 0) & (even == 1), 3).when((F.col("s") == 1) & (even == 2), 1).when((F.col("s") == 2) & (third == 3), 4).when(third == 5, 0).otherwise(2)
+    noise = (F.col("p_size") * 7 + F.col("s") * 13 + F.col("p_partkey") * 3) % 11 - 5
+    return part.select(
+        F.concat(F.lit("s"), F.col("s").cast("string")).alias("sample"), chrom_of(F.col("p_partkey")).alias("chrom"),
+        (F.col("p_partkey") * 1000).cast("long").alias("start_pos"), (F.col("p_partkey") * 1000 + 900).cast("long").alias("end_pos"),
+        F.greatest(F.lit(0), 30 * cn + noise).cast("double").alias("cnt"),
+    )
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contiguous bins with a copy number and a score, and sparse GC classes."""
     return read(spark, sf_dir, "part").select(
@@ -126,6 +139,9 @@ CTES = {
         CAST(40 + p.p_size % 11 AS INT) AS gc, CAST(l.hits AS DOUBLE) AS cnt
         FROM part p JOIN (SELECT l_partkey, concat('s', CAST(l_suppkey % 3 AS VARCHAR)) AS sample, count(*) AS hits
                           FROM lineitem GROUP BY 1, 2) l ON p.p_partkey = l.l_partkey)""",
+    "step_bins": f"""step_bins AS (SELECT 's' || CAST(s AS VARCHAR) AS sample, {_CHROM.format('p_partkey')} AS chrom, CAST(p_partkey * 1000 AS BIGINT) AS start_pos, CAST(p_partkey * 1000 + 900 AS BIGINT) AS end_pos,
+        CAST(greatest(0, 30 * CASE WHEN s = 0 AND (p_partkey // 50) % 4 = 1 THEN 3 WHEN s = 1 AND (p_partkey // 50) % 4 = 2 THEN 1 WHEN s = 2 AND (p_partkey // 50) % 6 = 3 THEN 4 WHEN (p_partkey // 50) % 6 = 5 THEN 0 ELSE 2 END
+            + (p_size * 7 + s * 13 + p_partkey * 3) % 11 - 5) AS DOUBLE) AS cnt FROM part, range(3) r(s))""",
     "tiles": f"""tiles AS (SELECT {_CHROM.format('p_partkey')} AS chrom, CAST((p_partkey // 5) * 1000 AS BIGINT) AS start_pos,
         CAST((p_partkey // 5) * 1000 + 1000 AS BIGINT) AS end_pos, CAST(30 + p_size % 50 AS INT) AS gc,
         p_retailprice AS cnt, CAST(p_size % 4 AS INT) AS cn, CAST(p_size % 7 AS DOUBLE) AS q FROM part)""",
