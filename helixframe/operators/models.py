@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.tables import written
@@ -298,6 +298,123 @@ def best_purity(segments: DataFrame, grid: DataFrame, states: DataFrame, maf_wei
     return fit.filter(F.col("ploidy").between(low, high)).orderBy(F.round("deviation", 9), F.desc("purity"), "diploid").limit(1)
 
 
+def model_deviations(segments: DataFrame, grid: DataFrame, states: DataFrame, maf_weight: float = 50.0, heterogeneous: int = 3, enough: int = 100, most_clusters: int = 10) -> DataFrame:
+    """(diploid, purity, ploidy, precision, accuracy, cluster_deviation, heterogeneous, deviation) of every model of the grid.
+
+    ``segments`` has coverage, maf, weight and cluster (numbers from 0; null or negative: none).
+    precision is the weighted distance of segments to their nearest state; accuracy that of each
+    state to the mean of the segments nearest to it, a state without any maf among them counting as
+    at maf 0. With over ``enough`` segments that have a maf, and under ``most_clusters`` clusters, the
+    clusters count too: over states of under twice the mean coverage, cluster_deviation is the mean
+    over clusters of their mean squared distances. A cluster is heterogeneous where its median is over
+    that of all segments and its entropy over the median entropy; clusters of up to two segments have
+    zeros. The deviation is the mean of precision and accuracy, or, where over ``heterogeneous``
+    clusters are so, of all three. The entropy of a cluster of n segments sums -p ln p over the
+    distinct major shares of their states, p being the share over n.
+
+    Candidates and states are bounded by the grid. Segments are dealt to tasks, which give sums by
+    candidate and state, and lists of distances by candidate and cluster; a list that meets in one
+    task has one number for each segment of a cluster.
+    """
+    spark = segments.sparkSession
+    candidates = grid.orderBy("diploid", "purity").toPandas()
+    table = states.orderBy("cn", "mcc").toPandas()  # a few dozen states
+    rows = segments.select(*[F.col(c).cast("double").alias(c) for c in ("coverage", "maf", "weight")], F.col("cluster").cast("int").alias("cluster"))
+    rows = written(rows.filter("coverage is not null and weight is not null"), "segments")
+    known = F.col("cluster").isNotNull() & (F.col("cluster") >= 0)
+    about = rows.agg(
+        (F.sum(F.col("weight") * F.col("coverage")) / F.sum("weight")).alias("mean"), F.count("maf").alias("mafs"),
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(known, F.col("cluster"))) + 1, F.lit(0)).alias("clusters"),
+    ).collect()[0]
+    diploid, purity = (candidates[c].to_numpy(float) for c in ("diploid", "purity"))
+    cn, mcc, maf = (table[c].to_numpy(float) for c in ("cn", "mcc", "maf"))
+    mixed = purity[:, None] * cn + 2 * (1 - purity[:, None])
+    mu, expect = mixed / 2 * diploid[:, None], (purity[:, None] * cn * maf + (1 - purity[:, None])) / np.maximum(mixed, 1e-9)
+    shared = spark.sparkContext.broadcast((diploid, mu, expect, cn))
+    mean = about["mean"] or 0.0
+
+    def distances(c: float, f: float) -> np.ndarray:
+        diploid, mu, expect, _ = shared.value
+        cover = ((mu - c) / diploid[:, None]) ** 2
+        return 2 * cover if np.isnan(f) else cover + ((expect - f) * maf_weight / 50.0) ** 2
+
+    def sums(batches):
+        size = shared.value[1].shape
+        total, every = np.zeros((5, *size)), np.arange(size[0])
+        for batch in batches:
+            for c, f, w in zip(*(batch[x].to_numpy(float) for x in ("coverage", "maf", "weight")), strict=True):
+                d = distances(c, f)
+                near = d.argmin(axis=1)
+                own = np.array([w * np.sqrt(d[every, near]), np.full(size[0], w), np.full(size[0], w * c), np.full(size[0], 0.0 if np.isnan(f) else w * f), np.full(size[0], 0.0 if np.isnan(f) else w)])
+                total[:, every, near] += own
+        k, state = np.nonzero(total[1] > 0)
+        yield pd.DataFrame({"k": k, "state": state} | {n: t[k, state] for n, t in zip("dwcfg", total, strict=True)})
+
+    parts = rows.mapInPandas(sums, "k int, state int, d double, w double, c double, f double, g double")
+    by_state = parts.groupBy("k", "state").agg(*[F.sum(c).alias(c) for c in "dwcfg"])
+    named = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(diploid), dtype=np.int32), "diploid": diploid, "purity": purity}))
+    expected = spark.createDataFrame(pd.DataFrame({
+        "k": np.repeat(np.arange(len(diploid), dtype=np.int32), len(cn)), "state": np.tile(np.arange(len(cn), dtype=np.int32), len(diploid)), "mu": mu.ravel(), "expect": expect.ravel(), "cn": np.tile(cn, len(diploid)),
+    }))
+    joined = by_state.join(expected, ["k", "state"]).join(named, "k")
+    centre = F.sqrt(F.pow((F.col("mu") - F.col("c") / F.col("w")) / F.col("diploid"), 2) + F.pow((F.col("expect") - F.when(F.col("g") > 0, F.col("f") / F.col("g")).otherwise(0.0)) * maf_weight / 50.0, 2))
+    whole = F.sum("w")
+    fits = joined.groupBy("k", "diploid", "purity").agg(
+        (F.sum("d") / whole).alias("precision"), (F.sum(centre * F.col("w")) / whole).alias("accuracy"), (F.sum(F.col("cn") * F.col("w")) / whole).alias("ploidy")
+    )
+    plain = (F.col("precision") + F.col("accuracy")) / 2
+    names = ["diploid", "purity", "ploidy", "precision", "accuracy", "cluster_deviation", "heterogeneous", "deviation"]
+    if not (about["mafs"] > enough and about["n"] > enough and 0 < about["clusters"] < most_clusters):
+        return fits.select("diploid", "purity", "ploidy", "precision", "accuracy", F.lit(0.0).alias("cluster_deviation"), F.lit(0).cast("long").alias("heterogeneous"), plain.alias("deviation")).select(names)
+
+    def lists(batches):
+        _, mu, _, _ = shared.value
+        barred = mu >= 2 * mean
+        open_ = np.flatnonzero(~barred.all(axis=1))
+        for batch in batches:
+            near = [np.where(barred, np.inf, distances(c, f))[open_] for c, f in zip(batch["coverage"].to_numpy(float), batch["maf"].to_numpy(float), strict=True)]
+            state, least = (np.array([x(d, axis=1) for d in near]).reshape(len(batch), -1) for x in (np.argmin, np.min))
+            own = batch["cluster"].to_numpy()
+            for cluster in np.unique(own):
+                at = np.flatnonzero(own == cluster)
+                columns = {"k": open_.astype(np.int32), "cluster": np.full(len(open_), cluster, np.int32), "d": least[at].T.tolist(), "states": [np.unique(v).tolist() for v in state[at].T]}
+                yield pd.DataFrame(columns)
+
+    parts = rows.filter(known).mapInPandas(lists, "k int, cluster int, d array<double>, states array<int>")
+    share = spark.createDataFrame([([float(m / c) if c else 0.0 for c, m in zip(cn, mcc, strict=True)],)], "shares array<double>")  # one row
+    listed = parts.groupBy("k", "cluster").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"), F.array_distinct(F.flatten(F.collect_list("states"))).alias("states"))
+    n = F.size("d")
+    shares = F.array_distinct(F.transform("states", lambda i: F.get("shares", i)))
+    entropy = F.aggregate(F.filter(shares, lambda v: v > 0), F.lit(0.0), lambda s, v: s - v / n * F.ln(v / n))
+
+    def middle(d: str) -> Column:
+        return (F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")) + F.get(d, F.floor(F.size(d) / 2).cast("int"))) / 2
+
+    large = n > 2
+    metrics = listed.crossJoin(F.broadcast(share)).select(
+        "k", "cluster", "d", F.when(large, middle("d")).otherwise(0.0).alias("median"),
+        F.when(large, F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / n).otherwise(0.0).alias("mean"), F.when(large, entropy).otherwise(0.0).alias("entropy"),
+    )
+    # clusters without a segment have zeros as well
+    zeros = F.array_repeat(F.lit(0.0), F.lit(about["clusters"]) - F.size("own"))
+    overall = metrics.groupBy("k").agg(
+        F.array_sort(F.flatten(F.collect_list("d"))).alias("all"), F.collect_list(F.struct("median", "entropy")).alias("own"), (F.sum("mean") / about["clusters"]).alias("cluster_deviation")
+    )
+    overall = overall.withColumn("entropies", F.array_sort(F.concat(F.transform("own", lambda x: x["entropy"]), zeros)))
+    overall = overall.withColumns({"mid": middle("all"), "mid_entropy": middle("entropies")})
+    odd = F.size(F.filter("own", lambda x: (x["median"] > F.col("mid")) & (x["entropy"] > F.col("mid_entropy")))).cast("long")
+    scored = fits.join(overall.select("k", "cluster_deviation", odd.alias("heterogeneous")), "k", "left")
+    # without a state under the limit every cluster is heterogeneous and the deviation has no bound
+    scored = scored.withColumns({"cluster_deviation": F.coalesce("cluster_deviation", F.lit(float("inf"))), "heterogeneous": F.coalesce("heterogeneous", F.lit(2**31 - 1).cast("long"))})
+    third = (F.col("precision") + F.col("accuracy") + F.col("cluster_deviation")) / 3
+    return scored.withColumn("deviation", F.when(F.col("heterogeneous") > heterogeneous, third).otherwise(plain)).select(names)
+
+
+def best_model(deviations: DataFrame, low: float = 1.5, high: float = 4.5) -> DataFrame:
+    """The model of least deviation whose ploidy lies between ``low`` and ``high``; ties go to the higher purity, then the lower coverage."""
+    return deviations.filter(F.col("ploidy").between(low, high)).orderBy(F.round("deviation", 9), F.desc("purity"), "diploid").limit(1)
+
+
 def nearest_states(segments: DataFrame, states: DataFrame, key: list[str], diploid: float, purity: float = 1.0, maf_weight: float = 1.0) -> DataFrame:
     """Per segment the nearest state and the runner-up's distance; a missing maf counts coverage twice."""
     mixed = states.select(

@@ -186,6 +186,47 @@ def m28(spark, sf_dir):
     return out.select("diploid", "purity", F.round("deviation", 6).alias("deviation"), F.round("ploidy", 6).alias("ploidy"))
 
 
+#: Tiles in the plane of clustering: each state has a place of its own, with a scatter made of the tile's other values.
+CLOUD = TILED + """, cloud AS (SELECT chrom, start_pos, 100.0 * cn + 24 * ((CAST(round(cnt * 10, 0) AS BIGINT) * 7 % 97) / 97.0 - 0.5) AS coverage,
+    CASE WHEN q < 6 THEN CASE cn WHEN 0 THEN 0.46 WHEN 1 THEN 0.06 WHEN 2 THEN 0.42 ELSE 0.3 END + 0.06 * ((CAST(round(cnt * 10, 0) AS BIGINT) * 13 % 89) / 89.0 - 0.5) END AS maf, 1.0 + q AS weight FROM tiled)"""
+
+
+def cloud(spark, sf_dir):
+    tenths = F.round(F.col("cnt") * 10, 0).cast("long")
+    place = F.when(F.col("cn") == 0, 0.46).when(F.col("cn") == 1, 0.06).when(F.col("cn") == 2, 0.42).otherwise(0.3)
+    return tiled(spark, sf_dir).select(
+        "chrom", "start_pos", (100.0 * F.col("cn") + 24 * ((tenths * 7 % 97) / 97.0 - 0.5)).alias("coverage"),
+        F.when(F.col("q") < 6, place + 0.06 * ((tenths * 13 % 89) / 89.0 - 0.5)).alias("maf"), (1.0 + F.col("q")).alias("weight"),
+    )
+
+
+#: Distances of the cloud's segments to the states of each candidate, and what the deviation of a model is made of.
+DEVIATIONS = CLOUD + f""", pts AS (SELECT chrom, start_pos, coverage, maf, weight, CAST(2 * round(coverage / 100) + CASE WHEN weight > 3 THEN 1 ELSE 0 END AS INT) AS cluster FROM cloud),
+    cand AS (SELECT CAST(d AS DOUBLE) AS diploid, p / 100 AS purity FROM range(180, 221) a(d), range(70, 101) b(p)), av AS (SELECT sum(weight * coverage) / sum(weight) AS mean FROM pts),
+    ds AS (SELECT diploid, purity, chrom, start_pos, coverage, maf, weight, cluster, mean, {GRID_DISTANCES} FROM pts p, cand, av),
+    m AS (SELECT *, least({", ".join(f"d{i}" for i in range(len(GRID_STATES)))}) AS d, least({", ".join(f"CASE WHEN {GRID_MIXED.format(cn)} / 2 * diploid < 2 * mean THEN d{i} ELSE CAST('inf' AS DOUBLE) END" for i, (cn, _, _) in enumerate(GRID_STATES))}) AS e FROM ds),
+    s AS (SELECT diploid, purity, coverage, maf, weight, cluster, d, e, CASE {" ".join(f"WHEN d{i} <= d THEN {i}" for i in range(len(GRID_STATES)))} END AS state,
+        CASE {" ".join(f"WHEN d{i} <= e AND {GRID_MIXED.format(cn)} / 2 * diploid < 2 * mean THEN {mcc / cn if cn else 0.0}" for i, (cn, mcc, _) in enumerate(GRID_STATES))} END AS share FROM m),
+    st AS (SELECT diploid, purity, state, sum(sqrt(d) * weight) AS d, sum(weight) AS w, sum(weight * coverage) / sum(weight) AS c, coalesce(sum(weight * maf) / sum(CASE WHEN maf IS NOT NULL THEN weight END), 0) AS f FROM s GROUP BY 1, 2, 3),
+    sx AS (SELECT st.*, list_value({", ".join(str(cn) for cn, _, _ in GRID_STATES)})[state + 1] AS cn, list_value({", ".join(str(float(maf)) for _, _, maf in GRID_STATES)})[state + 1] AS maf FROM st),
+    fi AS (SELECT diploid, purity, sum(d) / sum(w) AS precision, sum(cn * w) / sum(w) AS ploidy, sum(w * sqrt(pow(({GRID_MIXED.format('cn')} / 2 * diploid - c) / diploid, 2) + pow((purity * cn * maf + (1 - purity)) / greatest({GRID_MIXED.format('cn')}, 1e-9) - f, 2))) / sum(w) AS accuracy FROM sx GROUP BY 1, 2),
+    cl AS (SELECT diploid, purity, cluster, count(*) AS n, median(e) AS med, avg(e) AS mean, list_filter(list_distinct(list(share)), lambda v: v > 0) AS v FROM s GROUP BY 1, 2, 3),
+    ce AS (SELECT diploid, purity, CASE WHEN n > 2 THEN med ELSE 0 END AS med, CASE WHEN n > 2 THEN mean ELSE 0 END AS mean, CASE WHEN n > 2 THEN coalesce(list_sum(list_transform(v, lambda x: -x / n * ln(x / n))), 0) ELSE 0 END AS entropy FROM cl),
+    al AS (SELECT diploid, purity, median(e) AS mid FROM s GROUP BY 1, 2), me AS (SELECT diploid, purity, median(entropy) AS mid_entropy, sum(mean) / count(*) AS cluster_deviation FROM ce GROUP BY 1, 2),
+    ht AS (SELECT diploid, purity, count(*) FILTER (WHERE med > mid AND entropy > mid_entropy) AS heterogeneous FROM ce JOIN al USING (diploid, purity) JOIN me USING (diploid, purity) GROUP BY 1, 2),
+    dv AS (SELECT fi.*, cluster_deviation, heterogeneous, CASE WHEN heterogeneous > 1 THEN (precision + accuracy + cluster_deviation) / 3 ELSE (precision + accuracy) / 2 END AS deviation FROM fi JOIN me USING (diploid, purity) JOIN ht USING (diploid, purity))"""
+
+
+@query("m29_model_deviations", sql(DEVIATIONS + """ SELECT diploid, purity, round(ploidy, 6) AS ploidy, round(precision, 6) AS precision, round(accuracy, 6) AS accuracy, round(cluster_deviation, 6) AS cluster_deviation,
+    heterogeneous, round(deviation, 6) AS deviation FROM dv""", "tiles"))
+def m29(spark, sf_dir):
+    """Precision, accuracy and cluster term of every model of a grid."""
+    number = (2 * F.round(F.col("coverage") / 100) + F.when(F.col("weight") > 3, 1).otherwise(0)).cast("int")
+    segments = cloud(spark, sf_dir).withColumn("cluster", number)
+    out = models.model_deviations(segments, models.purity_grid(spark, (180, 220), (70, 100)), models.state_table(spark, 4), heterogeneous=1)
+    return out.withColumns({c: F.round(c, 6) for c in ("ploidy", "precision", "accuracy", "cluster_deviation", "deviation")})
+
+
 @query("m35_snv_purity", sql("""
     SELECT count(*) AS sites, CASE WHEN count(*) >= 100 THEN round(2 * median(alt_count / (ref_count + alt_count)), 6) END AS purity FROM sites
     WHERE ref_count + alt_count > 0 AND alt_count > 0 AND alt_count / (ref_count + alt_count) < 0.5""", "sites"))
@@ -287,20 +328,6 @@ def _windows(spark, sf_dir):
     )
 
 
-#: Tiles in the plane of clustering: each state has a place of its own, with a scatter made of the tile's other values.
-CLOUD = TILED + """, cloud AS (SELECT chrom, start_pos, 100.0 * cn + 24 * ((CAST(round(cnt * 10, 0) AS BIGINT) * 7 % 97) / 97.0 - 0.5) AS coverage,
-    CASE WHEN q < 6 THEN CASE cn WHEN 0 THEN 0.46 WHEN 1 THEN 0.06 WHEN 2 THEN 0.42 ELSE 0.3 END + 0.06 * ((CAST(round(cnt * 10, 0) AS BIGINT) * 13 % 89) / 89.0 - 0.5) END AS maf, 1.0 + q AS weight FROM tiled)"""
-
-
-def cloud(spark, sf_dir):
-    tenths = F.round(F.col("cnt") * 10, 0).cast("long")
-    place = F.when(F.col("cn") == 0, 0.46).when(F.col("cn") == 1, 0.06).when(F.col("cn") == 2, 0.42).otherwise(0.3)
-    return tiled(spark, sf_dir).select(
-        "chrom", "start_pos", (100.0 * F.col("cn") + 24 * ((tenths * 7 % 97) / 97.0 - 0.5)).alias("coverage"),
-        F.when(F.col("q") < 6, place + 0.06 * ((tenths * 13 % 89) / 89.0 - 0.5)).alias("maf"), (1.0 + F.col("q")).alias("weight"),
-    )
-
-
 @query("m20_mixture_clusters")
 def m20(spark, sf_dir):
     """Clusters of segments by a weighted Gaussian mixture."""
