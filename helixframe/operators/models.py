@@ -443,10 +443,10 @@ def likelihood_table(spark: SparkSession, means: dict[str, float], variances: di
 CLUSTERED = "chrom string, start_pos long, cluster int"
 
 
-def _in_plane(points: DataFrame, by: str, scale: float) -> DataFrame:
+def _in_plane(points: DataFrame, by: str, scale: float, *more: str) -> DataFrame:
     """The points with maf and scaled coverage as the axes; ids order them by contig and place."""
     key = F.col("start_pos") if by == "chrom" else F.concat(F.col("chrom"), F.lit(":"), F.lpad(F.col("start_pos").cast("string"), 12, "0"))
-    return clusters_in.plane(points, F.col(by), key, F.col("maf"), scale * F.col("coverage"), F.col("weight"), F.col("chrom"), F.col("start_pos"))
+    return clusters_in.plane(points, F.col(by), key, F.col("maf"), scale * F.col("coverage"), *map(F.col, more))
 
 
 def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chrom", scale: float = 1.0, clusters: int = 4, bandwidth: float = 0.1) -> DataFrame:
@@ -459,7 +459,7 @@ def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chro
     """
     if method == "best_mixture":
         return _best_mixtures(points, by, scale)
-    flat = written(_in_plane(points, by, scale), "plane")
+    flat = written(_in_plane(points, by, scale, "weight", "chrom", "start_pos"), "plane")
     slim = flat.select("grp", "id", "x", "y")
     if method == "mixture":
         labels = clusters_in.mixture(flat.select("grp", "id", "x", "y", "weight"), clusters)
@@ -500,7 +500,7 @@ def neighbour_sums(points: DataFrame, k: int = 10, by: str = "chrom", fill: int
 
     Neighbours are sought in growing cells, so that a segment meets the points around it only.
     """
-    flat = written(_in_plane(points, by, 1.0), "plane")
+    flat = written(_in_plane(points, by, 1.0, "chrom", "start_pos"), "plane")
     near = clusters_in.nearest(flat.select("grp", "id", "x", "y"), k, fill, block)
     named = flat.select("grp", "id", "chrom", "start_pos").join(near, ["grp", "id"])
     return named.select("chrom", "start_pos", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("near"))

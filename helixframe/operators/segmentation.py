@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -171,68 +172,170 @@ def tail_probability(b: float, delta: float, m: int, steps: int = 100) -> float:
     return min(1.0, b**3 * density * total / 2)  # the grid covers half of the range, by symmetry
 
 
-def split_circular(x: np.ndarray, rng: np.random.Generator, alpha: float, permutations: int, long: int = 200, arc: int = 25) -> list[int]:
-    """Significant change points inside ``x``: none, one or two."""
+#: Fixed values of the method: a statistic under which nothing is split, one over which a split needs no
+#: test where both parts are of the given length, the length over which short arcs are permuted and long
+#: ones bounded by their tail, and how long such arcs are.
+NO_SPLIT, CLEAR_SPLIT, CLEAR_LENGTH, LONG, SHORT_ARC = 0.1, 7.0, 10, 200, 25
+#: Fixed value: two sides of an edge whose means differ by so many standard errors need no test.
+CLEAR_EDGE = 5.0
+#: Fixed value: how often a permutation test may stop early against what all permutations would say.
+EARLY_ERROR = 0.05
+
+
+def _stops(eta: float, permutations: int, ones: int) -> np.ndarray:
+    """When a test may stop with k exceedances, k under ``ones``: the first permutation at which so few have a chance of ``eta`` at most.
+
+    With ``ones`` exceedances among all permutations in random order, those among the first i are hypergeometric.
+    """
+    at = np.full(ones, permutations, np.int64)
+    lg = _log_factorials(permutations)
+    for k in range(ones):
+        low, high = (at[k - 1] if k else k), permutations
+        while high - low > 1:  # the chance of at most k falls with i
+            i = (low + high) // 2
+            c = np.arange(max(0, ones - (permutations - i)), min(k, i, ones) + 1)
+            p = np.exp(_log_choose(lg, ones, c) + _log_choose(lg, permutations - ones, i - c) - _log_choose(lg, permutations, i)).sum() if len(c) else 0.0
+            low, high = (low, i) if p <= eta else (i, high)
+        at[k] = high
+    return at
+
+
+@lru_cache(maxsize=4)
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
+def _log_choose(lg: np.ndarray, n, k):
+    n, k = np.broadcast_arrays(n, k)
+    inside = (k >= 0) & (k <= n)
+    k = np.where(inside, k, 0)
+    return np.where(inside, lg[n] - lg[k] - lg[n - k], -np.inf)
+
+
+def crossing_probability(stops: np.ndarray, permutations: int) -> float:
+    """The chance that ``len(stops)`` exceedances in random order among the permutations meet a stop.
+
+    Ways are followed from stop to stop: those with no more exceedances than the stop's number are taken
+    out, the others go on by hypergeometric steps.
+    """
+    ones, lg = len(stops), _log_factorials(permutations)
+    alive = np.zeros(ones + 1)  # by exceedances so far
+    alive[0], before, crossed = 1.0, 0, 0.0
+    counts = np.arange(ones + 1)
+    for k, stop in enumerate(stops.tolist()):
+        drawn, left = stop - before, permutations - before
+        if drawn:
+            rest = ones - counts  # exceedances still to come, by those so far
+            more = counts[None, :] - counts[:, None]
+            logs = _log_choose(lg, rest[:, None], more) + _log_choose(lg, left - rest[:, None], drawn - more) - lg[left] + lg[drawn] + lg[left - drawn]
+            alive = alive @ np.exp(logs)
+            before = stop
+        crossed += alive[: k + 1].sum()
+        alive[: k + 1] = 0.0
+    return float(crossed)
+
+
+@lru_cache(maxsize=512)
+def stopping_boundary(permutations: int, ones: int, eta: float = EARLY_ERROR, tolerance: float = 0.01) -> np.ndarray:
+    """Stops of a test that allows ``ones`` - 1 exceedances, so that ``ones`` of them would be overlooked with a chance of ``eta``.
+
+    The level of the single stops is found by a secant search on the chance to cross any of them.
+    """
+    low, high = eta / (4 * ones), eta
+    p_low, p_high = (crossing_probability(_stops(x, permutations, ones), permutations) for x in (low, high))
+    while p_low > eta:
+        low, p_low = low / 4, crossing_probability(_stops(low / 4, permutations, ones), permutations)
+    for _ in range(60):
+        if p_high <= eta or (high - low) / low <= tolerance:
+            break
+        guess = low + (high - low) * min(max((eta - p_low) / (p_high - p_low), 0.05), 0.95)
+        p = crossing_probability(_stops(guess, permutations, ones), permutations)
+        low, p_low, high, p_high = (low, p_low, guess, p) if p > eta else (guess, p, high, p_high)
+    return _stops(high if p_high <= eta else low, permutations, ones)
+
+
+def exceeds(observed: float, draw: Callable[[], float], level: float, permutations: int, early: bool = True) -> bool:
+    """Whether more than ``level`` of the permutations reach ``observed``; with ``early`` it ends as soon as that is settled.
+
+    A test that allows no further exceedance ends at once, and one whose exceedances are so few so
+    late that the rest is unlikely to change the answer ends at its stopping boundary.
+    """
+    most = int(level * permutations)
+    stops = stopping_boundary(permutations, most + 1) if early else None
+    over = 0
+    for k in range(1, permutations + 1):
+        over += draw() >= observed
+        if over > most:
+            return True
+        if stops is not None and k >= stops[over]:
+            return False
+    return False
+
+
+def _largest_short_arc(y: np.ndarray) -> float:
+    """T squared of the best arc of at most SHORT_ARC values."""
+    n = len(y)
+    s = np.concatenate([[0.0], np.cumsum(y - y.mean())])
+    value = max(float(((s[k:] - s[: n - k + 1]) ** 2).max()) * n / (k * (n - k)) for k in range(2, SHORT_ARC + 1))
+    total = float(((y - y.mean()) ** 2).sum())
+    return value / ((total - value) / (n - 2)) if total > value + 1e-4 else value
+
+
+def split_circular(x: np.ndarray, rng: np.random.Generator, alpha: float, permutations: int, early: bool = True) -> list[int]:
+    """Significant change points inside ``x``: none, one or two.
+
+    The arc that differs most from the rest is accepted when its statistic is clear, or when it beats
+    the permutations at level ``alpha``. For long inputs the level is shared: long arcs take the tail
+    probability of the limit process, short arcs the remainder by permutation. An accepted arc that
+    lies inside gives two edges, each of which must hold against its own neighbours.
+    """
     n = len(x)
     if n < 4 or np.ptp(x) == 0:
         return []
-    t2, i, j = max_arc(x)
-    t = math.sqrt(t2)
-    if t <= 0.1:
+    squared, i, j = max_arc(x)
+    statistic, inside = math.sqrt(squared), j - i
+    if statistic <= NO_SPLIT:
         return []
-    if not (t >= 7 and j - i >= 10 and n - (j - i) >= 10):
-        budget = alpha
-        if n > long:
-            far = tail_probability(t, (arc + 1) / n, n)
-            if far > alpha:
-                return []
-            budget = alpha - far
-        over, most = 0, budget * permutations
-        for _ in range(permutations):
-            y = rng.permutation(x)
-            if n > long:
-                s = np.concatenate([[0.0], np.cumsum(y - y.mean())])
-                value = max(float(((s[k:] - s[: n - k + 1]) ** 2).max()) * n / (k * (n - k)) for k in range(2, arc + 1))
-                total = float(((y - y.mean()) ** 2).sum())
-                value = value / ((total - value) / (n - 2)) if total > value + 1e-4 else value
-            else:
-                value = max_arc(y)[0]
-            over += value >= t2
-            if over > most:
-                return []
+    if statistic < CLEAR_SPLIT or min(inside, n - inside) < CLEAR_LENGTH:
+        tail = tail_probability(statistic, (SHORT_ARC + 1) / n, n) if n > LONG else 0.0
+        if tail > alpha:
+            return []
+        largest = _largest_short_arc if n > LONG else lambda y: max_arc(y)[0]
+        if exceeds(squared, lambda: largest(rng.permutation(x)), alpha - tail, permutations, early):
+            return []
     edges = [e for e in (i, j) if 0 < e < n]
-    return [e for e in edges if _edge_holds(x, e, edges, rng, alpha, permutations)]
+    if len(edges) == 1:
+        return edges
+    bounds = [0, *edges, n]
+    return [edge for before, edge, after in zip(bounds, edges, bounds[2:], strict=False) if _edge_holds(x[before:edge], x[edge:after], rng, alpha, permutations, early)]
 
 
-def _edge_holds(x: np.ndarray, at: int, edges: list[int], rng: np.random.Generator, alpha: float, permutations: int) -> bool:
-    """Permutation test of the mean difference on the two sides of one edge."""
-    bounds = [0, *edges, len(x)]
-    k = bounds.index(at)
-    a, b = x[bounds[k - 1] : at], x[at : bounds[k + 1]]
-    if min(len(a), len(b)) == 1:
+def _edge_holds(left: np.ndarray, right: np.ndarray, rng: np.random.Generator, alpha: float, permutations: int, early: bool) -> bool:
+    """Whether the means of an edge's two sides differ, by a permutation test unless it is clear."""
+    shorter = min(len(left), len(right))
+    if shorter == 1:
         return False
-    both = np.concatenate([a, b])
-    seen = abs(a.mean() - b.mean())
-    pooled = both.var() * (1 / len(a) + 1 / len(b))
-    if min(len(a), len(b)) >= 10 and pooled > 0 and seen**2 / pooled > 25:
+    both = np.concatenate([left, right])
+    gap = abs(left.mean() - right.mean())
+    error = math.sqrt(both.var() * (1 / len(left) + 1 / len(right)))
+    if shorter >= CLEAR_LENGTH and error > 0 and gap > CLEAR_EDGE * error:
         return True
-    over = 0
-    for _ in range(permutations):
+
+    def draw() -> float:
         y = rng.permutation(both)
-        over += abs(y[: len(a)].mean() - y[len(a) :].mean()) >= seen
-        if over > alpha * permutations:
-            return False
-    return True
+        return abs(y[: len(left)].mean() - y[len(left) :].mean())
+
+    return not exceeds(gap, draw, alpha, permutations, early)
 
 
-def cbs_breakpoints(x: np.ndarray, seed: int, alpha: float = 0.01, permutations: int = 10_000) -> list[int]:
+def cbs_breakpoints(x: np.ndarray, seed: int, alpha: float = 0.01, permutations: int = 10_000, early: bool = True) -> list[int]:
     """Recursive circular binary segmentation; the rightmost open segment goes first."""
     rng = np.random.default_rng(seed)
     found: list[int] = []
     stack = [(0, len(x))]
     while stack:
         a, b = stack.pop()
-        points = [a + p for p in split_circular(x[a:b], rng, alpha, permutations)]
+        points = [a + p for p in split_circular(x[a:b], rng, alpha, permutations, early)]
         if points:
             found += points
             bounds = [a, *points, b]
@@ -257,28 +360,36 @@ def undo_by_deviation(x: np.ndarray, points: list[int], deviations: float = 3.0)
 
 
 def prune(x: np.ndarray, points: list[int], share: float = 0.05) -> list[int]:
-    """The smallest set of breakpoints whose squared error is within ``share`` of the full set's.
+    """The smallest set of breakpoints whose squared error is within ``share`` of the full set's; of equal sizes the best one.
 
-    Breakpoints go one at a time, the one that costs least first.
+    The least error of every number of pieces comes from that of one piece fewer: the last piece is
+    tried from each breakpoint, with errors from prefix sums. Time grows with the cube of the
+    breakpoints, memory with their square.
     """
-    def error(at: list[int]) -> float:
-        bounds = [0, *at, len(x)]
-        return sum(float(((x[a:b] - x[a:b].mean()) ** 2).sum()) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-
-    points = list(points)
-    limit = (1 + share) * error(points)
-    while points:
-        options = [(error(points[:k] + points[k + 1 :]), k) for k in range(len(points))]
-        cost, k = min(options)
-        if cost > limit:
-            break
-        del points[k]
-    return points
+    bounds = np.array([0, *points, len(x)])
+    pieces = len(bounds) - 1
+    if pieces < 2:
+        return list(points)
+    centred = x - x.mean()
+    s, q = (np.concatenate([[0.0], np.cumsum(v)])[bounds] for v in (centred, centred * centred))
+    size = np.maximum(bounds[None, :] - bounds[:, None], 1)
+    cost = np.where(np.triu(np.ones((pieces + 1, pieces + 1), bool), 1), (q[None, :] - q[:, None]) - (s[None, :] - s[:, None]) ** 2 / size, np.inf)
+    limit = (1 + share) * float(np.maximum(np.diagonal(cost, 1), 0).sum()) + 1e-9 * float(q[-1])
+    least, back = cost[0].copy(), []
+    while least[pieces] > limit:
+        ways = least[:, None] + cost
+        back.append(ways.argmin(axis=0))
+        least = ways.min(axis=0)
+    kept, at = [], pieces
+    for step in reversed(back):
+        at = int(step[at])
+        kept.append(int(bounds[at]))
+    return sorted(kept)
 
 
 def segment_cbs(bins: DataFrame, alpha: float = 0.01, permutations: int = 10_000, undo: str = "none", seed: int = 0) -> DataFrame:
     """Circular binary segmentation. A contig's seed comes from its name, so that results do not
-    depend on partitions. ``undo`` is none, prune or sd."""
+    depend on partitions. ``undo`` is none, prune or sd. Permutation tests stop early at their boundary."""
 
     def find(x: np.ndarray, name: str) -> list[int]:
         points = cbs_breakpoints(x, zlib.crc32(name.encode()) ^ seed, alpha, permutations)
