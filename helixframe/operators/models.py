@@ -15,37 +15,58 @@ from . import clusters as clusters_in
 from .segmentation import negative_binomial
 
 
-def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.3, rounds: int = 0, weights: np.ndarray | None = None) -> np.ndarray:
-    """Local linear regression with tricube weights on the nearest ``span`` of the points.
-
-    ``rounds`` further fits down-weigh large residuals by the bisquare function.
+def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.3, rounds: int = 0, counts: np.ndarray | None = None, step: float | None = None) -> np.ndarray:
+    """Local linear regression with tricube weights on the nearest ``span`` of the points, at the places ``at``.
+
+    With ``counts`` each x stands for so many points whose mean is y; a window that ends inside them
+    takes them in part. A window is a stretch of neighbouring points; it moves right while the next
+    point lies nearer than the leftmost. With ``step`` windows are chosen at knots of that distance
+    from the least x on, and a place uses that of the last knot before it. ``rounds`` further fits
+    down-weigh large residuals by the bisquare function. A window of one x gives its mean.
     """
-    n = len(x)
-    k = max(2, min(n, int(math.ceil(span * n))))
-    robust = np.ones(n) if weights is None else np.asarray(weights, float)
-    base = robust.copy()
-
-    def fit(points: np.ndarray) -> np.ndarray:
-        out = np.empty(len(points))
-        for i, p in enumerate(points):
-            d = np.abs(x - p)
-            h = np.partition(d, k - 1)[k - 1]
-            w = np.clip(1 - (d / max(h, 1e-12)) ** 3, 0, None) ** 3 * robust
-            total = w.sum()
-            if total <= 0:
-                out[i] = np.nan
-                continue
-            mx, my = (w * x).sum() / total, (w * y).sum() / total
-            sxx = (w * (x - mx) ** 2).sum()
-            slope = (w * (x - mx) * (y - my)).sum() / sxx if sxx > 1e-12 else 0.0
-            out[i] = my + slope * (p - mx)
+    order = np.argsort(x, kind="stable")
+    x, y = np.asarray(x, float)[order], np.asarray(y, float)[order]
+    n = np.ones(len(x), np.int64) if counts is None else np.asarray(counts, np.int64)[order]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    if total <= 1:
+        return np.full(len(at), y[0] if len(y) else np.nan)
+    k = max(2, min(total, math.ceil(span * total)))
+
+    def point(i: np.ndarray) -> np.ndarray:
+        return x[np.searchsorted(ends, i, "right")]
+
+    def windows(places: np.ndarray) -> np.ndarray:
+        """The first point of each place's window: the least from which moving on brings nothing nearer."""
+        low, high = np.zeros(len(places), np.int64), np.full(len(places), total - k)
+        while (low < high).any():
+            mid = (low + high) // 2
+            holds = (point(mid + k - 1) >= places) & (point(np.minimum(mid + k, total - 1)) + point(mid) >= 2 * places)
+            low, high = np.where(holds | (low >= high), low, mid + 1), np.where(holds, mid, high)
+        return low
+
+    def fit(places: np.ndarray, robust: np.ndarray) -> np.ndarray:
+        knots = places if step is None else x[0] + np.clip(np.floor((places - x[0]) / step + 1e-9), 0, np.floor((x[-1] - x[0]) / step + 1e-9)) * step
+        out = np.empty(len(places))
+        for i, (p, first) in enumerate(zip(places, windows(knots).tolist(), strict=True)):
+            inside = np.minimum(ends, first + k) - np.maximum(ends - n, first)
+            far = max(p - point(np.array(first)), point(np.array(first + k - 1)) - p)
+            w = np.where(inside > 0, np.clip(1 - (np.abs(x - p) / (far if far > 0 else 1.0)) ** 3, 0, None) ** 3 * inside, 0.0) * robust
+            if far <= 0 or w.sum() <= 0:
+                w = np.where(inside > 0, inside, 0) * robust
+            mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+            spread = (w * (x - mx) ** 2).sum()
+            out[i] = my + ((w * (x - mx) * (y - my)).sum() / spread * (p - mx) if spread > 1e-12 else 0.0)
         return out
 
+    robust = np.ones(len(x))
     for _ in range(rounds):
-        r = np.abs(y - fit(x))
-        s = 6 * np.median(r)
-        robust = base * (np.clip(1 - (r / s) ** 2, 0, None) ** 2 if s > 0 else 1.0)
-    return fit(at)
+        r = np.abs(y - fit(x, robust))
+        middle = np.median(np.repeat(r, n))
+        if middle == 0:
+            break
+        robust = np.clip(1 - (r / (6 * middle)) ** 2, 0, None) ** 2
+    return fit(np.asarray(at, float), robust)
 
 
 def golden_section(f, low: float, high: float, tolerance: float = 1e-5) -> float:
@@ -65,23 +86,41 @@ def golden_section(f, low: float, high: float, tolerance: float = 1e-5) -> float
     return (low + high) / 2
 
 
-def normalize_gc_loess(bins: DataFrame, span: float | None = 0.5, spans: tuple[float, float] = (0.3, 0.75)) -> DataFrame:
-    """Counts divided by a local regression of log counts on GC, scaled to the overall median.
+def normalize_gc_loess(bins: DataFrame, span: float | None = None, spans: tuple[float, float] = (0.3, 0.75), tolerance: float = 1e-5) -> DataFrame:
+    """Counts divided by a local regression of log counts on GC, scaled to the median of the logs.
 
-    The regression runs on the GC classes' mean logs weighted by their sizes, at most 101 rows: a
-    stated approximation of the fit to single bins. Without ``span`` a golden-section search takes
-    the one of least weighted squared error.
+    The regression is that of the single bins: as GC is a whole percent, sums by percent hold all it
+    needs, and windows count bins. Only where a window ends inside a percent, its bins are taken in
+    part by their mean instead of by their order. Without ``span`` a golden-section search takes the
+    one after which a second regression varies least over the bins outside of chromosome Y. Bins
+    without counts stay as they are.
     """
-    logs = bins.filter("cnt > 0").groupBy("gc").agg(F.avg(F.ln("cnt")).alias("m"), F.count(F.lit(1)).alias("n"))
-    table = logs.orderBy("gc").toPandas()  # at most one row for each percent
+    logs = bins.filter("cnt > 0").select("gc", F.ln("cnt").alias("y"), F.lower("chrom").isin("chry", "y").alias("on_y"))
+    autosomes = F.when(~F.col("on_y"), F.col("y"))
+    table = logs.groupBy("gc").agg(F.avg("y").alias("m"), F.count("y").alias("n"), F.avg(autosomes).alias("ma"), F.count(autosomes).alias("na")).orderBy("gc").toPandas()  # at most one row for each percent
     if table.empty:
         return bins
-    x, y, w = (table[c].to_numpy(float) for c in ("gc", "m", "n"))
+    middle, middle_a = logs.agg(F.median("y"), F.median(autosomes)).collect()[0]
+    x = table["gc"].to_numpy(float)
+    every = np.arange(x[0], x[-1] + 1)
+
+    def at_classes(gc: np.ndarray, mean: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+        return loess(gc, mean, gc, share, counts=n, step=1.0)
+
     if span is None:
-        span = golden_section(lambda s: float((w * (loess(x, y, x, s, weights=w) - y) ** 2).sum()), *spans, 1e-2)
-    fitted = loess(x, y, x, span, weights=w)
-    middle = float(np.average(fitted, weights=w))
-    factors = bins.sparkSession.createDataFrame(pd.DataFrame({"gc": table["gc"].astype("int32"), "f": np.exp(middle - fitted)}))
+        own = table[table["na"] > 0]
+        gc, mean, n = own["gc"].to_numpy(float), own["ma"].to_numpy(float), own["na"].to_numpy(np.int64)
+
+        def unevenness(share: float) -> float:
+            again = at_classes(gc, mean - at_classes(gc, mean, n, share) + middle_a, n, share)
+            centre = np.average(again, weights=n)
+            return float(((again - centre) ** 2 * n).sum())
+
+        low = max(2 / max(int(n.sum()), 1), spans[0])
+        high = max(min(1.0, spans[1]), low)
+        span = golden_section(unevenness, low, high, tolerance) if int(n.sum()) > 1 else high
+    fitted = loess(x, table["m"].to_numpy(float), every, span, counts=table["n"].to_numpy(np.int64), step=1.0)
+    factors = bins.sparkSession.createDataFrame(pd.DataFrame({"gc": every.astype("int32"), "f": np.exp(middle - fitted)}))
     joined = bins.join(F.broadcast(factors), "gc", "left")  # at most one row for each percent
     return joined.withColumn("cnt", F.col("cnt") * F.coalesce("f", F.lit(1.0))).select(bins.columns)
 

@@ -141,10 +141,29 @@ def a35(spark, sf_dir):
     return out.select("sample", "level", F.round("variability", 6).alias("variability"))
 
 
-@query("a16_gc_loess")
+#: Windows of half the bins for each percent of GC, what of each class lies in them, and the weighted lines.
+LOESS = """, lg AS (SELECT gc, ln(cnt) AS y, row_number() OVER (ORDER BY gc) - 1 AS i FROM tiles WHERE cnt > 0), nn AS (SELECT count(*) AS n, CAST(ceil(0.5 * count(*)) AS BIGINT) AS k, median(y) AS mid FROM lg),
+    cl AS (SELECT gc, count(*) AS n, avg(y) AS m, min(i) AS low, max(i) + 1 AS high FROM lg GROUP BY 1),
+    ws AS (SELECT c.gc, min(a.i) AS first FROM cl c, nn JOIN lg a ON a.i <= nn.n - nn.k JOIN lg b ON b.i = a.i + nn.k - 1 JOIN lg d ON d.i = least(a.i + nn.k, nn.n - 1)
+        WHERE a.i = nn.n - nn.k OR (b.gc >= c.gc AND d.gc + a.gc >= 2 * c.gc) GROUP BY 1),
+    wi AS (SELECT ws.gc, first, k, mid, greatest(ws.gc - a.gc, b.gc - ws.gc) AS far FROM ws, nn JOIN lg a ON a.i = first JOIN lg b ON b.i = first + k - 1),
+    wt AS (SELECT wi.gc, mid, cl.gc AS x, m AS y, (least(high, first + k) - greatest(low, first)) * pow(greatest(0, 1 - pow(abs(cl.gc - wi.gc) / CAST(far AS DOUBLE), 3)), 3) AS w FROM wi JOIN cl ON cl.low < first + k AND cl.high > first),
+    me AS (SELECT gc, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM wt GROUP BY 1),
+    ft AS (SELECT gc, any_value(mid) AS mid, any_value(my) + sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) * (gc - any_value(mx)) AS f FROM wt JOIN me USING (gc) GROUP BY 1)
+    SELECT chrom, start_pos, gc, round(cnt * exp(mid - f), 6) AS cnt FROM tiles JOIN ft USING (gc)"""
+
+
+@query("a16_gc_loess", sql(LOESS, "tiles"))
 def a16(spark, sf_dir):
-    """GC normalization by local regression over the GC classes."""
-    return models.normalize_gc_loess(ad.tiles(spark, sf_dir)).select("chrom", "start_pos", "gc", "cnt")
+    """GC normalization by local regression over half of the bins."""
+    out = models.normalize_gc_loess(ad.tiles(spark, sf_dir), span=0.5)
+    return out.select("chrom", "start_pos", "gc", F.round("cnt", 6).alias("cnt"))
+
+
+@query("a16_gc_loess_search")
+def a16_search(spark, sf_dir):
+    """GC normalization by local regression with the bandwidth that a search selects."""
+    return models.normalize_gc_loess(ad.tiles(spark, sf_dir)).select("chrom", "start_pos", "gc", F.round("cnt", 6).alias("cnt"))
 
 
 STATES = "states AS (SELECT cn, m AS mcc, CASE WHEN cn = 0 THEN 0.5 ELSE (cn - m) / cn END AS maf FROM (SELECT cn, unnest(range((cn + 1) // 2, cn + 1)) AS m FROM range(7) t(cn)))"
