@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def at(values: Column, index: Column) -> Column:
     return F.get(values, index.cast("int"))
@@ -83,10 +87,60 @@ def quartiles_of(values: Column) -> Column:
     return F.when(n > 0, F.struct(q1.alias("q1"), middle(values).alias("q2"), q3.alias("q3")))
 
 
+def running(rows: DataFrame, by: list[str], value: str, weight: Column) -> DataFrame:
+    """(by, value, weight, upto, whole) of the distinct values: the running weight in the order of values, and each group's.
+
+    Rows are summed by value first. Values are then dealt by range, so that a window holds one range
+    of them, and a scan of one row for each range gives what the ranges before it weigh.
+    """
+    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(by)]
+    keys = [f"__k{i}" for i in range(len(by))]
+    slim = rows.groupBy(*names, F.col(value).alias("__v")).agg(F.sum(weight).alias("weight"))
+    placed = written(slim.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()), "ranges")
+    through = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy(*[F.col(k).alias(f"{k}p") for k in keys], F.col("__part").alias("__at")).agg(F.sum("weight").alias("__sum"))
+    over = Window.partitionBy(*[f"{k}p" for k in keys])
+    parts = parts.select(
+        *[f"{k}p" for k in keys], "__at", F.sum("__sum").over(over.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.sum("__sum").over(over).alias("whole")
+    )
+    match = F.col("__part") == F.col("__at")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}p"))
+    joined = placed.withColumn("__upto", F.sum("weight").over(through)).join(parts, match)
+    upto = F.col("__upto") + F.coalesce("__before", F.lit(0))
+    return joined.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], F.col("__v").alias(value), "weight", upto.alias("upto"), "whole")
+
+
+def at_ranks(df: DataFrame, value: str, by: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group its size n and, for each name, the value at a rank (from 0) that is a function of n; nulls do not count."""
+    counted = running(df.filter(F.col(value).isNotNull()), by, value, F.lit(1))
+    n = F.col("whole")
+    found = [F.max(F.when((F.col("upto") - F.col("weight") <= rank(n)) & (rank(n) < F.col("upto")), F.col(value))).alias(name) for name, rank in ranks.items()]
+    return counted.groupBy(*by).agg(F.first("whole").alias("n"), *found)
+
+
 def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Per group q1, q2 and q3; the groups must fit a task (bins of a class, not bases of a genome)."""
-    lists = df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    return lists.withColumn("q", quartiles_of(F.col("v"))).select(*by, "q.q1", "q.q2", "q.q3")
+    """Per group q1, q2 and q3, by the rules of :func:`quartiles_of`, from values at ranks that no task holds all of."""
+    half, quarter = (lambda n: F.floor(n / 2)), (lambda n: F.floor(n / 4))
+
+    def rank(even: Callable, one: Callable, three: Callable) -> Callable[[Column], Column]:
+        return lambda n: F.when(n == 1, 0).when(n % 2 == 0, even(n)).when(n % 4 == 1, one(n)).otherwise(three(n))
+
+    ranks = {
+        "a": rank(lambda n: F.floor((half(n) - 1) / 2), lambda n: quarter(n) - 1, quarter),
+        "b": rank(lambda n: F.floor(half(n) / 2), quarter, lambda n: quarter(n) + 1),
+        "c": lambda n: F.floor((n - 1) / 2), "d": half,
+        "e": rank(lambda n: half(n) + F.floor((half(n) - 1) / 2), lambda n: 3 * quarter(n), lambda n: 3 * quarter(n) + 1),
+        "f": rank(lambda n: half(n) + F.floor(half(n) / 2), lambda n: 3 * quarter(n) + 1, lambda n: 3 * quarter(n) + 2),
+    }
+    v = at_ranks(df, value, by, ranks)
+    n = F.col("n")
+
+    def between(low: str, high: str, one: float) -> Column:
+        a, b = F.col(low), F.col(high)
+        return F.when(n == 1, a).when(n % 2 == 0, (a + b) / 2).when(n % 4 == 1, a * one + b * (1 - one)).otherwise(a * (1 - one) + b * one)
+
+    return v.select(*by, between("a", "b", 0.25).alias("q1"), ((F.col("c") + F.col("d")) / 2).alias("q2"), between("e", "f", 0.75).alias("q3"))
 
 
 def weighted_quantile(df: DataFrame, value: str, weight: str, p: float, by: list[str], tie: str, name: str) -> DataFrame:
@@ -102,8 +156,7 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, p: float, by: list
 
 def indexed_value(df: DataFrame, value: str, share: float, by: list[str], name: str) -> DataFrame:
     """Per group sorted[floor(n * share)], without interpolation."""
-    lists = df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    return lists.select(*by, at(F.col("v"), F.least(F.floor(F.size("v") * share), F.size("v") - 1)).alias(name))
+    return at_ranks(df, value, by, {name: lambda n: F.least(F.floor(n * share), n - 1)}).select(*by, name)
 
 
 def weighted_moments(value: str, weight: str) -> dict[str, Column]:

@@ -95,12 +95,10 @@ def normalize_gc_median(df: DataFrame, value: str = "cnt", enough: int = 100, re
     dense = own.filter(F.col("n") >= enough).select(*keys, "gc", "med")
     sparse = own.filter(F.col("n") < enough).select(*keys, F.col("gc").alias("want"))
     near = sparse.withColumn("gc", F.explode(F.sequence(F.col("want") - reach, F.col("want") + reach)))
-    rows = df.select(*keys, "gc", value).join(near, [*keys, "gc"])
-    rows = rows.withColumn("w", F.pow(F.lit(0.5), F.abs(F.col("gc") - F.col("want"))))
-    order = Window.partitionBy(*keys, "want").orderBy(value, "gc").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys, "want")
-    shares = rows.withColumn("share", F.sum("w").over(order) / F.sum("w").over(whole))
-    weighted = shares.filter("share >= 0.5").groupBy(*keys, F.col("want").alias("gc")).agg(F.min(value).alias("med"))
+    # bins are counted by value before they go to the classes around them
+    counts = df.groupBy(*keys, "gc", value).agg(F.count(F.lit(1)).alias("c")).join(near, [*keys, "gc"])
+    shares = stats.running(counts, [*keys, "want"], value, F.col("c") * F.pow(F.lit(0.5), F.abs(F.col("gc") - F.col("want"))))
+    weighted = shares.filter("upto / whole >= 0.5").groupBy(*keys, F.col("want").alias("gc")).agg(F.min(value).alias("med"))
     medians = dense.unionByName(weighted.select(*keys, "gc", "med"))
     joined = df.join(medians, [*keys, "gc"], "left")
     joined = joined.join(overall, keys) if keys else joined.crossJoin(F.broadcast(overall))  # one row

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import stats
+from helixframe.functions.tables import written
+
 from . import intervals as iv
 
 #: The strata of truth by size, lower bounds in bases.
@@ -24,17 +27,17 @@ def confusion(truth: DataFrame, calls: DataFrame, excluded: DataFrame, cap: int
     keys = by or []
     keyed = truth.select("iv_id", "chrom", "start_pos", "end_pos", F.least("cn", F.lit(cap)).alias("known_cn"), *keys)
     calls = calls.select("chrom", "start_pos", "end_pos", F.least("cn", F.lit(cap)).alias("call_cn"))
-    mask = iv.merge_intervals(excluded).select("chrom", "start_pos", "end_pos")
+    mask = written(iv.merge_intervals(excluded).select("chrom", "start_pos", "end_pos"), "mask")
     pairs = iv.overlap_join(keyed, calls)
     pieces = pairs.select(
         "iv_id", "chrom", F.greatest("start_pos", "start_pos_r").alias("start_pos"), F.least("end_pos", "end_pos_r").alias("end_pos"),
         "known_cn", F.col("call_cn_r").alias("call_cn"), *keys,
     )
-    pieces = iv.covered(pieces, mask, "masked").withColumn("bases", F.col("end_pos") - F.col("start_pos") - F.col("masked"))
+    pieces = iv.covered(pieces, mask, "masked", disjoint=True).withColumn("bases", F.col("end_pos") - F.col("start_pos") - F.col("masked"))
     called = pieces.groupBy("known_cn", "call_cn", *keys).agg(F.sum("bases").alias("bases"))
-    whole = iv.covered(keyed, mask, "masked").withColumn("bases", F.col("end_pos") - F.col("start_pos") - F.col("masked"))
-    touched = iv.merge_intervals(pieces.select("iv_id", "chrom", "start_pos", "end_pos"), by=["iv_id"]).drop("pieces")
-    touched = iv.covered(touched, mask, "masked").groupBy("iv_id").agg(
+    whole = iv.covered(keyed, mask, "masked", disjoint=True).withColumn("bases", F.col("end_pos") - F.col("start_pos") - F.col("masked"))
+    touched = iv.merge_intervals(pieces.select("iv_id", "chrom", "start_pos", "end_pos"), by=["iv_id"], stretch=None).drop("pieces")
+    touched = iv.covered(touched, mask, "masked", disjoint=True).groupBy("iv_id").agg(
         F.sum(F.col("end_pos") - F.col("start_pos") - F.col("masked")).alias("seen")
     )
     missed = whole.join(touched, "iv_id", "left").groupBy("known_cn", *keys).agg(
@@ -126,17 +129,12 @@ def event_accuracy(truth: DataFrame, calls: DataFrame) -> DataFrame:
     right = iv.overlap_join(truth, calls.select("chrom", "start_pos", "end_pos", "cn")).filter("cn = cn_r")
     merged = iv.merge_intervals(right.select(
         "iv_id", "chrom", F.greatest("start_pos", "start_pos_r").alias("start_pos"), F.least("end_pos", "end_pos_r").alias("end_pos")
-    ), by=["iv_id"]).groupBy("iv_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("hit"))
+    ), by=["iv_id"], stretch=None).groupBy("iv_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("hit"))
     each = truth.join(merged, "iv_id", "left").select((F.coalesce("hit", F.lit(0)) / (F.col("end_pos") - F.col("start_pos"))).alias("share"))
-    counts = each.groupBy("share").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(F.lit(0)).orderBy("share").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    ranked = counts.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(whole)})
+    ranked = stats.running(each, [], "share", F.lit(1))
     return ranked.agg(
-        (F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("mean_accuracy"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("share"))).alias("median_accuracy"),
+        (F.sum(F.col("share") * F.col("weight")) / F.sum("weight")).alias("mean_accuracy"),
+        F.min(F.when(F.col("upto") > F.floor(F.col("whole") / 2), F.col("share"))).alias("median_accuracy"),
     )
 
 

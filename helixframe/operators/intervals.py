@@ -10,7 +10,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.tables import written
+
 BUCKET = 10_000
+#: Bases of a stretch in which rows are swept by one window.
+STRETCH = 1_000_000
+
+
+def swept(
+    rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
+    before: Column | None = None, after: Column | None = None, stretch: int = STRETCH,
+) -> DataFrame:
+    """``rows`` with values that depend on the rows before or after them in ``order``, apart for each of ``keys``.
+
+    ``sums`` run up to each row, ``maxima`` over the rows before it (null at the first); ``before`` is
+    a struct's value in the last row before, as column __before, and ``after`` the value in the next
+    row, as __after. Rows must begin to be ordered by start_pos.
+
+    Two levels: windows run inside stretches of a contig, and what a stretch takes over from those
+    before comes from a scan of one row for each stretch. So no task holds a contig's rows. Rows are
+    written first, as both levels read them.
+    """
+    sums, maxima = sums or {}, maxima or {}
+    rows = written(rows, "sweep").withColumns({"__stretch": F.floor(F.col("start_pos") / stretch)} | {f"__{n}": c for n, c in (sums | maxima).items()})
+    place = F.struct(*order)
+    totals = [F.sum(f"__{n}").alias(f"__t_{n}") for n in sums] + [F.max(f"__{n}").alias(f"__t_{n}") for n in maxima]
+    inside = Window.partitionBy(*keys, "__stretch").orderBy(*order)
+    upto, past = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = {n: F.sum(f"__{n}").over(upto) for n in sums} | {n: F.max(f"__{n}").over(past) for n in maxima}
+    over = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__at")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    taken = [F.sum(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in sums] + [F.max(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in maxima]
+    if before is not None:
+        totals.append(F.max_by(before, place).alias("__last"))
+        local["__before"] = F.lag(before).over(inside)
+        taken.append(F.lag("__last").over(over).alias("__c_before"))
+    if after is not None:
+        totals.append(F.min_by(after, place).alias("__first"))
+        local["__after"] = F.lead(after).over(inside)
+        taken.append(F.lead("__first").over(over).alias("__c_after"))
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    stretches = rows.groupBy(*named, F.col("__stretch").alias("__at")).agg(*totals).select(*[f"__k{i}" for i in range(len(keys))], "__at", *taken)
+    match = F.col("__stretch") == F.col("__at")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = rows.withColumns(local).join(stretches, match)
+    whole = {n: F.col(n) + F.coalesce(f"__c_{n}", F.lit(0)) for n in sums} | {n: F.greatest(n, f"__c_{n}") for n in maxima}
+    whole |= {c: F.coalesce(c, f"__c_{c[2:]}") for c in ("__before", "__after") if c in local}
+    spare = [f"__{n}" for n in (*sums, *maxima)] + [c for c in stretches.columns] + ["__stretch"]
+    return joined.withColumns(whole).drop(*spare)
 
 
 def _bucketed(df: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
@@ -90,30 +138,60 @@ def intersections(left: DataFrame, right: DataFrame, bucket: int = BUCKET) -> Da
     return pairs.withColumns(piece).select(*left.columns)
 
 
-def merge_intervals(df: DataFrame, gap: int = 0, by: list[str] | None = None) -> DataFrame:
+def merge_intervals(df: DataFrame, gap: int = 0, by: list[str] | None = None, stretch: int | None = STRETCH) -> DataFrame:
     """Union of intervals: those that overlap or lie within ``gap`` become one, apart for each ``by``.
 
-    Gaps and islands: a row starts an island where it begins beyond all ends before it.
+    Gaps and islands in two levels: a row starts an island where it begins beyond all ends before it.
+    Islands of a stretch are found first. One that begins within reach of the stretches before belongs
+    to the last island that was started there; reach and start come from a scan of one row for each stretch.
+    Without ``stretch`` each of the keys goes through one window, which suits keys of few rows.
     """
     keys = ["chrom", *(by or [])]
-    order = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    before = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (before.isNull() | (F.col("start_pos") > before + gap)).cast("int")
-    islands = df.withColumn("__new", opens).withColumn("__island", F.sum("__new").over(order))
-    return islands.groupBy(*keys, "__island").agg(
+    inside = Window.partitionBy(*keys, "__stretch").orderBy("start_pos", "end_pos")
+    reach = F.max("end_pos").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("__stretch", F.floor(F.col("start_pos") / stretch) if stretch else F.lit(0))
+    opened = rows.withColumn("__new", (reach.isNull() | (F.col("start_pos") > reach + gap)).cast("int")).withColumn("__island", F.sum("__new").over(inside))
+    local = opened.groupBy(*keys, "__stretch", "__island").agg(
         F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("pieces")
-    ).drop("__island")
-
-
-def merge_equal(df: DataFrame, value: list[str], max_gap: int = 0, by: list[str] | None = None) -> DataFrame:
-    """Neighbouring rows of equal ``value`` within ``max_gap`` become one row (values null-safe)."""
-    keys = ["chrom", *(by or [])]
-    order = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    same = F.col("start_pos") <= F.lag("end_pos").over(order) + max_gap
+    )
+    if stretch is None:
+        return local.drop("__stretch", "__island")
+    local = written(local, "islands")
+    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    earlier = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+
+    def taken(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        """``rows`` with the greatest value of the stretches before, as ``name``."""
+        each = rows.groupBy(*names, F.col("__stretch").alias("__at")).agg(F.max(value).alias("__v"))
+        each = each.select(*[f"__k{i}" for i in range(len(keys))], "__at", F.max("__v").over(earlier).alias(name))
+        match = F.col("__stretch") == F.col("__at")
+        for i, k in enumerate(keys):
+            match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        return rows.join(each, match).drop("__at", *[f"__k{i}" for i in range(len(keys))])
+
+    reached = taken(local, F.col("end_pos"), "__reach")
+    own = F.coalesce(F.col("start_pos") > F.col("__reach") + gap, F.lit(True))
+    started = taken(reached.withColumn("__own", own), F.when(F.col("__own"), F.col("start_pos")), "__begin")
+    first = F.when(F.col("__own"), F.col("start_pos")).otherwise(F.col("__begin")).alias("__first")
+    return started.groupBy(*keys, first).agg(
+        F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.sum("pieces").alias("pieces")
+    ).drop("__first")
+
+
+def merge_equal(df: DataFrame, value: list[str], max_gap: int = 0, by: list[str] | None = None, stretch: int | None = STRETCH) -> DataFrame:
+    """Neighbouring rows of equal ``value`` within ``max_gap`` become one row (values null-safe).
+
+    Without ``stretch`` each of the keys goes through one window, which suits keys of few rows.
+    """
+    keys, order = ["chrom", *(by or [])], ["start_pos", "end_pos"]
+    through = Window.partitionBy(*keys).orderBy(*order)
+    before = F.struct("end_pos", *value)
+    paired = swept(df, keys, order, before=before) if stretch else df.withColumn("__before", F.lag(before).over(through))
+    same = F.col("start_pos") <= F.col("__before.end_pos") + max_gap
     for v in value:
-        same = same & F.col(v).eqNullSafe(F.lag(v).over(order))
-    islands = df.withColumn("__new", (~F.coalesce(same, F.lit(False))).cast("int"))
-    islands = islands.withColumn("__island", F.sum("__new").over(order))
+        same = same & F.col(v).eqNullSafe(F.col(f"__before.{v}"))
+    opens = (~F.coalesce(same, F.lit(False))).cast("int")
+    islands = swept(paired, keys, order, sums={"__island": opens}) if stretch else paired.withColumn("__new", opens).withColumn("__island", F.sum("__new").over(through))
     return islands.groupBy(*keys, *value, "__island").agg(
         F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("pieces")
     ).drop("__island")
@@ -123,8 +201,9 @@ def complement(df: DataFrame, genome: DataFrame) -> DataFrame:
     """The parts of each contig (chrom, length) that no interval covers."""
     merged = merge_intervals(df).select("chrom", "start_pos", "end_pos")
     ends = genome.select("chrom", F.col("length").alias("start_pos"), F.col("length").alias("end_pos"))
-    order = Window.partitionBy("chrom").orderBy("start_pos", "end_pos")
-    gaps = merged.unionByName(ends).withColumn("from_pos", F.coalesce(F.lag("end_pos").over(order), F.lit(0)))
+    # merged intervals are disjoint, so the end before is the greatest one
+    gaps = swept(merged.unionByName(ends), ["chrom"], ["start_pos", "end_pos"], maxima={"from_pos": F.col("end_pos")})
+    gaps = gaps.withColumn("from_pos", F.coalesce("from_pos", F.lit(0)))
     return gaps.filter("from_pos < start_pos").select(
         "chrom", F.col("from_pos").cast("long").alias("start_pos"), F.col("start_pos").alias("end_pos")
     )
@@ -139,14 +218,16 @@ def breakpoint_union(df: DataFrame) -> DataFrame:
         "chrom", F.explode(F.array(F.struct(F.col("start_pos").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end_pos").alias("p"), F.lit(-1).alias("d")))).alias("e")
     )
     steps = points.groupBy("chrom", F.col("e.p").alias("start_pos")).agg(F.sum("e.d").alias("step"))
-    order = Window.partitionBy("chrom").orderBy("start_pos")
-    swept = steps.withColumn("depth", F.sum("step").over(order)).withColumn("end_pos", F.lead("start_pos").over(order))
-    return swept.filter("depth > 0 and end_pos is not null").select("chrom", "start_pos", "end_pos", "depth")
+    found = swept(steps, ["chrom"], ["start_pos"], sums={"depth": F.col("step")}, after=F.col("start_pos"))
+    return found.filter("depth > 0 and __after is not null").select("chrom", "start_pos", F.col("__after").alias("end_pos"), "depth")
+
 
+def covered(left: DataFrame, right: DataFrame, name: str = "covered", disjoint: bool = False) -> DataFrame:
+    """Rows of ``left`` with the number of their bases that ``right`` covers, each base once.
 
-def covered(left: DataFrame, right: DataFrame, name: str = "covered") -> DataFrame:
-    """Rows of ``left`` with the number of their bases that ``right`` covers, each base once."""
-    merged = merge_intervals(right).select("chrom", "start_pos", "end_pos")
+    ``disjoint`` says that no two intervals of ``right`` overlap, so that they need not be merged.
+    """
+    merged = right if disjoint else merge_intervals(right).select("chrom", "start_pos", "end_pos")
     keys = left.select("chrom", "start_pos", "end_pos").distinct()
     sums = overlap_join(keys, merged).groupBy("chrom", "start_pos", "end_pos").agg(F.sum("overlap").alias(name))
     return left.join(sums, ["chrom", "start_pos", "end_pos"], "left").fillna(0, [name])
@@ -196,7 +277,7 @@ def value_pieces(left: DataFrame, values: DataFrame, value: str, key: list[str],
         *key, "chrom", F.col("s0").alias("start_pos"), F.col("e0").alias("end_pos"), F.lit(default).cast("int").alias(value)
     )
     filled = inner.select(*key, "chrom", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"), F.col("v").cast("int").alias(value))
-    return merge_equal(filled.unionByName(gaps), [value], by=key).drop("pieces")
+    return merge_equal(filled.unionByName(gaps), [value], by=key, stretch=None).drop("pieces")
 
 
 def windows_of(df: DataFrame, width: int, key: list[str]) -> DataFrame:
