@@ -143,7 +143,8 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 def leaf_blocks(html: str, kept_tags: frozenset[str] | None = None, kept_names: frozenset[str] | None = None) -> list[Block]:
     """The page's blocks in order. Elements that hold no running text (scripts, styles, title and the
-    like) and comments are left out; what is open at the end counts as closed there.
+    like) and comments are left out, and so is text drawn in an svg or given in a noscript, which a
+    reader with scripts does not see as running text; what is open at the end counts as closed there.
 
     With ``kept_tags`` and ``kept_names`` blocks tell of those ancestors only, so that their size does
     not grow with the depth of the page; the time then grows with the page's length alone, also where
