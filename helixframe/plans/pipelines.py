@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import stats
-from helixframe.operators import callers, cleaning, evaluation, models, normalization, segmentation
+from helixframe.functions.tables import written
+from helixframe.operators import callers, cleaning, evaluation, haplotypes, models, normalization, quality, segmentation
 from helixframe.operators import intervals as iv
 from helixframe.operators import segments as sg
 
@@ -164,10 +165,22 @@ def somatic(tumour: DataFrame, excluded: DataFrame, sites: DataFrame | None = No
     states = models.state_table(spark, options.call.highest)
     low, high = max(1, int(0.5 * middle)), max(2, int(1.5 * middle) + 1)
     grid = models.purity_grid(spark, (low, high), options.call.purity)
-    best = models.best_purity(points, grid, states).first()
+    if sites is None:
+        best = models.best_purity(points, grid, states).first()  # without allele shares only distances to states speak
+    else:
+        # clusters of segments, their coverage relative to two copies, weigh models where enough have an allele share
+        relative = points.withColumn("coverage", F.col("coverage") / middle)
+        clusters = models.cluster_segments(relative.withColumn("sample", F.lit("tumour")), "reclustered", by="sample")
+        weighed = written(points.join(clusters, ["chrom", "start_pos"]), "usable")
+        best = models.best_model(models.model_deviations(weighed, grid, states)).first()
     diploid, purity = (best["diploid"], best["purity"]) if best else (middle, 1.0)
     called = models.nearest_states(points, states, ["chrom", "seg_idx", "start_pos", "end_pos"], diploid, purity)
-    return _finish(called, excluded, options.call).withColumns({"purity": F.lit(purity), "diploid": F.lit(diploid)})
+    # at the greatest state the depth may speak for more copies
+    called = called.join(points.select("chrom", "seg_idx", "coverage"), ["chrom", "seg_idx"])
+    more = quality.high_copy_number(F.col("coverage"), F.col("cn"), F.lit(2), diploid, purity, options.call.highest, 1 / diploid)
+    called = called.withColumn("more", more).withColumn("cn", F.coalesce("more.cn", "cn")).drop("more", "coverage")
+    shown = {"purity": F.lit(purity), "diploid": F.lit(diploid), "deviation": F.lit(best["deviation"] if best else None).cast("double")}
+    return _finish(called, excluded, options.call).withColumns(shown)
 
 
 def pedigree(bins: DataFrame, excluded: DataFrame, roles: dict[str, str], options: Options = Options(), highest: int = 4) -> DataFrame:
@@ -191,6 +204,47 @@ def pedigree(bins: DataFrame, excluded: DataFrame, roles: dict[str, str], option
     return spans.join(calls, ["chrom", "seg_idx"])
 
 
+def family(bins: DataFrame, sites: DataFrame, excluded: DataFrame, mother: str, father: str, children: list[str], options: Options = Options(), highest: int = 4) -> DataFrame:
+    """Phased joint calls of parents and any number of children on shared segments.
+
+    ``bins`` and ``sites`` (ref_count, alt_count) have a sample column. One row for each segment and
+    person: chrom, seg_idx, start_pos, end_pos, sample, cn, mcc, q, dq, filters. Genotypes are judged by
+    a segment's sites and depth together, and by depth alone where a person has no site in it.
+    """
+    people = [mother, father, *children]
+    kept = iv.overlap_anti(bins.filter(F.col("sample").isin(people)), excluded).select(bins.columns)
+    shared = normalization.in_all_samples(kept.drop("gc") if "gc" in kept.columns else kept).select("chrom", "start_pos", "end_pos")
+    ready = kept.join(shared, ["chrom", "start_pos", "end_pos"], "left_semi")
+    numbered = written(segment(ready, excluded, options.segment).select("chrom", "start_pos", "end_pos", "seg_idx"), "family-segments")
+    spans = numbered.groupBy("chrom", "seg_idx").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+    medians = ready.join(numbered.select("chrom", "start_pos", "seg_idx"), ["chrom", "start_pos"]).groupBy("sample", "chrom", "seg_idx").agg(F.median("cnt").alias("median_cnt"))
+    # a row for each person
+    profile = {r["sample"]: r for r in ready.groupBy("sample").agg(F.avg("cnt").alias("m"), F.var_samp("cnt").alias("v")).collect()}
+    counts = F.col("ref_count") + F.col("alt_count")
+    reads = {r["sample"]: r["m"] for r in sites.filter(F.col("sample").isin(people)).groupBy("sample").agg(F.avg(counts).alias("m")).collect()}
+    spark = bins.sparkSession
+    size = int(3 * max(r["m"] for r in profile.values())) + 2
+    table = models.likelihood_table(spark, {s: r["m"] for s, r in profile.items()}, {s: r["v"] for s, r in profile.items()}, highest, size)
+    depth = spark.createDataFrame([(s, r["m"]) for s, r in profile.items()], "sample string, mean_depth double")
+    key = ["sample", "chrom", "seg_idx"]
+    coverage = callers.coverage_likelihoods(medians, table, depth).select(*key, "cn", "p")
+    inside = iv.points_in(sites, spans).select("sample", "chrom", F.col("seg_idx_r").alias("seg_idx"), "ref_count", "alt_count")
+    phased = None
+    for who in people:
+        own = haplotypes.depth_table(spark, max(reads.get(who, 1.0), 1.0) / 2, 20.0, highest)
+        found = haplotypes.phased_likelihoods(inside.filter(F.col("sample") == who), key, own, highest)
+        phased = found if phased is None else phased.unionByName(found)
+    phased = written(phased, "family-phased")
+    pairs = spark.createDataFrame([(a, b) for a in range(highest + 1) for b in range(highest + 1 - a)], "a int, b int")  # a dozen genotypes
+    bare = medians.select(*key).join(phased.select(*key).distinct(), key, "left_anti").crossJoin(F.broadcast(pairs))
+    phased = phased.unionByName(bare.select(*key, "a", "b", F.lit(0.0).alias("log_l"), F.lit(1).cast("long").alias("sites")))
+    likelihoods = haplotypes.with_coverage(phased, coverage, key)
+    calls = haplotypes.phased_family(likelihoods, mother, father, children, ["chrom", "seg_idx"]).drop("a", "b", "visited")
+    tagged = spans.join(calls, ["chrom", "seg_idx"])
+    tags = sg.filter_tags(F.col("q"), F.col("end_pos") - F.col("start_pos"), options.call.q_limit, options.call.least_size)
+    return tagged.withColumn("filters", tags)
+
+
 def evaluate(truth: DataFrame, calls: DataFrame, excluded: DataFrame, by_size: bool = False) -> DataFrame:
     """Accuracy of calls against the truth, whole or by size stratum of the truth."""
     if not by_size:

@@ -131,3 +131,45 @@ def test_pedigree_run_sees_a_new_gain(spark):
     assert new and all(r.mother == 2 and r.father == 2 and r.dq > 5 for r in new)
     with pytest.raises(ValueError):
         pipelines.pedigree(bins, none, {"m": "mother"})
+
+
+def test_family_run_calls_two_children_by_haplotypes(spark):
+    plain, gain = [(40, 300)], [(40, 120), (60, 60), (40, 120)]
+    levels = {"m": plain, "f": plain, "c": gain, "d": plain}
+    rows = [(who, *r) for i, (who, own) in enumerate(levels.items()) for r in simulated(spark, own, 15 + i)]
+    r = np.random.default_rng(1)
+    sites = []
+    for who, own in levels.items():
+        means = np.concatenate([[m] * n for m, n in own])
+        for i in range(0, 300, 3):
+            if 200 <= i < 210:
+                continue  # a stretch without sites is judged by depth
+            first, second = (2, 1) if means[i] > 50 else (1, 1)
+            sites.append((who, "chr1", 100_000 * i + 50, int(r.poisson(15 * first)), int(r.poisson(15 * second))))
+    none = spark.createDataFrame([], "chrom string, start_pos long, end_pos long")
+    options = pipelines.Options().override({"segment": {"method": "joint_hmm"}})
+    out = pipelines.family(
+        spark.createDataFrame(rows, "sample string, " + BINS), spark.createDataFrame(sites, "sample string, chrom string, pos long, ref_count int, alt_count int"), none, "m", "f", ["c", "d"], options
+    ).collect()
+    large = [x for x in out if x.end_pos - x.start_pos > 3_000_000]
+    new = [x for x in large if x.sample == "c" and x.cn == 3]
+    assert new and all(x.dq is not None and x.dq > 10 and x.mcc == 2 and x.filters is not None for x in new)
+    assert all(x.cn == 2 and x.dq is None for x in large if x.sample != "c")
+    assert {x.sample for x in out} == set("mfcd") and all(0 <= x.q <= 60 for x in out)
+
+
+def test_somatic_run_weighs_clusters_of_segments(spark):
+    levels = [(100, 40), (70, 20), (100, 40), (130, 20)] * 4 + [(400, 30)]
+    bins = spark.createDataFrame(simulated(spark, levels, 2), BINS)
+    none = spark.createDataFrame([], "chrom string, start_pos long, end_pos long")
+    means, r = np.concatenate([[m] * n for m, n in levels]), np.random.default_rng(4)
+    minor = {100: 0.5, 70: 0.29, 130: 0.385, 400: 0.125}
+    sites = spark.createDataFrame(
+        [("chr1", 100_000 * i + 30 * k, int(n - b), int(b)) for i, m in enumerate(means) for k in range(2) for n in [30 + 4 * k] for b in [r.binomial(n, minor[m])]],
+        "chrom string, pos long, ref_count int, alt_count int",
+    )
+    options = pipelines.Options().override({"clean": {"gc": "none", "drop_rare_gc": False, "drop_outliers": False, "drop_big": False}, "segment": {"method": "haar", "germline": False}})
+    for given in (None, sites):
+        rows = pipelines.somatic(bins, none, sites=given, options=options).collect()
+        assert rows and rows[0].deviation is not None and 0.2 <= rows[0].purity <= 1
+        assert max(r.cn for r in rows) > 6  # read off the depth beyond the greatest state
