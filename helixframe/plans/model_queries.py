@@ -438,11 +438,15 @@ def t05(spark, sf_dir):
     return models.neighbour_sums(_windows(spark, sf_dir)).select("chrom", "start_pos", F.round("near", 4).alias("near"))
 
 
-@query("m32_cluster_spread")
+@query("m32_cluster_spread", sql(PEAKS + labelled("0.05") + """, me AS (SELECT c.chrom, lb.cluster, c.coverage, c.maf, c.weight FROM cloud c JOIN lb ON lb.chrom = c.chrom AND lb.a = c.start_pos),
+    ct AS (SELECT chrom, cluster, avg(coverage) AS cx, avg(maf) AS cy, sum(weight) AS total FROM me GROUP BY 1, 2),
+    dd AS (SELECT chrom, cluster, sqrt(pow(coverage - cx, 2) + pow(maf - cy, 2)) AS d, weight / total AS share FROM me JOIN ct USING (chrom, cluster))
+    SELECT chrom, CAST(cluster AS INT) AS cluster, count(*) AS n, round(avg(d), 6) AS mean_distance, round(median(d), 6) AS median_distance, round(-sum(share * ln(share)), 6) AS entropy FROM dd GROUP BY 1, 2""", "tiles").replace("WITH ", "WITH RECURSIVE ", 1))
 def m32(spark, sf_dir):
     """Distances and entropy of clusters."""
-    rows = _windows(spark, sf_dir)
-    return models.cluster_spread(rows, models.cluster_segments(rows, "mixture", scale=0.01))
+    rows = cloud(spark, sf_dir)
+    out = models.cluster_spread(rows, models.cluster_segments(rows, "density", scale=0.01, bandwidth=0.05))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_distance", "median_distance", "entropy")})
 
 
 @query("c06_likelihood_table", sql(LIKELIHOOD + f" SELECT sample, cn, CAST(k AS INT) AS depth, round({NEGATIVE_BINOMIAL.format(k='k')}, 7) AS p FROM nb, range(60) t(k)", "sample_bins"))
