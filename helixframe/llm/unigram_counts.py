@@ -6,7 +6,7 @@ of tokens are computed once for all pre-tokens that share it, and the number at
 pre-token is stored. Documents then sum stored numbers.
 
 The pieces are those of a vocabulary file; their probabilities are fitted to the corpus by
-expectation-maximization over the grouped pre-tokens of a bounded sample of rows, and written out.
+expectation-maximization over the grouped pre-tokens of all rows, and written out.
 """
 
 from __future__ import annotations
@@ -42,64 +42,157 @@ def unigram_scores(path: str) -> dict[str, float]:
     return {name: -math.log(r) - total for r, name in enumerate(names, 1)}
 
 
+#: Characters whose pieces are held at a time, and characters of pre-tokens that are gathered before they are worked on;
+#: only a longer word takes more than one block.
+BLOCK, GATHER = 1 << 17, 1 << 15
+#: Expected occurrences are added up as whole numbers of units of 2^-40, kept in two halves of 20 bits, so that
+#: a long holds the sum of 2^43 occurrences of a piece.
+HALF = 20
+
+
+class PieceSuffixes:
+    """Finds all pieces in pre-tokens by walking back from every character, over arrays.
+
+    ``levels[k]`` holds the last k + 1 characters of all pieces: sorted keys of the place that the last k
+    have in the level before and of the character before them, and the number of the piece that this is, or -1.
+    """
+
+    def __init__(self, names: list[str]):
+        number, place = {name: i for i, name in enumerate(names)}, {"": 0}
+        self.names, self.levels = names, []
+        for size in range(1, max(map(len, names), default=0) + 1):
+            keys = {ending: place[ending[1:]] << 21 | ord(ending[0]) for ending in {n[-size:] for n in names if len(n) >= size}}
+            endings = sorted(keys, key=keys.__getitem__)
+            place = {ending: i for i, ending in enumerate(endings)}
+            self.levels.append((np.array([keys[e] for e in endings], np.int64), np.array([number.get(e, -1) for e in endings], np.int64)))
+
+    def find(self, codes: np.ndarray, first: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place before it, place of its last character, number) of all pieces that end on the layers low to
+        high - 1, by their end. A character that is no piece is one of number ``len(names)``."""
+        end = np.arange(first[low], first[high])
+        layer = np.repeat(np.arange(low, high), np.diff(first[low : high + 1]))
+        word, state = end - first[layer], np.zeros(len(end), np.int64)
+        single = np.full(len(end), len(self.names))
+        found = []
+        for size, (keys, pieces) in enumerate(self.levels, 1):
+            key = state << 21 | codes[first[layer - size + 1] + word]
+            state = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            known = keys[state] == key
+            end, layer, word, state = end[known], layer[known], word[known], state[known]
+            piece = pieces[state]
+            if size == 1:
+                single[end[piece >= 0] - first[low]] = piece[piece >= 0]
+            else:
+                whole = piece >= 0
+                found.append((first[layer[whole] - size] + word[whole], end[whole], piece[whole]))
+            more = layer > size
+            end, layer, word, state = end[more], layer[more], word[more], state[more]
+        end = np.arange(first[low], first[high])
+        layer = np.repeat(np.arange(low, high), np.diff(first[low : high + 1]))
+        found.insert(0, (first[layer - 1] + end - first[layer], end, single))
+        start, end, piece = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order]
+
+
+def add_expected(words: list[str], times: np.ndarray, suffixes: PieceSuffixes, logs: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` how often each piece is expected in these words, over all their segmentations.
+
+    Forward and backward run over all words at once: layer e holds the place behind the e-th character of
+    each word that has one, longest words first. Scores are logarithms, so that none vanishes in a long word.
+    The pieces of :data:`BLOCK` places are held at a time, so a word may be of any length. ``logs`` has the
+    unknown character last; ``total`` has a row for each half of the units.
+    """
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    sizes = np.array([len(words[i]) for i in order], np.int64)
+    wide = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), side="right")  # words of at least e characters
+    first = np.concatenate([[0], np.cumsum(wide)])
+    flat = np.frombuffer("".join(words[i] for i in order).encode("utf-32-le", "replace"), np.uint32)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    codes = np.zeros(first[-1], np.int64)
+    codes[first[at + 1] + np.repeat(np.arange(len(sizes)), sizes)] = flat
+    blocks, low = [], 1
+    while low <= sizes[0]:
+        high = max(int(np.searchsorted(first, first[low] + BLOCK, side="right")) - 1, low + 1)
+        blocks.append((low, min(high, int(sizes[0]) + 1)))
+        low = blocks[-1][1]
+    forward, backward = np.zeros(first[-1]), np.full(first[-1], -np.inf)
+    for low, high in blocks:
+        held = start, end, piece = suffixes.find(codes, first, low, high)
+        score = logs[piece]
+        heads = np.append(np.flatnonzero(np.diff(end, prepend=-1)), len(end))  # every place has a piece that ends there
+        for a, b in zip((first[low:high] - first[low]).tolist(), (first[low + 1 : high + 1] - first[low]).tolist(), strict=True):
+            m, n = heads[a], heads[b]
+            forward[first[low] + a : first[low] + b] = np.logaddexp.reduceat(forward[start[m:n]] + score[m:n], heads[a:b] - m)
+    last = first[sizes] + np.arange(len(sizes))
+    backward[last] = -forward[last]
+    weights = times[order]
+    for low, high in reversed(blocks):
+        start, end, piece = held if high > sizes[0] else suffixes.find(codes, first, low, high)
+        score = logs[piece]
+        bounds = np.searchsorted(end, first[low : high + 1]).tolist()
+        for m, n in zip(reversed(bounds[:-1]), reversed(bounds[1:]), strict=True):
+            to = start[m:n]  # no place twice: pieces of one word with one end
+            backward[to] = np.logaddexp(backward[to], backward[end[m:n]] + score[m:n])
+        units = np.rint(np.exp(forward[start] + score + backward[end]) * (1 << 2 * HALF)).astype(np.int64)
+        layer = np.searchsorted(first, end, side="right") - 1
+        n = weights[end - first[layer]]
+        np.add.at(total[0], piece, n * (units >> HALF))
+        np.add.at(total[1], piece, n * (units & (1 << HALF) - 1))
+
+
+def in_occurrences(high: int, low: int) -> float:
+    return ((int(high) << HALF) + int(low)) / (1 << 2 * HALF)
+
+
 def expected_pieces(word: str, probs: dict[str, float], longest: int, unknown: float) -> dict[str, float]:
-    """How often each piece is expected in a word, over all its segmentations (forward and backward)."""
-    size = len(word)
-    forward, backward = [1.0] + [0.0] * size, [0.0] * size + [1.0]
-    steps = []
-    for end in range(1, size + 1):
-        for start in range(max(0, end - longest), end):
-            piece = word[start:end]
-            p = probs.get(piece, unknown if end - start == 1 else 0.0)
-            if p and forward[start]:
-                forward[end] += forward[start] * p
-                steps.append((start, end, piece, p))
-    for start, end, _, p in reversed(steps):
-        backward[start] += backward[end] * p
-    out: dict[str, float] = {}
-    if forward[size]:
-        for start, end, piece, p in steps:
-            out[piece] = out.get(piece, 0.0) + forward[start] * p * backward[end] / forward[size]
-    return out
-
-
-def _expect(batches: Iterator[pa.RecordBatch], probs: dict[str, float]) -> Iterator[pa.RecordBatch]:
-    longest, unknown = max(map(len, probs), default=1), min(probs.values(), default=1.0) * math.exp(-UNKNOWN)
-    total: dict[str, float] = {}
+    """How often each piece is expected in a word, over all its segmentations; other characters count as pieces."""
+    known = {c: unknown for c in word} | {p: v for p, v in probs.items() if len(p) <= longest}
+    suffixes, total = PieceSuffixes(list(known)), np.zeros((2, len(known) + 1), np.int64)
+    add_expected([word], np.array([1]), suffixes, np.log([*known.values(), unknown]), total)
+    return {p: in_occurrences(*total[:, i]) for i, p in enumerate(known) if total[:, i].any()}
+
+
+def _expect(batches: Iterator[pa.RecordBatch], suffixes: PieceSuffixes, logs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((2, len(logs)), np.int64)
+    words, times, size = [], [], 0
     for batch in batches:
         for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            for piece, k in expected_pieces(MARK + word, probs, longest, unknown).items():
-                if piece in probs:
-                    total[piece] = total.get(piece, 0.0) + n * k
-    yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.float64())], ["piece", "n"])
+            words.append(MARK + word.decode("utf-8", "replace"))
+            times.append(n)
+            size += len(words[-1])
+            if size >= GATHER:
+                add_expected(words, np.array(times), suffixes, logs, total)
+                words, times, size = [], [], 0
+    if words:
+        add_expected(words, np.array(times), suffixes, logs, total)
+    seen = np.flatnonzero(total[:, :-1].any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0, seen]), pa.array(total[1, seen])], ["piece", "high", "low"])
 
 
-def fit_unigram(
-    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 400, rounds: int = 2, longest_word: int = 64
-) -> DataFrame:
+def fit_unigram(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """A written table (piece, score): log probabilities of the file's pieces, fitted to the texts.
 
     The fit starts at :func:`unigram_scores` and takes ``rounds`` steps of expectation-maximization
-    over the distinct pre-tokens of about ``most_rows`` rows, drawn by a hash of id and text; words of
-    more than ``longest_word`` letters are left out of the fit (not of the counts). A piece that is
-    not expected keeps a hundredth of an occurrence. Without any word the scores stay as they began.
+    over the distinct pre-tokens, of any length, of all rows. Expected occurrences are summed exactly, so
+    that scores do not depend on how the rows are dealt. A piece that is not expected keeps a hundredth
+    of an occurrence. Without any word the scores stay as they began.
     """
     spark = df.sparkSession
-    text = text_or_empty(text_col)
-    share = most_rows / max(df.count(), 1)
-    sample = df.filter(F.pmod(F.xxhash64(id_col, text), F.lit(1 << 40)) < int(min(share, 1.0) * (1 << 40)))
-    words = sample.select(F.explode(F.split(text, r"[ \t\n\x0b\f\r]+")).alias("word"))
-    words = words.filter((F.col("word") != "") & (F.length("word") <= longest_word)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = materialize(words, "sample-words")
+    words = df.select(F.explode(F.split(text_or_empty(text_col), r"[ \t\n\x0b\f\r]+")).alias("word")).filter(F.col("word") != "")
+    words = words.groupBy(F.col("word").cast("binary").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    words = materialize(words, "distinct-words")
     scores = unigram_scores(path)
+    suffixes = spark.sparkContext.broadcast(PieceSuffixes(list(scores)))
     for _ in range(rounds):
-        probs = spark.sparkContext.broadcast({p: math.exp(s) for p, s in scores.items()})
-        found = words.mapInArrow(lambda it, probs=probs: _expect(it, probs.value), "piece string, n double")
-        rows = found.groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most a row for each piece
-        expected = {r["piece"]: r["n"] for r in rows}
+        logs = spark.sparkContext.broadcast(np.array([*scores.values(), min(scores.values(), default=0.0) - UNKNOWN]))
+        with narrow_batches(spark):
+            found = words.mapInArrow(lambda it, logs=logs: _expect(it, suffixes.value, logs.value), "piece long, high long, low long")
+            rows = found.groupBy("piece").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect()  # at most a row for each piece
+        expected = {r["piece"]: in_occurrences(r["high"], r["low"]) for r in rows}
         if not expected:
             break
-        counts = {p: max(expected.get(p, 0.0), 0.01) for p in scores}
+        counts = {p: max(expected.get(i, 0.0), 0.01) for i, p in enumerate(scores)}
         total = math.log(sum(counts.values()))
         scores = {p: math.log(n) - total for p, n in counts.items()}
     discard(words)

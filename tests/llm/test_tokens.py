@@ -196,6 +196,65 @@ def test_fit_raises_the_likelihood(spark):
     assert unchanged == pytest.approx(start)
 
 
+def plain_expected(word, scores, unknown):
+    """Expected pieces by forward and backward sums of logarithms, a character at a time."""
+    longest, size = max(map(len, scores)), len(word)
+    forward, backward = [0.0] + [-np.inf] * size, [-np.inf] * size + [0.0]
+    steps = []
+    for e in range(1, size + 1):
+        for s in range(max(0, e - longest), e):
+            piece = word[s:e]
+            if piece in scores or e - s == 1:
+                steps.append((s, e, piece, scores.get(piece, unknown)))
+                forward[e] = np.logaddexp(forward[e], forward[s] + steps[-1][3])
+    for s, e, _, score in reversed(steps):
+        backward[s] = np.logaddexp(backward[s], backward[e] + score)
+    out = {}
+    for s, e, piece, score in steps:
+        out[piece] = out.get(piece, 0.0) + float(np.exp(forward[s] + score + backward[e] - forward[size]))
+    return out
+
+
+def test_fit_takes_every_word_of_every_row(spark):
+    path = public_tokenizers.path(queries.PIECES)
+    r = random.Random(5)
+    known = ["".join(r.choice(["th", "er", "ing", "a", "q", "é", "tion", "zx"]) for _ in range(r.randint(1, 6))) for _ in range(150)]
+    known += ["retrieval" * 20, "\U0002f800" * 90, "é▁b"]  # over 64 letters; no piece, so that a product of chances would vanish
+    texts = [" ".join(r.choices(known[:-3], k=5)) for _ in range(1500)] + ["\t".join(known), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    times = {}
+    for word in " ".join(t or "" for t in texts).split():
+        times[word] = times.get(word, 0) + 1
+    scores = unigram_counts.unigram_scores(path)
+    for _ in range(2):
+        unknown, expected = min(scores.values()) - unigram_counts.UNKNOWN, {}
+        for word, n in times.items():
+            for piece, k in plain_expected(unigram_counts.MARK + word, scores, unknown).items():
+                expected[piece] = expected.get(piece, 0.0) + n * k
+        counts = {p: max(expected.get(p, 0.0), 0.01) for p in scores}
+        total = np.log(sum(counts.values()))
+        scores = {p: float(np.log(n) - total) for p, n in counts.items()}
+    fitted = {row.piece: row.score for row in unigram_counts.fit_unigram(df, path).collect()}
+    assert fitted == pytest.approx(scores, abs=1e-6)
+    again = unigram_counts.fit_unigram(df.repartition(7), path).collect()
+    assert {row.piece: row.score for row in again} == fitted
+
+
+def test_expected_pieces_in_blocks(monkeypatch):
+    scores = unigram_counts.unigram_scores(public_tokenizers.path(queries.PIECES))
+    suffixes, logs = unigram_counts.PieceSuffixes(list(scores)), np.array([*scores.values(), min(scores.values()) - unigram_counts.UNKNOWN])
+    r = random.Random(6)
+    words = ["▁" + "".join(r.choices("etaoinshé한", k=r.choice([0, 1, 3, 9, 400]))) for _ in range(40)]
+    times, totals = np.array([r.randint(1, 1 << 30) for _ in words]), []
+    for block in (1, 70, 1 << 17):
+        monkeypatch.setattr(unigram_counts, "BLOCK", block)
+        totals.append(np.zeros((2, len(logs)), np.int64))
+        unigram_counts.add_expected(words, times, suffixes, logs, totals[-1])
+    assert (totals[0] == totals[2]).all() and (totals[1] == totals[2]).all()
+    spelled = sum(unigram_counts.in_occurrences(*totals[0][:, i]) * len(p) for i, p in enumerate([*scores, "?"]))
+    assert spelled == pytest.approx(sum(n * len(w) for w, n in zip(words, times.tolist(), strict=True)), rel=1e-9)
+
+
 def test_unigram_counts_equal_the_library():
     scores = unigram_counts.unigram_scores(public_tokenizers.path(queries.PIECES))
     vocab = [("<unk>", -99.0), *[(f"<0x{b:02X}>", -99.0) for b in range(256)], *[(p, s) for p, s in scores.items() if not p.startswith("<0x")]]
