@@ -7,7 +7,8 @@ dealt in blocks, so that a task holds two blocks whatever a group's size. Mixtur
 rounds of grouped sums.
 
 Points come as (grp, id, x, y) from :func:`plane`; ids are unique inside a group, and their order
-breaks ties.
+breaks ties. Points at the same place weigh as one point of so many, so that densities cost work with
+the square of a group's places, not of its points.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ def plane(points: DataFrame, by: Column, key: Column, x: Column, y: Column, *mor
     return rows.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
 
+def places(rows: DataFrame) -> DataFrame:
+    """(grp, x, y, id, times): each place with its first point and how many there are."""
+    return rows.groupBy("grp", "x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
+
+
 def frames(rows: DataFrame, fill: int = FILL) -> DataFrame:
     """Per group: its corner x0, y0, the ``extent`` of its longer side, the first cells' ``width``, and n."""
     ends = rows.groupBy("grp").agg(
@@ -90,14 +96,19 @@ def meet(asking: DataFrame, asked: DataFrame, width: Column, fn: Callable[[pd.Da
     return both.groupBy(*cell, "q", "r").applyInPandas(one, schema)
 
 
+def _shared(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Where rows of one block are in the other."""
+    ids = {i: k for k, i in enumerate(b["id"])}
+    own = np.array([ids.get(i, -1) for i in a["id"]])
+    return np.flatnonzero(own >= 0), own[own >= 0]
+
+
 def _distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     """Distances of the rows of two blocks; a point's to itself is not a number."""
     dx = a["x"].to_numpy()[:, None] - b["x"].to_numpy()
     dy = a["y"].to_numpy()[:, None] - b["y"].to_numpy()
     d = np.sqrt(dx * dx + dy * dy)
-    ids = {i: k for k, i in enumerate(b["id"])}
-    own = np.array([ids.get(i, -1) for i in a["id"]])
-    d[np.flatnonzero(own >= 0), own[own >= 0]] = np.nan
+    d[_shared(a, b)] = np.nan
     return d
 
 
@@ -138,29 +149,34 @@ def _quantile_of_distances(framed: DataFrame, share: float, block: int) -> DataF
 
     Pairs closer than a width are counted, in ``PLACES`` places; the width doubles for groups in
     which there are too few. The place that holds the index is then counted in finer places, until
-    all distances in it are equal. Pairs are never listed.
+    all distances in it are equal. Pairs are never listed. ``framed`` has places; the pairs are those
+    of their points, ``total`` in a group.
     """
-    pairs = F.col("n") * (F.col("n") - 1) / 2
+    pairs = F.col("total") * (F.col("total") - 1) / 2
     index = F.least(F.floor(pairs * share), pairs - 1).cast("long")
-    state = framed.filter("n > 1").select("grp", "width", index.alias("index")).distinct().withColumns({"low": F.lit(0.0), "high": F.col("width") * SURE})
+    state = framed.filter("total > 1").select("grp", "width", index.alias("index")).distinct().withColumns({"low": F.lit(0.0), "high": F.col("width") * SURE})
     state, done, waiting = written(state, "distance-ranges"), None, None
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         low, high, first = a["low"].iloc[0], a["high"].iloc[0], a["first"].iloc[0]
-        d = _distances(a, b)
-        d = d[(d >= low) & ((d < high) if first else (d <= high))]  # numbers only; a first range is half open
+        d, own = _distances(a, b), _shared(a, b)
+        weight = a["times"].to_numpy()[:, None] * b["times"].to_numpy().astype(float)
+        d[own], weight[own] = 0.0, weight[own] - a["times"].to_numpy()[own[0]]  # of the points at a place
+        inside = (d >= low) & ((d < high) if first else (d <= high)) & (weight > 0)  # a first range is half open
+        d, weight = d[inside], weight[inside]
         place = np.minimum((d - low) / max(high - low, 1e-300) * PLACES, PLACES - 1).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        place, d = place[order], d[order]
-        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(d) else np.zeros(0, np.int64)
+        found = np.bincount(place, weight, PLACES)  # whole numbers under 2 ** 53
+        least, most = np.full(PLACES, np.inf), np.full(PLACES, -np.inf)
+        np.minimum.at(least, place, d)
+        np.maximum.at(most, place, d)
+        at = np.flatnonzero(found)
         return pd.DataFrame({
-            "grp": pd.Series([a["grp"].iloc[0]] * len(starts), dtype=object), "place": place[starts], "pairs": np.diff(np.r_[starts, len(d)]),
-            "least": np.minimum.reduceat(d, starts) if len(d) else d, "most": np.maximum.reduceat(d, starts) if len(d) else d,
+            "grp": pd.Series([a["grp"].iloc[0]] * len(at), dtype=object), "place": at, "pairs": found[at].astype(np.int64), "least": least[at], "most": most[at],
         })
 
     first = True
     while True:
-        rows = framed.select("grp", "id", "x", "y", "x0", "y0").join(state.withColumn("first", F.lit(first)), "grp")
+        rows = framed.select("grp", "id", "x", "y", "times", "x0", "y0").join(state.withColumn("first", F.lit(first)), "grp")
         counted = meet(rows, rows, F.col("width"), count, "grp string, place long, pairs long, least double, most double", block)
         places = counted.groupBy("grp", "place").agg((F.sum("pairs") / 2).cast("long").alias("pairs"), F.min("least").alias("least"), F.max("most").alias("most"))
         listed = places.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("place", "pairs", "least", "most"))).alias("places"))  # PLACES at most
@@ -186,25 +202,30 @@ def _quantile_of_distances(framed: DataFrame, share: float, block: int) -> DataF
 
 
 def density(rows: DataFrame, share: float = 0.02, fill: int = FILL, block: int = BLOCK) -> DataFrame:
-    """(grp, id, x, y, rho, place, delta, parent): local density, rank by it, and the nearest denser point.
+    """(grp, id, x, y, rho, delta, parent, times): local density, and the nearest denser point.
 
     rho sums exp(-(d / dc)^2) over a group's other points within ``REACH`` dc, dc being the ``share``
     quantile of its distances; it is rounded to nine decimals, and ties rank by id. The densest point
-    has no parent and the greatest of its distances as delta. A group of one point has a null rho.
+    has no parent and the greatest of its distances as delta. Groups of one point are left out.
+
+    Of the points at a place only the first, whose ``times`` is their number, is sought a parent for;
+    it is the parent of the others, which have a ``times`` of 0.
     """
     kind = dict(rows.dtypes)["id"]
-    framed = written(rows.join(frames(rows, fill), "grp"), "framed")
+    spots = written(places(rows), "places")
+    total = spots.groupBy("grp").agg(F.sum("times").alias("total"))
+    framed = written(spots.join(frames(spots, fill), "grp").join(total, "grp"), "framed")
     scales = _quantile_of_distances(framed, share, block)
     scaled = framed.join(scales, "grp")
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         d = _distances(a, b) / a["dc"].iloc[0]
         d[d > REACH] = np.nan
-        return pd.DataFrame({"grp": a["grp"], "id": a["id"], "rho": np.nansum(np.exp(-(d * d)), axis=1)})
+        return pd.DataFrame({"grp": a["grp"], "id": a["id"], "rho": np.nansum(np.exp(-(d * d)) * b["times"].to_numpy(), axis=1)})
 
     parts = meet(scaled, scaled, F.col("dc") * REACH / SURE, sums, f"grp string, id {kind}, rho double", block)
-    rho = parts.groupBy("grp", "id").agg(F.round(F.sum("rho"), 9).alias("rho"))
-    ranked = written(framed.join(rho, ["grp", "id"]), "density")
+    rho = parts.groupBy("grp", "id").agg(F.sum("rho").alias("rho"))
+    ranked = written(framed.join(rho, ["grp", "id"]).withColumn("rho", F.round(F.col("rho") + F.col("times") - 1, 9)), "density")
     # what counts as denser: a greater rho, or the same and an id before
     left, done, width = ranked, None, F.col("width")
 
@@ -236,18 +257,24 @@ def density(rows: DataFrame, share: float = 0.02, fill: int = FILL, block: int =
             break
         width = width * 2
     tops = done.filter("near is null").select("grp", F.col("x").alias("tx"), F.col("y").alias("ty"))  # one for each group
-    far = rows.join(tops, "grp").groupBy("grp").agg(F.max(F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))).alias("far"))
-    return written(done.join(far, "grp").select("grp", "id", "x", "y", "rho", F.coalesce("near.d", "far").alias("delta"), "near.parent"), "peaks")
+    far = spots.join(tops, "grp").groupBy("grp").agg(F.max(F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))).alias("far"))
+    heads = done.join(far, "grp").select("grp", "x", "y", F.col("id").alias("head"), "rho", F.coalesce("near.d", "far").alias("delta"), "near.parent", "times")
+    alone = F.col("id") == F.col("head")
+    return written(rows.join(heads, ["grp", "x", "y"]).select(
+        "grp", "id", "x", "y", "rho", F.when(alone, F.col("delta")).otherwise(0.0).alias("delta"),
+        F.when(alone, F.col("parent")).otherwise(F.col("head")).alias("parent"), F.when(alone, F.col("times")).otherwise(0).alias("times"),
+    ), "peaks")
 
 
 def peak_labels(peaks: DataFrame, least_density: float, distance: Column) -> DataFrame:
     """(grp, id, cluster): centres have more than ``least_density`` and a delta over ``distance``; others follow their parents.
 
     Clusters are numbered by falling density of their centres; points that lead to no centre are -1.
-    Parents are followed by jumping, so that rounds grow with the logarithm of the longest way.
+    Parents are followed by jumping, so that rounds grow with the logarithm of the longest way; points
+    at the place of another have its cluster.
     """
     centre = (F.col("rho") > least_density) & (F.col("delta") > distance)
-    marked = peaks.withColumn("centre", centre)
+    marked = peaks.filter("times > 0").withColumn("centre", centre)
     centres = marked.filter("centre").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((-F.col("rho")).alias("r"), "id"))).alias("c"))  # a group's clusters
     numbers = centres.select("grp", F.posexplode("c").alias("cluster", "c")).select("grp", F.col("c.id").alias("to"), "cluster")
     ways = written(marked.select("grp", "id", F.when(F.col("centre"), F.col("id")).otherwise(F.col("parent")).alias("to")), "ways")
@@ -259,7 +286,9 @@ def peak_labels(peaks: DataFrame, least_density: float, distance: Column) -> Dat
         ways = jumped.drop("was")
         if moving:
             break
-    return ways.join(numbers, ["grp", "to"], "left").select("grp", "id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+    found = ways.join(numbers, ["grp", "to"], "left").select("grp", F.col("id").alias("head"), F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+    head = F.when(F.col("times") > 0, F.col("id")).otherwise(F.col("parent"))
+    return peaks.select("grp", "id", head.alias("head")).join(found, ["grp", "head"]).select("grp", "id", "cluster")
 
 
 def chosen_distance(peaks: DataFrame, least_density: float = 2.0, low: float = 0.01, high: float = 0.5, steps: int = 20, default: float = 0.1, most: int = 7) -> DataFrame:

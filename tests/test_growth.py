@@ -5,6 +5,9 @@ import time
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from helixframe.operators import clusters
 from helixframe.operators import segments as sg
 
 
@@ -20,3 +23,29 @@ def test_many_short_segments_are_absorbed_in_time_by_their_number():
     assert len(out) == n - 11 and out["start_pos"].iloc[-1] == (n - 12) * 1000 and out["end_pos"].iloc[-1] == (n + 1) * 1000
     assert out["cn"].iloc[-1] == (n - 1) % 4
     assert time.perf_counter() - began < 30
+
+
+def test_densities_cost_work_by_places_not_by_points(spark):
+    """60,000 points at 36 places: all pairs would be 1.8 billion."""
+    spots = np.array([(0.1 * k + 0.01 * i, 1.0 * k + 0.02 * j) for k in range(4) for i in range(3) for j in range(3)])
+    n, m = 60_000, len(spots)
+    rows = spark.range(n).select("id", F.expr(f"cast(id * 7 % {m} as int)").alias("p"))
+    table = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(spots)], "p int, x double, y double")
+    points = clusters.plane(rows.join(table, "p"), F.lit("a"), F.col("id"), F.col("x"), F.col("y"))
+    began = time.perf_counter()
+    peaks = clusters.density(points)
+    labels = {r.id: r.cluster for r in clusters.peak_labels(peaks, 2.0, F.lit(0.3)).collect()}
+    assert time.perf_counter() - began < 60
+    got = peaks.toPandas()
+    heads = got[got["times"] > 0]
+    assert len(got) == n and len(heads) == m and heads["times"].sum() == n
+    times = np.bincount(np.arange(n) * 7 % m, minlength=m)
+    d = np.sqrt(((spots[:, None] - spots[None]) ** 2).sum(axis=2))
+    upper, left = np.triu_indices(m, 1), (0.02 * n * (n - 1) / 2) - (times * (times - 1) / 2).sum()
+    order = np.argsort(d[upper])
+    dc = 1e-12 if left < 0 else d[upper][order][np.searchsorted(np.cumsum((times[:, None] * times)[upper][order]), left, side="right")]
+    rho = (np.exp(-((d / dc) ** 2)) * times).sum(axis=1) - 1
+    assert np.allclose(got["rho"], rho[got["id"] * 7 % m])
+    assert all(labels[i] == labels[i % m] for i in range(n))  # the same place
+    assert len({labels[i] for i in range(m)}) == 4
+    assert len({labels[i] for i in range(n) if i * 7 % m < 9}) == 1
