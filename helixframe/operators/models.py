@@ -13,6 +13,7 @@ from helixframe.functions.tables import written
 
 from . import clusters as clusters_in
 from .segmentation import negative_binomial
+from .selection import chunks, medians
 
 
 def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.3, rounds: int = 0, counts: np.ndarray | None = None, step: float | None = None) -> np.ndarray:
@@ -351,19 +352,20 @@ def model_deviations(segments: DataFrame, grid: DataFrame, states: DataFrame, ma
     clusters are so, of all three. The entropy of a cluster of n segments sums -p ln p over the
     distinct major shares of their states, p being the share over n.
 
-    Candidates and states are bounded by the grid. Segments are dealt to tasks, which give sums by
-    candidate and state, and lists of distances by candidate and cluster; a list that meets in one
-    task has one number for each segment of a cluster.
+    Candidates and states are bounded by the grid. Equal segments of a cluster weigh as one. Segments are
+    dealt to tasks, which give sums by candidate and state, and by candidate and cluster; the medians
+    come from counts of distances (:func:`selection.medians`), so that no list of them is held.
     """
     spark = segments.sparkSession
     candidates = grid.orderBy("diploid", "purity").toPandas()
     table = states.orderBy("cn", "mcc").toPandas()  # a few dozen states
     rows = segments.select(*[F.col(c).cast("double").alias(c) for c in ("coverage", "maf", "weight")], F.col("cluster").cast("int").alias("cluster"))
-    rows = written(rows.filter("coverage is not null and weight is not null"), "segments")
-    known = F.col("cluster").isNotNull() & (F.col("cluster") >= 0)
+    rows = rows.filter("coverage is not null and weight is not null").withColumn("cluster", F.greatest(F.coalesce("cluster", F.lit(-1)), F.lit(-1)))
+    rows = written(rows.groupBy("coverage", "maf", "cluster").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("times")), "segments")
+    known = F.col("cluster") >= 0
     about = rows.agg(
-        (F.sum(F.col("weight") * F.col("coverage")) / F.sum("weight")).alias("mean"), F.count("maf").alias("mafs"),
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(known, F.col("cluster"))) + 1, F.lit(0)).alias("clusters"),
+        (F.sum(F.col("weight") * F.col("coverage")) / F.sum("weight")).alias("mean"), F.coalesce(F.sum(F.when(F.col("maf").isNotNull(), F.col("times"))), F.lit(0)).alias("mafs"),
+        F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.coalesce(F.max(F.when(known, F.col("cluster"))) + 1, F.lit(0)).alias("clusters"),
     ).collect()[0]
     diploid, purity = (candidates[c].to_numpy(float) for c in ("diploid", "purity"))
     cn, mcc, maf = (table[c].to_numpy(float) for c in ("cn", "mcc", "maf"))
@@ -372,20 +374,31 @@ def model_deviations(segments: DataFrame, grid: DataFrame, states: DataFrame, ma
     shared = spark.sparkContext.broadcast((diploid, mu, expect, cn))
     mean = about["mean"] or 0.0
 
-    def distances(c: float, f: float) -> np.ndarray:
+    def nearest(chunk: pd.DataFrame, lists: np.ndarray, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidates (rows) and segments (columns) the squared distance to the nearest state under a limit of coverage, and that state."""
         diploid, mu, expect, _ = shared.value
-        cover = ((mu - c) / diploid[:, None]) ** 2
-        return 2 * cover if np.isnan(f) else cover + ((expect - f) * maf_weight / 50.0) ** 2
+        c, f = (chunk[x].to_numpy(float) for x in ("coverage", "maf"))
+        least, state = np.full((len(lists), len(c)), np.inf), np.zeros((len(lists), len(c)), np.int16)
+        for i in range(mu.shape[1]):
+            cover = ((mu[lists, i, None] - c) / diploid[lists, None]) ** 2
+            d = np.where(np.isnan(f), 2 * cover, cover + ((expect[lists, i, None] - f) * maf_weight / 50.0) ** 2)
+            d[mu[lists, i] >= limit] = np.inf
+            nearer = d < least
+            least[nearer], state[nearer] = d[nearer], i
+        return least, state
 
     def sums(batches):
         size = shared.value[1].shape
-        total, every = np.zeros((5, *size)), np.arange(size[0])
-        for batch in batches:
-            for c, f, w in zip(*(batch[x].to_numpy(float) for x in ("coverage", "maf", "weight")), strict=True):
-                d = distances(c, f)
-                near = d.argmin(axis=1)
-                own = np.array([w * np.sqrt(d[every, near]), np.full(size[0], w), np.full(size[0], w * c), np.full(size[0], 0.0 if np.isnan(f) else w * f), np.full(size[0], 0.0 if np.isnan(f) else w)])
-                total[:, every, near] += own
+        total = np.zeros((5, *size))
+        for chunk in chunks(batches, size[0]):
+            least, near = nearest(chunk, np.arange(size[0]))
+            c, f, w = (chunk[x].to_numpy(float) for x in ("coverage", "maf", "weight"))
+            each = np.column_stack([w, w * c, np.where(np.isnan(f), 0.0, w * f), np.where(np.isnan(f), 0.0, w)])
+            root = np.sqrt(least)
+            for i in range(size[1]):
+                own = (near == i).astype(float)
+                total[0, :, i] += (own * root) @ w
+                total[1:, :, i] += (own @ each).T
         k, state = np.nonzero(total[1] > 0)
         yield pd.DataFrame({"k": k, "state": state} | {n: t[k, state] for n, t in zip("dwcfg", total, strict=True)})
 
@@ -406,43 +419,47 @@ def model_deviations(segments: DataFrame, grid: DataFrame, states: DataFrame, ma
     if not (about["mafs"] > enough and about["n"] > enough and 0 < about["clusters"] < most_clusters):
         return fits.select("diploid", "purity", "ploidy", "precision", "accuracy", F.lit(0.0).alias("cluster_deviation"), F.lit(0).cast("long").alias("heterogeneous"), plain.alias("deviation")).select(names)
 
-    def lists(batches):
-        _, mu, _, _ = shared.value
-        barred = mu >= 2 * mean
-        open_ = np.flatnonzero(~barred.all(axis=1))
-        for batch in batches:
-            near = [np.where(barred, np.inf, distances(c, f))[open_] for c, f in zip(batch["coverage"].to_numpy(float), batch["maf"].to_numpy(float), strict=True)]
-            state, least = (np.array([x(d, axis=1) for d in near]).reshape(len(batch), -1) for x in (np.argmin, np.min))
-            own = batch["cluster"].to_numpy()
-            for cluster in np.unique(own):
-                at = np.flatnonzero(own == cluster)
-                columns = {"k": open_.astype(np.int32), "cluster": np.full(len(open_), cluster, np.int32), "d": least[at].T.tolist(), "states": [np.unique(v).tolist() for v in state[at].T]}
-                yield pd.DataFrame(columns)
-
-    parts = rows.filter(known).mapInPandas(lists, "k int, cluster int, d array<double>, states array<int>")
-    share = spark.createDataFrame([([float(m / c) if c else 0.0 for c, m in zip(cn, mcc, strict=True)],)], "shares array<double>")  # one row
-    listed = parts.groupBy("k", "cluster").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"), F.array_distinct(F.flatten(F.collect_list("states"))).alias("states"))
-    n = F.size("d")
-    shares = F.array_distinct(F.transform("states", lambda i: F.get("shares", i)))
-    entropy = F.aggregate(F.filter(shares, lambda v: v > 0), F.lit(0.0), lambda s, v: s - v / n * F.ln(v / n))
-
-    def middle(d: str) -> Column:
-        return (F.get(d, F.floor((F.size(d) - 1) / 2).cast("int")) + F.get(d, F.floor(F.size(d) / 2).cast("int"))) / 2
-
-    large = n > 2
-    metrics = listed.crossJoin(F.broadcast(share)).select(
-        "k", "cluster", "d", F.when(large, middle("d")).otherwise(0.0).alias("median"),
-        F.when(large, F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / n).otherwise(0.0).alias("mean"), F.when(large, entropy).otherwise(0.0).alias("entropy"),
-    )
-    # clusters without a segment have zeros as well
-    zeros = F.array_repeat(F.lit(0.0), F.lit(about["clusters"]) - F.size("own"))
-    overall = metrics.groupBy("k").agg(
-        F.array_sort(F.flatten(F.collect_list("d"))).alias("all"), F.collect_list(F.struct("median", "entropy")).alias("own"), (F.sum("mean") / about["clusters"]).alias("cluster_deviation")
+    count = about["clusters"]
+    members = rows.filter(known)
+    own = {r["cluster"]: r["n"] for r in members.groupBy("cluster").agg(F.sum("times").alias("n")).collect()}  # under most_clusters
+    n = np.array([own.get(c, 0) for c in range(count)], np.int64)
+    open_ = np.flatnonzero((mu < 2 * mean).any(axis=1))  # candidates with a state under the limit
+
+    def about_clusters(batches):
+        least, most = np.full((len(open_), count), np.inf), np.zeros((len(open_), count))
+        total, seen = np.zeros((len(open_), count)), np.zeros((len(open_), count, shared.value[1].shape[1]), bool)
+        for chunk in chunks(batches, len(open_)):
+            d, state = nearest(chunk, open_, 2 * mean)
+            cluster, times = chunk["cluster"].to_numpy(), chunk["times"].to_numpy(float)
+            for c in np.unique(cluster):
+                at = np.flatnonzero(cluster == c)
+                least[:, c], most[:, c] = np.minimum(least[:, c], d[:, at].min(axis=1)), np.maximum(most[:, c], d[:, at].max(axis=1))
+                total[:, c] += d[:, at] @ times[at]
+                seen[np.arange(len(open_))[:, None], c, state[:, at]] = True
+        i, c = np.nonzero(seen.any(axis=2))
+        yield pd.DataFrame({"i": i, "cluster": c, "least": least[i, c], "most": most[i, c], "total": total[i, c], "states": [np.flatnonzero(v).tolist() for v in seen[i, c]]})
+
+    parts = members.mapInPandas(about_clusters, "i int, cluster int, least double, most double, total double, states array<int>")
+    parts = parts.groupBy("i", "cluster").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"), F.array_distinct(F.flatten(F.collect_list("states"))).alias("states"))
+    shape = (len(open_), count)
+    least, most, means, entropy = np.full(shape, np.inf), np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    share = np.array([m / c if c else 0.0 for c, m in zip(cn, mcc, strict=True)])
+    for r in parts.collect():  # bounded by candidates and clusters
+        at = r["i"], r["cluster"]
+        least[at], most[at] = r["least"], r["most"]
+        if n[at[1]] > 2:
+            p = np.unique(share[r["states"]])
+            p = p[p > 0] / n[at[1]]
+            means[at], entropy[at] = r["total"] / n[at[1]], -float((p * np.log(p)).sum())
+    least, most = (np.column_stack([x, y]) for x, y in ((least, least.min(axis=1, initial=np.inf)), (most, most.max(axis=1, initial=0.0))))
+    middle = medians(members, lambda chunk, lists: nearest(chunk, open_[lists], 2 * mean)[0], "cluster", np.r_[n, n.sum()], least, most) if len(open_) else np.zeros((0, count + 1))
+    # clusters of up to two segments, also those without one, have zeros
+    median, mid_entropy = np.where(n > 2, middle[:, :-1], 0.0), np.median(entropy, axis=1)
+    odd = ((median > middle[:, -1:]) & (entropy > mid_entropy[:, None])).sum(axis=1)
+    overall = spark.createDataFrame(
+        pd.DataFrame({"k": open_.astype(np.int32), "cluster_deviation": means.sum(axis=1) / count, "heterogeneous": odd.astype(np.int64)}), "k int, cluster_deviation double, heterogeneous long"
     )
-    overall = overall.withColumn("entropies", F.array_sort(F.concat(F.transform("own", lambda x: x["entropy"]), zeros)))
-    overall = overall.withColumns({"mid": middle("all"), "mid_entropy": middle("entropies")})
-    odd = F.size(F.filter("own", lambda x: (x["median"] > F.col("mid")) & (x["entropy"] > F.col("mid_entropy")))).cast("long")
-    scored = fits.join(overall.select("k", "cluster_deviation", odd.alias("heterogeneous")), "k", "left")
+    scored = fits.join(overall, "k", "left")
     # without a state under the limit every cluster is heterogeneous and the deviation has no bound
     scored = scored.withColumns({"cluster_deviation": F.coalesce("cluster_deviation", F.lit(float("inf"))), "heterogeneous": F.coalesce("heterogeneous", F.lit(2**31 - 1).cast("long"))})
     third = (F.col("precision") + F.col("accuracy") + F.col("cluster_deviation")) / 3

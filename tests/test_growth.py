@@ -7,7 +7,7 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import clusters
+from helixframe.operators import clusters, selection
 from helixframe.operators import segments as sg
 
 
@@ -49,3 +49,33 @@ def test_densities_cost_work_by_places_not_by_points(spark):
     assert all(labels[i] == labels[i % m] for i in range(n))  # the same place
     assert len({labels[i] for i in range(m)}) == 4
     assert len({labels[i] for i in range(n) if i * 7 % m < 9}) == 1
+
+
+def test_medians_of_many_lists_by_counts(spark):
+    """Values far apart, equal ones, a gap in the middle of an even list, and a group without rows."""
+    n = 6000
+    r = np.random.default_rng(5)
+    x = np.where(np.arange(n) % 2, 1e-9 * r.random(n), 5.0 + 1e-12 * r.random(n))
+    x[:900] = 0.25
+    own, times = np.arange(n) % 7 % 3, 1 + np.arange(n) % 3
+    own[own == 2] = 3
+    rows = spark.createDataFrame(pd.DataFrame({"x": x, "cluster": own.astype(np.int32), "times": times})).repartition(5)
+    power = np.array([1.0, 2.0, 0.5])
+
+    def values(chunk, lists):
+        return chunk["x"].to_numpy() ** power[lists, None]
+
+    whole = x ** power[:, None]
+    groups = [own == g for g in range(4)] + [own >= 0]
+    sizes = np.array([times[g].sum() for g in groups])
+    least = np.array([[w[g].min(initial=np.inf) for g in groups] for w in whole])
+    most = np.array([[w[g].max(initial=0.0) for g in groups] for w in whole])
+    got = selection.medians(rows, values, "cluster", sizes, least, most)
+    want = np.array([[np.median(np.repeat(w[g], times[g])) if g.any() else 0.0 for g in groups] for w in whole])
+    assert (got == want).all()
+    # an even list whose middle numbers lie far apart
+    two = spark.createDataFrame(pd.DataFrame({"x": np.r_[1 + 1e-13 * r.random(800), 9 + 1e-13 * r.random(800)], "cluster": np.zeros(1600, np.int32), "times": np.ones(1600, np.int64)}))
+    x = two.toPandas()["x"].to_numpy()
+    ends = np.full((1, 2), x.min()), np.full((1, 2), x.max())
+    got = selection.medians(two, lambda chunk, lists: chunk["x"].to_numpy()[None], "cluster", np.array([1600, 1600]), *ends)
+    assert (got == np.median(x)).all()
