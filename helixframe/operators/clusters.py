@@ -41,8 +41,8 @@ def plane(points: DataFrame, by: Column, key: Column, x: Column, y: Column, *mor
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """(grp, x, y, id, times): each place with its first point and how many there are."""
-    return rows.groupBy("grp", "x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
+    """(grp, x, y, id, times): each place with its first point and how many there are, and the sum of their weights if they have any."""
+    return rows.groupBy("grp", "x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), *[F.sum(c).alias(c) for c in rows.columns if c == "weight"])
 
 
 def frames(rows: DataFrame, fill: int = FILL) -> DataFrame:
@@ -144,17 +144,15 @@ def nearest(rows: DataFrame, k: int, fill: int = FILL, block: int = BLOCK) -> Da
 # ---------------------------------------------------------------- density peaks
 
 
-def _quantile_of_distances(framed: DataFrame, share: float, block: int) -> DataFrame:
-    """(grp, dc): the distance of index int(share * pairs) among a group's sorted pairs, at least 1e-12.
+def distance_at(framed: DataFrame, index: Column, block: int = BLOCK) -> DataFrame:
+    """(grp, d): the distance of an ``index`` from 0 among a group's sorted pairs.
 
     Pairs closer than a width are counted, in ``PLACES`` places; the width doubles for groups in
     which there are too few. The place that holds the index is then counted in finer places, until
     all distances in it are equal. Pairs are never listed. ``framed`` has places; the pairs are those
-    of their points, ``total`` in a group.
+    of their points, ``total`` in a group. ``index`` is an expression of a group's columns.
     """
-    pairs = F.col("total") * (F.col("total") - 1) / 2
-    index = F.least(F.floor(pairs * share), pairs - 1).cast("long")
-    state = framed.filter("total > 1").select("grp", "width", index.alias("index")).distinct().withColumns({"low": F.lit(0.0), "high": F.col("width") * SURE})
+    state = framed.filter("total > 1").select("grp", "width", index.cast("long").alias("index")).distinct().withColumns({"low": F.lit(0.0), "high": F.col("width") * SURE})
     state, done, waiting = written(state, "distance-ranges"), None, None
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -185,7 +183,7 @@ def _quantile_of_distances(framed: DataFrame, share: float, block: int) -> DataF
             s["before"] + p["pairs"] > F.col("index"), F.struct(s["before"].alias("before"), p["least"].alias("low"), p["most"].alias("high"))
         ).otherwise(F.struct((s["before"] + p["pairs"]).alias("before"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")))))
         moved = written(state.join(listed, "grp", "left").withColumn("s", F.coalesce(step, zero)).select("grp", "width", "index", "s"), "distance-ranges")
-        found = moved.filter("s.low = s.high").select("grp", F.greatest(F.col("s.low"), F.lit(1e-12)).alias("dc"))
+        found = moved.filter("s.low = s.high").select("grp", F.col("s.low").alias("d"))
         done = found if done is None else done.unionByName(found)
         closer = moved.filter("s.low < s.high").select("grp", "width", (F.col("index") - F.col("s.before")).alias("index"), F.col("s.low").alias("low"), F.col("s.high").alias("high"))
         if first:
@@ -215,7 +213,9 @@ def density(rows: DataFrame, share: float = 0.02, fill: int = FILL, block: int =
     spots = written(places(rows), "places")
     total = spots.groupBy("grp").agg(F.sum("times").alias("total"))
     framed = written(spots.join(frames(spots, fill), "grp").join(total, "grp"), "framed")
-    scales = _quantile_of_distances(framed, share, block)
+    pairs = F.col("total") * (F.col("total") - 1) / 2
+    index = F.least(F.floor(pairs * share), pairs - 1)
+    scales = distance_at(framed, index, block).select("grp", F.greatest("d", F.lit(1e-12)).alias("dc"))
     scaled = framed.join(scales, "grp")
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -496,9 +496,6 @@ def likelihood_table(spark: SparkSession, means: dict[str, float], variances: di
 
 # ---------------------------------------------------------------- clustering of segments
 
-CLUSTERED = "chrom string, start_pos long, cluster int"
-
-
 def _in_plane(points: DataFrame, by: str, scale: float, *more: str) -> DataFrame:
     """The points with maf and scaled coverage as the axes; ids order them by contig and place."""
     key = F.col("start_pos") if by == "chrom" else F.concat(F.col("chrom"), F.lit(":"), F.lpad(F.col("start_pos").cast("string"), 12, "0"))
@@ -511,14 +508,15 @@ def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chro
     ``points`` has chrom, start_pos, coverage, maf and weight. ``method`` is mixture, density,
     mean_shift, density_sweep, which searches its cut-off, or reclustered, which then parts clusters
     of wide spread; these deal a group's points to cells and blocks or sum them by group. best_mixture
-    searches the number of clusters and holds a group's distances in one task. A missing maf gives -1.
+    searches the number of clusters; a task holds a group's places and a block of their distances. A
+    missing maf gives -1.
     """
-    if method == "best_mixture":
-        return _best_mixtures(points, by, scale)
     flat = written(_in_plane(points, by, scale, "weight", "chrom", "start_pos"), "plane")
     slim = flat.select("grp", "id", "x", "y")
     if method == "mixture":
         labels = clusters_in.mixture(flat.select("grp", "id", "x", "y", "weight"), clusters)
+    elif method == "best_mixture":
+        labels = best_mixture_labels(flat.select("grp", "id", "x", "y", "weight"))
     elif method == "mean_shift":
         labels = clusters_in.mean_shift_labels(slim, bandwidth)
     elif method in ("density", "density_sweep", "reclustered"):
@@ -538,17 +536,139 @@ def cluster_segments(points: DataFrame, method: str = "mixture", by: str = "chro
     )
 
 
-def _best_mixtures(points: DataFrame, by: str, scale: float) -> DataFrame:
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start_pos").reset_index(drop=True)
-        out = pd.DataFrame({"chrom": rows["chrom"], "start_pos": rows["start_pos"], "cluster": -1})
-        known = rows["maf"].notna().to_numpy()
-        xy = np.column_stack([rows["maf"].to_numpy(float)[known], scale * rows["coverage"].to_numpy(float)[known]])
-        if len(xy):
-            out.loc[known, "cluster"] = best_mixture(xy, rows["weight"].to_numpy(float)[known])
-        return out.astype({"cluster": "int32"})
+def draw_starts(points: np.ndarray, limit: float, counts: tuple[int, ...], starts: int, seed: int) -> list[tuple[int, list[int]]]:
+    """(number of clusters, points drawn as means) of each start, as of :func:`best_mixture`."""
+    n, rng, out = len(points), np.random.default_rng(seed), []
+    for k in counts:
+        for _ in range(starts if k <= n else 0):
+            drawn: list[int] = []
+            left, far = np.ones(n, bool), np.ones(n, bool)
+            while len(drawn) < k:
+                apart = np.flatnonzero(left & far)
+                drawn.append(int(rng.choice(apart if len(apart) else np.flatnonzero(left))))
+                left[drawn[-1]] = False
+                far &= np.sqrt(((points - points[drawn[-1]]) ** 2).sum(axis=1)) > limit
+            out.append((k, drawn))
+    return out
 
-    return points.select("chrom", "start_pos", "coverage", "maf", "weight").groupBy(by).applyInPandas(one, CLUSTERED)
+
+def median_silhouettes(points: np.ndarray, times: np.ndarray, labels: np.ndarray, at: np.ndarray, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Per labelling (rows of ``labels``) the sum of silhouettes of the points at the places ``at``, and their number.
+
+    ``points`` are all places of a group, with ``times`` points each. A silhouette compares the medians
+    of a point's distances to the others of its cluster and to those of the next cluster; points
+    without either do not count. Distances are sorted once for all labellings, ``chunk`` of them at a time.
+    """
+    sums, counts = np.zeros(len(labels)), np.zeros(len(labels))
+    step = max(1, chunk // len(points))
+    sizes = [np.bincount(own, times).astype(np.int64) for own in labels]
+    kind = np.int32 if times.sum() < 2**31 else np.int64
+    for low in range(0, len(at), step):
+        rows = at[low : low + step]
+        dx, dy = points[rows, 0][:, None] - points[:, 0], points[rows, 1][:, None] - points[:, 1]
+        d = np.sqrt(dx * dx + dy * dy)
+        d[np.arange(len(rows)), rows] = -1.0  # a place comes first in its own order
+        order = np.argsort(d, axis=1)
+        d = np.take_along_axis(d, order, axis=1)
+        d[:, 0] = 0.0
+        weight, every = times[order].astype(kind), np.arange(len(rows))
+
+        def middle(inside: np.ndarray, low: np.ndarray, high: np.ndarray, d=d, weight=weight, every=every) -> np.ndarray:
+            """The mean of the distances of two ranks (from 0) among the places ``inside``."""
+            through = np.cumsum(weight * inside, axis=1, dtype=kind)
+            return (d[every, (through > low).argmax(axis=1)] + d[every, (through > high).argmax(axis=1)]) / 2
+
+        for j, own in enumerate(labels):
+            size = sizes[j]
+            names = np.flatnonzero(size)
+            if len(names) < 2:
+                continue
+            near, mine = own[order], own[rows]
+            others = size[mine, None] - 1  # the point itself is the first of its cluster
+            good = others[:, 0] > 0
+            a = middle(near == mine[:, None], (others - 1) // 2 + 1, others // 2 + 1)
+            b = np.full(len(rows), np.inf)
+            for c in names:
+                b = np.where(mine != c, np.minimum(b, middle(near == c, (size[c] - 1) // 2, size[c] // 2)), b)
+            most = np.maximum(a, b)
+            score = np.where(most > 0, (b - a) / np.where(most > 0, most, 1.0), 0.0)
+            sums[j] += (score * times[rows])[good].sum()
+            counts[j] += times[rows][good].sum()
+    return sums, counts
+
+
+def best_mixture_labels(rows: DataFrame, counts: tuple[int, ...] = (4, 5, 6, 7), starts: int = 10, far: float = 0.8, seed: int = 0, block: int = 1024) -> DataFrame:
+    """(grp, id, cluster) of the mixture of greatest silhouette, as :func:`best_mixture` finds it for a group.
+
+    ``rows`` has grp, id, x, y and weight. Points at one place weigh as one. The quantile of distances
+    is counted in blocks of pairs, each start is fitted in a task of its own, which holds a group's places,
+    and silhouettes are summed by blocks of places that meet all of their group. Scores are compared at
+    nine decimals; of equal ones the first start's counts.
+    """
+    kind = dict(rows.dtypes)["id"]
+    spots = written(clusters_in.places(rows), "places")
+    total = spots.groupBy("grp").agg(F.sum("times").alias("total"))
+    framed = spots.join(clusters_in.frames(spots), "grp").join(total, "grp")
+    # the quantile lies between two distances in order
+    virtual = (F.col("total") * (F.col("total") - 1) / 2 - 1) * far
+    twice = framed.withColumn("of", F.col("grp")).withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("grp", F.concat_ws("/", "of", "next"))
+    twice = written(twice, "framed")
+    found = clusters_in.distance_at(twice, F.least(F.floor(virtual) + F.element_at(F.split("grp", "/"), -1).cast("int"), F.col("total") * (F.col("total") - 1) / 2 - 1), block)
+    ends = found.join(twice.select("grp", "of", "next").distinct(), "grp").groupBy(F.col("of").alias("grp")).agg(
+        F.min(F.when(F.col("next") == 0, F.col("d"))).alias("a"), F.min(F.when(F.col("next") == 1, F.col("d"))).alias("b")
+    )
+    t = virtual - F.floor(virtual)
+    between = F.when(t >= 0.5, F.col("b") - (F.col("b") - F.col("a")) * (1 - t)).otherwise(F.col("a") + (F.col("b") - F.col("a")) * t)
+    limits = total.join(ends, "grp", "left").select("grp", F.coalesce(between, F.lit(0.0)).alias("limit"))
+
+    def draw(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("id")
+        xy = points[["x", "y"]].to_numpy(float)
+        drawn = draw_starts(xy, float(points["limit"].iloc[0]), counts, starts, seed)
+        return pd.DataFrame({
+            "grp": pd.Series([points["grp"].iloc[0]] * len(drawn), dtype=object), "start": pd.Series(range(len(drawn)), dtype="int32"),
+            "mx": pd.Series([xy[d, 0].tolist() for _, d in drawn], dtype=object), "my": pd.Series([xy[d, 1].tolist() for _, d in drawn], dtype=object),
+        })
+
+    begun = rows.select("grp", "id", "x", "y").join(limits, "grp").groupBy("grp").applyInPandas(draw, "grp string, start int, mx array<double>, my array<double>")
+    begun = written(begun, "starts")  # a row for each start
+
+    def fit(points: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(start) or not len(points):
+            return pd.DataFrame({"grp": pd.Series(dtype=object), "id": points["id"].iloc[:0], "start": pd.Series(dtype="int32"), "cluster": pd.Series(dtype="int8")})
+        points = points.sort_values("id")
+        means = np.column_stack([start["mx"].iloc[0], start["my"].iloc[0]])
+        post = gaussian_mixture(points[["x", "y"]].to_numpy(float), points["weight"].to_numpy(float), means)["posterior"]
+        return pd.DataFrame({"grp": points["grp"], "id": points["id"], "start": start["start"].iloc[0], "cluster": post.argmax(axis=1).astype("int8")})
+
+    each = spots.join(begun.select("grp", F.col("start").alias("run")), "grp")
+    fitted = each.groupBy("grp", "run").cogroup(begun.groupBy("grp", "start")).applyInPandas(fit, f"grp string, id {kind}, start int, cluster byte")
+    named = fitted.groupBy("grp", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "cluster"))), lambda v: v["cluster"].cast("int")).alias("labels"))
+    named = written(spots.join(named, ["grp", "id"]), "labels")
+    blocks = named.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = named.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def by_first(own: np.ndarray) -> np.ndarray:
+        """Labels numbered in the order in which they first occur."""
+        _, first, at = np.unique(own, return_index=True, return_inverse=True)
+        return first.argsort().argsort()[at]
+
+    def judge(points: pd.DataFrame) -> pd.DataFrame:
+        labels = np.array(points["labels"].tolist(), np.uint8).T
+        # equal divisions, whatever their clusters' numbers, are judged once
+        once, which = np.unique(np.array([by_first(own) for own in labels], np.uint8), axis=0, return_inverse=True)
+        at = np.flatnonzero(points["own"].to_numpy() == points["q"].iloc[0])
+        sums, n = median_silhouettes(points[["x", "y"]].to_numpy(float), points["times"].to_numpy(), once, at)
+        which = which.ravel()
+        return pd.DataFrame({"grp": points["grp"].iloc[0], "start": np.arange(len(labels), dtype=np.int32), "score": sums[which], "n": n[which]})
+
+    slim = dealt.select("grp", "q", "own", "id", "x", "y", "times", "labels")
+    scores = slim.groupBy("grp", "q").applyInPandas(lambda p: judge(p.sort_values("id")), "grp string, start int, score double, n double")
+    scores = scores.groupBy("grp", "start").agg(F.sum("score").alias("score"), F.sum("n").alias("n"))
+    mean = F.round(F.when(F.col("n") > 0, F.col("score") / F.col("n")).otherwise(0.0), 9)
+    best = scores.groupBy("grp").agg(F.max(F.struct(mean.alias("s"), (-F.col("start")).alias("minus"))).alias("m")).select("grp", (-F.col("m.minus")).alias("best"))
+    chosen = named.join(best, "grp").select("grp", "x", "y", F.get("labels", F.col("best")).alias("cluster"))
+    return rows.select("grp", "id", "x", "y").join(chosen, ["grp", "x", "y"], "left").select("grp", "id", F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))
 
 
 def neighbour_sums(points: DataFrame, k: int = 10, by: str = "chrom", fill: int = clusters_in.FILL, block: int = clusters_in.BLOCK) -> DataFrame:

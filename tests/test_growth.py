@@ -7,7 +7,7 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import clusters, selection
+from helixframe.operators import clusters, models, selection
 from helixframe.operators import segments as sg
 
 
@@ -79,3 +79,37 @@ def test_medians_of_many_lists_by_counts(spark):
     ends = np.full((1, 2), x.min()), np.full((1, 2), x.max())
     got = selection.medians(two, lambda chunk, lists: chunk["x"].to_numpy()[None], "cluster", np.array([1600, 1600]), *ends)
     assert (got == np.median(x)).all()
+
+
+def test_silhouettes_by_blocks_equal_those_of_the_whole_matrix():
+    r = np.random.default_rng(0)
+    for n in (5, 30, 57, 200):
+        xy, times = r.random((n, 2)), r.integers(1, 4, n)
+        labels = np.array([r.integers(0, k, n) for k in (2, 3, 5, 1)], np.uint8)
+        labels[2, 0] = 9  # may be alone in its cluster
+        halves = [models.median_silhouettes(xy, times, labels, at, chunk=700) for at in (np.arange(n // 2), np.arange(n // 2, n))]
+        sums, counts = (sum(h[i] for h in halves) for i in (0, 1))
+        for j, own in enumerate(labels):
+            want = models.silhouette(np.repeat(xy, times, axis=0), np.repeat(own.astype(int), times))
+            assert np.isclose(sums[j] / counts[j] if counts[j] else 0.0, want, atol=1e-12)
+
+
+def test_best_mixture_costs_work_by_places(spark):
+    """A group as the plain search finds it, small ones, and 20,000 points at 80 places."""
+    r = np.random.default_rng(2)
+    own = {"a": np.array([[0.1, 1.0], [0.3, 1.5], [0.45, 2.2], [0.2, 2.4]])[r.integers(0, 4, 150)] + r.normal(0, 0.02, (150, 2)), "b": r.random((6, 2)), "c": r.random((2, 2)), "d": r.random((1, 2))}
+    own["a"][7] = own["a"][3]
+    spots = np.concatenate([np.array(c) + r.normal(0, 0.02, (20, 2)) for c in ((0.1, 1.0), (0.4, 1.6), (0.2, 2.2), (0.45, 3.0))])
+    own["e"] = spots[np.arange(20_000) % 80]
+    rows = pd.concat([pd.DataFrame({"chrom": g, "start_pos": np.arange(len(xy)), "maf": xy[:, 0], "coverage": xy[:, 1], "weight": 1.0 + np.arange(len(xy)) % 3}) for g, xy in own.items()])
+    rows = pd.concat([rows, pd.DataFrame({"chrom": ["a"], "start_pos": [900], "coverage": [1.0], "weight": [1.0]})])
+    rows["maf"] = rows["maf"].astype(object).where(rows["maf"].notna(), None)
+    points = spark.createDataFrame(rows.to_dict("records"), "chrom string, start_pos long, maf double, coverage double, weight double")
+    began = time.perf_counter()
+    got = {(x.chrom, x.start_pos): x.cluster for x in models.cluster_segments(points, "best_mixture").collect()}
+    assert time.perf_counter() - began < 60
+    assert len(got) == len(rows) and got["a", 900] == -1
+    for g in "abcd":
+        assert [got[g, i] for i in range(len(own[g]))] == models.best_mixture(own[g], 1.0 + np.arange(len(own[g])) % 3).tolist()
+    large = np.array([got["e", i] for i in range(20_000)])
+    assert (large == large[np.arange(20_000) % 80]).all() and len(set(large)) >= 4
