@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .callers import phred
@@ -29,14 +29,16 @@ def phased_likelihoods(sites: DataFrame, key: list[str], table: DataFrame, highe
     A site of two present haplotypes is heterozygous with weight 2/3, in either order, and homozygous
     with 1/6 for either allele; of one it is homozygous. The lesser count of a homozygous site is
     error. Counts beyond ``deepest`` are read at it. Sites without a count do not count.
+
+    All genotypes of a pair of counts are scored once, in a table that goes to the sites. Sites are
+    shuffled once, and not at all where they are already dealt by a part of the key.
     """
     spark = sites.sparkSession
     pairs = [(a, b) for a in range(highest + 1) for b in range(highest + 1 - a)]
     genotypes = spark.createDataFrame(pairs, "a int, b int")
     x, y = (F.least(F.col(c), F.lit(deepest)).cast("int") for c in ("ref_count", "alt_count"))
-    rows = sites.filter("ref_count is not null and alt_count is not null").select(*key, x.alias("x"), y.alias("y"))
-    rows = rows.groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.crossJoin(F.broadcast(genotypes)).crossJoin(F.broadcast(table))  # 15 genotypes, one row
+    sized = spark.range((deepest + 1) ** 2).select(F.expr(f"cast(id div {deepest + 1} as int)").alias("x"), F.expr(f"cast(id % {deepest + 1} as int)").alias("y"))
+    sized = sized.crossJoin(F.broadcast(genotypes)).crossJoin(F.broadcast(table))  # 15 genotypes, one row
     n = F.col("x") + F.col("y")
 
     def depth(copies: Column, k: Column) -> Column:
@@ -49,8 +51,14 @@ def phased_likelihoods(sites: DataFrame, key: list[str], table: DataFrame, highe
     mixed = (depth(F.col("a"), F.col("x")) * depth(F.col("b"), F.col("y")) + depth(F.col("a"), F.col("y")) * depth(F.col("b"), F.col("x"))) / 3
     both, none = (F.col("a") > 0) & (F.col("b") > 0), (F.col("a") == 0) & (F.col("b") == 0)
     likelihood = F.when(none, total).when(both, mixed + total * one / 6).otherwise(total * one)
-    log_l = F.sum(F.col("n") * F.ln(F.greatest(likelihood, F.lit(1e-300))))
-    return rows.groupBy(*key, "a", "b").agg(log_l.alias("log_l"), F.sum("n").alias("sites"))
+    least = F.lit(1e-300)
+    scores = sized.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("a", "b", F.ln(F.greatest(likelihood, least)).alias("l")))).alias("v"))
+    scores = scores.select("x", "y", F.transform("v", lambda g: g["l"]).alias("l"))
+    rows = sites.filter("ref_count is not null and alt_count is not null").select(*key, x.alias("x"), y.alias("y"))
+    rows = rows.join(F.broadcast(scores), ["x", "y"], "left")  # (deepest + 1) squared rows
+    sums = rows.groupBy(*key).agg(*[F.sum(F.coalesce(F.get("l", F.lit(i)), F.ln(least))).alias(f"l{i}") for i in range(len(pairs))], F.count(F.lit(1)).alias("sites"))
+    each = F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"l{i}").alias("log_l")) for i, (a, b) in enumerate(pairs)]))
+    return sums.select(*key, "sites", each).select(*key, "a", "b", "log_l", "sites")
 
 
 def with_coverage(phased: DataFrame, coverage: DataFrame, key: list[str]) -> DataFrame:
@@ -59,12 +67,14 @@ def with_coverage(phased: DataFrame, coverage: DataFrame, key: list[str]) -> Dat
     Loss of one haplotype with two copies of the other has the least likelihood of all, unless it is
     above that of one copy of each.
     """
+    whole = Window.partitionBy(*key)
+
     def own(a: int, b: int) -> Column:
-        return F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("log_l")))
+        return F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col("log_l"))).over(whole)
 
-    ends = phased.groupBy(*key).agg(own(1, 1).alias("even"), F.greatest(own(0, 2), own(2, 0)).alias("lost"), F.min("log_l").alias("lowest"))
+    ends = phased.withColumns({"even": own(1, 1), "lost": F.greatest(own(0, 2), own(2, 0)), "lowest": F.min("log_l").over(whole)})
     single = ((F.col("a") == 0) & (F.col("b") == 2)) | ((F.col("a") == 2) & (F.col("b") == 0))
-    rows = phased.join(ends, key).withColumn("log_l", F.when(single & (F.col("even") >= F.col("lost")), F.col("lowest")).otherwise(F.col("log_l")))
+    rows = ends.withColumn("log_l", F.when(single & (F.col("even") >= F.col("lost")), F.col("lowest")).otherwise(F.col("log_l")))
     depth = coverage.select(*key, "cn", F.ln(F.greatest("p", F.lit(1e-300))).alias("log_p"))
     joined = rows.withColumn("cn", F.col("a") + F.col("b")).join(depth, [*key, "cn"])
     return joined.select(*key, "a", "b", (F.col("log_l") / F.col("sites") + F.col("log_p")).alias("log_l"))

@@ -44,9 +44,11 @@ JOINED = PHASED + f""", cov AS (SELECT sample, chrom, seg, CAST(cn AS INT) AS cn
 
 
 def family_sites(spark, sf_dir, samples=3):
-    rows = ad.sites(spark, sf_dir).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    """The sites of so many samples, dealt by segment before they are copied for each sample."""
+    rows = ad.sites(spark, sf_dir).select("chrom", F.expr("pos div 50000").alias("seg"), "ref_count", "alt_count").repartition("chrom", "seg")
+    rows = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     return rows.select(
-        F.concat(F.lit("s"), F.col("s").cast("string")).alias("sample"), "chrom", F.expr("pos div 50000").alias("seg"),
+        F.concat(F.lit("s"), F.col("s").cast("string")).alias("sample"), "chrom", "seg",
         (F.col("ref_count") * (F.col("s") + 2) % 23).alias("ref_count"), ((F.col("alt_count") + 3 * F.col("s")) % 19).alias("alt_count"),
     )
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import clusters, models, selection
 from helixframe.operators import segments as sg
+from helixframe.plans import haplotype_queries
+
+from .conftest import SMALL
 
 
 def test_many_short_segments_are_absorbed_in_time_by_their_number():
@@ -113,3 +116,11 @@ def test_best_mixture_costs_work_by_places(spark):
         assert [got[g, i] for i in range(len(own[g]))] == models.best_mixture(own[g], 1.0 + np.arange(len(own[g])) % 3).tolist()
     large = np.array([got["e", i] for i in range(20_000)])
     assert (large == large[np.arange(20_000) % 80]).all() and len(set(large)) >= 4
+
+
+def test_sites_of_a_family_are_shuffled_once_before_they_are_copied(spark):
+    """Neither the copies for each sample nor the genotypes of a site go through a shuffle."""
+    plan = haplotype_queries.phased(spark, SMALL, 4)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in dealt if "sample" in line]
+    assert len([line for line in dealt if "seg" in line]) == 1
