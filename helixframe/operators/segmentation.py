@@ -129,10 +129,13 @@ def segment_haar(bins: DataFrame, factor: float = 1.0, lowest: float = 5.0, high
 # ---------------------------------------------------------------- circular binary segmentation
 
 
-def max_arc(x: np.ndarray, least: int = 2) -> tuple[float, int, int]:
-    """(T squared, i, j) of the arc (i, j] whose mean differs most from the rest."""
-    n = len(x)
-    s = np.concatenate([[0.0], np.cumsum(x - x.mean())])
+#: Values up to which every arc is tried, blocks of sums at the end and at the start of the search, and pairs at a time.
+ALL_ARCS, LEAF, FIRST, AT_ONCE = 1000, 32, 512, 1 << 15
+
+
+def _arcs_by_length(s: np.ndarray, least: int) -> tuple[float, int, int]:
+    """(statistic, i, j) of the arc of greatest statistic from running sums; of equal ones the shortest, then the first."""
+    n = len(s) - 1
     best, where = 0.0, (0, n)
     for k in range(least, n - least + 1):
         d = s[k:] - s[: n - k + 1]
@@ -140,6 +143,92 @@ def max_arc(x: np.ndarray, least: int = 2) -> tuple[float, int, int]:
         at = int(np.argmax(b))
         if b[at] > best:
             best, where = float(b[at]), (at, at + k)
+    return best, *where
+
+
+def _arcs_by_blocks(s: np.ndarray, least: int) -> tuple[float, int, int]:
+    """As :func:`_arcs_by_length`, by branch and bound over pairs of blocks of running sums.
+
+    The greatest difference of two blocks' sums and the lengths of arcs between them bound the statistic. Pairs
+    whose bound is under a statistic that has been met are left out, others are parted; pairs of the
+    smallest blocks are tried in full. Nothing is left out that could be the answer.
+    """
+    n = len(s) - 1
+    sizes = [LEAF]
+    while n // sizes[-1] > FIRST:
+        sizes.append(sizes[-1] * 4)
+    met = 0.0
+
+    def statistic(d: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return d * d * n / (k * (n - k))
+
+    def ends(size: int):
+        """Of each block the places of the least and the greatest sum."""
+        count = -(-(n + 1) // size)
+        padded = np.concatenate([s, np.full(count * size - n - 1, s[-1])]).reshape(count, size)
+        starts = np.arange(count) * size
+        return np.minimum(padded.argmin(axis=1) + starts, n), np.minimum(padded.argmax(axis=1) + starts, n)
+
+    def bounded(p: np.ndarray, q: np.ndarray, size: int, low: np.ndarray, high: np.ndarray):
+        """The pairs that may hold the answer, with their bounds."""
+        nonlocal met
+        shortest = np.maximum((q - p - 1) * size + 1, least)
+        longest = np.minimum(np.minimum((q + 1) * size - 1, n) - p * size, n - least)
+        can = shortest <= longest
+        p, q, shortest, longest = p[can], q[can], shortest[can], longest[can]
+        most = np.zeros(len(p))
+        for i, j in ((low[p], high[q]), (high[p], low[q])):
+            d, k = np.abs(s[j] - s[i]), j - i
+            most = np.maximum(most, d)
+            real = (k >= least) & (k <= n - least)
+            if real.any():
+                met = max(met, float(statistic(d[real], k[real]).max()))
+        bound = most * most * n / np.minimum(shortest * (n - shortest), longest * (n - longest)) * (1 + 1e-9)
+        return p, q, bound
+
+    low, high = ends(sizes[-1])
+    first = [bounded(np.full(len(low) - p, p), np.arange(p, len(low)), sizes[-1], low, high) for p in range(len(low))]
+    p, q, bound = (np.concatenate([f[i] for f in first]) for i in range(3))
+    for size in reversed(sizes[:-1]):
+        low, high = ends(size)
+        kept = bound >= met
+        p, q, parts = p[kept], q[kept], []
+        step = np.arange(4)
+        for at in range(0, len(p), AT_ONCE // 16):
+            a, b = p[at : at + AT_ONCE // 16, None, None], q[at : at + AT_ONCE // 16, None, None]
+            a, b = (x.ravel() for x in np.broadcast_arrays(4 * a + step[:, None], 4 * b + step))
+            fine = (a <= b) & (b < len(low))
+            a, b, own = bounded(a[fine], b[fine], size, low, high)
+            good = own >= met
+            parts.append((a[good], b[good], own[good]))
+        p, q, bound = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    best, length, where = 0.0, n, 0
+    inner = np.arange(LEAF)
+    order = np.argsort(-bound, kind="stable")
+    for at in range(0, len(order), AT_ONCE // LEAF):
+        pairs = order[at : at + AT_ONCE // LEAF]
+        pairs = pairs[bound[pairs] >= max(met, best)]
+        if not len(pairs):
+            break
+        i, j = (p[pairs, None] * LEAF + inner)[:, :, None], (q[pairs, None] * LEAF + inner)[:, None, :]
+        k = j - i
+        real = (k >= least) & (k <= n - least) & (j <= n)
+        d = s[np.minimum(j, n)] - s[np.minimum(i, n)]
+        b = np.where(real, statistic(d, np.where(real, k, 1)), -1.0)
+        top = float(b.max())
+        if top > 0 and top >= best:
+            pair, row, column = np.nonzero(b == top)
+            found = min(zip(k[pair, row, column].tolist(), i[pair, row, 0].tolist(), strict=True))
+            if top > best or found < (length, where):
+                best, (length, where) = top, found
+    return best, where, where + length
+
+
+def max_arc(x: np.ndarray, least: int = 2) -> tuple[float, int, int]:
+    """(T squared, i, j) of the arc (i, j] whose mean differs most from the rest."""
+    n = len(x)
+    s = np.concatenate([[0.0], np.cumsum(x - x.mean())])
+    best, *where = (_arcs_by_blocks if n > ALL_ARCS else _arcs_by_length)(s, least)
     total = float(((x - x.mean()) ** 2).sum())
     rest = total - best if total > best + 1e-4 else 1.0
     return best / (rest / (n - 2)), *where
@@ -276,7 +365,15 @@ def _largest_short_arc(y: np.ndarray) -> float:
     """T squared of the best arc of at most SHORT_ARC values."""
     n = len(y)
     s = np.concatenate([[0.0], np.cumsum(y - y.mean())])
-    value = max(float(((s[k:] - s[: n - k + 1]) ** 2).max()) * n / (k * (n - k)) for k in range(2, SHORT_ARC + 1))
+    most, step = [0.0] * (SHORT_ARC + 1), 1 << 14
+    for low in range(0, n + 1, step):  # stretches that stay in the processor's cache
+        near = s[low : low + step + SHORT_ARC]
+        for k in range(2, SHORT_ARC + 1):
+            size = min(step, len(near) - k)
+            if size > 0:
+                d = near[k : k + size] - near[:size]
+                most[k] = max(most[k], float(d.max()), -float(d.min()))
+    value = max(most[k] * most[k] * n / (k * (n - k)) for k in range(2, SHORT_ARC + 1))
     total = float(((y - y.mean()) ** 2).sum())
     return value / ((total - value) / (n - 2)) if total > value + 1e-4 else value
 

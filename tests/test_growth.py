@@ -7,7 +7,7 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import clusters, models, selection
+from helixframe.operators import clusters, models, segmentation, selection
 from helixframe.operators import segments as sg
 from helixframe.plans import haplotype_queries
 
@@ -124,3 +124,25 @@ def test_sites_of_a_family_are_shuffled_once_before_they_are_copied(spark):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert not [line for line in dealt if "sample" in line]
     assert len([line for line in dealt if "seg" in line]) == 1
+
+
+def test_the_largest_arc_by_blocks_is_that_of_all_arcs():
+    r = np.random.default_rng(1)
+    for n in (1001, 1500, 5000):
+        steps = np.r_[r.poisson(3, n // 2), r.poisson(4, n - n // 2)].astype(float)
+        for x in (r.normal(0, 1, n), r.poisson(3, n).astype(float), steps, np.resize([1.0, 2.0, 0.0], n), (np.arange(n) == 7) * 100.0):
+            s = np.concatenate([[0.0], np.cumsum(x - x.mean())])
+            for least in (2, 5):
+                assert segmentation._arcs_by_blocks(s, least) == segmentation._arcs_by_length(s, least)
+
+
+def test_the_largest_arc_of_a_million_values():
+    """All arcs would be 500 billion."""
+    n = 1_000_000
+    x = np.random.default_rng(4).poisson(10, n).astype(float)
+    x[300_000:700_000] += 1
+    began = time.perf_counter()
+    _, i, j = segmentation.max_arc(x)
+    segmentation._largest_short_arc(x)
+    assert time.perf_counter() - began < 30
+    assert abs(i - 300_000) < 200 and abs(j - 700_000) < 200
